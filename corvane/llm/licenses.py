@@ -172,7 +172,7 @@ def scan(
         + [(TAG, TAG, False)]
     )
     schema = T.StructType([docs.schema[id_col]]).add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long")
-    schema = schema.add("base_labels", "string").add("labels", "string").add("score", "double").add("expressions", "array<string>").add("permissive", "boolean")
+    schema = schema.add("base_labels", "string").add("labels", "string").add("score", "double").add("expressions", T.ArrayType(T.StringType())).add("permissive", "boolean")
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.bool_()]
 
     def run(batches):
