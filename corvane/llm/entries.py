@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, fingerprint, language, licenses, pieces
+from corvane.llm import chat, fingerprint, language, licenses, mixing, neighbors, ngram_join, pieces, secret_scan, sharding
 from corvane.session import ship_code, table
 
 
@@ -20,11 +20,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.findings(docs, secret_scan.train(secret_scan.weak_labels(docs)))
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), byte_limit=16 << 20)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_code(spark)
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    return neighbors.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_code(spark)
     said = "\\### Assistant: </turn> ok"
@@ -44,9 +63,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language.crc_remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_licenses, op6_chat, op7_sentencepiece, op8_language, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_licenses, op4_neighbors, op5_mixing, op6_chat, op7_sentencepiece, op8_language, op9_ngram_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
