@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: str, langs: list[str], p: np.ndarray, id_col
                 cols = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(2 + i) for i in range(len(extra))), *cols], schema.names)
 
-    return docs.select(id_col, text_col, *extra).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("__text"), *extra).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", extra: tuple[str, ...] = (), train_per_lang: int = 4000) -> DataFrame:

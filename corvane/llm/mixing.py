@@ -78,10 +78,10 @@ def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Mix:
     """Targets and draws for the documents of a table, and the DataFrames that follow from them."""
 
-    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block_words: int = 64, shards: int = 64, seed: int = 1, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), rows_per_bucket: int = 20_000):
+    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block_words: int = 64, shards: int = 64, seed: int = 1, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 20_000):
         self.block_words, self.seed = block_words, seed
         spark = docs.sparkSession
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("hash"), *keep)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("hash"))
         per = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
         self.sizes = [r["size"] for r in per]
         weights = weights or [float(i % 3 + 1) for i in range(len(per))]
@@ -103,9 +103,9 @@ class Mix:
         else:
             offset = F.coalesce(F.sum("all").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
             rows = rows.join(sums.select("src", "bucket", offset.alias("offset")), ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("inside"))
-        #: doc_id, source, size, src, source_size, target, start (words of the source before this document)
-        self.rows = checkpointed(rows.drop("bucket", "inside", "offset", "hash"))
-        self.spark = spark
+        #: doc_id, source, size, hash (of the text), src, source_size, target, start (words of the source before this document)
+        self.rows = checkpointed(rows.drop("bucket", "inside", "offset"))
+        self.spark, self.docs, self.id_col, self.text_col, self.source_col = spark, docs, id_col, text_col, source_col
 
     def segments(self) -> DataFrame:
         """src, block, start, from_word, to_word: the parts of documents that lie in each block (words from the document's first)."""
@@ -145,15 +145,25 @@ class Mix:
         none = self.rows.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
         return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
-    def drawn_texts(self, text_col: str) -> DataFrame:
-        """The kept columns once for each document and pass that took something of it, the text cut to what was taken;
-        neighbouring parts keep what stands between their words, others are joined by a newline."""
+    def drawn_texts(self) -> DataFrame:
+        """The input's columns once for each document and pass that took something of it, and pass; the text is cut to what
+        was taken. Neighbouring parts keep what stands between their words, others are joined by a newline."""
         part = F.struct("from_word", "to_word")
         got = self.slots().join(self.segments(), ["src", "block"]).groupBy("src", "start", "pass").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        rows = self.rows.join(got, ["src", "start"])
+        texts = self.docs.withColumn("__hash", F.xxhash64(self.text_col)).withColumn("__copy", F.lit(0))
+        rows = self.rows.select("src", "start", "size", "source", F.col("doc_id").alias("__id"), "hash", F.lit(0).alias("copy"))
+        same = ["__id", "hash", "source"]
+        if not rows.groupBy(*same).count().filter("count > 1").isEmpty():  # whole repeats: number them on both sides
+            rows = rows.withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy("start")))
+            own = W.partitionBy(self.id_col, "__hash", self.source_col).orderBy(F.lit(0))
+            texts = texts.withColumn("__copy", F.row_number().over(own))
+        taken = rows.join(got, ["src", "start"]).select(F.col("__id"), "hash", "copy", F.col("source").alias("__source"), "size", "pass", "parts")
+        match = F.col("__id").eqNullSafe(F.col(self.id_col)) & (F.col("hash") == F.col("__hash")) & (F.col("copy") == F.col("__copy")) & F.col("__source").eqNullSafe(F.col(self.source_col))
         cut = F.pandas_udf(_cut, T.StringType())
-        whole = (F.size("parts") > 0) & (F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"]) == F.col("size"))
-        return rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut(F.when(~whole, F.col(text_col)), F.when(~whole, F.col("parts")))))
+        whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"]) == F.col("size")
+        out = texts.join(taken, match).withColumn("__whole", whole)
+        text = F.when(F.col("__whole"), F.col(self.text_col)).otherwise(cut(F.when(~F.col("__whole"), F.col(self.text_col)), F.when(~F.col("__whole"), F.col("parts"))))
+        return out.withColumn(self.text_col, text).select(*self.docs.columns, "pass")
 
 
 def _cut(texts, parts):
