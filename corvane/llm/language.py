@@ -142,8 +142,10 @@ def crc_remainder(id_col: str, parts: int = 5) -> Column:
 def learn(docs: DataFrame, model: str, trained: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_per_lang: int = 4000) -> dict[str, np.ndarray]:
     """Piece counts of each language. The result has one number for each language and vocabulary piece at most."""
     labelled = docs.filter(trained & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = labelled.withColumn("nth", nth).filter(F.col("nth") <= train_per_lang).select("id", "lang").distinct()
+    order = [F.xxhash64("id"), F.col("id")]
+    salted = labelled.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a language may have most of the rows
+    few = salted.withColumn("nth", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("nth") <= train_per_lang)
+    chosen = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= train_per_lang).select("id", "lang").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(chosen, ["id", "lang"], "left_semi")
 
     def run(batches):
