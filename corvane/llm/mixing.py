@@ -146,8 +146,8 @@ class Mix:
         return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
     def drawn_texts(self) -> DataFrame:
-        """The input's columns once for each document and pass that took something of it, and pass; the text is cut to what
-        was taken. Neighbouring parts keep what stands between their words, others are joined by a newline."""
+        """The input's columns once for each document and pass that took something of it; the text is cut to what was
+        taken. Neighbouring parts keep what stands between their words, others are joined by a newline."""
         part = F.struct("from_word", "to_word")
         got = self.slots().join(self.segments(), ["src", "block"]).groupBy("src", "start", "pass").agg(F.array_sort(F.collect_list(part)).alias("parts"))
         texts = self.docs.withColumn("__hash", F.xxhash64(self.text_col)).withColumn("__copy", F.lit(0))
@@ -157,13 +157,14 @@ class Mix:
             rows = rows.withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy("start")))
             own = W.partitionBy(self.id_col, "__hash", self.source_col).orderBy(F.lit(0))
             texts = texts.withColumn("__copy", F.row_number().over(own))
-        taken = rows.join(got, ["src", "start"]).select(F.col("__id"), "hash", "copy", F.col("source").alias("__source"), "size", "pass", "parts")
-        match = F.col("__id").eqNullSafe(F.col(self.id_col)) & (F.col("hash") == F.col("__hash")) & (F.col("copy") == F.col("__copy")) & F.col("__source").eqNullSafe(F.col(self.source_col))
+        names = {"__id": "__id", "hash": "__thash", "copy": "__tcopy", "source": "__source", "size": "__size", "pass": "__pass", "parts": "__parts"}
+        taken = rows.join(got, ["src", "start"]).select(*(F.col(c).alias(n) for c, n in names.items()))
+        match = F.col("__id").eqNullSafe(F.col(self.id_col)) & (F.col("__thash") == F.col("__hash")) & (F.col("__tcopy") == F.col("__copy")) & F.col("__source").eqNullSafe(F.col(self.source_col))
         cut = F.pandas_udf(_cut, T.StringType())
-        whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"]) == F.col("size")
-        out = texts.join(taken, match).withColumn("__whole", whole)
-        text = F.when(F.col("__whole"), F.col(self.text_col)).otherwise(cut(F.when(~F.col("__whole"), F.col(self.text_col)), F.when(~F.col("__whole"), F.col("parts"))))
-        return out.withColumn(self.text_col, text).select(*self.docs.columns, "pass")
+        words = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"])
+        out = texts.join(taken, match).withColumn("__whole", words == F.col("__size"))
+        text = F.when(F.col("__whole"), F.col(self.text_col)).otherwise(cut(F.when(~F.col("__whole"), F.col(self.text_col)), F.when(~F.col("__whole"), F.col("__parts"))))
+        return out.withColumn(self.text_col, text).select(*self.docs.columns)
 
 
 def _cut(texts, parts):
