@@ -73,4 +73,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_licenses, op4_neighbors, op5_mixing, op6_chat, op7_sentencepiece, op8_language, op9_ngram_join, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def shards_sql(byte_limit: int, bits: int = 12) -> str:
+    """The shards of op2 for tables of at most 2^bits buckets without repeated rows."""
+    return f"""WITH h AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
+    n AS (SELECT b AS bits, h >> (60 - b) AS first, sum(bytes) AS shard_bytes, count(*) AS shard_rows, min(h) = max(h) AS alike FROM h, range({bits + 1}) t(b) GROUP BY ALL),
+    leaf AS (SELECT doc_id, bytes, h, min(bits) AS bits FROM h JOIN n ON n.first = h >> (60 - n.bits) WHERE shard_bytes <= {byte_limit} OR alike GROUP BY ALL)
+    SELECT doc_id, bytes, CAST(leaf.bits AS INTEGER) AS bits, CASE WHEN leaf.bits = 0 THEN '' ELSE lpad(to_base(n.first, 2), CAST(leaf.bits AS INTEGER), '0') END AS shard, CAST(0 AS BIGINT) AS part,
+    CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows FROM leaf JOIN n ON n.bits = leaf.bits AND n.first = h >> (60 - leaf.bits)"""
+
+
+JOIN_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * same >= 75 * (p.n + q.n - same)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+#: The others have no SQL form (forests, projections, permutations, merge rounds, sketches); tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_shards": shards_sql(16 << 20), "op9_ngram_join": JOIN_SQL}

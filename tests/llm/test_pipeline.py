@@ -9,7 +9,8 @@ from compare import difference
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 
-from corvane.llm.entries import ORACLE_SQL, QUERIES, tokenizer  # noqa: E402
+from corvane.llm import sharding  # noqa: E402
+from corvane.llm.entries import ORACLE_SQL, QUERIES, shards_sql, tokenizer  # noqa: E402
 
 
 def test_stages_take_effect(spark, sf_dir):
@@ -68,3 +69,8 @@ def test_query(name, spark, con, sf_dir):
         assert difference(df, con, ORACLE_SQL[name]) is None
     else:
         assert df.count() > 0 or name == "op1_secrets"  # a small table may hold no secret
+
+
+def test_shards_equal_sql(spark, con, sf_dir):
+    df = sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 30_000)
+    assert difference(df, con, shards_sql(30_000)) is None
