@@ -48,9 +48,9 @@ def chi_square_quantile(p: float, dims: int) -> float:
 
 
 class KdTree:
-    """Median splits on the widest dimension; leaves of about ``leaf`` points with their bounding boxes."""
+    """Median splits on the widest dimension; leaves of at most ``leaf`` points with their bounding boxes."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 32):
+    def __init__(self, points: np.ndarray, leaf: int = 256):
         self.points, self.nodes = points, []
         self.order = np.arange(len(points))
         self._build(0, len(points), leaf)
