@@ -7,7 +7,7 @@ as a column expression, so that scanning and redacting whole texts is one narrow
 
 Labelled findings may be given (``train``); ``weak_labels`` makes them from public formats and from assignments to
 telling names, on at most ``train_docs`` documents (those with the smallest hash of their id; the documented bound).
-With labels of one kind only, or none, the weak rule itself decides. A candidate in a public key format needs no forest: its
+With too few labels of a kind the weak rule itself decides. A candidate in a public key format needs no forest: its
 score is 1.
 
 Null text has no candidates; repeated rows give repeated findings; empty tables give no rows; extra columns are kept
@@ -93,19 +93,21 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 20_000) -> DataFrame:
     """Features and label of the candidates of at most ``train_docs`` documents, where the weak rule knows."""
     ids = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")  # train_docs ids at most
     found = with_candidates(some).select(F.explode("__found").alias("f"))
     return found.filter("f.weak IS NOT NULL").select(*(F.col(f"f.{k}").alias(k) for k in FEATURES), F.col("f.weak").alias("label"))
 
 
-def train(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7) -> Callable[[Column], Column]:
-    """A function from a candidate's struct of features to the column of its score (0 to 1)."""
+def train(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7, least: int = 10) -> Callable[[Column], Column]:
+    """A function from a candidate's struct of features to the column of its score (0 to 1). Both kinds of labels weigh the same
+    in all; with fewer than ``least`` of a kind the weak rule is the score."""
     rows = checkpointed(labelled.select(*FEATURES, "label").coalesce(8))
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if set(kinds) != {0.0, 1.0}:
+    if min(kinds.get(x, 0) for x in (0.0, 1.0)) < least:
         return lambda f: F.coalesce(f["weak"], F.lit(0.0))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", minInstancesPerNode=2).fit(vectors)
+    weight = F.when(F.col("label") == 1, sum(kinds.values()) / kinds[1.0]).otherwise(sum(kinds.values()) / kinds[0.0])
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label", weight.alias("weight"))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", weightCol="weight").fit(vectors)
     roots = [_read(t._java_obj.rootNode()) for t in forest.trees]
     return lambda f: sum((_tree(r, f) for r in roots[1:]), _tree(roots[0], f)) / float(len(roots))
 
