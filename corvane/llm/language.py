@@ -26,11 +26,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.llm.common import checkpointed
+
 MARK, MAX_WORD, MAX_PIECE = "▁", 24, 6
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = 300_000
 _FLOOR = 1e-8
+#: Ids to learn from that may be broadcast; more of them (of some hundred languages) are joined by shuffle.
+FEW = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -146,6 +150,9 @@ def learn(docs: DataFrame, model: str, trained: Column, id_col: str = "doc_id",
     salted = labelled.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a language may have most of the rows
     few = salted.withColumn("nth", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("nth") <= train_per_lang)
     chosen = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("nth") <= train_per_lang).select("id", "lang").distinct()
+    chosen = checkpointed(chosen)
+    if chosen.count() <= FEW:  # an id and a language for each: then only the texts that are learned from leave the scan
+        chosen = F.broadcast(chosen)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(chosen, ["id", "lang"], "left_semi")
 
     def run(batches):
