@@ -78,7 +78,7 @@ def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Mix:
     """Targets and draws for the documents of a table, and the DataFrames that follow from them."""
 
-    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block_words: int = 64, shards: int = 64, seed: int = 1, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 20_000):
+    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block_words: int = 64, shards: int = 64, seed: int = 1, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 4000):
         self.block_words, self.seed = block_words, seed
         spark = docs.sparkSession
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("hash"))
