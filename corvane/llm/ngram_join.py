@@ -13,7 +13,7 @@ segments that count:
 
 Candidates pass exact lower bounds (sizes, then parity bitmaps), and the rest are verified on the sets made anew from the
 texts. Copies of a set are one class from the first shuffle on. As the result is components, candidates are first compared
-with one leader of their segment, and only classes that are still apart are compared with each other.
+with a leader of their segment (some leaders in a hot one), and only classes that are still apart are compared with each other.
 
 Shingles, sets and classes are known by 64-bit hashes. Null or blank texts have no shingles and link with nothing. Rows with a
 null id count in n_shingles only: their component_id is null if no row with an id is in their component. Repeated rows give
@@ -28,13 +28,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import checkpointed
 
 SHINGLE, NUM, DEN = 5, 75, 100
-SMALL, HOT = 64, 16
+SMALL, HOT = 64, 8
+#: Ids of texts to verify that may be broadcast; more of them are joined by shuffle.
+FEW = 1_000_000
+#: Classes of a group that are compared in one row.
+BLOCK = 2048
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -91,16 +96,6 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def fewest_differences(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of shingles that only one of two sets has, by their bitmaps."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both) > 0
@@ -163,55 +158,62 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def signatures(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """bucket, cls, scheme, slack, keys (32 bits of each key; its bucket is the rest); once a task for each class."""
-    schema = T.StructType().add("bucket", "integer").add("cls", "long").add("scheme", "integer").add("slack", "integer").add("keys", T.ArrayType(T.IntegerType()))
+def signatures(docs: DataFrame, text_col: str, buckets: int, keys_at_once: int = 2_000_000) -> DataFrame:
+    """bucket and, packed, its part of some million keys: for each class and scheme (cls, scheme, slack) how many keys
+    follow, and 32 bits of each key (its bucket is the rest). Each class once a task."""
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("cls", "scheme", "slack", "n", "keys"))])
+
+    def packed(entries: list[tuple[int, int, int, np.ndarray]]):
+        cls, scheme, slack, keys = zip(*entries, strict=True)
+        cls, scheme, slack = np.array(cls, dtype=np.int64), np.array(scheme, dtype=np.int16), np.array(slack, dtype=np.int32)
+        row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        key = np.concatenate(keys)
+        bucket = (key >> _U(32)) % _U(buckets)
+        order = np.argsort(bucket * _U(len(keys)) + row.astype(np.uint64), kind="stable")
+        row, key, bucket = row[order], (key[order] & _U(0xFFFFFFFF)).astype(np.uint32), bucket[order]
+        first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])])
+        of, n = row[first], np.diff(np.r_[first, len(key)]).astype(np.int32)
+        top = np.flatnonzero(np.r_[True, bucket[first[1:]] != bucket[first[:-1]]])  # of the entries, the first of each bucket
+        out: list[list] = [[] for _ in range(6)]
+        for lo, hi in zip(top, np.r_[top[1:], len(first)], strict=True):
+            at = of[lo:hi]
+            last = first[hi] if hi < len(first) else len(key)
+            for column, x in zip(out, (int(bucket[first[lo]]), cls[at].tobytes(), scheme[at].tobytes(), slack[at].tobytes(), n[lo:hi].tobytes(), key[first[lo] : last].tobytes()), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(out)], schema.names)
 
     def run(batches):
         seen: set[int] = set()
+        entries, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                cls, scheme, slack, keys = [], [], [], []
-                for text in batch.column(0).slice(at, 1000).to_pylist():
-                    s = shingle_set(text)
-                    if not len(s) or (c := class_of(s)) in seen:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(c)
-                    for k, spare, some in keys_of(s):
-                        cls.append(c)
-                        scheme.append(k)
-                        slack.append(spare)
-                        keys.append(some)
-                if not keys:
+            for text in batch.column(0).to_pylist():
+                s = shingle_set(text)
+                if not len(s) or (c := class_of(s)) in seen:
                     continue
-                row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-                key = np.concatenate(keys)
-                bucket = (key >> _U(32)) % _U(buckets)
-                order = np.argsort(bucket * _U(len(keys)) + row.astype(np.uint64), kind="stable")
-                row, key, bucket = row[order], key[order], bucket[order]
-                first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])])
-                of = row[first]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)], pa.int32()), pa.array((key & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                cols = [pa.array(bucket[first].astype(np.int32)), pa.array(np.array(cls, dtype=np.int64)[of]), pa.array(np.array(scheme, dtype=np.int32)[of]), pa.array(np.array(slack, dtype=np.int32)[of]), lists]
-                yield pa.RecordBatch.from_arrays(cols, schema.names)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(c)
+                for k, spare, some in keys_of(s):
+                    entries.append((c, k, spare, some))
+                    size += len(some)
+                if size >= keys_at_once:
+                    yield packed(entries)
+                    entries, size = [], 0
+        if entries:
+            yield packed(entries)
 
     return docs.select(text_col).mapInArrow(run, schema)
 
 
-def meeting(signed: DataFrame) -> DataFrame:
-    """What meets in equal keys: kind 0 (members of a key that few share), kind 1 (of a hot key), kind 2 (cls, scheme, hot:
+def meeting(signed: DataFrame, most: int) -> DataFrame:
+    """What meets in equal keys: kind 0 (members of a key that at most ``most`` classes share), kind 1 (of a hot key), kind 2 (cls, scheme, hot:
     how many of a class's keys are hot, slack)."""
     schema = T.StructType().add("kind", "integer").add("members", T.ArrayType(T.LongType())).add("cls", "long").add("scheme", "integer").add("hot", "integer").add("slack", "integer")
 
     def run(table: pa.Table) -> pa.Table:
-        lists = table.column("keys").combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-        offsets = lists.offsets.to_numpy()
-        key = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32).astype(np.uint64)
-        row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-        names, dense = np.unique(table.column("cls").to_numpy(), return_inverse=True)
+        cls, scheme, slack, n, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("cls", np.int64), ("scheme", np.int16), ("slack", np.int32), ("n", np.int32), ("keys", np.uint32)))
+        key, row = key.astype(np.uint64), np.repeat(np.arange(len(cls), dtype=np.int32), n)
+        names, dense = np.unique(cls, return_inverse=True)
         packed, first = np.unique(key << _U(32) | dense[row].astype(np.uint64), return_index=True)
         key, member, row = packed >> _U(32), (packed & _U(0xFFFFFFFF)).astype(np.int64), row[first]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -223,17 +225,17 @@ def meeting(signed: DataFrame) -> DataFrame:
         at = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in shared]) if len(shared) else np.zeros(0, np.int64)
         ends = np.r_[0, np.cumsum(size[shared])]
         members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[member[at]], pa.int64()))
-        hot = np.bincount(row[np.repeat(size > HOT, size)], minlength=len(lists))
+        hot = np.bincount(row[np.repeat(size > most, size)], minlength=len(cls))
         some = np.flatnonzero(hot)
         none = lambda n, t: pa.nulls(n, t)
         g, h = len(shared), len(some)
         cols = {
-            "kind": pa.array(np.r_[(size[shared] > HOT).astype(np.int32), np.full(h, 2, np.int32)]),
+            "kind": pa.array(np.r_[(size[shared] > most).astype(np.int32), np.full(h, 2, np.int32)]),
             "members": pa.chunked_array([members, none(h, pa.list_(pa.int64()))]),
-            "cls": pa.chunked_array([none(g, pa.int64()), pa.array(table.column("cls").to_numpy()[some], pa.int64())]),
-            "scheme": pa.chunked_array([none(g, pa.int32()), pa.array(table.column("scheme").to_numpy()[some], pa.int32())]),
+            "cls": pa.chunked_array([none(g, pa.int64()), pa.array(cls[some], pa.int64())]),
+            "scheme": pa.chunked_array([none(g, pa.int32()), pa.array(scheme[some].astype(np.int32))]),
             "hot": pa.chunked_array([none(g, pa.int32()), pa.array(hot[some].astype(np.int32))]),
-            "slack": pa.chunked_array([none(g, pa.int32()), pa.array(table.column("slack").to_numpy()[some], pa.int32())]),
+            "slack": pa.chunked_array([none(g, pa.int32()), pa.array(slack[some])]),
         }
         return pa.table(cols)
 
@@ -241,52 +243,108 @@ def meeting(signed: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and root (the smallest node it is connected to), by alternating large and small stars."""
-    edges = checkpointed(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-
-    def star(e: DataFrame, both: bool) -> DataFrame:
-        pairs = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")) if both else e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = pairs.join(low, "u")
-        if both:
-            out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        return out.filter("u <> v").distinct()
+    """node and root (the smallest node it is connected to), by alternating large and small stars.
 
+    A star hangs the neighbours of each node on the smallest among them: one shuffle, with a window over a node's
+    edges, which spills where a node has many."""
+    edges = checkpointed(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"))
+    low = F.min("v").over(W.partitionBy("u"))
     before = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or (before is not None and (now["n"], now["h"]) == before):
             break
         before = (now["n"], now["h"])
-        edges = checkpointed(star(star(edges, True), False))
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = both.withColumn("m", F.least(low, "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = checkpointed(small.filter("u <> v").distinct())
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))).alias("e")).select("e.node", "e.root").distinct()
+
+
+def with_leaders(groups: DataFrame, leaders: int, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of each class with the leader of its groups, with some leaders where they have over ``most`` classes."""
+    order = W.partitionBy("gid").orderBy(F.xxhash64("cls"), "cls")
+    lead = groups.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= leaders)
+    lead = lead.join(groups.groupBy("gid").agg(F.count("*").alias("n")), "gid").filter(f"nth = 1 OR n > {most}").select("gid", F.col("cls").alias("leader"))
+    pairs = groups.join(lead, "gid").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+    return pairs.filter("a <> b").distinct()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to the smallest."""
+    size, out = min(map(len, maps)), []
+    for m in maps:
+        x = np.frombuffer(m, dtype=np.uint8)
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out).view(np.uint64)
+
+
+def near_enough(n: np.ndarray, m, bits: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can link, by their sizes and (folded) bitmaps."""
+    apart = np.bitwise_count(bits ^ other).sum(axis=1, dtype=np.int64)
+    return (np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (apart * (DEN + NUM) <= (n + m) * (DEN - NUM))
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that neither their sizes nor their bitmaps rule out."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    sized = sized.filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM)
 
     def run(batches):
         for batch in batches:
-            a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
-            keep = [fewest_differences(x[i], y[i]) * (DEN + NUM) <= (n[i] + m[i]) * (DEN - NUM) for i in range(len(a))]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                both = folded([x, y])
+                keep.append(bool(near_enough(n[i : i + 1], m[i], both[:1], both[1])[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
 
     return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
+def likely_apart(members: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of classes in one group that differ in root and that neither their sizes nor their bitmaps rule out.
+
+    members: gid, cls, n_shingles, bits, root. A group of over ``block`` classes is dealt to blocks, and pairs of blocks meet in
+    rows of their own."""
+    sized = members.join(members.groupBy("gid").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "gid")
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("gid", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    rows = dealt.agg(F.collect_list(F.struct("cls", "n_shingles", "root", "block", "bits")).alias("m")).filter(F.size("m") > 1)
+    flat = rows.select("i", "j", F.col("m.cls").alias("cls"), F.col("m.n_shingles").alias("n"), F.col("m.root").alias("root"), F.col("m.block").alias("block"), F.col("m.bits").alias("bits"))
+
+    def run(batches):
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], []]
+            for i, j, cls, n, root, part, maps in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                cls, n, root, part = (np.array(x, dtype=np.int64) for x in (cls, n, root, part))
+                bits = folded(maps)
+                for first in range(len(cls) - 1):
+                    rest = np.arange(first + 1, len(cls))
+                    rest = rest[(root[rest] != root[first]) & ((part[rest] != part[first]) | (i == j))]
+                    if len(rest):
+                        rest = rest[near_enough(n[rest], n[first], bits[rest], bits[first])]
+                        found[0].append(np.minimum(cls[rest], cls[first]))
+                        found[1].append(np.maximum(cls[rest], cls[first]))
+            if found[0]:
+                both = np.unique(np.stack([np.concatenate(x) for x in found]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return flat.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, group: int = 64) -> DataFrame:
     """The pairs whose sets, made anew from one text of each class, do link. Texts meet in groups of about ``group``
     pairs that share the class a; a class in more pairs has more groups."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).alias("salts"))
     salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     wanted = salted.select("a", "salt", F.col("b").alias("cls")).unionByName(salted.select("a", "salt", F.col("a").alias("cls")).distinct())
-    ids = classes.select("cls", "doc_id").join(wanted.select("cls").distinct(), "cls", "left_semi")
+    ids = checkpointed(classes.select("cls", "doc_id").join(wanted.select("cls").distinct(), "cls", "left_semi"))
+    if ids.count() <= FEW:  # two numbers for each: then texts that no pair needs aren't shuffled
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id").select("cls", "text")
     rows = wanted.join(texts, "cls").select("a", "salt", "cls", "text")
 
@@ -302,39 +360,30 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return rows.groupBy("a", "salt").applyInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_per_bucket: int = 2_000_000, rounds: int = 2) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys_per_bucket: int = 2_500_000, leaders: int = 4, most: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     rows = checkpointed(profile(docs, id_col, text_col))
     classes = checkpointed(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    met = checkpointed(meeting(signatures(docs, text_col, max(1, math.ceil(0.9 * total / keys_per_bucket)))))
+    met = checkpointed(meeting(signatures(docs, text_col, max(1, math.ceil(0.9 * total / keys_per_bucket))), most))
     few = met.filter("kind = 0").select("members").distinct().select(F.xxhash64("members", F.lit(0)).alias("gid"), F.explode("members").alias("cls"))
     short = met.filter("kind = 2").groupBy("cls", "scheme").agg(F.sum("hot").alias("hot"), F.min("slack").alias("slack")).filter("hot > slack").select("cls").distinct()
     hot = met.filter("kind = 1").select("members").distinct().select(F.xxhash64("members", F.lit(1)).alias("gid"), F.explode("members").alias("cls")).join(short, "cls", "left_semi")
     groups = checkpointed(few.unionByName(hot.select("gid", "cls")))
 
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    tried = links
-    for turn in range(rounds + 1):
-        if turn:
-            root = components(links).withColumnsRenamed({"node": "cls"})
-            apart = groups.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            split = apart.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high AND n > 2").select("gid")
-            apart = checkpointed(apart.join(split, "gid", "left_semi"))
-        else:
-            apart = groups.withColumn("root", F.col("cls"))
-        if turn < rounds:  # with one leader of each group
-            lead = apart.groupBy("gid").agg(F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("lead"))
-            pairs = apart.join(lead, "gid").filter("root <> lead.root").select(F.col("lead.cls").alias("x"), F.col("cls").alias("y"))
-        else:  # what is still apart, with each other
-            other = apart.select("gid", F.col("cls").alias("y"), F.col("root").alias("root_y"))
-            pairs = apart.join(other, "gid").filter("root < root_y").select(F.col("cls").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        new = checkpointed(verified(likely(pairs, classes), classes, docs, id_col, text_col))
-        links, tried = links.unionByName(new), tried.unionByName(pairs)
-
-    root = components(links).withColumnsRenamed({"node": "cls"})
+    # each class of a segment with the segment's leader, with some leaders where there are many classes
+    first = checkpointed(likely(with_leaders(groups, leaders, most), classes))
+    links = checkpointed(verified(first, classes, docs, id_col, text_col))
+    # classes of a segment that are still apart, with each other
+    root = checkpointed(components(links).withColumnsRenamed({"node": "cls"}))
+    apart = groups.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    split = apart.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high AND n > 2").select("gid")
+    apart = apart.join(split, "gid", "left_semi").join(classes.select("cls", "n_shingles", "bits"), "cls")
+    rest = checkpointed(likely_apart(apart, block).join(first, ["a", "b"], "left_anti"))
+    more = checkpointed(verified(rest, classes, docs, id_col, text_col))
+    links = more.unionByName(root.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+
+    root = checkpointed(components(links).withColumnsRenamed({"node": "cls"}))
     lowest = classes.select("cls", "doc_id").join(root, "cls").groupBy("root").agg(F.min("doc_id").alias("component"))
     of = classes.select("cls", "doc_id").join(root.join(lowest, "root").select("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "doc_id").alias("component_id"))
     empty = rows.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
