@@ -139,7 +139,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("queryid"), F.substring("text", 1, 120).alias("query"), (F.col("item_id") % 5).alias("courseid"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("queryid"), F.col("text").alias("query"), (F.col("item_id") % 5).alias("courseid"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
