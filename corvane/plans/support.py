@@ -8,6 +8,7 @@ from corvane.functions.text import ACCENTED, PLAIN
 from corvane.operators import history as H
 from corvane.operators import tickets as K
 from corvane.plans.registry import query
+from corvane.session import table
 from corvane.sources import adapters as A
 
 START, END = "2024-01-05", "2024-01-26"
@@ -17,7 +18,7 @@ T = A.tickets
 
 
 def users(s, d):
-    return s.range(0, 200, 1, 1).filter("id % 9 <> 2").select(F.col("id").alias("userid"), F.concat(F.lit("User "), F.col("id").cast("string")).alias("username"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("userid"), F.concat(F.lit("User "), F.col("c_custkey").cast("string")).alias("username"))
 
 
 query("f6_owned_by", "convs", "SELECT conversationid, timecreated FROM convs WHERE userid = 7 AND courseid = 7 AND blockinstanceid = 0")(lambda s, d: H.owned_by(A.conversations(s, d), 7, 7, 0).select("conversationid", "timecreated"))
@@ -40,7 +41,7 @@ query("w5_user_turns_since_refusal", "messages tickets", "WITH r AS (SELECT conv
 _FP = f"array_to_string(list_filter(string_split(trim(regexp_replace(translate(lower(content), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')[1:12], ' ')"
 query("w8_repetition", "turns", f"""WITH m AS (SELECT conversationid, turn, {_FP} AS raw FROM (SELECT conversationid, turn, 'hello there my friend ' || (turn // 4) AS content FROM turns WHERE role = 'user')), f AS (SELECT conversationid, turn, raw AS fp FROM m),
 l AS (SELECT *, list(fp) OVER (PARTITION BY conversationid ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS fps FROM f) SELECT conversationid, turn, len(list_filter(fps, lambda x: x = fp)) >= 2 AS repeats FROM l""")(
-    lambda s, d: H.repetition(A.turns(s, d).withColumn("content", F.concat(F.lit("hello there my friend "), F.expr("turn div 4").cast("string"))))
+    lambda s, d: H.repetition(A.turns(s, d))
 )
 query("w16_retrieval_query", "turns", r"""WITH t AS (SELECT conversationid, turn, role, trim(content) AS said, row_number() OVER (PARTITION BY conversationid ORDER BY turn) AS n, len(list_filter(regexp_split_to_array(trim(content), '\s+'), lambda x: x <> '')) AS words FROM turns WHERE role IN ('user', 'assistant')),
 a AS (SELECT t.conversationid, t.turn, any_value(t.said) AS said, any_value(t.words) AS words, arg_max(p.said, p.n) AS anchor FROM t LEFT JOIN t p ON p.conversationid = t.conversationid AND p.role = 'user' AND p.n BETWEEN t.n - 7 AND t.n - 1 AND p.words >= 3 AND p.said <> t.said WHERE t.role = 'user' GROUP BY ALL)

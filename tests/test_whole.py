@@ -43,3 +43,30 @@ def test_late_terms_are_found(spark, asked):
     for name in ("t9_hybrid_top_k", "w17_k10_multi_pass"):
         assert (5, 0) in {(r["doc_id"], r["chunkindex"]) for r in QUERIES[name](spark, asked).collect()}
     assert [r["doc_id"] for r in QUERIES["k11_retrieval_report"](spark, asked).filter("selected").collect()] == [5]
+
+
+# ---- users are the customers, repetition is of what was said ----
+@pytest.fixture(scope="module")
+def raised(spark, tmp_path_factory):
+    users = [2, 5, 300, 501, 512, 1203]
+    events = spark.createDataFrame([(i, f"2024-01-10 00:00:{i:02d}", users[i % 6], "error", 1.0, '{"k": 2}') for i in range(60)], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    return tables(
+        spark, tmp_path_factory.mktemp("raised"),
+        events=events.withColumn("ts", F.col("ts").cast("timestamp_ntz")),
+        customer=spark.createDataFrame([(i,) for i in users], "c_custkey long"),
+        nation=spark.createDataFrame([(i, f"N{i}", 0) for i in range(25)], "n_nationkey int, n_name string, n_regionkey int"),
+    )
+
+
+@pytest.mark.parametrize("name", ["t4_audit_total", "t4_j4_audit_page", "f8_support_filters"])
+def test_all_users(name, spark, raised):
+    whole = ORACLE_SQL[name].replace(" WHERE userid < 200 AND userid % 9 <> 2", "").replace(" AND userid < 200 AND userid % 9 <> 2", "")
+    assert "userid < 200" not in whole
+    assert difference(QUERIES[name](spark, raised), connect(raised), whole) is None
+
+
+def test_said_twice(spark, tmp_path):
+    said = {0: "Please tell me about the leaf", 2: "And what else is there to know", 4: "yes", 6: "yes", 8: "please, tell me about the LEAF!"}
+    turns = [(1, t, "user", said[t]) for t in said] + [(1, t + 1, "assistant", "Please tell me about the leaf") for t in said]
+    path = tables(spark, tmp_path, conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r["turn"]: r["repeats"] for r in QUERIES["w8_repetition"](spark, path).collect()} == {0: False, 2: False, 4: False, 6: False, 8: True}
