@@ -60,18 +60,18 @@ SELECT contenthash, CASE WHEN doc_id % 5 = 0 THEN 'delete' WHEN doc_id % 7 = 0 T
 
 
 def _vectored(s, d):
-    """First chunks with a vector, some of them another model's; the others have none."""
+    """Chunks with a vector, some of them another model's; the others have none. A document's vector is that of each of its chunks."""
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    first = A.chunks(s, d).filter("chunkindex = 0").select("doc_id", "courseid")
+    chunks = A.chunks(s, d).select("doc_id", "chunkindex", "courseid")
     none = F.lit(None).cast("array<double>")
     kept = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0))).otherwise(none)
-    return first.withColumns({"embedding": kept, "embeddingmodel": F.when(F.col("doc_id") % 6 == 0, "m2").when(F.col("doc_id") % 3 == 0, "m1")}), v
+    return chunks.withColumns({"embedding": kept, "embeddingmodel": F.when(F.col("doc_id") % 6 == 0, "m2").when(F.col("doc_id") % 3 == 0, "m1")}), v
 
 
-query("f13_pending_embedding", "docchunks", "SELECT doc_id FROM docchunks WHERE chunkindex = 0 AND doc_id % 6 <> 0")(lambda s, d: K.pending_embedding(_vectored(s, d)[0], "m2").select("doc_id"))
+query("f13_pending_embedding", "docchunks", "SELECT doc_id FROM docchunks WHERE chunkindex = 0 AND doc_id % 6 <> 0")(lambda s, d: K.pending_embedding(_vectored(s, d)[0], "m2").select("doc_id", "chunkindex"))
 query("k13_attach_embeddings", "docchunks", """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'm2' WHEN vec_id IS NOT NULL THEN 'm2' WHEN doc_id % 3 = 0 THEN 'm1' END AS embeddingmodel,
 CASE WHEN doc_id % 6 = 0 THEN 1.0 WHEN vec_id IS NOT NULL THEN round(CAST(embedding[1] AS DOUBLE), 6) WHEN doc_id % 3 = 0 THEN 1.0 END AS first FROM docchunks LEFT JOIN embeddings ON vec_id = doc_id WHERE chunkindex = 0""")(
-    lambda s, d: (lambda x: K.attach_embeddings(x[0], x[1], "doc_id", "m2").select("doc_id", "embeddingmodel", F.get("embedding", F.lit(0)).alias("first")))(_vectored(s, d))
+    lambda s, d: (lambda x: K.attach_embeddings(x[0], x[1], "doc_id", "m2").select("doc_id", "chunkindex", "embeddingmodel", F.get("embedding", F.lit(0)).alias("first")))(_vectored(s, d))
 )
 query("k14_scope_cap", "docchunks", "SELECT courseid, doc_id, chunkindex FROM (SELECT *, row_number() OVER (PARTITION BY courseid ORDER BY doc_id, chunkindex) AS n FROM docchunks) WHERE n <= 2000")(lambda s, d: R.scope_chunks(A.chunks(s, d)).select("courseid", "doc_id", "chunkindex"))
 query("f14_clean_links")(lambda s, d: K.clean_links(A.turns(s, d).select("conversationid", "turn", "content"), "content", K.content_urls(A.chunks(s, d)), "campus.example.org"))

@@ -70,3 +70,22 @@ def test_said_twice(spark, tmp_path):
     turns = [(1, t, "user", said[t]) for t in said] + [(1, t + 1, "assistant", "Please tell me about the leaf") for t in said]
     path = tables(spark, tmp_path, conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     assert {r["turn"]: r["repeats"] for r in QUERIES["w8_repetition"](spark, path).collect()} == {0: False, 2: False, 4: False, 6: False, 8: True}
+
+
+# ---- every chunk is embedded ----
+def _keyed_sql(name):
+    """The registered SQL over all chunks, by document and chunk."""
+    return ORACLE_SQL[name].replace(" WHERE chunkindex = 0 AND ", " WHERE ").replace(" WHERE chunkindex = 0", "").replace("SELECT doc_id FROM docchunks", "SELECT doc_id, chunkindex FROM docchunks").replace("SELECT doc_id, CASE", "SELECT doc_id, chunkindex, CASE")
+
+
+@pytest.mark.parametrize("name", ["f13_pending_embedding", "k13_attach_embeddings"])
+def test_all_chunks_are_embedded(name, spark, tmp_path):
+    docs = [(i, "word " * 700, "en", "web", 3500) for i in (1, 3, 4, 6, 9)]
+    path = tables(
+        spark, tmp_path,
+        documents=spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        embeddings=spark.createDataFrame([(i, [0.5, 1.0], 0) for i in (1, 3, 6)], "vec_id long, embedding array<float>, label int"),
+    )
+    got = QUERIES[name](spark, path)
+    assert {r["chunkindex"] for r in got.collect()} == {0, 1, 2, 3}
+    assert difference(got, connect(path), _keyed_sql(name)) is None
