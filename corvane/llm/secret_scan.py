@@ -6,9 +6,10 @@ coverage, path marks and the words around it. The forest is trained on labelled
 as a column expression, so that scanning and redacting whole texts is one narrow pass without a shuffle.
 
 Labelled findings may be given (``train``); ``weak_labels`` makes them from public formats and from assignments to
-telling names, on at most ``train_docs`` documents (those with the smallest hash of their id; the documented bound).
-With too few labels of a kind the weak rule itself decides. A candidate in a public key format needs no forest: its
-score is 1.
+telling names, on at most ``train_docs`` documents of any kind and as many of all those where such a secret may stand
+(each time those with the smallest hash of their id; the documented bound), and adds the fixed ``EXAMPLES``, which show
+what the weak rule leaves open. So there are labels of both kinds at any size, and the forest always decides. A
+candidate in a public key format needs no forest: its score is 1.
 
 Null text has no candidates; repeated rows give repeated findings; empty tables give no rows; extra columns are kept
 by ``redact`` and ignored by ``findings``. Positions are code points from 0.
@@ -16,6 +17,8 @@ by ``redact`` and ignored by ``findings``. Positions are code points from 0.
 
 from __future__ import annotations
 
+import hashlib
+from base64 import b64encode
 from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -32,6 +35,8 @@ OTHER = r"(?i)(commit|sha|digest|checksum|uuid|order|phone|card|iban|isbn|versio
 ASSIGNED = r"(?i)(secret|passw(or)?d|token|key|credential|auth)[a-z_]*[\"']?\s*[:=]\s*[\"']?$"
 # Public formats of keys.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{20,})"
+# Where a candidate may follow an assignment or be in a public format: no document that the weak rule finds a secret in lacks it.
+MAYBE = "(" + ASSIGNED[:-1] + r"\s{0,2}[A-Za-z0-9+/_-]{12})|(?-i:" + FORMATS[1:] + ")"
 # Frequent letter pairs of European languages.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un ge sc ue qu el la os ad au".split()
 # Common words of names, paths and prose.
@@ -39,6 +44,33 @@ DICTIONARY = "the and for with from this that are was not you all have new more
 
 FEATURES = ["length", "digits", "uppers", "lowers", "turns", "pairs", "kinds", "words", "slashes", "joins", "hexed", "telling", "assigned", "quoted", "pathed", "other", "dotted"]
 
+# Texts around a secret, and texts around something else by its kind.
+SECRET_TEXTS = ["password={}", "passwd: {}", "the password is {} and", "my secret is {}.", "Authorization: Bearer {}", "bearer {}", "send bearer {} with it", "api key {}", "token = \"{}\"", "the token '{}'", "access_key: {}", "credentials {} for it", "private key {}", "client_secret={}", "auth {}", "\"apiKey\": \"{}\""]
+OTHER_TEXTS = {
+    "hex": ["commit {}", "sha256 {}", "digest {} of it", "checksum: {}", "hash={}", "see {} there"],
+    "number": ["order {}", "card {}", "phone {}", "serial {}", "isbn {}", "about {} of them"],
+    "word": ["the {} of it", "{}", "password {}", "the secret {} is known", "token {}", "key: {}", "a {} and"],
+    "path": ["see /usr/share/{}", "https://{}", "in ./{} there", "password reset at /{}", "token file ~/{}", "open {}"],
+}
+
+
+def _examples() -> list[tuple[str, float]]:
+    """The fixed labelled findings: (text with one candidate, 1 for a secret or 0)."""
+    hexed = lambda *k: hashlib.sha512(repr(k).encode()).hexdigest()
+    mixed = lambda *k: b64encode(hashlib.sha512(repr(k).encode()).digest()).decode().rstrip("=")
+    rows = [(t.format(v), 1.0) for i, t in enumerate(SECRET_TEXTS) for v in (hexed(i)[:18], hexed(i)[:32], hexed(i)[:40], hexed(i)[:64], mixed(i)[:20], mixed(i)[:32], mixed(i)[:40])]
+    w = [x for x in DICTIONARY if len(x) > 2]
+    values = {
+        "hex": lambda i: [hexed("o", i)[:n] for n in (32, 40, 64)],
+        "number": lambda i: [str(int(hexed("n", i), 16))[:n] for n in (13, 16, 20)],
+        "word": lambda i: ["".join(w[(7 * i + k) % len(w)] for k in range(8)), "_".join(w[(11 * i + k) % len(w)] for k in range(6)), "abcdefgh"[i % 8] * (20 + 30 * i)],
+        "path": lambda i: ["/".join(w[(5 * i + k) % len(w)] for k in range(6)), "-".join(w[(3 * i + k) % len(w)] for k in range(6)) + f"-{2000 + i}"],
+    }
+    return rows + [(t.format(v), 0.0) for kind, ts in OTHER_TEXTS.items() for i, t in enumerate(ts) for v in values[kind](i)]
+
+
+EXAMPLES = _examples()
+
 
 def _share(pattern: str, text: Column, size: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / size
@@ -91,20 +123,24 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 20_000) -> DataFrame:
-    """Features and label of the candidates of at most ``train_docs`` documents, where the weak rule knows."""
-    ids = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")  # train_docs ids at most
-    found = with_candidates(some).select(F.explode("__found").alias("f"))
-    return found.filter("f.weak IS NOT NULL").select(*(F.col(f"f.{k}").alias(k) for k in FEATURES), F.col("f.weak").alias("label"))
-
-
-def train(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7, least: int = 10) -> Callable[[Column], Column]:
-    """A function from a candidate's struct of features to the column of its score (0 to 1). Both kinds of labels weigh the same
-    in all; with fewer than ``least`` of a kind the weak rule is the score."""
+    """Features and label of the candidates where the weak rule knows, of at most ``train_docs`` documents and of as many of those
+    that ``MAYBE`` finds among all, and of the fixed examples."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    first = lambda df: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
+    ids = first(rows).unionByName(first(rows.filter(F.regexp_like("text", F.lit(MAYBE))))).distinct()
+    some = rows.join(F.broadcast(ids), "id", "left_semi")  # 2 * train_docs ids at most
+    found = with_candidates(some).select(F.explode("__found").alias("f")).filter("f.weak IS NOT NULL").select("f.*", F.col("f.weak").alias("label"))
+    given = with_candidates(docs.sparkSession.createDataFrame(EXAMPLES, "text string, label double").coalesce(1)).select("label", F.explode("__found").alias("f")).select("f.*", "label")
+    return found.select(*FEATURES, "label").unionByName(given.select(*FEATURES, "label"))
+
+
+def train(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7) -> Callable[[Column], Column]:
+    """A function from a candidate's struct of features to the column of its score (0 to 1). Both kinds of labels, which must be
+    there, weigh the same in all."""
     rows = checkpointed(labelled.select(*FEATURES, "label").coalesce(8))
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(kinds.get(x, 0) for x in (0.0, 1.0)) < least:
-        return lambda f: F.coalesce(f["weak"], F.lit(0.0))
+    if not {0.0, 1.0} <= set(kinds):
+        raise ValueError("labelled findings of both kinds are needed")
     weight = F.when(F.col("label") == 1, sum(kinds.values()) / kinds[1.0]).otherwise(sum(kinds.values()) / kinds[0.0])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label", weight.alias("weight"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", weightCol="weight").fit(vectors)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -46,6 +47,21 @@ def test_forest_removes_false_positives(spark):
     assert found == {1000 + i for i in range(40) if i % 2}
 
 
+def test_forest_decides_without_secrets_in_the_table(spark):
+    hexed = hashlib.md5(b"a").hexdigest()
+    assert all(len(re.findall(secret_scan.CANDIDATE, t)) == 1 for t, _ in secret_scan.EXAMPLES)
+    score = secret_scan.train(secret_scan.weak_labels(docs(spark, [(1, "no candidate here")])))
+    secrets = [(2, f"send bearer {hexed} on"), (3, f"the password is {hexed}")]
+    others = [(4, f"commit {hexed}"), (5, "see the Donaudampfschifffahrtsgesellschaft"), (6, "order 4111111111111111"), (7, "x" * 500), (8, "open /usr/share/doc/configuration/notes")]
+    assert {r["doc_id"] for r in secret_scan.findings(docs(spark, [*secrets, *others]), score).collect()} == {2, 3}
+
+
+def test_secrets_beyond_the_training_documents_are_labelled(spark):
+    rows = [(i, "password: " + hashlib.md5(b"%d" % i).hexdigest() if i in (77, 150) else f"order {10**15 + i}") for i in range(200)]
+    fixed = sum(label for _, label in secret_scan.EXAMPLES)
+    assert secret_scan.weak_labels(docs(spark, rows), train_docs=2).filter("label = 1").count() == fixed + 2
+
+
 # ---- 2 sharding ----
 @pytest.mark.parametrize("limit", [1 << 40, 20_000, 300, 1])
 def test_shards_fit(spark, limit):
