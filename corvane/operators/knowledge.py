@@ -176,3 +176,15 @@ def clean_links(texts: DataFrame, text_col: str, known_urls: DataFrame, own_host
 def content_urls(chunks: DataFrame) -> DataFrame:
     """The distinct urls that occur in content: the equi-join side of containment."""
     return chunks.select(F.explode(F.regexp_extract_all("content", F.lit(r"https?://[^\s)\"'<>]+"), F.lit(0))).alias("url")).distinct()
+
+
+def url_containment(urls: DataFrame, known_urls: DataFrame) -> DataFrame:
+    """Add contained: whether the indexed content has the url (column ``url`` of both), ignoring case."""
+    known = known_urls.select(F.lower("url").alias("__k")).distinct().withColumn("contained", F.lit(True))
+    return urls.withColumn("__k", F.lower("url")).join(known, "__k", "left").drop("__k").withColumn("contained", F.coalesce("contained", F.lit(False)))
+
+
+def last_area(files: DataFrame) -> DataFrame:
+    """The files by content hash: of a hash in several areas the one of the last area, there the last by name."""
+    nth = F.row_number().over(W.partitionBy("contenthash").orderBy(F.desc("area"), F.desc("filename")))
+    return files.withColumn("__n", nth).filter("__n = 1").drop("__n")

@@ -78,6 +78,16 @@ query("f14_clean_links")(lambda s, d: K.clean_links(A.turns(s, d).select("conver
 query("j11_url_containment", "", r"""SELECT page_id, count(DISTINCT u) AS urls FROM (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\s)"''<>]+')) AS u FROM pages) GROUP BY 1""")(
     lambda s, d: A.pages(s, d).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"https?://[^\s)\"'<>]+"), F.lit(0))).alias("u")).groupBy("page_id").agg(F.countDistinct("u").alias("urls"))
 )
+_URL = r"https?://[^\s)\"'<>]+"
+query("j11_url_in_chunks", "docchunks", r"""WITH k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(content, 'https?://[^\s)"''<>]+'))) AS k FROM docchunks),
+u AS (SELECT DISTINCT page_id, unnest(list_append(regexp_extract_all(html, 'https?://[^\s)"''<>]+'), url)) AS url FROM pages)
+SELECT page_id, url, lower(url) IN (SELECT k FROM k) AS contained FROM u WHERE url IS NOT NULL""")(
+    lambda s, d: K.url_containment(A.pages(s, d).select("page_id", F.explode(F.array_union(F.array("url"), F.coalesce(F.regexp_extract_all("html", F.lit(_URL), F.lit(0)), F.array().cast("array<string>")))).alias("url")).filter("url IS NOT NULL").distinct(), K.content_urls(A.chunks(s, d)))
+)
+query("w12_last_area", "", """SELECT contenthash, area, filename FROM (SELECT sha1(text) AS contenthash, doc_id % 3 AS area, source || '/' || doc_id AS filename,
+row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id % 3 DESC, source || '/' || doc_id DESC) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1""")(
+    lambda s, d: K.last_area(docs(s, d).filter("text IS NOT NULL").select(F.sha1(F.col("text").cast("binary")).alias("contenthash"), (F.col("doc_id") % 3).alias("area"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("filename")))
+)
 query("x9_cosine", "", "SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label % 2 = b.label % 2 WHERE a.vec_id < 20 AND b.vec_id >= 20")(
     lambda s, d: (lambda e: R.semantic_scores(e.filter("vec_id < 20"), e.filter("vec_id >= 20"), "scope").withColumn("cosine", F.round("cosine", 6)))(table(s, d, "embeddings").withColumn("scope", F.col("label") % 2))
 )

@@ -89,3 +89,16 @@ def test_all_chunks_are_embedded(name, spark, tmp_path):
     got = QUERIES[name](spark, path)
     assert {r["chunkindex"] for r in got.collect()} == {0, 1, 2, 3}
     assert difference(got, connect(path), _keyed_sql(name)) is None
+
+
+# ---- urls are looked up in chunks, and the last area of a file wins ----
+def test_urls_in_chunks_and_last_area(spark, tmp_path):
+    rows = [(3, "see HTTPS://a.org/X and more", "en", "web", 28), (4, "same text", "en", "web", 9), (5, "same text", "en", "web", 9), (8, "same text", "en", "web", 9)]
+    path = tables(
+        spark, tmp_path,
+        documents=spark.createDataFrame([(i, t.replace("HTTPS", "https"), *r) for i, t, *r in rows], "doc_id long, text string, lang string, source string, n_chars long"),
+        pages=spark.createDataFrame([(1, "https://b.org/p", '<a href="https://A.org/x">x</a>'), (2, None, None)], "page_id long, url string, html string"),
+    )
+    got = {(r["page_id"], r["url"]): r["contained"] for r in QUERIES["j11_url_in_chunks"](spark, path).collect()}
+    assert got == {(1, "https://b.org/p"): False, (1, "https://A.org/x"): True}
+    assert {(r["area"], r["filename"]) for r in QUERIES["w12_last_area"](spark, path).collect()} == {(0, "web/3"), (2, "web/8")}
