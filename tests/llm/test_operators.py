@@ -320,8 +320,8 @@ def edited(words, rnd, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("hot", [16, 2])
-def test_join(spark, hot):
+@pytest.mark.parametrize("hot, room, spread", [(16, 10**6, 256), (2, 2000, 3)])
+def test_join(spark, hot, room, spread):
     rnd = random.Random(9)
     rows, n = [(1, "a b c"), (2, None), (3, ""), (None, "A b  c"), (5, "a b c"), (5, "a b c"), (6, "x y"), (7, "word " * 4000), (8, "word " * 5), (None, "only here without id")], 100
     common = [f"c{k}" for k in range(40)]
@@ -335,11 +335,36 @@ def test_join(spark, hot):
         rows.append((n, " ".join(common + [f"u{k}_{i}" for i in range(60)])))
         rows.append((n + 1, edited(common * 3, rnd, rnd.randrange(5))))
         n += 2
+    rows.append((None, edited(common * 3, rnd, 3)))  # a near copy without an id
+    rows.append((rows[-2][0], "another text of a known id " * 4))
     rnd.shuffle(rows)
-    got = collections.Counter(tuple(r) for r in ngram_join.join(docs(spark, rows), keys_per_bucket=3000, most=hot, block=20).collect())
+    got = collections.Counter(tuple(r) for r in ngram_join.join(docs(spark, rows), keys_per_bucket=3000, most=hot, room=room, spread=spread).collect())
     assert got == brute_join(rows)
 
 
+def test_classes_by_their_first_half(spark):
+    digests = [bytes([b]) + bytes(range(15)) for b in (0, 127, 128, 255)]
+    df = spark.createDataFrame([(bytearray(d),) for d in digests], "cls binary").select("cls", ngram_join.short_column("cls").alias("short"))
+    assert {bytes(r["cls"]): r["short"] for r in df.collect()} == {d: ngram_join.short_of(d) for d in digests}
+
+
+def test_links_within():
+    """Links connect exactly what brute force connects, within one part and between two."""
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(np.r_[np.arange(30)[rnd.random(30) < 0.9], rnd.integers(100, 140, 4)]).astype(np.uint64) for _ in range(40)]
+
+    def parts(pairs):
+        part = list(range(len(sets)))
+        for i, j in pairs:
+            part = [part[i] if x == part[j] else x for x in part]
+        return {frozenset(np.flatnonzero(np.array(part) == x)) for x in part}
+
+    for side in (np.full(40, 2), np.arange(40) % 2):
+        all_pairs = [(i, j) for i in range(40) for j in range(i) if ngram_join.linked(sets[i], sets[j]) and (side[i] == 2 or side[i] != side[j])]
+        got = ngram_join.links_within(sets, np.arange(40), side)
+        assert parts(got) == parts(all_pairs) and len(got) < 40 and set(got) <= {*all_pairs, *((j, i) for i, j in all_pairs)}
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.join(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
