@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.text import breadcrumb, cosine, focus_query, fold_accents, normalize_separators, spaced_words, strip_breadcrumb, term_hits, tokenize
+from corvane.functions.text import breadcrumb, cosine, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
 
 WEIGHT = 0.25
 
@@ -17,30 +17,80 @@ def scope_chunks(chunks: DataFrame, scope: str = "courseid", most: int = 2000, o
     return chunks.withColumn("__n", nth).filter(F.col("__n") <= most).drop("__n")
 
 
-def folded(chunks: DataFrame) -> DataFrame:
-    """What scoring reads of each chunk, folded once: __h, __words, __joined, __file, __head."""
-    df = chunks.withColumns({"__h": fold_accents(F.lower("content")), "__file": fold_accents(F.lower("filename")), "__head": fold_accents(F.lower(breadcrumb("content")))})
-    return df.withColumns({"__words": spaced_words("__h"), "__joined": normalize_separators("__h"), "__headwords": spaced_words("__head"), "__headjoined": normalize_separators("__head")})
+#: Letters that a long term shares with a word it stands in: its first ones are the key of that match.
+GRAM, SHORT_GRAM = 5, 3
 
 
-def _hits(term, text: str, words: str, joined: str):
-    return F.when(term.contains("-"), term_hits(joined, term, words)).otherwise(term_hits(text, term, words))
+def grams(text, size: int):
+    """Distinct runs of ``size`` characters; none of a shorter text."""
+    t = F.col(text)
+    return F.when(F.char_length(t) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(t) - size + 1), lambda i: F.substring(t, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
-    """queryid, chunk keys, lexical, headinghits and the chunk's columns, for all chunks of a question's scope: the sum over terms of
-    (1 + ln hits) x length, and 2 for each term in the file name."""
-    asked = questions.select("queryid", scope, tokenize("query").alias("__terms"))
-    pairs = folded(chunks).join(asked, scope)
+def occurrences(text, part):
+    """How often a part stands in a text, counted without overlaps."""
+    return ((F.char_length(text) - F.char_length(F.replace(text, part, F.lit("")))) / F.char_length(part)).cast("bigint")
+
 
-    def one(total, t):
-        n = _hits(t, "__h", "__words", "__joined")
-        body = F.when(n > 0, (1 + F.ln(F.greatest(n, F.lit(1)).cast("double"))) * F.char_length(t)).otherwise(0.0)
-        return total + body + F.when(F.contains(F.col("__file"), fold_accents(t)), 2.0).otherwise(0.0)
+def words_with(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """term, word, times for distinct folded terms (without hyphens) and distinct words: a term of five characters or more in any
+    word that contains it, a shorter one in itself. Terms meet words by their first GRAM characters, never all with all."""
+    short = terms.filter(F.char_length("term") < GRAM).join(words, F.col("term") == F.col("word")).select("term", "word", F.lit(1).cast("bigint").alias("times"))
+    keyed = words.select("word", F.explode(grams("word", GRAM)).alias("gram"))
+    long = terms.filter(F.char_length("term") >= GRAM).withColumn("gram", F.left("term", F.lit(GRAM))).join(keyed, "gram").filter(F.contains("word", "term"))
+    return short.unionByName(long.select("term", "word", occurrences(F.col("word"), F.col("term")).alias("times")))
 
-    score = F.aggregate("__terms", F.lit(0.0), one)
-    heads = F.when(F.col("__head") == "", 0).otherwise(F.size(F.filter("__terms", lambda t: _hits(t, "__head", "__headwords", "__headjoined") > 0)))
-    return pairs.withColumns({"lexical": score, "headinghits": heads}).drop("__h", "__words", "__joined", "__file", "__head", "__headwords", "__headjoined", "__terms")
+
+def compound_hits(terms: DataFrame, texts: DataFrame, words: DataFrame, postings: DataFrame, by: list[str]) -> DataFrame:
+    """(by), term, field, n for terms with hyphens. Candidates are the texts with a word that holds the term's longest part (all texts
+    of the scope, if no part has SHORT_GRAM letters); there the term is counted in the text with hyphens for separators."""
+    scope = by[0]
+    longest = F.array_max(F.transform(F.split("term", "-"), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    parts = terms.filter(F.contains("term", F.lit("-"))).withColumn("part", longest)
+    keyed = words.select("word", F.explode(grams("word", SHORT_GRAM)).alias("gram"))
+    held = parts.select("part").distinct().filter(F.char_length("part") >= SHORT_GRAM).withColumn("gram", F.left("part", F.lit(SHORT_GRAM)))
+    held = held.join(keyed, "gram").filter(F.contains("word", "part")).select("part", "word")
+    at = parts.join(held, "part").join(postings.select(*by, "field", "word"), [scope, "word"]).select(*by, "field", "term").distinct()
+    tiny = parts.filter(F.char_length("part") < SHORT_GRAM).select(scope, "term").join(texts.select(*by, "field"), scope).select(*by, "field", "term")
+    n = occurrences(F.col("joined"), F.col("term"))
+    return at.unionByName(tiny).join(texts.select(*by, "field", normalize_separators("h").alias("joined")), [*by, "field"]).select(*by, "field", "term", n.alias("n")).filter("n > 0")
+
+
+def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
+    """queryid, chunk keys, lexical, headinghits of the pairs of one scope that have a hit: the sum over terms of (1 + ln hits) x length, and 2
+    for each term in the file name.
+
+    Chunks become postings (word and count), distinct terms are matched with distinct words, and pairs come out of joins on words;
+    no question meets a chunk that has none of its terms."""
+    by = [scope, *keys]
+    asked = questions.select("queryid", scope, F.explode(tokenize("query")).alias("said")).withColumn("term", fold_accents("said"))
+    asked = asked.filter("term <> ''")
+    terms = asked.select(scope, "term").distinct()
+    # field 0: the content, 1: the heading of chunks that have one
+    head = breadcrumb("content")
+    fields = F.filter(F.array(F.struct(F.lit(0).alias("field"), F.col("content").alias("t")), F.struct(F.lit(1).alias("field"), head.alias("t"))), lambda x: x["t"] != "")
+    texts = chunks.select(*by, F.explode(fields).alias("x")).select(*by, "x.field", fold_accents(F.lower("x.t")).alias("h"))
+    postings = texts.select(*by, "field", F.explode(F.split("h", r"[^\p{L}\p{N}]+")).alias("word")).filter("word <> ''").groupBy(*by, "field", "word").agg(F.count("*").alias("n"))
+    words = postings.select("word").distinct()
+    plain = terms.filter(~F.contains("term", F.lit("-")))
+    matched = plain.join(words_with(plain.select("term").distinct(), words), "term")
+    single = postings.join(matched, [scope, "word"]).groupBy(*by, "field", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    hits = single.unionByName(compound_hits(terms, texts, words, postings, by))
+    # file names: each distinct one once
+    names = chunks.select(scope, "filename").distinct().select(scope, "filename", fold_accents(F.lower("filename")).alias("f"))
+    keyed = names.withColumn("gram", F.explode(grams("f", SHORT_GRAM)))
+    in_name = terms.withColumn("gram", F.left("term", F.lit(SHORT_GRAM))).join(keyed, [scope, "gram"]).filter(F.contains("f", "term")).select(scope, "filename", "term")
+    named = chunks.select(*by, "filename").join(in_name, [scope, "filename"]).select(*by, F.lit(2).alias("field"), "term", F.lit(1).cast("bigint").alias("n"))
+    scored = asked.join(hits.unionByName(named), [scope, "term"])
+    body = (1 + F.ln(F.col("n").cast("double"))) * F.char_length("said")
+    score = F.sum(F.when(F.col("field") == 0, body).when(F.col("field") == 2, 2.0).otherwise(0.0))
+    heads = F.sum(F.when(F.col("field") == 1, 1).otherwise(0)).cast("int")
+    return scored.groupBy("queryid", *by).agg(score.alias("lexical"), heads.alias("headinghits")).filter("lexical > 0 OR headinghits > 0")
+
+
+def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
+    """Add file name and content to few rows."""
+    return rows.join(chunks.select(*keys, "filename", "content"), list(keys))
 
 
 def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
@@ -50,31 +100,38 @@ def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFr
 
 
 def hybrid_scores(lexical: DataFrame, semantic: DataFrame | None, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
-    """Add score and semantic: cosine + WEIGHT x lexical / best lexical of the query; a chunk without a vector keeps the lexical part, a query
-    without vectors the lexical score alone. Heading hits raise the score."""
-    top = F.max("lexical").over(W.partitionBy("queryid"))
-    share = F.when(top > 0, F.col("lexical") / top).otherwise(0.0)
+    """queryid, chunk keys, headinghits, semantic, score: cosine + WEIGHT x lexical / best lexical of the query; a chunk without a vector keeps
+    the lexical part, a query without vectors the lexical score alone. Heading hits raise the score. Pairs with neither a hit nor vectors
+    are not there (their score is 0)."""
     if semantic is None:
-        scored = lexical.withColumns({"semantic": F.lit(False), "score": F.col("lexical")})
+        scored = lexical.select("queryid", *keys, "headinghits", F.lit(False).alias("semantic"), F.col("lexical").alias("score"))
     else:
-        joined = lexical.join(semantic, ["queryid", *keys], "left")
-        some = F.max(F.col("cosine").isNotNull()).over(W.partitionBy("queryid"))
-        scored = joined.withColumn("semantic", some).withColumn("score", F.when(F.col("semantic"), F.coalesce("cosine", F.lit(0.0)) + WEIGHT * share).otherwise(F.col("lexical"))).drop("cosine")
+        top = lexical.groupBy("queryid").agg(F.max("lexical").alias("top"))
+        vectored = semantic.select("queryid").distinct().withColumn("semantic", F.lit(True))
+        joined = lexical.select("queryid", *keys, "lexical", "headinghits").join(semantic.select("queryid", *keys, "cosine"), ["queryid", *keys], "full")
+        joined = joined.join(top, "queryid", "left").join(vectored, "queryid", "left")
+        share = F.when(F.col("top") > 0, F.coalesce("lexical", F.lit(0.0)) / F.col("top")).otherwise(0.0)
+        score = F.when(F.col("semantic"), F.coalesce("cosine", F.lit(0.0)) + WEIGHT * share).otherwise(F.col("lexical"))
+        scored = joined.select("queryid", *keys, F.coalesce("headinghits", F.lit(0)).alias("headinghits"), F.coalesce("semantic", F.lit(False)).alias("semantic"), score.alias("score"))
     boost = F.when(F.col("semantic"), F.least(F.lit(0.4), 0.15 * F.col("headinghits"))).otherwise(15.0 * F.col("headinghits"))
     return scored.withColumn("score", F.col("score") + boost)
 
 
 def select_top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
     """The k chunks of each query, with place: first the reserved heading matches (at most max(1, k / 2), by hits and score), then by score.
-    Only positive scores; ties go by the chunk's keys."""
+    Only positive scores; ties go by the chunk's keys.
+
+    What is chosen is among the best k by score and the reserved ones, both of which Spark cuts before its shuffle."""
     by = W.partitionBy("queryid")
+    best = [F.desc("score"), *keys]
     head = F.col("headinghits") > 0
     df = scored.filter("score > 0")
-    df = df.withColumn("__h", F.when(head, F.row_number().over(by.orderBy(F.desc(head), F.desc("headinghits"), F.desc("score"), *keys))))
-    df = df.withColumn("__reserved", F.coalesce(F.col("__h") <= max(1, k // 2), F.lit(False)))
-    df = df.withColumn("__n", F.row_number().over(by.orderBy(F.desc("__reserved"), F.desc("score"), *keys))).filter(F.col("__n") <= k)
-    place = F.row_number().over(by.orderBy(F.desc(head), F.desc("headinghits"), F.desc("score"), *keys))
-    return df.withColumn("place", place).withColumn("heading", head).drop("__h", "__reserved", "__n")
+    top = df.withColumn("__n", F.row_number().over(by.orderBy(*best))).filter(F.col("__n") <= k).withColumn("__reserved", F.lit(False))
+    reserved = df.filter(head).withColumn("__n", F.row_number().over(by.orderBy(F.desc("headinghits"), *best))).filter(F.col("__n") <= max(1, k // 2)).withColumn("__reserved", F.lit(True))
+    both = top.unionByName(reserved).groupBy(*scored.columns).agg(F.max("__reserved").alias("__reserved"))
+    both = both.withColumn("__n", F.row_number().over(by.orderBy(F.desc("__reserved"), *best))).filter(F.col("__n") <= k)
+    place = F.row_number().over(by.orderBy(F.desc(head), F.desc("headinghits"), *best))
+    return both.withColumn("place", place).withColumn("heading", head).drop("__reserved", "__n")
 
 
 def term_coverage(questions: DataFrame, selected: DataFrame) -> DataFrame:
@@ -106,21 +163,24 @@ def merge_ranked(lists: DataFrame, k: int, key: str = "queryid") -> DataFrame:
 
 
 def lexical_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    return select_top_k(hybrid_scores(lexical_scores(questions, chunks), None), k)
+    """The k best chunks of each question by terms, with file name and content."""
+    return with_content(select_top_k(hybrid_scores(lexical_scores(questions, chunks), None), k), chunks)
 
 
 def multi_pass(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The question itself and its focus query, each ranked, merged round-robin."""
+    """The question itself and its focus query, each ranked, merged round-robin. Both passes are scored together."""
     focus = questions.withColumn("query", focus_query("query")).filter("query <> ''")
-    passes = lexical_top(questions, chunks, k).withColumn("pass", F.lit(0)).unionByName(lexical_top(focus, chunks, k).withColumn("pass", F.lit(1)))
-    return merge_ranked(passes.withColumnRenamed("place", "rank"), k)
+    asked = questions.withColumn("pass", F.lit(0)).unionByName(focus.withColumn("pass", F.lit(1)))
+    once = asked.withColumn("queryid", F.struct("queryid", "pass"))
+    top = lexical_top(once, chunks, k).select(F.col("queryid.queryid").alias("queryid"), F.col("queryid.pass").alias("pass"), *[c for c in ("doc_id", "chunkindex", "filename", "content", "score")], F.col("place").alias("rank"))
+    return merge_ranked(top, k)
 
 
-def retrieval_report(scored: DataFrame, k: int, n: int) -> DataFrame:
+def retrieval_report(scored: DataFrame, chunks: DataFrame, k: int, n: int) -> DataFrame:
     """The n best chunks of each query with breadcrumb, rounded score, heading and selected flags and a snippet."""
     by = W.partitionBy("queryid").orderBy(F.desc("score"), "doc_id", "chunkindex")
     top = scored.withColumn("position", F.row_number().over(by)).filter(F.col("position") <= n)
     chosen = select_top_k(scored, k).select("queryid", "doc_id", "chunkindex", F.lit(True).alias("selected"))
-    df = top.join(chosen, ["queryid", "doc_id", "chunkindex"], "left")
+    df = with_content(top.join(chosen, ["queryid", "doc_id", "chunkindex"], "left"), chunks)
     snippet = F.left(F.trim(F.regexp_replace(strip_breadcrumb("content"), r"\s+", " ")), F.lit(160))
     return df.select("queryid", "position", "doc_id", "chunkindex", breadcrumb("content").alias("section"), F.round("score", 4).alias("score"), (F.col("headinghits") > 0).alias("heading"), F.coalesce("selected", F.lit(False)).alias("selected"), snippet.alias("snippet"))

@@ -68,9 +68,9 @@ def _vectored(s, d):
     return chunks.withColumns({"embedding": kept, "embeddingmodel": F.when(F.col("doc_id") % 6 == 0, "m2").when(F.col("doc_id") % 3 == 0, "m1")}), v
 
 
-query("f13_pending_embedding", "docchunks", "SELECT doc_id FROM docchunks WHERE chunkindex = 0 AND doc_id % 6 <> 0")(lambda s, d: K.pending_embedding(_vectored(s, d)[0], "m2").select("doc_id", "chunkindex"))
-query("k13_attach_embeddings", "docchunks", """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'm2' WHEN vec_id IS NOT NULL THEN 'm2' WHEN doc_id % 3 = 0 THEN 'm1' END AS embeddingmodel,
-CASE WHEN doc_id % 6 = 0 THEN 1.0 WHEN vec_id IS NOT NULL THEN round(CAST(embedding[1] AS DOUBLE), 6) WHEN doc_id % 3 = 0 THEN 1.0 END AS first FROM docchunks LEFT JOIN embeddings ON vec_id = doc_id WHERE chunkindex = 0""")(
+query("f13_pending_embedding", "docchunks", "SELECT doc_id, chunkindex FROM docchunks WHERE doc_id % 6 <> 0")(lambda s, d: K.pending_embedding(_vectored(s, d)[0], "m2").select("doc_id", "chunkindex"))
+query("k13_attach_embeddings", "docchunks", """SELECT doc_id, chunkindex, CASE WHEN doc_id % 6 = 0 THEN 'm2' WHEN vec_id IS NOT NULL THEN 'm2' WHEN doc_id % 3 = 0 THEN 'm1' END AS embeddingmodel,
+CASE WHEN doc_id % 6 = 0 THEN 1.0 WHEN vec_id IS NOT NULL THEN round(CAST(embedding[1] AS DOUBLE), 6) WHEN doc_id % 3 = 0 THEN 1.0 END AS first FROM docchunks LEFT JOIN embeddings ON vec_id = doc_id""")(
     lambda s, d: (lambda x: K.attach_embeddings(x[0], x[1], "doc_id", "m2").select("doc_id", "chunkindex", "embeddingmodel", F.get("embedding", F.lit(0)).alias("first")))(_vectored(s, d))
 )
 query("k14_scope_cap", "docchunks", "SELECT courseid, doc_id, chunkindex FROM (SELECT *, row_number() OVER (PARTITION BY courseid ORDER BY doc_id, chunkindex) AS n FROM docchunks) WHERE n <= 2000")(lambda s, d: R.scope_chunks(A.chunks(s, d)).select("courseid", "doc_id", "chunkindex"))
@@ -111,19 +111,20 @@ def _hybrid(s, d):
     lex = R.lexical_scores(A.questions(s, d), A.chunks(s, d))
     q = e.select(F.col("vec_id").alias("queryid"), F.col("embedding").alias("q"))
     v = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    pairs = lex.select("queryid", "doc_id", "chunkindex").join(v, "doc_id").join(q, "queryid")
-    return R.hybrid_scores(lex, pairs.select("queryid", "doc_id", "chunkindex", cosine("v", "q").alias("cosine")))
+    asked = A.questions(s, d).select("queryid", "courseid").join(q, "queryid")
+    similar = v.withColumn("courseid", F.col("doc_id") % 5).join(asked, "courseid").select("queryid", "doc_id", cosine("v", "q").alias("cosine"))
+    return R.hybrid_scores(lex, A.chunks(s, d).select("doc_id", "chunkindex").join(similar, "doc_id"))
 
 
 query("k6_hybrid_score", "questions docchunks", f"""{_SCORED}, m AS (SELECT queryid, max(score) AS top FROM s GROUP BY 1)
 SELECT s.queryid, s.doc_id, s.chunkindex, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), CAST(0 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * CASE WHEN top > 0 THEN score / top ELSE 0 END, 5) AS score
-FROM s JOIN m USING (queryid) LEFT JOIN embeddings a ON a.vec_id = s.doc_id LEFT JOIN embeddings b ON b.vec_id = s.queryid""")(lambda s, d: _hybrid(s, d).select("queryid", "doc_id", "chunkindex", F.round("score", 5).alias("score")))
+FROM s JOIN m USING (queryid) LEFT JOIN embeddings a ON a.vec_id = s.doc_id LEFT JOIN embeddings b ON b.vec_id = s.queryid WHERE s.score > 0 OR (a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL)""")(lambda s, d: _hybrid(s, d).select("queryid", "doc_id", "chunkindex", F.round("score", 5).alias("score")))
 query("k8_term_coverage", "questions docchunks", f"""{_SCORED}, r AS (SELECT queryid, doc_id, chunkindex FROM (SELECT *, row_number() OVER (PARTITION BY queryid ORDER BY round(score, 9) DESC, doc_id, chunkindex) AS place FROM s WHERE score > 0) WHERE place <= 6),
 g AS (SELECT f.queryid, term, bool_or(coalesce(contains(h, ft), false)) AS found FROM f LEFT JOIN r USING (queryid) LEFT JOIN c USING (doc_id, chunkindex) WHERE length(term) >= 4 GROUP BY ALL)
 SELECT q.queryid, round(coalesce(avg(CAST(found AS DOUBLE)), 1.0), 6) AS coverage FROM questions q LEFT JOIN g USING (queryid) GROUP BY 1""")(
-    lambda s, d: R.term_coverage(A.questions(s, d), R.select_top_k(R.hybrid_scores(R.lexical_scores(A.questions(s, d), A.chunks(s, d)), None).withColumn("score", F.round("score", 9)), 6)).withColumn("coverage", F.round("coverage", 6))
+    lambda s, d: R.term_coverage(A.questions(s, d), R.lexical_top(A.questions(s, d), A.chunks(s, d), 6)).withColumn("coverage", F.round("coverage", 6))
 )
 query("k9_weak_retrieval")(lambda s, d: R.weak_retrieval(A.questions(s, d), R.lexical_top(A.questions(s, d), A.chunks(s, d), 6)))
 query("w17_k10_multi_pass")(lambda s, d: R.multi_pass(A.questions(s, d), A.chunks(s, d), 6).select("queryid", "place", "pass", "doc_id", "chunkindex"))
-query("k11_retrieval_report")(lambda s, d: R.retrieval_report(R.hybrid_scores(R.lexical_scores(A.questions(s, d), A.chunks(s, d)), None), 6, 10))
+query("k11_retrieval_report")(lambda s, d: R.retrieval_report(R.hybrid_scores(R.lexical_scores(A.questions(s, d), A.chunks(s, d)), None), A.chunks(s, d), 6, 10))
 query("t9_hybrid_top_k")(lambda s, d: R.select_top_k(_hybrid(s, d), 6).select("queryid", "place", "doc_id", "chunkindex"))

@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT doc_id, doc_id % 5 AS courseid, source AS filename, lang <> 'de' AS citable, CAST(i AS BIGINT) AS chunkindex, substring(text, CAST(i * 1000 + 1 AS BIGINT), 1200) AS content
         FROM documents, unnest(range(CAST(greatest(1, ceil((length(text) - 200) / 1000.0)) AS BIGINT))) u(i) WHERE text IS NOT NULL AND text <> ''""",
     ),
-    "questions": ((), "SELECT item_id AS queryid, substring(text, 1, 120) AS query, item_id % 5 AS courseid FROM benchmark"),
+    "questions": ((), "SELECT item_id AS queryid, text AS query, item_id % 5 AS courseid FROM benchmark"),
 }
 
 

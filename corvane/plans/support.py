@@ -39,8 +39,8 @@ query("w5_user_turns_since_refusal", "messages tickets", "WITH r AS (SELECT conv
     lambda s, d: H.user_turns_since(A.messages(s, d), K.last_refusals(T(s, d)))
 )
 _FP = f"array_to_string(list_filter(string_split(trim(regexp_replace(translate(lower(content), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')[1:12], ' ')"
-query("w8_repetition", "turns", f"""WITH m AS (SELECT conversationid, turn, {_FP} AS raw FROM (SELECT conversationid, turn, 'hello there my friend ' || (turn // 4) AS content FROM turns WHERE role = 'user')), f AS (SELECT conversationid, turn, raw AS fp FROM m),
-l AS (SELECT *, list(fp) OVER (PARTITION BY conversationid ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS fps FROM f) SELECT conversationid, turn, len(list_filter(fps, lambda x: x = fp)) >= 2 AS repeats FROM l""")(
+query("w8_repetition", "turns", f"""WITH m AS (SELECT conversationid, turn, {_FP} AS raw FROM turns WHERE role = 'user'), f AS (SELECT conversationid, turn, CASE WHEN len(string_split(raw, ' ')) < 4 THEN '' ELSE raw END AS fp FROM m),
+l AS (SELECT *, list(fp) OVER (PARTITION BY conversationid ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS fps FROM f) SELECT conversationid, turn, fp <> '' AND len(list_filter(fps, lambda x: x = fp)) >= 2 AS repeats FROM l""")(
     lambda s, d: H.repetition(A.turns(s, d))
 )
 query("w16_retrieval_query", "turns", r"""WITH t AS (SELECT conversationid, turn, role, trim(content) AS said, row_number() OVER (PARTITION BY conversationid ORDER BY turn) AS n, len(list_filter(regexp_split_to_array(trim(content), '\s+'), lambda x: x <> '')) AS words FROM turns WHERE role IN ('user', 'assistant')),
@@ -50,7 +50,7 @@ query("s12_suppress_content", "turns", "SELECT conversationid, turn, CASE WHEN c
     lambda s, d: H.suppress_content(A.turns(s, d).withColumn("courseid", F.col("conversationid") % 5), s.range(0, 5, 1, 1).filter("id <> 0").select(F.col("id").alias("courseid"), (F.col("id") % 2 == 1).alias("storecontent")), True).select("conversationid", "turn", "content")
 )
 query("j10_messages_of", "messages convs", "SELECT messageid FROM messages WHERE conversationid IN (SELECT conversationid FROM convs WHERE userid % 10 = 3)")(lambda s, d: H.messages_of(A.messages(s, d), A.conversations(s, d).filter("userid % 10 = 3")).select("messageid"))
-query("f8_support_filters", "tickets", f"SELECT ticketid FROM tickets WHERE {IN} AND courseid IN (1, 2, 3, 4, 5, 6) AND status = 'sent' AND (contains(CAST(ticketid AS VARCHAR), '12') OR (contains('user ' || userid, 'user 5') OR contains('user ' || userid, '12')) AND userid < 200 AND userid % 9 <> 2)")(
+query("f8_support_filters", "tickets", f"SELECT ticketid FROM tickets WHERE {IN} AND courseid IN (1, 2, 3, 4, 5, 6) AND status = 'sent' AND (contains(CAST(ticketid AS VARCHAR), '12') OR (contains('user ' || userid, 'user 5') OR contains('user ' || userid, '12')) AND userid IN (SELECT c_custkey FROM customer))")(
     lambda s, d: K.support_filters(T(s, d), START, END, courses=[1, 2, 3, 4, 5, 6], status="sent", who="12", names=users(s, d).withColumnRenamed("username", "fullname")).select("ticketid").unionByName(
         K.support_filters(T(s, d), START, END, courses=[1, 2, 3, 4, 5, 6], status="sent", who="user 5", names=users(s, d).withColumnRenamed("username", "fullname")).select("ticketid")
     ).distinct()
@@ -61,10 +61,10 @@ query("j3_escalated_conversations", "tickets convs", f"SELECT count(DISTINCT c.c
 query("a20_support_summary", "tickets convs", f"""WITH x AS (SELECT count(*) AS total, {', '.join(f"count(*) FILTER (status = '{n}') AS {n}" for n in ('sent', 'queued', 'failed', 'cancelled', 'draft', 'expired'))}, count(*) FILTER (status IN ('queued', 'sent', 'failed')) AS confirmed FROM tickets WHERE {IN}),
 e AS (SELECT count(DISTINCT conversationid) AS escalated FROM convs WHERE {IN} AND conversationid IN (SELECT conversationid FROM tickets WHERE status IN ('queued', 'sent', 'failed') AND {IN})), c AS (SELECT count(*) AS conversations FROM convs WHERE {IN})
 SELECT *, round(CAST(confirmed AS DOUBLE) / total * 100, 1) AS confirmedratio, round(CAST(escalated AS DOUBLE) / conversations * 100, 1) AS ratio FROM x, e, c""")(lambda s, d: K.support_summary(T(s, d), A.conversations(s, d), START, END))
-query("t4_j4_audit_page", "tickets courses", "SELECT ticketid, userid, 'User ' || userid AS username, t.courseid, rawname IS NOT NULL AS named FROM (SELECT * FROM tickets WHERE userid < 200 AND userid % 9 <> 2 ORDER BY timecreated DESC, ticketid DESC LIMIT 25 OFFSET 50) t LEFT JOIN courses c ON c.courseid = t.courseid AND c.courseid % 4 <> 1")(
+query("t4_j4_audit_page", "tickets courses", "SELECT ticketid, userid, 'User ' || userid AS username, t.courseid, rawname IS NOT NULL AS named FROM (SELECT * FROM tickets WHERE userid IN (SELECT c_custkey FROM customer) ORDER BY timecreated DESC, ticketid DESC LIMIT 25 OFFSET 50) t LEFT JOIN courses c ON c.courseid = t.courseid AND c.courseid % 4 <> 1")(
     lambda s, d: K.audit_page(T(s, d), users(s, d), A.courses(s, d).filter("courseid % 4 <> 1"), 50, 25).select("ticketid", "userid", "username", "courseid", F.col("fullname").isNotNull().alias("named"))
 )
-query("t4_audit_total", "tickets", "SELECT count(*) AS total FROM tickets WHERE userid < 200 AND userid % 9 <> 2")(lambda s, d: T(s, d).join(users(s, d), "userid", "left_semi").agg(F.count("*").alias("total")))
+query("t4_audit_total", "tickets", "SELECT count(*) AS total FROM tickets WHERE userid IN (SELECT c_custkey FROM customer)")(lambda s, d: T(s, d).join(users(s, d), "userid", "left_semi").agg(F.count("*").alias("total")))
 query("j9_orphans", "tickets convs", "SELECT ticketid FROM tickets WHERE conversationid NOT IN (SELECT conversationid FROM convs WHERE conversationid % 4 <> 0)")(lambda s, d: K.orphans(T(s, d), A.conversations(s, d).filter("conversationid % 4 <> 0")).select("ticketid"))
 query("j12_duplicates", "tickets", f"SELECT t.ticketid, EXISTS (SELECT 1 FROM tickets p WHERE p.courseid = t.courseid AND p.userid = t.userid AND p.summaryhash = t.summaryhash AND p.{COUNTED} AND (p.timecreated, p.ticketid) < (t.timecreated, t.ticketid) AND p.timecreated >= t.timecreated - INTERVAL 72 HOUR) AS duplicate FROM tickets t")(
     lambda s, d: K.duplicates(T(s, d), 72).select("ticketid", "duplicate")
