@@ -8,9 +8,10 @@ Training: expected piece counts (forward-backward) of the words of labelled text
 distribution that is the same for all languages. It takes at most ``train_per_lang`` texts of each language, those with
 the smallest hash of their id; ``train_per_lang`` is the documented bound. Prediction reads every whole text.
 
-Words are runs of letters, lower-cased; a word of over MAX_WORD letters is scored in stretches of that length.
+Words are runs of letters, lower-cased, of any length; pieces are all of the vocabulary's pieces of lower-case letters.
 A text that is null or has no letter is ``und`` with score 0, and so are all texts if nothing could be learned.
-Ties go to the language that sorts first. Repeated rows give repeated rows.
+Ties go to the language that sorts first. Repeated rows give repeated rows, an empty table gives no rows, and columns other
+than those named are ignored or, if ``extra``, carried along.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import checkpointed
 
-MARK, MAX_WORD, MAX_PIECE = "▁", 24, 6
+MARK = "▁"
+#: Letters of a word whose probabilities can't underflow; those of longer ones are kept with exponents.
+SAFE = 24
+#: An exponent's unit.
+_UNIT = 1e100
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = 300_000
@@ -38,10 +43,10 @@ FEW = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased, in stretches of at most MAX_WORD."""
+    """Runs of letters, lower-cased."""
     words = _LETTERS.findall((text or "").lower())
-    if any(len(w) > MAX_WORD or not w.isalpha() for w in words):
-        words = [s[i : i + MAX_WORD] for w in words for s in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in w)) for i in range(0, len(s), MAX_WORD)]
+    if not all(map(str.isalpha, words)):
+        words = [s for w in words for s in "".join(c if c.isalpha() else " " for c in w).split()]
     return words
 
 
@@ -53,7 +58,8 @@ class Vocabulary:
 
         sp = SentencePieceProcessor(model_file=path)
         texts = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        self.pieces = [p for p in texts if len(p) <= MAX_PIECE and p == p.lower() and p.removeprefix(MARK).isalpha()]
+        self.pieces = [p for p in texts if p == p.lower() and p.removeprefix(MARK).isalpha()]
+        self.longest = max(map(len, self.pieces))
         self.unknown = len(self.pieces)  # a letter that is no piece; the row after it stands for no piece at all
         rank = np.arange(len(self.pieces)) + 50.0
         self.start = np.r_[1 / rank / (1 / rank).sum(), _FLOOR, 0.0]
@@ -75,10 +81,12 @@ class Vocabulary:
         """For words of one length n (mark included): [piece length - 1, word, start] -> piece row."""
         n = len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        out = np.full((MAX_PIECE, len(chars)), self.unknown + 1, dtype=np.int32)
+        out = np.full((min(self.longest, n), len(chars)), self.unknown + 1, dtype=np.int32)
         room = n - np.arange(len(chars)) % n
         at, h = np.arange(len(chars)), np.zeros(len(chars), dtype=np.uint64)
-        for size in range(1, min(MAX_PIECE, n) + 1):
+        for size in range(1, len(out) + 1):
+            if not len(at):
+                break
             h = h * _BASE + chars[at + size - 1]
             pos = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[pos] == h
@@ -89,32 +97,47 @@ class Vocabulary:
                 out[0, out[0] > self.unknown] = self.unknown
             stay = hit & (room[at] > size)
             at, h = at[stay], h[stay]
-        return out.reshape(MAX_PIECE, len(words), n)
+        return out.reshape(len(out), len(words), n)
 
-    @staticmethod
-    def forward(lattice: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """[position, word, language]: probability of a word's first letters over all segmentations."""
-        _, words, n = lattice.shape
+    def forward(self, lattice: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """[position, word, language]: probability of a word's first letters over all segmentations, and for words of over SAFE
+        letters the exponents: the probability is a * _UNIT ** -k."""
+        sizes, words, n = lattice.shape
         a = np.zeros((n + 1, words, p.shape[1]))
         a[0] = 1
+        k = np.zeros(a.shape, dtype=np.int64) if n > SAFE else None
+        there = lattice <= self.unknown
+        some = there.any(axis=1).tolist()
         for j in range(1, n + 1):
-            for size in range(1, min(MAX_PIECE, j) + 1):
-                a[j] += a[j - size] * p[lattice[size - 1, :, j - size]]
-        return a
+            if k is not None:
+                k[j] = k[j - 1]
+            for size in range(1, min(sizes, j) + 1):
+                if not some[size - 1][j - size]:
+                    continue
+                at = np.flatnonzero(there[size - 1, :, j - size])
+                x = a[j - size, at] * p[lattice[size - 1, at, j - size]]
+                a[j, at] += x if k is None else x * _UNIT ** (k[j, at] - k[j - size, at]).astype(float)
+            if k is not None:
+                low = a[j] < 1 / _UNIT
+                a[j][low] *= _UNIT
+                k[j][low] += 1
+        return a, k
 
     def grouped(self, words):
         by: dict[int, list[str]] = {}
         for w in words:
             by.setdefault(len(w), []).append(w)
-        for same in by.values():
-            for i in range(0, len(same), 20_000):
-                yield same[i : i + 20_000]
+        for n, same in by.items():
+            step = max(1, 240_000 // n)
+            for i in range(0, len(same), step):
+                yield same[i : i + step]
 
     def logs(self, words, p: np.ndarray) -> tuple[list[str], np.ndarray]:
         order, rows = [], []
         for same in self.grouped(words):
             order += same
-            rows.append(np.log(self.forward(self.lattice([MARK + w for w in same]), p)[-1]))
+            a, k = self.forward(self.lattice([MARK + w for w in same]), p)
+            rows.append(np.log(a[-1]) - (0 if k is None else k[-1] * np.log(_UNIT)))
         return order, np.concatenate(rows) if rows else np.zeros((0, p.shape[1]))
 
     def expected(self, counts: Counter) -> np.ndarray:
@@ -122,15 +145,31 @@ class Vocabulary:
         p, total = self.start[:, None], np.zeros(self.unknown + 2)
         for same in self.grouped(counts):
             lattice = self.lattice([MARK + w for w in same])
-            a, n = self.forward(lattice, p)[:, :, 0], lattice.shape[2]
-            b = np.zeros_like(a)
+            sizes, words, n = lattice.shape
+            a, k = (x if x is None else x[:, :, 0] for x in self.forward(lattice, p))
+            b, kb = np.zeros_like(a), None if k is None else np.zeros_like(k)
             b[n] = np.array([counts[w] for w in same]) / a[n]
+            there = lattice <= self.unknown
+            some = there.any(axis=1).tolist()
             for i in range(n - 1, -1, -1):
-                for size in range(1, min(MAX_PIECE, n - i) + 1):
-                    piece = lattice[size - 1, :, i]
-                    through = self.start[piece] * b[i + size]
-                    b[i] += through
-                    np.add.at(total, piece, a[i] * through)
+                if k is not None:
+                    kb[i] = kb[i + 1]
+                for size in range(1, min(sizes, n - i) + 1):
+                    if not some[size - 1][i]:
+                        continue
+                    at = np.flatnonzero(there[size - 1, :, i])
+                    piece = lattice[size - 1, at, i]
+                    through = self.start[piece] * b[i + size, at]
+                    if k is None:
+                        b[i, at] += through
+                        np.add.at(total, piece, a[i, at] * through)
+                    else:
+                        b[i, at] += through * _UNIT ** (kb[i, at] - kb[i + size, at]).astype(float)
+                        np.add.at(total, piece, a[i, at] * through * _UNIT ** (k[n, at] - k[i, at] - kb[i + size, at]).astype(float))
+                if k is not None:
+                    low = b[i] < 1 / _UNIT
+                    b[i][low] *= _UNIT
+                    kb[i][low] += 1
         return total
 
 
