@@ -5,10 +5,15 @@ prefix by prefix; comparing each output with the one before locates the new turn
 doesn't continue the one before shows that the template rewrites history. An assistant turn is rendered
 twice more with probe texts, whose common prefix and suffix bound the text inside the span: the loss mask.
 
-Conversations of more than ``window`` turns keep the first turn and the latest ``window - 1`` as the prefix
-(exact for templates whose rendering of a turn depends on no others), so work and memory stay in proportion to
-the turns. Rows go by turn, then role and text; null role and text count as empty; rows with a null conversation
-id make one conversation. Repeated rows are repeated turns.
+Prefixes of long conversations keep the first turn and the latest ``window - 1``; the joined output is then held against one
+rendering of the whole conversation, and a conversation where they differ (a template that looks at turns further
+away, or numbers them) is rendered again with its true prefixes, turn by turn. So work is in proportion to the turns where
+the template allows it, and what is returned never depends on the window: with ``window=None`` every prefix is true from
+the start.
+
+Rows go by turn, then role and text; null role and text count as empty; rows with a null conversation
+id make one conversation. Repeated rows are repeated turns, empty and very long texts are texts like others, an empty table
+gives no rows, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,12 +61,12 @@ def read_turns(formatted: str) -> Turns:
 class Incremental:
     """Renders one conversation turn by turn."""
 
-    def __init__(self, template: Callable[[Turns], str], window: int):
+    def __init__(self, template: Callable[[Turns], str], window: int | None):
         self.template, self.window, self.held, self.before = template, window, [], template([])
 
     def add(self, role: str, text: str, trained: bool) -> tuple[str, int, int, bool]:
         """(text appended, start and end of the trained part in it, whether the template rewrote what was there)."""
-        if len(self.held) >= self.window:
+        if self.window and len(self.held) >= self.window:
             self.held = [self.held[0], *self.held[len(self.held) - self.window + 2 :]]
             self.before = self.template(self.held)
         now = self.template([*self.held, (role, text)])
@@ -78,18 +83,29 @@ class Incremental:
         return new, start, end, rewrites
 
 
+def rendered(turns: Turns, template: Callable[[Turns], str], trained_roles: tuple[str, ...], window: int | None) -> list[tuple[str, int, int, bool]]:
+    """What each turn appends, the trained part in it, and whether the template rewrote what was there.
+
+    If anything was rewritten, the appended texts don't join to the rendering; they are what each turn added after the
+    part that stayed."""
+    one = Incremental(template, window)
+    out = [one.add(r, t, r in trained_roles) for r, t in turns]
+    if not window or len(turns) <= window or "".join([template([]), *(x[0] for x in out)]) == template(turns):
+        return out
+    return rendered(turns, template, trained_roles, None)
+
+
 def format_turns(
     conversations: DataFrame,
     template: Callable[[Turns], str] = turn_template,
     trained_roles: tuple[str, ...] = ("assistant",),
-    window: int = 16,
+    window: int | None = 16,
     keys: tuple[str, str, str, str] = ("conv_id", "turn", "role", "text"),
 ) -> DataFrame:
     """One row per turn, in order within a partition: conv_id, position, role, formatted (what the turn appends),
     loss_start, loss_end (in formatted; equal: nothing is trained), rewrites.
 
-    One shuffle by conversation; rows are sorted and streamed, so a conversation of any length needs the memory of
-    a window only (its turns still pass through one task, as their order demands)."""
+    One shuffle by conversation; rows are sorted and streamed, so a task holds one conversation at a time."""
     conv, turn, role, text = keys
     rows = conversations.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -97,18 +113,26 @@ def format_turns(
     schema = schema.add("loss_start", "long").add("loss_end", "long").add("rewrites", "boolean")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
 
+    def table(kind, conversations: list[tuple]) -> pa.RecordBatch:
+        ids = [c for c, turns in conversations for _ in turns]
+        got = [(i, r, *x) for _, turns in conversations for i, ((r, _), x) in enumerate(zip(turns, rendered(turns, template, trained_roles, window), strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(list(x), k) for x, k in zip(zip(*got, strict=True), kinds, strict=True))], schema.names)
+
     def run(batches):
-        current, at, state = None, 0, None
+        held: list[tuple] = []
+        size, kind = 0, None
         for batch in batches:
-            got = []
+            kind = batch.schema.field(0).type
             for c, r, t in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if state is None or c != current:
-                    current, at, state = c, 0, Incremental(template, window)
-                new, start, end, rewrites = state.add(r, t, r in trained_roles)
-                got.append((at, r, new, start, end, rewrites))
-                at += 1
-            if got:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(x), k) for x, k in zip(zip(*got, strict=True), kinds, strict=True))], schema.names)
+                if not held or c != held[-1][0]:
+                    if size > 1 << 20:
+                        yield table(kind, held)
+                        held, size = [], 0
+                    held.append((c, []))
+                held[-1][1].append((r, t))
+                size += len(t) + 1
+        if held:
+            yield table(kind, held)
 
     return rows.mapInArrow(run, schema)
 
