@@ -5,11 +5,14 @@ in a row, or the whole sequence if it is shorter. Sketches of parts merge into t
 two sketches estimate resemblance, containment and the number of distinct shingles; below ``k`` shingles all of it is exact.
 
 Words are lower-cased (A-Z) and separated by white space. Null text counts as empty: an empty sketch, which is like
-another empty sketch (1.0) and unlike any other (0.0). Equal texts have equal sketches; repeated rows give repeated rows.
+another empty sketch (1.0) and unlike any other (0.0). Equal texts have equal sketches; repeated rows give repeated rows, an empty
+table gives no rows, texts of any length are taken whole, and extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,17 +61,37 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 12, "0"))), "")
 
 
+def with_bucket(rows: DataFrame, rows_per_bucket: int, ranges: int = 512) -> DataFrame:
+    """Add bucket: rows with a higher one come first in descending order of ids (null ids last, rows of one id by text hash).
+
+    Ids are cut at ``ranges`` approximate quantiles, and each range into equal widths of about ``rows_per_bucket`` rows, so
+    however ids lie, a bucket has little more than one in ``ranges`` of the rows. Ids that are quantiles more than once, and null, have
+    very many rows each: these are cut by their texts' hashes."""
+    n, nulls, low, high, found = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()
+    each, found = max(1.0, (n - nulls) / ranges / rows_per_bucket), found or []
+    cuts = sorted(set(found))
+    hot = {c: math.ceil((found.count(c) + 1) * each) for c in cuts if found.count(c) > 1}
+    lows, highs = [low or 0, *cuts], [*cuts, high or 0]
+    width = [max(1, math.ceil((y - x + 1) / each)) for x, y in zip(lows, highs, strict=True)]
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)) if xs else F.array().cast("array<long>")
+    df = rows.withColumn("__r", F.size(F.filter(longs(cuts), lambda x: x <= F.col("doc_id"))))
+    df = df.withColumn("__hot", F.col("doc_id").isNull() | F.col("doc_id").isin(*hot) if hot else F.col("doc_id").isNull())
+    parts = F.when(F.col("doc_id").isNull(), F.lit(math.ceil(nulls / rows_per_bucket) or 1)).otherwise(F.element_at(longs([1, *(hot.get(c, 1) for c in cuts)]), F.col("__r") + 1)).cast("long")
+    df = df.withColumn("__parts", parts)
+    by_hash = F.col("__parts") - 1 - F.shiftright((F.shiftright(F.xxhash64("text"), 33) + (1 << 30)) * F.col("__parts"), 31)
+    at = F.col("__r") + 1
+    by_width = F.floor((F.col("doc_id") - F.element_at(longs(lows), at)) / F.element_at(longs(width), at))
+    first = F.when(F.col("doc_id").isNull(), 0).otherwise(2 * F.col("__r") + F.when(F.col("__hot"), 2).otherwise(3)).cast("long")
+    return df.withColumn("bucket", F.shiftleft(first, 40) + F.when(F.col("__hot"), by_hash).otherwise(by_width).cast("long")).drop("__r", "__hot", "__parts")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 256) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row by descending id (null ids last, equal ids by text hash),
-    after the last row the first.
-
-    Rows are dealt by ranges of ids with ``rows_per_bucket`` rows on average; only each range's first row looks outside
-    its range. Nothing is ordered as a whole: ranges are ordered in two levels."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = min(1 << 62, max(1, ((high or 0) - (low or 0) + 1) * rows_per_bucket // max(1, n)))
-    bucket = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit((low or 0) // width - 2))
-    rows = rows.withColumn("bucket", bucket)
+    """doc_id, text and next_text: the text of the next row by descending id (null ids last, equal ids by text hash, then text), after
+    the last row the first.
+
+    Rows are dealt to buckets that follow each other; only each bucket's first row looks outside its bucket. Nothing is
+    ordered as a whole: buckets are ordered in two levels."""
+    rows = with_bucket(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), rows_per_bucket)
     inside = W.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
     first = rows.withColumn("nth", F.row_number().over(inside)).filter("nth = 1").select("bucket", F.col("text").alias("first_text"))
     follows = next_bucket(rows.select("bucket").distinct())
