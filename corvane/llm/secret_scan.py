@@ -137,7 +137,8 @@ def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def train(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7) -> Callable[[Column], Column]:
     """A function from a candidate's struct of features to the column of its score (0 to 1). Both kinds of labels, which must be
     there, weigh the same in all."""
-    rows = checkpointed(labelled.select(*FEATURES, "label").coalesce(8))
+    # labels of a bounded number of documents, in an order that a second run meets again
+    rows = checkpointed(labelled.select(*FEATURES, "label").repartition(8, *FEATURES).sortWithinPartitions(*FEATURES, "label"))
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not {0.0, 1.0} <= set(kinds):
         raise ValueError("labelled findings of both kinds are needed")
@@ -169,19 +170,32 @@ def _scored(docs: DataFrame, score: Callable[[Column], Column], text_col: str) -
     return df.withColumn("__found", F.transform("__found", lambda f: F.struct(f["c"].alias("c"), judged(f).alias("score"))))
 
 
+def with_starts(df: DataFrame, block: int = 256) -> DataFrame:
+    """Add __starts: where each candidate begins. Lengths are summed in blocks, and only within a block for each candidate."""
+    both = F.transform("__found", lambda f, i: F.char_length(F.get("__gaps", i)) + F.char_length(f["c"]))
+    df = df.withColumn("__steps", both)
+    blocks = lambda n: F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / block), F.lit(0)).cast("int"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x)
+    df = df.withColumn("__sums", F.transform(blocks(F.size("__steps")), lambda b: total(F.slice("__steps", b * block + 1, F.lit(block)))))
+    df = df.withColumn("__before", F.transform(blocks(F.size("__steps")), lambda b: total(F.slice("__sums", F.lit(1), b))))
+    within = lambda i: total(F.slice("__steps", i - i % block + 1, i % block))
+    starts = F.transform("__found", lambda f, i: F.get("__before", F.floor(i / block).cast("int")) + within(i) + F.char_length(F.get("__gaps", i)))
+    return df.withColumn("__starts", starts)
+
+
 def findings(docs: DataFrame, score: Callable[[Column], Column], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per secret found: doc_id, start, end, score, secret_sha256, shown (its first four characters)."""
-    df = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), score, "text")
-    df = df.select("doc_id", "__gaps", "__found", F.posexplode("__found").alias("i", "f")).filter(F.col("f.score") >= threshold)
-    sizes = lambda xs, of: F.aggregate(F.slice(xs, 1, F.col("i") + (1 if of is None else 0)), F.lit(0).cast("long"), lambda n, x: n + F.char_length(x if of is None else x[of]))
-    df = df.withColumn("start", sizes(F.col("__gaps"), None) + sizes(F.col("__found"), "c"))
+    df = with_starts(_scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), score, "text"))
+    own = F.transform("__found", lambda f, i: F.struct(F.get("__starts", i).alias("start"), f["score"].alias("score"), f["c"].alias("c")))
+    df = df.select("doc_id", F.explode(F.filter(own, lambda x: x["score"] >= threshold)).alias("f"))
     secret = F.col("f.c")
-    return df.select("doc_id", "start", (F.col("start") + F.char_length(secret)).alias("end"), F.col("f.score").alias("score"), F.sha2(secret, 256).alias("secret_sha256"), F.left(secret, F.lit(4)).alias("shown"))
+    return df.select("doc_id", F.col("f.start").alias("start"), (F.col("f.start") + F.char_length(secret)).alias("end"), F.col("f.score").alias("score"), F.sha2(secret, 256).alias("secret_sha256"), F.left(secret, F.lit(4)).alias("shown"))
 
 
 def redact(docs: DataFrame, score: Callable[[Column], Column], threshold: float = 0.5, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """All columns and rows, each secret in the text replaced by a mark; null texts stay null."""
-    df = _scored(docs, score, text_col)
+    """All columns and rows, each secret in the text replaced by a mark; null texts stay null. Columns may have any names."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
     pieces = F.transform("__found", lambda f, i: F.concat(F.when(f["score"] >= threshold, mark).otherwise(f["c"]), F.get("__gaps", i + 1)))
     clean = F.concat(F.get("__gaps", F.lit(0)), F.array_join(pieces, ""))
-    return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean)).drop("__gaps", "__found")
+    df = _scored(whole, score, "text").withColumn("clean", F.when(F.col("text").isNotNull(), clean))
+    return df.select(*((F.col("clean") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
