@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The session's ``spark.checkpoint.dir``, which driver and executors share. Where it is unset a local session gets a temporary
+    folder; on a cluster that would be no shared folder, so it is an error there."""
+    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is unset
-    (local runs and tests)."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written to the checkpoint folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
