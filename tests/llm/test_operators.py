@@ -62,6 +62,18 @@ def test_secrets_beyond_the_training_documents_are_labelled(spark):
     assert secret_scan.weak_labels(docs(spark, rows), train_docs=2).filter("label = 1").count() == fixed + 2
 
 
+def test_many_secrets_in_one_text_and_clashing_names(spark):
+    hexes = [hashlib.md5(b"%d" % i).hexdigest() for i in range(3000)]
+    text = "é " + " ".join(f"password={h}" for h in hexes)
+    score = secret_scan.train(secret_scan.weak_labels(docs(spark, [(1, "none")])))
+    d = docs(spark, [(1, text), (2, "nothing")]).withColumns({"__gaps": F.lit("g"), "__found": F.lit(1), "__c": F.lit("c"), "row": F.lit("r"), "clean": F.lit("x")})
+    got = secret_scan.findings(d, score).collect()
+    assert sorted(text[r["start"] : r["end"]] for r in got) == sorted(hexes)
+    clean = {r["doc_id"]: r for r in secret_scan.redact(d, score).collect()}
+    assert clean[1]["text"] == "é " + " ".join(["password=[SECRET]"] * 3000) and clean[1]["__gaps"] == "g" and clean[1]["row"] == "r" and clean[2]["clean"] == "x"
+    assert secret_scan.redact(d, score).columns == d.columns
+
+
 # ---- 2 sharding ----
 @pytest.mark.parametrize("limit", [1 << 40, 20_000, 300, 1])
 def test_shards_fit(spark, limit):
@@ -86,6 +98,13 @@ def test_shards_fit(spark, limit):
     assert all(total[n[:-1]] > limit for n in names if n)
 
 
+def test_a_row_repeated_very_often(spark):
+    d = docs(spark, [(1, "abc"), (2, "defgh")]).unionByName(spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in docs(spark, []).dtypes[2:])))
+    got = sharding.assign(d, 4000).collect()
+    parts = collections.Counter((r["shard"], r["part"]) for r in got if r["doc_id"] == 7)
+    assert len(got) == 10_002 and len(parts) == 10 and set(parts.values()) == {1000}
+
+
 def test_no_rows_no_shards(spark):
     assert sharding.assign(docs(spark, []), 100).count() == 0
 
@@ -231,6 +250,23 @@ def test_chat(spark):
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_prefixes_are_true_beyond_the_window(spark):
+    """Templates that number turns, look far back or rewrite: 40 turns give what rendering every prefix gives."""
+    turns = [("assistant" if i % 2 else "user", f"said {i}") for i in range(40)]
+    numbered = lambda ts: "".join(f"{i}:{t};" for i, (_, t) in enumerate(ts))
+    counted = lambda ts: f"{len(ts) // 30} " + "".join(t for _, t in ts)
+    for template in (numbered, counted, chat.turn_template):
+        got = chat.rendered(turns, template, ("assistant",), 16)
+        assert got == chat.rendered(turns, template, ("assistant",), None)
+        if template is not counted:
+            assert "".join(x[0] for x in got) == template(turns) and not any(x[3] for x in got)
+    assert [i for i, x in enumerate(chat.rendered(turns, counted, (), 16)) if x[3]] == [29]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.format_turns(df, numbered).collect(), key=lambda r: r["position"])
+    assert "".join(r["formatted"] for r in rows) == numbered(turns)
+    assert [r["formatted"][r["loss_start"] : r["loss_end"]] for r in rows if r["role"] == "assistant"] == [t for r, t in turns if r == "assistant"]
+
+
 def test_template_that_rewrites():
     state = chat.Incremental(lambda turns: "".join(("*" if i == len(turns) - 1 else "") + t for i, (_, t) in enumerate(turns)), 8)
     assert [state.add("user", x, False)[3] for x in "abc"] == [False, True, True]
@@ -278,11 +314,21 @@ def test_forward_sums_all_segmentations():
         if not word:
             return 1.0
         first = known.get(word[0], v.start[v.unknown]) * total(word[1:])
-        return first + sum(known[word[:k]] * total(word[k:]) for k in range(2, min(6, len(word)) + 1) if word[:k] in known)
+        return first + sum(known[word[:k]] * total(word[k:]) for k in range(2, len(word) + 1) if word[:k] in known)
 
-    for word in ("the", "enant", "chzu", "ß", "日本"):
+    assert any(len(p) > 12 for p in v.pieces)
+    for word in ("the", "enant", "chzu", "ß", "日本", "international", "responsibility"):
         got = np.exp(v.logs([word], v.start[:, None])[1][0, 0])
         assert got == pytest.approx(total("▁" + word), rel=1e-9)
+    # a long run of letters: the same sum in logarithms, one position after another
+    long = "internationalresponsibilities" * 60
+    letters, logs = "▁" + long, [0.0]
+    for j in range(1, len(letters) + 1):
+        ways = [logs[i] + np.log(known.get(letters[i:j], v.start[v.unknown] if j == i + 1 else 0.0)) for i in range(max(0, j - v.longest), j) if j == i + 1 or letters[i:j] in known]
+        logs.append(np.logaddexp.reduce(ways))
+    assert v.logs([long], v.start[:, None])[1][0, 0] == pytest.approx(logs[-1], rel=1e-9)
+    counts = v.expected(collections.Counter({long: 1}))
+    assert counts @ np.array([len(p) for p in v.pieces] + [1, 0]) == pytest.approx(len(letters), rel=1e-6)
     counts = v.expected(collections.Counter({"the": 2}))
     assert counts @ np.array([len(p) for p in v.pieces] + [1, 0]) == pytest.approx(8)
 
@@ -407,7 +453,27 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_edits(docs(spark, [])).count() == 0
     one = fingerprint.fingerprint_edits(docs(spark, [(5, "a b c d e f g")])).first()
     assert one["near_next"] == 1.0
-    assert fingerprint.fingerprint_edits(docs(spark, ODD)).count() == len(ODD)
+    odd = fingerprint.fingerprint_edits(docs(spark, ODD)).collect()
+    first = {}
+    for r in odd:
+        first.setdefault(r["doc_id"], r)
+    assert len(odd) == len(ODD) and first[1]["fingerprint"] == first[5]["fingerprint"] != "" == first[2]["fingerprint"] == first[3]["fingerprint"]
+    assert collections.Counter((r["doc_id"], r["n_chars"]) for r in odd) == collections.Counter((i, len(t or "")) for i, t in ODD)
+
+
+@pytest.mark.parametrize("ids", ["far", "equal", "null", "spread"])
+def test_next_document(spark, ids):
+    """However ids lie, the next document is right and no bucket is much larger than others."""
+    rnd = random.Random(11)
+    some = {"far": [*range(600), 10**15], "equal": [5] * 500 + list(range(100)), "null": [None] * 500 + list(range(100)), "spread": [rnd.randrange(-(2**62), 2**62) for _ in range(600)]}[ids]
+    rows = [(i, f"text {k % 590}") for k, i in enumerate(some)]
+    df = docs(spark, rows)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1]))
+    want = collections.Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert collections.Counter(tuple(r) for r in fingerprint.with_next(df, rows_per_bucket=8).collect()) == want
+    size = fingerprint.with_bucket(df.select("doc_id", "text"), 8).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert size <= 40
 
 
 def test_sketches_merge(spark):

@@ -62,6 +62,41 @@ def test_stages_take_effect(spark, sf_dir):
     assert all(r["ids_sha256"] == hashlib.sha256(r["ids"].encode()).hexdigest() for r in kept["pieces"].collect())
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{k}" for k in range(60))
+
+
+def rows_of(spark, stage, rows):
+    return sorted(((r["doc_id"], r["text"]) for r in stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()), key=repr)
+
+
+def test_language_stage_without_labels(spark):
+    """Nothing to learn from: documents stay, those without a letter go."""
+    rows = [(i, f"plain english text number {i}", None, None, None) for i in range(20)] + [(30, "12 34", None, "s", 5), (31, None, None, "s", 0), (None, "no id here", None, None, None)]
+    assert {i for i, _ in rows_of(spark, corpus_pipeline.identify_language, rows)} == {*range(20), None}
+
+
+@pytest.mark.parametrize("more", [[], [(50, "another row " * 9, "en", "s", 1)] * 2])
+def test_duplicates_stage_decides_per_row(spark, more):
+    """Null ids, ids before two texts, repeated rows: the same rule, whatever other rows there are."""
+    near = LONG.replace("word9", "other")
+    rows = [(None, LONG, "en", "s", 1), (None, LONG.upper(), "en", "s", 1), (None, "alone " * 8, "en", "s", 1), (None, "alone " * 8, "en", "s", 1), (7, near, "en", "s", 1), (7, "a second text of seven " * 3, "en", "s", 1), (9, "a second text of seven " * 3, "en", "s", 1), (8, "", "en", "s", 1), (8, "", "en", "s", 1)]
+    got = rows_of(spark, corpus_pipeline.remove_near_duplicates, rows + more)
+    want = [(7, near), (7, "a second text of seven " * 3), (None, "alone " * 8), (8, ""), (8, "")] + [r[:2] for r in more[:1]]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_on_odd_tables(spark, name, stage):
+    """Empty tables, null columns, long texts, repeated rows, extra columns."""
+    assert stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+    rows = [(1, LONG, None, None, None), (1, LONG, None, None, None), (2, None, None, None, None), (None, "word " * 20_000, "en", "s", 1), (3, "x" * 50_000, "en", "s", 1)]
+    out = stage(spark, spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS cls", "2 AS row_key", "3 AS part"), "")
+    count = {"language_id": 4, "near_duplicates": 4, "secrets": 5, "pieces": 5}
+    assert name == "pieces" or out.columns == corpus_pipeline.COLUMNS
+    assert out.count() == count[name] if name in count else out.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, con, sf_dir):
     df = QUERIES[name](spark, sf_dir)
