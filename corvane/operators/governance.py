@@ -93,5 +93,7 @@ def export_subject(t: Tables, subjects: DataFrame) -> DataFrame:
     return convs.join(tickets, ["userid", "courseid"], "full")
 
 
-def write_export(export: DataFrame, path: str) -> None:
-    export.write.mode("overwrite").partitionBy("userid").json(path)
+def write_export(export: DataFrame, path: str, folders: int = 1024) -> None:
+    """JSON lines by user, in a bounded number of folders (bucket: hash of the user), so that a user's lines are in one of them."""
+    dealt = export.withColumn("bucket", F.pmod(F.xxhash64("userid"), F.lit(folders)))
+    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)

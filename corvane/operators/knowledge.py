@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +16,7 @@ HEADING = r"(?iU)^(unidad|cap[ií]tulo|tema|m[oó]dulo|secci[oó]n|parte|anexo|a
 LEVEL_1 = r"(?iU)^(unidad|unit|m[oó]dulo|module|tema|parte|part|bloque|unidade)\b"
 LEVEL_2 = r"(?iU)^(paso|step|cap[ií]tulo|chapter|lecci[oó]n|lesson|passo)\b"
 NUMBERED = r"^\d{1,2}(\.\d{1,2}){0,3}[.)]?\s+\p{Lu}"
-ROMAN = r"(?i)^[ivxlcdm]{1,6}(\.\d{1,2}[.)]?\s+\p{L}|[.)]\s+\p{L})"
+ROMAN = r"(?i)^[ivxlcdm]{1,6}(\.\d{1,2}[.)]?\s+\p{L}|[.)]\s+(?-i:\p{Lu}))"
 CAPTION = r"(?i)^(?:cuadro|figura|tabla|gr[aá]fico|gr[aá]fica|ilustraci[oó]n|imagen|esquema|box|figure|table|chart|exhibit|diagram|quadro|imagem)\s*(?:n[.\x{00BA}\x{00B0}]?\s*)?\d{1,3}\s*[:.\-\x{2013}\x{2014}]\s*\S"
 PAGE_LABEL = r"(?i)^(?:p[aá]gina|page|p[aá]g\.?)\s*\d+\b\s*"
 DOTS = r"\.{4,}"
@@ -92,48 +90,83 @@ def heading_paths(lines: DataFrame, doc: str = "doc", order: tuple[str, ...] = (
     return df.withColumn("path", F.concat_ws(" › ", "__h1", live2, live3)).drop("__n", "__level", *(f"__{x}{k}" for x in "hp" for k in (1, 2, 3)))
 
 
-def figure_captions(lines: DataFrame) -> DataFrame:
-    """One locator chunk for each distinct numbered caption and page."""
+def decorated(content, path, page) -> Column:
+    """Content behind a line that names its section and page (0 or null: none): the breadcrumb of a chunk that doesn't begin with it."""
+    crumb = F.when(~_c(content).startswith(_c(path)) & (_c(path) != ""), _c(path))
+    bits = F.concat_ws(" | ", crumb, F.when(_c(page) > 0, F.concat(F.lit("p. "), _c(page).cast("string"))))
+    return F.when(bits == "", _c(content)).otherwise(F.concat(F.lit("[Section: "), bits, F.lit("]\n"), _c(content)))
+
+
+def paragraphs_of(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """doc, page, par, paragraph, path: the headings in force after the paragraph's own lines."""
+    cut = F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\n{2,}")).alias("par", "paragraph")
+    rows = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), cut).withColumn("paragraph", F.regexp_replace("paragraph", r"^\s+|\s+$", "")).filter("paragraph <> ''")
+    lines = rows.select("doc", "page", "par", F.posexplode(F.split("paragraph", "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    paths = heading_paths(lines, order=("page", "par", "at")).groupBy("doc", "page", "par").agg(F.max_by("path", "at").alias("path"))
+    return rows.join(paths, ["doc", "page", "par"])
+
+
+def figure_captions(pages: DataFrame, doc: str, page: str, text: str, with_pages: bool = True) -> DataFrame:
+    """One locator chunk for each distinct numbered caption and page (doc, page, label, content): its section is where the caption stands,
+    and the caption itself."""
+    lines = paragraphs_of(pages, doc, page, text).select("doc", "page", "par", "path", F.posexplode(F.split("paragraph", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
     hit = F.char_length("line").between(8, 200) & ~F.regexp_like("line", F.lit(DOTS)) & F.regexp_like("line", F.lit(CAPTION))
-    label = F.regexp_replace("line", r"[ .;]+$", "")
-    rows = lines.filter(hit).withColumn("label", label).groupBy("doc", "page", F.lower("label").alias("k")).agg(F.min("label").alias("label"))
-    return rows.select("doc", "page", "label", F.concat(F.lit('[FIGURE REFERENCE] "'), "label", F.lit('" is a numbered figure or table on page '), F.col("page").cast("string"), F.lit("; its content may be an image.")).alias("content"))
-
-
-def _cut(text: str, size: int, overlap: int) -> list[str]:
-    """Paragraphs gathered up to ``size`` characters; a full chunk passes on the last ``overlap`` characters of what it would have been."""
-    out, held = [], ""
-    for paragraph in (p.strip() for p in re.split(r"\n{2,}", text.strip())):
-        if not paragraph:
-            continue
-        while len(paragraph) > size:
-            if held.strip():
-                out.append(held.strip())
-            held = ""
-            out.append(paragraph[:size])
-            paragraph = paragraph[size - overlap :]
-        whole = f"{held}\n\n{paragraph}" if held else paragraph
+    found = lines.filter(hit).withColumn("label", F.regexp_replace("line", r"[ .;]+$", ""))
+    rows = found.groupBy("doc", "page", F.lower("label").alias("k")).agg(F.max_by(F.struct("label", "path"), F.struct("par", "at")).alias("x")).select("doc", "page", "x.*")
+    body = F.concat(F.lit('[FIGURE REFERENCE] "'), "label", F.lit('": a figure or table stands here; what it shows may be an image that the text does not repeat.'))
+    path = F.concat_ws(" › ", F.nullif("path", F.lit("")), "label")
+    return rows.select("doc", "page", "label", decorated(body, path, F.col("page") if with_pages else F.lit(0)).alias("content"))
+
+
+def _cut(paragraphs: list[tuple[str, str, int]], size: int, overlap: int) -> list[tuple[str, str, int]]:
+    """(content, path, page) of chunks: paragraphs gathered up to ``size`` characters. A chunk has the section and page where it began; a
+    full one passes on the last ``overlap`` characters of what it would have been."""
+    out: list[tuple[str, str, int]] = []
+    held, at = "", ("", 0)
+
+    def close(text: str) -> None:
+        if text.strip():
+            out.append((text.strip(), *at))
+
+    for text, path, page in paragraphs:
+        here = (path, page)
+        if not held:
+            at = here
+        while len(text) > size:
+            close(held)
+            held, at = "", here
+            close(text[:size])
+            text = text[size - overlap :]
+        whole = f"{held}\n\n{text}" if held else text
         if len(whole) <= size:
             held = whole
         else:
-            if held.strip():
-                out.append(held.strip())
-            held = f"{whole.strip()[-overlap:]}\n\n{paragraph}".strip()
-    return [*out, held.strip()] if held.strip() else out
+            close(held)
+            held, at = f"{whole.strip()[-overlap:]}\n\n{text}".strip(), here
+    close(held)
+    return out
+
+
+_CUT = T.ArrayType(T.StructType().add("content", "string").add("path", "string").add("page", "long"))
+
 
+def paragraph_chunks(pages: DataFrame, doc: str = "doc_id", text: str = "text", page: str | None = None, size: int = 2500, overlap: int = 250) -> DataFrame:
+    """doc, chunkindex, content: chunks along paragraphs with section and, of texts in pages, page in front. Headings are found in
+    DataFrame functions; only the gathering of one document's paragraphs is Python, in Arrow batches."""
+    rows = paragraphs_of(pages.withColumn("__page", F.col(page) if page else F.lit(0)), doc, "__page", text)
+    whole = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "par", "paragraph", "path"))).alias("x"))
 
-def paragraph_chunks(docs: DataFrame, text_col: str = "text", size: int = 2500, overlap: int = 250) -> DataFrame:
-    """Chunks along paragraphs, document by document in Arrow batches: chunkindex and content instead of the text."""
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _cut(t or "", size, overlap))
+    def cut(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda x: [{"content": c, "path": p, "page": n} for c, p, n in _cut([(r["paragraph"], r["path"], r["page"]) for r in x], size, overlap)])
 
-    chunks = F.pandas_udf(cut, T.ArrayType(T.StringType()))
-    return docs.select(*(c for c in docs.columns if c != text_col), F.posexplode(chunks(F.col(text_col))).alias("chunkindex", "content"))
+    chunks = F.pandas_udf(cut, _CUT)
+    df = whole.select("doc", F.posexplode(chunks("x")).alias("chunkindex", "c"))
+    return df.select(F.col("doc").alias(doc), "chunkindex", decorated("c.content", "c.path", F.col("c.page")).alias("content"))
 
 
 def index_changes(index: DataFrame, files: DataFrame, version: int) -> DataFrame:
     """contenthash and action: add what is new or was cut by another version, update metadata, delete what is gone."""
-    had = index.select("contenthash", "filename", "version").dropDuplicates(["contenthash"]).withColumnsRenamed({"filename": "old_name"})
+    had = index.groupBy("contenthash").agg(F.min(F.struct("filename", "version")).alias("x")).select("contenthash", F.col("x.filename").alias("old_name"), "x.version")
     both = had.join(files.select("contenthash", "filename"), "contenthash", "full")
     action = (
         F.when(F.col("filename").isNull(), "delete")

@@ -122,10 +122,11 @@ def enrolment_availability(methods: DataFrame, users: DataFrame, enrolled: DataF
 
 
 def unread_notifications(notes: DataFrame, n: int = 5) -> DataFrame:
+    """Each user's number of unread notifications, and the subjects of the newest n."""
     unread = notes.filter("timeread IS NULL")
     w = W.partitionBy("userid").orderBy(F.desc("timecreated"), F.desc("noteid"))
-    latest = unread.withColumn("__n", F.row_number().over(w))
-    return latest.groupBy("userid").agg(F.count("*").alias("unread"), F.array_sort(F.collect_list(F.when(F.col("__n") <= n, F.struct("__n", "subject")))).alias("__x")).select("userid", "unread", F.col("__x.subject").alias("latest"))
+    latest = unread.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).groupBy("userid").agg(F.array_sort(F.collect_list(F.struct("__n", "subject"))).alias("__x"))
+    return unread.groupBy("userid").agg(F.count("*").alias("unread")).join(latest, "userid").select("userid", "unread", F.col("__x.subject").alias("latest"))
 
 
 def member_groups(memberships: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ACCENTED, PLAIN, cosine
+from corvane.operators import history as H
 from corvane.operators import knowledge as K
 from corvane.operators import retrieval as R
 from corvane.plans.registry import query
@@ -32,7 +33,7 @@ SELECT contenthash, filename, CASE WHEN length(regexp_replace(x, '[^\p{L}\p{N}]'
     lambda s, d: K.ingest_documents(files(s, d)).drop("extractedtext")
 )
 query("k3_window_chunks", "docchunks", "SELECT doc_id, chunkindex, md5(content) AS content FROM docchunks")(lambda s, d: A.chunks(s, d).select("doc_id", "chunkindex", F.md5(F.col("content").cast("binary")).alias("content")))
-query("k3_paragraph_chunks")(lambda s, d: K.paragraph_chunks(docs(s, d).select("doc_id", "text")).select("doc_id", "chunkindex", F.char_length("content").alias("chars")))
+query("k3_paragraph_chunks")(lambda s, d: K.paragraph_chunks(docs(s, d), page="doc_id").select("doc_id", "chunkindex", F.char_length("content").alias("chars")))
 _LINES = r"""WITH l AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 t AS (SELECT doc, page, pos, regexp_replace(trim(line), '(?i)^(?:p[aá]gina|page|p[aá]g\.?)\s*\d+\b\s*', '') AS line FROM l WHERE NOT regexp_matches(trim(line), '\.{4,}')),
 o AS (SELECT doc, lower(trim(line)) AS norm, count(DISTINCT page) AS n FROM t WHERE length(trim(line)) >= 25 GROUP BY ALL), p AS (SELECT doc, count(DISTINCT page) AS pages FROM t GROUP BY 1),
@@ -41,9 +42,14 @@ query("a22_boilerplate", "", f"{_LINES} SELECT doc, norm FROM b")(lambda s, d: K
 query("k1_denoise", "", f"{_LINES.replace('0.02', '0.6')} SELECT doc, page, md5(string_agg(line, chr(10) ORDER BY pos)) AS text FROM t WHERE (doc, lower(trim(line))) NOT IN (SELECT doc, norm FROM b) GROUP BY ALL")(
     lambda s, d: K.denoise(docs(s, d), "source", "doc_id", "text").withColumn("text", F.md5(F.col("text").cast("binary")))
 )
-query("k2_headings")(lambda s, d: lines(s, d).filter(K.is_heading("line")).groupBy("line").agg(F.count("*").alias("n"), F.max(K.heading_level("line")).alias("level")))
+# heading words end where no letter, digit or underscore follows; of roman numbers without a further number a capital must follow
+_WORDS = lambda p: p.removeprefix("(?iU)")[:-2].replace("'", "''")
+_IS_HEADING = f"""length(line) BETWEEN 3 AND 120 AND NOT regexp_matches(line, '[.,;]\\s*$') AND NOT regexp_matches(line, '\\.{{4,}}') AND (regexp_matches(line, '(?i){_WORDS(K.HEADING)}($|[^\\p{{L}}\\p{{N}}_])')
+OR regexp_matches(line, '^\\d{{1,2}}(\\.\\d{{1,2}}){{0,3}}[.)]?\\s+\\p{{Lu}}') OR regexp_matches(line, '^(?i:[ivxlcdm]{{1,6}})(\\.\\d{{1,2}}[.)]?\\s+\\p{{L}}|[.)]\\s+\\p{{Lu}})') OR (length(line) <= 80 AND regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '\\p{{Ll}}')))"""
+_LEVEL = f"CASE WHEN regexp_matches(line, '(?i){_WORDS(K.LEVEL_1)}($|[^\\p{{L}}\\p{{N}}_])') THEN 1 WHEN regexp_matches(line, '(?i){_WORDS(K.LEVEL_2)}($|[^\\p{{L}}\\p{{N}}_])') THEN 2 ELSE 3 END"
+query("k2_headings", "", f"{_LINES} SELECT line, count(*) AS n, max({_LEVEL}) AS level FROM t WHERE {_IS_HEADING} GROUP BY 1")(lambda s, d: lines(s, d).filter(K.is_heading("line")).groupBy("line").agg(F.count("*").alias("n"), F.max(K.heading_level("line")).alias("level")))
 query("w13_heading_paths")(lambda s, d: K.heading_paths(K.page_lines(docs(s, d), "doc_id", "doc_id", "text")).groupBy("doc").agg(F.max("path").alias("path"), F.count("*").alias("lines")))
-query("k4_figure_captions")(lambda s, d: K.figure_captions(lines(s, d)))
+query("k4_figure_captions")(lambda s, d: K.figure_captions(docs(s, d), "source", "doc_id", "text"))
 
 
 def _index(s, d):
@@ -88,14 +94,16 @@ query("w12_last_area", "", """SELECT contenthash, area, filename FROM (SELECT sh
 row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id % 3 DESC, source || '/' || doc_id DESC) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1""")(
     lambda s, d: K.last_area(docs(s, d).filter("text IS NOT NULL").select(F.sha1(F.col("text").cast("binary")).alias("contenthash"), (F.col("doc_id") % 3).alias("area"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("filename")))
 )
-query("x9_cosine", "", "SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label % 2 = b.label % 2 WHERE a.vec_id < 20 AND b.vec_id >= 20")(
-    lambda s, d: (lambda e: R.semantic_scores(e.filter("vec_id < 20"), e.filter("vec_id >= 20"), "scope").withColumn("cosine", F.round("cosine", 6)))(table(s, d, "embeddings").withColumn("scope", F.col("label") % 2))
+query("x9_cosine", "", "SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label % 2 = b.label % 2 WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id")(
+    lambda s, d: (lambda e: R.semantic_scores(e.filter("vec_id % 50 = 0"), e, "scope").filter("vec_id <> queryid").withColumn("cosine", F.round("cosine", 6)))(table(s, d, "embeddings").withColumn("scope", F.col("label") % 2))
 )
 _FOLD = f"translate(lower({{}}), '{ACCENTED}', '{PLAIN}')"
-_SCORED = f"""WITH t AS (SELECT queryid, courseid, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3))) AS term FROM questions),
+_DASHES = "[\\s\\-\\x{2010}-\\x{2015}_/]+"
+_SCORED = f"""WITH t AS (SELECT queryid, courseid, unnest(list_distinct(list_concat(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3),
+list_transform(regexp_extract_all(lower(query), '\\p{{L}}+(?:\\s*[\\-\\x{{2010}}-\\x{{2015}}]\\s*\\p{{L}}+)+'), lambda x: regexp_replace(x, '{_DASHES}', '-', 'g'))))) AS term FROM questions),
 f AS (SELECT *, {_FOLD.format('term')} AS ft FROM t),
-c AS (SELECT *, {_FOLD.format('content')} AS h, {_FOLD.format('filename')} AS fn, ' ' || regexp_replace({_FOLD.format('content')}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ' AS w FROM docchunks),
-x AS (SELECT queryid, doc_id, chunkindex, term, contains(fn, ft) AS named, CASE WHEN length(ft) >= 5 THEN (length(h) - length(replace(h, ft, ''))) // length(ft) ELSE (length(w) - length(replace(w, ' ' || ft || ' ', ''))) // (length(ft) + 2) END AS n FROM c JOIN f USING (courseid)),
+c AS (SELECT *, {_FOLD.format('content')} AS h, {_FOLD.format('filename')} AS fn, ' ' || regexp_replace({_FOLD.format('content')}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ' AS w, regexp_replace({_FOLD.format('content')}, '{_DASHES}', '-', 'g') AS j FROM docchunks),
+x AS (SELECT queryid, doc_id, chunkindex, term, contains(fn, ft) AS named, CASE WHEN contains(ft, '-') THEN (length(j) - length(replace(j, ft, ''))) // length(ft) WHEN length(ft) >= 5 THEN (length(h) - length(replace(h, ft, ''))) // length(ft) ELSE (length(w) - length(replace(w, ' ' || ft || ' ', ''))) // (length(ft) + 2) END AS n FROM c JOIN f USING (courseid)),
 s AS (SELECT queryid, doc_id, chunkindex, sum(CASE WHEN n > 0 THEN (1 + ln(CAST(n AS DOUBLE))) * length(term) ELSE CAST(0 AS DOUBLE) END + CASE WHEN named THEN 2 ELSE 0 END) AS score FROM x GROUP BY ALL)"""
 query("k5_lexical_score", "questions docchunks", f"{_SCORED} SELECT queryid, doc_id, chunkindex, round(score, 5) AS lexical FROM s WHERE score > 0")(
     lambda s, d: R.lexical_scores(A.questions(s, d), A.chunks(s, d)).filter("lexical > 0").select("queryid", "doc_id", "chunkindex", F.round("lexical", 5).alias("lexical"))
@@ -120,11 +128,33 @@ query("k6_hybrid_score", "questions docchunks", f"""{_SCORED}, m AS (SELECT quer
 SELECT s.queryid, s.doc_id, s.chunkindex, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), CAST(0 AS DOUBLE)) + CAST(0.25 AS DOUBLE) * CASE WHEN top > 0 THEN score / top ELSE 0 END, 5) AS score
 FROM s JOIN m USING (queryid) LEFT JOIN embeddings a ON a.vec_id = s.doc_id LEFT JOIN embeddings b ON b.vec_id = s.queryid WHERE s.score > 0 OR (a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL)""")(lambda s, d: _hybrid(s, d).select("queryid", "doc_id", "chunkindex", F.round("score", 5).alias("score")))
 query("k8_term_coverage", "questions docchunks", f"""{_SCORED}, r AS (SELECT queryid, doc_id, chunkindex FROM (SELECT *, row_number() OVER (PARTITION BY queryid ORDER BY round(score, 9) DESC, doc_id, chunkindex) AS place FROM s WHERE score > 0) WHERE place <= 6),
-g AS (SELECT f.queryid, term, bool_or(coalesce(contains(h, ft), false)) AS found FROM f LEFT JOIN r USING (queryid) LEFT JOIN c USING (doc_id, chunkindex) WHERE length(term) >= 4 GROUP BY ALL)
+g AS (SELECT f.queryid, term, bool_or(coalesce(contains(CASE WHEN contains(term, '-') THEN j ELSE h END, ft), false)) AS found FROM f LEFT JOIN r USING (queryid) LEFT JOIN c USING (doc_id, chunkindex) WHERE length(term) >= 4 GROUP BY ALL)
 SELECT q.queryid, round(coalesce(avg(CAST(found AS DOUBLE)), 1.0), 6) AS coverage FROM questions q LEFT JOIN g USING (queryid) GROUP BY 1""")(
     lambda s, d: R.term_coverage(A.questions(s, d), R.lexical_top(A.questions(s, d), A.chunks(s, d), 6)).withColumn("coverage", F.round("coverage", 6))
 )
-query("k9_weak_retrieval")(lambda s, d: R.weak_retrieval(A.questions(s, d), R.lexical_top(A.questions(s, d), A.chunks(s, d), 6)))
+_TOP = "SELECT *, row_number() OVER (PARTITION BY queryid ORDER BY round(score, 9) DESC, doc_id, chunkindex) AS place FROM s WHERE score > 0"
+query("k9_weak_retrieval", "questions docchunks", f"""{_SCORED}, r AS (SELECT * FROM ({_TOP}) WHERE place <= 6), m AS (SELECT queryid, max(score) AS top FROM r GROUP BY 1),
+g AS (SELECT f.queryid, term, bool_or(coalesce(contains(CASE WHEN contains(term, '-') THEN j ELSE h END, ft), false)) AS found FROM f LEFT JOIN r USING (queryid) LEFT JOIN c USING (doc_id, chunkindex) WHERE length(term) >= 4 GROUP BY ALL),
+v AS (SELECT queryid, bool_or(found) AS held FROM g GROUP BY 1) SELECT q.queryid, top IS NULL OR top < 8 OR NOT coalesce(held, true) AS weak FROM questions q LEFT JOIN m USING (queryid) LEFT JOIN v USING (queryid)""")(
+    lambda s, d: R.weak_retrieval(A.questions(s, d), R.lexical_top(A.questions(s, d), A.chunks(s, d), 6))
+)
 query("w17_k10_multi_pass")(lambda s, d: R.multi_pass(A.questions(s, d), A.chunks(s, d), 6).select("queryid", "place", "pass", "doc_id", "chunkindex"))
-query("k11_retrieval_report")(lambda s, d: R.retrieval_report(R.hybrid_scores(R.lexical_scores(A.questions(s, d), A.chunks(s, d)), None), A.chunks(s, d), 6, 10))
-query("t9_hybrid_top_k")(lambda s, d: R.select_top_k(_hybrid(s, d), 6).select("queryid", "place", "doc_id", "chunkindex"))
+
+
+def _asked_in_conversations(s, d):
+    """The questions of conversations, short ones with an earlier turn in front; a conversation's scope is its number."""
+    asked = H.retrieval_query(A.turns(s, d)).filter("query <> ''")
+    return asked.select((F.col("conversationid") * 1000 + F.col("turn")).alias("queryid"), "query", (F.col("conversationid") % 5).alias("courseid"))
+
+
+query("k10_conversation_passes")(lambda s, d: R.multi_pass(_asked_in_conversations(s, d), A.chunks(s, d), 6).select("queryid", "place", "pass", "doc_id", "chunkindex"))
+query("k11_retrieval_report", "questions docchunks", f"""{_SCORED}, r AS (SELECT * FROM ({_TOP}) WHERE place <= 10)
+SELECT queryid, place AS position, doc_id, chunkindex, '' AS section, round(score, 4) AS score, false AS heading, place <= 6 AS selected, left(trim(regexp_replace(content, '\\s+', ' ', 'g')), 160) AS snippet FROM r JOIN docchunks USING (doc_id, chunkindex)""")(
+    lambda s, d: R.retrieval_report(R.hybrid_scores(R.lexical_scores(A.questions(s, d), A.chunks(s, d)), None).withColumn("score", F.round("score", 9)), A.chunks(s, d), 6, 10).withColumn("position", F.col("position").cast("bigint"))
+)
+query("t9_hybrid_top_k", "questions docchunks", f"""{_SCORED}, m AS (SELECT queryid, max(score) AS top FROM s GROUP BY 1),
+y AS (SELECT s.queryid, s.doc_id, s.chunkindex, CASE WHEN b.vec_id IS NULL THEN score ELSE coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), CAST(0 AS DOUBLE)) + CASE WHEN top > 0 THEN CAST(0.25 AS DOUBLE) * score / top ELSE 0 END END AS score
+FROM s JOIN m USING (queryid) LEFT JOIN embeddings a ON a.vec_id = s.doc_id LEFT JOIN embeddings b ON b.vec_id = s.queryid)
+SELECT queryid, row_number() OVER (PARTITION BY queryid ORDER BY round(score, 7) DESC, doc_id, chunkindex) AS place, doc_id, chunkindex FROM y WHERE round(score, 7) > 0 QUALIFY place <= 6""")(
+    lambda s, d: R.select_top_k(_hybrid(s, d).withColumn("score", F.round("score", 7)), 6).select("queryid", F.col("place").cast("bigint").alias("place"), "doc_id", "chunkindex")
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import governance as G
 from corvane.operators import learners as L
 from corvane.operators.dashboard import active_enrolments
+from corvane.operators.rollup import build_userstats
 from corvane.plans.registry import query
 from corvane.sources import adapters as A
 
@@ -37,8 +38,8 @@ query("f12_in_category_tree", "courses", "SELECT courseid FROM courses WHERE cat
 query("f11_catalogue", "courses enrolments", "SELECT courseid, courseid IN (SELECT courseid FROM enrolments WHERE userid = 7) AS mine FROM courses WHERE courseid <> 1 AND courseid % 6 <> 5 AND (courseid % 4 <> 1 OR courseid IN (SELECT courseid FROM enrolments WHERE userid = 7))")(
     lambda s, d: L.catalogue(_course_dates(s, d), A.enrolments(s, d).filter("userid = 7"), 1, None, NOW).select("courseid", "mine")
 )
-query("t5_catalogue_page", "courses", "SELECT courseid, row_number() OVER (ORDER BY shortname) AS place, true AS has_more FROM (SELECT * FROM courses WHERE contains(shortname, 'an') ORDER BY shortname LIMIT 3 OFFSET 1)")(
-    lambda s, d: L.catalogue_page(A.courses(s, d).withColumn("fullname", F.col("shortname")), "an", 1, 3).select("courseid", F.col("place").cast("bigint").alias("place"), "has_more")
+query("t5_catalogue_page", "courses", "SELECT courseid, row_number() OVER (ORDER BY shortname) AS place, (SELECT count(*) FROM courses WHERE contains(shortname, 'nation')) > 4 AS has_more FROM (SELECT * FROM courses WHERE contains(shortname, 'nation') ORDER BY shortname LIMIT 3 OFFSET 1)")(
+    lambda s, d: L.catalogue_page(A.courses(s, d).withColumn("fullname", F.col("shortname")), "Nation", 1, 3).select("courseid", F.col("place").cast("bigint").alias("place"), "has_more")
 )
 query("t7_my_courses", "activity courses", """WITH p AS (SELECT userid, courseid, CAST(count(*) FILTER (state IN (1, 2)) AS DOUBLE) / count(*) * 100 AS percent, max(submitted) AS lastaccess FROM activity GROUP BY ALL),
 r AS (SELECT userid, courseid, lastaccess, row_number() OVER (PARTITION BY userid ORDER BY lastaccess DESC NULLS LAST, shortname, courseid) AS place FROM p JOIN courses USING (courseid) WHERE round(percent, 2) < 100) SELECT * FROM r WHERE place BETWEEN 2 AND 4""")(
@@ -60,6 +61,13 @@ def tables(s, d):
     return {n: f(s, d).withColumn("userid", zero) for n, f in (("conversations", A.conversations), ("messages", A.messages), ("tickets", A.tickets))}
 
 
+def all_tables(s, d):
+    """Also the daily counts of users, and the conversations a user began on each day (the legacy usage table)."""
+    t = tables(s, d)
+    began = t["conversations"].groupBy("userid", "courseid", F.to_date("timecreated").alias("day")).agg(F.count("*").alias("conversationcount"))
+    return {**t, "userstats": build_userstats(t["messages"]), "usage": began}
+
+
 _T = """c0 AS (SELECT * REPLACE (CASE WHEN userid % 7 = 0 THEN 0 ELSE userid END AS userid) FROM convs), m0 AS (SELECT * REPLACE (CASE WHEN userid % 7 = 0 THEN 0 ELSE userid END AS userid) FROM messages),
 t0 AS (SELECT * REPLACE (CASE WHEN userid % 7 = 0 THEN 0 ELSE userid END AS userid) FROM tickets)"""
 _N = "SELECT 'conversations' AS name, count(*) AS n FROM c UNION ALL SELECT 'messages', count(*) FROM m UNION ALL SELECT 'tickets', count(*) FROM t"
@@ -70,12 +78,15 @@ query("p3_purge_tickets", ALL, f"WITH {_T}, c AS (SELECT * FROM c0), m AS (SELEC
 _V = f"userid = 0 AND timemodified + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}'"
 query("p4_purge_visitors", ALL, f"WITH {_T}, c AS (SELECT * FROM c0 WHERE NOT ({_V})), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0) {_N}")(lambda s, d: G.counts(G.purge_visitors(tables(s, d), TODAY)))
 query("p5_expire_drafts", "tickets", f"SELECT ticketid, CASE WHEN status = 'draft' AND timecreated + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}' THEN 'expired' ELSE status END AS status FROM tickets")(lambda s, d: G.expire_drafts(A.tickets(s, d), TODAY).select("ticketid", "status"))
-query("p6_erase_subject", ALL, f"WITH {_T}, c AS (SELECT * FROM c0 WHERE userid NOT IN (5, 12)), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0 WHERE userid NOT IN (5, 12)) {_N}")(
-    lambda s, d: G.counts(G.erase_subject(tables(s, d), s.range(0, 20, 1, 1).filter("id IN (5, 12)").select(F.col("id").alias("userid"))))
+_U = """u0 AS (SELECT courseid, blockinstanceid, CAST(timecreated AS DATE) AS daterecorded, userid, count(*) AS numquestions FROM m0 WHERE role = 'user' GROUP BY ALL),
+g0 AS (SELECT userid, courseid, CAST(timecreated AS DATE) AS day, count(*) AS conversationcount FROM c0 GROUP BY ALL)"""
+query("p6_erase_subject", ALL, f"""WITH {_T}, {_U}, c AS (SELECT * FROM c0 WHERE userid NOT IN (5, 12)), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0 WHERE userid NOT IN (5, 12)) {_N}
+UNION ALL SELECT 'userstats', count(*) FROM u0 WHERE userid NOT IN (5, 12) UNION ALL SELECT 'usage', count(*) FROM g0 WHERE userid NOT IN (5, 12)""")(
+    lambda s, d: G.counts(G.erase_subject(all_tables(s, d), s.range(0, 20, 1, 1).filter("id IN (5, 12)").select(F.col("id").alias("userid"))))
 )
 query("p8_retention", ALL, f"""WITH {_T}, c1 AS (SELECT * FROM c0 WHERE NOT ({_V})), c AS (SELECT * FROM c1 WHERE timemodified >= TIMESTAMP '{CUT}'), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c) AND timecreated >= TIMESTAMP '{CUT}'),
 t AS (SELECT * FROM t0 WHERE (timecreated >= TIMESTAMP '{CUT}' OR (status = 'draft' AND timecreated + INTERVAL 24 HOUR >= TIMESTAMP '{TODAY}')) AND conversationid IN (SELECT conversationid FROM c)) {_N}""")(lambda s, d: G.counts(G.retention(tables(s, d), TODAY, CUT)))
-query("u1_subject_contexts", ALL, f"WITH {_T} SELECT userid, courseid FROM c0 UNION SELECT userid, courseid FROM m0 UNION SELECT userid, courseid FROM t0")(lambda s, d: G.subject_contexts(tables(s, d)))
+query("u1_subject_contexts", ALL, f"WITH {_T}, {_U} SELECT userid, courseid FROM c0 UNION SELECT userid, courseid FROM m0 UNION SELECT userid, courseid FROM t0 UNION SELECT userid, courseid FROM u0 UNION SELECT userid, courseid FROM g0")(lambda s, d: G.subject_contexts(all_tables(s, d)))
 query("u2_users_in_context", ALL, f"WITH {_T} SELECT userid FROM c0 WHERE courseid = 3 UNION SELECT userid FROM m0 WHERE courseid = 3 UNION SELECT userid FROM t0 WHERE courseid = 3")(lambda s, d: G.users_in_context(tables(s, d), 3))
 query("s13_export_subject", ALL, f"WITH {_T}, c AS (SELECT userid, courseid, count(DISTINCT conversationid) AS n, count(messageid) AS said FROM c0 LEFT JOIN (SELECT conversationid, messageid FROM m0) USING (conversationid) GROUP BY ALL), t AS (SELECT userid, courseid, count(*) AS tickets FROM t0 GROUP BY ALL) SELECT userid, courseid, coalesce(n, 0) AS conversations, CAST(coalesce(said, 0) AS BIGINT) AS messages, coalesce(tickets, 0) AS tickets FROM c FULL JOIN t USING (userid, courseid)")(
     lambda s, d: (lambda t: G.export_subject(t, t["conversations"].select("userid").distinct()))(tables(s, d)).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions.text import ACCENTED, PLAIN
+from corvane.functions.text import ACCENTED, PLAIN, fingerprint, normalize_summary
 from corvane.operators import history as H
 from corvane.operators import tickets as K
 from corvane.plans.registry import query
@@ -35,17 +35,19 @@ query("w3_last_assistant_message", "turns", "SELECT conversationid, arg_max(cont
 query("w4_recent_user_messages", "turns", "SELECT conversationid, turn, nth FROM (SELECT *, row_number() OVER (PARTITION BY conversationid ORDER BY turn DESC) AS nth FROM turns WHERE role = 'user') WHERE nth <= 6 AND trim(content) <> ''")(
     lambda s, d: H.recent_user_messages(A.turns(s, d)).select("conversationid", "turn", F.col("nth").cast("bigint").alias("nth"))
 )
-query("w5_user_turns_since_refusal", "messages tickets", "WITH r AS (SELECT conversationid, max(timemodified) AS since FROM tickets WHERE status = 'cancelled' GROUP BY 1) SELECT r.conversationid, since, count(messageid) AS turns FROM r LEFT JOIN messages m ON m.conversationid = r.conversationid AND role = 'user' AND timecreated >= since GROUP BY ALL")(
-    lambda s, d: H.user_turns_since(A.messages(s, d), K.last_refusals(T(s, d)))
+query("w5_user_turns_since_refusal", "messages tickets", "WITH r AS (SELECT conversationid, max(timemodified) AS since FROM tickets WHERE status = 'cancelled' GROUP BY 1) SELECT r.conversationid, since, count(messageid) AS turns, count(messageid) <= 2 AS silenced FROM r LEFT JOIN messages m ON m.conversationid = r.conversationid AND role = 'user' AND timecreated >= since GROUP BY ALL")(
+    lambda s, d: H.silenced(H.user_turns_since(A.messages(s, d), K.last_refusals(T(s, d))), 2)
 )
 _FP = f"array_to_string(list_filter(string_split(trim(regexp_replace(translate(lower(content), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')[1:12], ' ')"
 query("w8_repetition", "turns", f"""WITH m AS (SELECT conversationid, turn, {_FP} AS raw FROM turns WHERE role = 'user'), f AS (SELECT conversationid, turn, CASE WHEN len(string_split(raw, ' ')) < 4 THEN '' ELSE raw END AS fp FROM m),
 l AS (SELECT *, list(fp) OVER (PARTITION BY conversationid ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS fps FROM f) SELECT conversationid, turn, fp <> '' AND len(list_filter(fps, lambda x: x = fp)) >= 2 AS repeats FROM l""")(
     lambda s, d: H.repetition(A.turns(s, d))
 )
-query("w16_retrieval_query", "turns", r"""WITH t AS (SELECT conversationid, turn, role, trim(content) AS said, row_number() OVER (PARTITION BY conversationid ORDER BY turn) AS n, len(list_filter(regexp_split_to_array(trim(content), '\s+'), lambda x: x <> '')) AS words FROM turns WHERE role IN ('user', 'assistant')),
-a AS (SELECT t.conversationid, t.turn, any_value(t.said) AS said, any_value(t.words) AS words, arg_max(p.said, p.n) AS anchor FROM t LEFT JOIN t p ON p.conversationid = t.conversationid AND p.role = 'user' AND p.n BETWEEN t.n - 7 AND t.n - 1 AND p.words >= 3 AND p.said <> t.said WHERE t.role = 'user' GROUP BY ALL)
-SELECT conversationid, turn, CASE WHEN words < 6 AND anchor IS NOT NULL THEN anchor || chr(10) || said ELSE said END AS query FROM a""")(lambda s, d: H.retrieval_query(A.turns(s, d)))
+_RETRIEVAL = r"""t AS (SELECT conversationid, turn, role, content, trim(content) AS said, row_number() OVER (PARTITION BY conversationid ORDER BY turn) AS n, len(list_filter(regexp_split_to_array(trim(content), '\s+'), lambda x: x <> '')) AS words FROM turns WHERE role IN ('user', 'assistant')),
+p AS (SELECT t.conversationid, t.turn, t.said AS now, p.role, p.said, p.words, p.n, row_number() OVER (PARTITION BY t.conversationid, t.turn ORDER BY p.n DESC) AS back FROM t JOIN t p ON p.conversationid = t.conversationid AND p.n BETWEEN t.n - 15 AND t.n AND p.content <> '' WHERE t.role = 'user'),
+a AS (SELECT conversationid, turn, arg_max(said, n) AS anchor FROM p WHERE back <= 8 AND role = 'user' AND words >= 3 AND said <> now GROUP BY ALL),
+asked AS (SELECT t.conversationid, t.turn, CASE WHEN words < 6 AND anchor IS NOT NULL THEN anchor || chr(10) || said ELSE said END AS query FROM t LEFT JOIN a USING (conversationid, turn) WHERE role = 'user')"""
+query("w16_retrieval_query", "turns", f"WITH {_RETRIEVAL} SELECT * FROM asked")(lambda s, d: H.retrieval_query(A.turns(s, d)))
 query("s12_suppress_content", "turns", "SELECT conversationid, turn, CASE WHEN conversationid % 5 IN (1, 3) THEN content ELSE '' END AS content FROM turns")(
     lambda s, d: H.suppress_content(A.turns(s, d).withColumn("courseid", F.col("conversationid") % 5), s.range(0, 5, 1, 1).filter("id <> 0").select(F.col("id").alias("courseid"), (F.col("id") % 2 == 1).alias("storecontent")), True).select("conversationid", "turn", "content")
 )
@@ -100,3 +102,21 @@ query("x19_escalation_triggers")(
 query("x20_escalation_gate", "tickets", f"""WITH q AS (SELECT ticketid, userid, count(*) FILTER ({COUNTED}) OVER (PARTITION BY courseid, userid, CAST(timecreated AS DATE) ORDER BY timecreated, ticketid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u,
 count(*) FILTER ({COUNTED}) OVER (PARTITION BY courseid, CAST(timecreated AS DATE) ORDER BY timecreated, ticketid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c, floor(epoch(timecreated) - epoch({_COOL})) AS cool FROM tickets)
 SELECT ticketid, CASE WHEN userid <= 0 THEN 'capability' WHEN u >= 1 THEN 'quota' WHEN cool < 43200 THEN 'cooldown' WHEN c >= 2 THEN 'coursequota' ELSE '' END AS denied FROM q""")(lambda s, d: K.escalation_gate(T(s, d), True, 1, 720, 2).select("ticketid", "denied"))
+
+
+def _blocked(s, d):
+    """What blocks conversations, by their number: some courses have support switched off, visitors may not ask, some users have used theirs up."""
+    c = F.col("conversationid")
+    why = F.when(c % 13 == 0, "disabled").when(c % 17 == 0, "capability").when(c % 19 == 0, "quota").when(c % 23 == 0, "cooldown").when(c % 29 == 0, "coursequota").otherwise("")
+    return A.turns(s, d).select("conversationid").distinct().select(c, why.alias("denied"))
+
+
+def _triggers(s, d):
+    failures = A.turns(s, d).filter("role = 'assistant' AND conversationid % 7 = 1").select("conversationid", "turn")
+    fallbacks = H.used_fallback(A.turns(s, d).filter("role = 'assistant'").withColumn("words", normalize_summary("content")), A.turns(s, d).filter("role = 'assistant' AND conversationid % 20 = 0").select(fingerprint("content").alias("fp")), "words")
+    return K.escalation_triggers(A.turns(s, d), _raised(s, d), fallbacks.filter("fallback").select("conversationid", "turn"), failures)
+
+
+query("x20_offer_gate", "turns")(
+    lambda s, d: K.offer_gate(A.turns(s, d), _triggers(s, d), _blocked(s, d), A.turns(s, d).filter("conversationid % 5 = 2 AND turn = 2").select("conversationid", F.col("turn").alias("refused")), 2)
+)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import classify as C
 from corvane.functions import text as X
+from corvane.operators import history as H
 from corvane.plans.registry import query
 from corvane.session import table
 from corvane.sources import adapters as A
@@ -38,8 +39,20 @@ query("x3_tokenize", "questions", r"SELECT queryid, array_to_string(list_sort(li
 query("x4_compound_terms", "turns", r"SELECT conversationid, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(content), '\p{L}+(?:\s*[\-\x{2010}-\x{2015}]\s*\p{L}+)+'), lambda x: regexp_replace(x, '[\s\-\x{2010}-\x{2015}_/]+', '-', 'g')))), ' ') AS terms FROM turns")(
     lambda s, d: turns(s, d, terms=F.array_join(F.array_sort(X.compound_terms(F.lower("content"))), " "))
 )
-query("x5_name_terms")(lambda s, d: turns(s, d, names=F.array_join(X.name_terms("content"), " ")))
-query("x6_focus_query")(lambda s, d: A.questions(s, d).select("queryid", X.focus_query("query").alias("focus")))
+# compounds, then runs of capitals and digits between spaces doubled so that each has its own; the first four
+_NAMES = """list_transform(regexp_extract_all(lower({0}), '\\p{{L}}+(?:\\s*[\\-\\x{{2010}}-\\x{{2015}}]\\s*\\p{{L}}+)+'), lambda x: regexp_replace(x, '[\\s\\-\\x{{2010}}-\\x{{2015}}_/]+', '-', 'g'))"""
+_CAPS = """list_transform(list_filter(regexp_extract_all(' ' || regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ', ' ([\\p{{Lu}}\\p{{N}}]{{2,8}}) ', 1), lambda x: regexp_matches(x, '\\p{{Lu}}')), lambda x: lower(x))"""
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _names_sql(view: str, text: str) -> str:
+    return f"n0 AS (SELECT *, list_concat({_NAMES.format(text)}, {_CAPS.format(text)}) AS l FROM {view}), n AS (SELECT *, {_ONCE.format('l')}[1:4] AS names FROM n0)"
+
+
+query("x5_name_terms", "turns", f"WITH {_names_sql('turns', 'content')} SELECT conversationid, turn, array_to_string(names, ' ') AS names FROM n")(lambda s, d: turns(s, d, names=F.array_join(X.name_terms("content"), " ")))
+query("x6_focus_query", "questions", f"""WITH {_names_sql('questions', 'query')}, w0 AS (SELECT *, list_concat(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), {_NAMES.format('query')}) AS t0 FROM n),
+w AS (SELECT *, list_filter({_ONCE.format('t0')}, lambda w: length(w) >= 6) AS long FROM w0), f AS (SELECT queryid, query, CASE WHEN len(names) > 0 THEN array_to_string(names, ' ') WHEN len(long) >= 2 THEN array_to_string(long, ' ') ELSE '' END AS focus FROM w)
+SELECT queryid, CASE WHEN focus = lower(trim(query)) THEN '' ELSE focus END AS focus FROM f""")(lambda s, d: A.questions(s, d).select("queryid", X.focus_query("query").alias("focus")))
 query("x7_term_hits", "turns", f"""WITH t AS (SELECT conversationid, turn, {ACCENTS.format('content')} AS h FROM turns), u AS (SELECT *, ' ' || regexp_replace(h, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ' AS w FROM t)
 SELECT conversationid, turn, CAST((length(w) - length(replace(w, ' the ', ''))) / 5 AS BIGINT) AS short_hits, CAST((length(h) - length(replace(h, 'ation', ''))) / 5 AS BIGINT) AS long_hits FROM u""")(
     lambda s, d: turns(s, d, short_hits=X.term_hits(X.fold_accents(F.lower("content")), F.lit("the")), long_hits=X.term_hits(X.fold_accents(F.lower("content")), F.lit("ation")))
@@ -59,20 +72,23 @@ SELECT conversationid, turn, EXISTS (SELECT 1 FROM f WHERE length(fp) > 0 AND co
 def _used_fallback(s, d):
     """Replies that hold one of the configured fallback texts: here some of the stored replies."""
     t = A.turns(s, d).filter("role = 'assistant'").withColumn("words", X.normalize_summary("content"))
-    config = t.filter("conversationid % 20 = 0").select(F.array_join(F.slice(F.split("words", " "), 1, 12), " ").alias("fp")).filter("fp <> ''").distinct()
-    return t.join(config, F.col("words").contains(F.col("fp")), "left_semi").select("conversationid", "turn", F.lit(True).alias("fallback")).unionByName(
-        t.join(config, F.col("words").contains(F.col("fp")), "left_anti").select("conversationid", "turn", F.lit(False).alias("fallback"))
-    )
+    config = t.filter("conversationid % 20 = 0").select(F.array_join(F.slice(F.split("words", " "), 1, 12), " ").alias("fp")).filter("fp <> ''")
+    return H.used_fallback(t, config, "words")
 
 
 for _name, _f in {
     "x15_human_request_kind": C.human_request_kind,
     "x17_recommends_support": C.recommends_support,
-    "x21_looks_like_quiz": C.looks_like_quiz,
     "x22_looks_like_platform_query": C.looks_like_platform_query,
-    "x29_strip_internal_state": X.strip_internal_state,
 }.items():
     query(_name)(lambda s, d, f=_f: turns(s, d, result=f("content")))
+_OPTION = "regexp_matches(lower(content), '(^|[\\s(\\[]){}[).]\\s')"
+query("x21_looks_like_quiz", "turns", f"""SELECT conversationid, turn, regexp_matches(lower(content), '{C.TRUE_FALSE}') OR ({_OPTION.format('a')} AND {_OPTION.format('b')} AND regexp_matches(lower(content), '{C.ANSWER_CUE}')) AS result FROM turns""")(lambda s, d: turns(s, d, result=C.looks_like_quiz("content")))
+_STATE = r"""trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?m)^\s*state\.[A-Za-z_]+\s*=.*$', '', 'g'), '(?is)\n\s*(summary|resumen|conversation_summary)\s*:.*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))"""
+query("x29_strip_internal_state", "turns", f"SELECT conversationid, turn, {_STATE.format('content')} AS result FROM turns")(lambda s, d: turns(s, d, result=X.strip_internal_state("content")))
+query("x29_stated_turns", "turns", "SELECT conversationid, turn, " + _STATE.format("'before' || chr(10) || 'state.step = 3' || chr(10) || content || chr(10) || ' Summary: x'") + " AS result FROM turns")(
+    lambda s, d: turns(s, d, result=X.strip_internal_state(F.concat(F.lit("before\nstate.step = 3\n"), F.col("content"), F.lit("\n Summary: x"))))
+)
 query("x16_states_a_problem", "turns", f"""SELECT conversationid, turn, len(list_filter(regexp_split_to_array(trim(content), '\\s+'), lambda x: x <> '')) > 10
 OR regexp_matches(lower(content), '(^|[^\\p{{L}}\\p{{N}}_]){C.PROBLEM[2:-2].replace("'", "''")}($|[^\\p{{L}}\\p{{N}}_])') AS problem FROM turns""")(lambda s, d: turns(s, d, problem=C.states_a_problem("content")))
 query("x18_accepts_an_offer")(lambda s, d: A.turns(s, d).withColumn("reply", F.expr("lag(content) OVER (PARTITION BY conversationid ORDER BY turn)")).select("conversationid", "turn", C.accepts_an_offer("content", "reply").alias("accepts")))
@@ -105,11 +121,15 @@ SELECT conversationid, turn, CASE WHEN length(t) < 8 OR len(words) < 3 OR o[1] <
 _MARKS = ", ".join("(" + " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}" for m in ms) + f") AS m_{n}" for n, ms in C.REPLY_MARKERS.items())
 query("x26_reply_language", "turns", f"""WITH a AS (SELECT conversationid, turn, ' ' || lower(regexp_replace(content, '<[^>]*>', '', 'g')) || ' ' AS t FROM turns), b AS (SELECT *, {_MARKS} FROM a), c AS (SELECT *, list_reverse_sort([m_es, m_pt, m_en]) AS o FROM b)
 SELECT conversationid, turn, CASE WHEN o[1] < 2 OR o[1] < 2 * o[2] THEN '' WHEN m_es = o[1] THEN 'es' WHEN m_pt = o[1] THEN 'pt' ELSE 'en' END AS language FROM c""")(lambda s, d: turns(s, d, language=C.reply_language("content")))
-query("x27_is_vague")(lambda s, d: turns(s, d, vague=C.is_vague("content")))
+_BEFORE, _AFTER = "(^|[^a-zA-Z0-9_])", "($|[^a-zA-Z0-9_])"
+_TERMS = f"list_distinct(list_concat(list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), {_NAMES.format('t')}))"
+query("x27_is_vague", "turns", f"""WITH a AS (SELECT conversationid, turn, trim(content) AS t, len(list_filter(regexp_split_to_array(trim(content), '\\s+'), lambda x: x <> '')) AS words FROM turns)
+SELECT conversationid, turn, t <> '' AND (words <= 4 OR len({_TERMS}) <= 1 OR (words <= 9 AND regexp_matches(lower(t), '{_BEFORE}{C.DEICTIC[2:-2]}{_AFTER}'))) AS vague FROM a""")(lambda s, d: turns(s, d, vague=C.is_vague("content")))
 query("x28_redact_secrets", "", r"SELECT doc_id, md5(regexp_replace('key sk-abc12345-' || text, '\b(sk-|AIza)[A-Za-z0-9_\-]{8,}', '\1[REDACTED]', 'g')) AS redacted FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.redact_secrets(F.concat(F.lit("key sk-abc12345-"), F.col("text"))).cast("binary")).alias("redacted"))
 )
-query("x30_pseudonymise")(lambda s, d: table(s, d, "customer").select("c_custkey", X.pseudonymise("c_name", b"rotate me").alias("alias")))
+_PADS = {x: "".join(f"\\x{b ^ x:02X}" for b in b"rotate me".ljust(64, b"\0")) for x in (0x36, 0x5C)}
+query("x30_pseudonymise", "", f"SELECT c_custkey, left(sha256('{_PADS[0x5C]}'::BLOB || unhex(sha256('{_PADS[0x36]}'::BLOB || encode(c_name)))), 32) AS alias FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", X.pseudonymise("c_name", b"rotate me").alias("alias")))
 query("x31_search_terms", "questions", r"""WITH a AS (SELECT queryid, trim(regexp_replace(translate(lower(query), 'áàäâãåāéèëêēíìïîīóòöôõøōúùüûūñçýÿšž', 'aaaaaaaeeeeeiiiiiooooooouuuuuncyysz'), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM questions)
 SELECT queryid, array_to_string(list_sort(list_distinct(list_filter(string_split(n, ' '), lambda w: length(w) >= 3 OR (length(w) >= 2 AND regexp_matches(w, '[0-9]'))))), ' ') AS terms FROM a""")(
     lambda s, d: A.questions(s, d).select("queryid", F.array_join(F.array_sort(X.search_terms("query")), " ").alias("terms"))

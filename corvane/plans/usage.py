@@ -46,7 +46,7 @@ query("a3_build_toolstats", "toolstats", "SELECT * FROM toolstats")(lambda s, d:
 query("f2_f3_day_and_course_filter", "msgstats", f"SELECT courseid, daterecorded, CAST(sum(messages) AS BIGINT) AS messages FROM msgstats WHERE {RANGE} AND courseid IN (1, 7, 12) GROUP BY ALL")(
     lambda s, d: D.course_filter(D.day_range(stats(s, d), FIRST, LAST), [1, 7, 12]).groupBy("courseid", "daterecorded").agg(F.sum("messages").alias("messages"))
 )
-query("f4_courses_matching", "courses", "SELECT courseid FROM courses WHERE contains(shortname, 'an')")(lambda s, d: D.courses_matching(A.courses(s, d), "ÁN", fold_accents))
+query("f4_courses_matching", "courses", "SELECT courseid FROM courses WHERE contains(shortname, 'ation_1')")(lambda s, d: D.courses_matching(A.courses(s, d), "ÁTIÓN_1", fold_accents))
 _OVERVIEW = """SELECT CAST(coalesce(sum(messages) FILTER (role = 'user'), 0) AS BIGINT) AS questions, CAST(coalesce(sum(messages) FILTER (role = 'assistant'), 0) AS BIGINT) AS answers,
 CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(prompttokens) AS BIGINT) AS prompttokens, CAST(sum(completiontokens) AS BIGINT) AS completiontokens,
 CAST(sum(totaltokens) AS BIGINT) AS totaltokens, CAST(least(sum(cachedtokens), sum(prompttokens)) AS BIGINT) AS cachedtokens FROM msgstats"""
@@ -139,7 +139,9 @@ def _platform_rows(s, d):
 
 query("a18_course_rows", "msgstats userstats enrolments configured courses", f"WITH {_rows_sql('courseid', 'true', _ENROLLED, 'id IN (SELECT courseid FROM courses WHERE courseid % 10 <> 4)')} SELECT * RENAME (id AS courseid) FROM y")(_course_rows)
 query("a19_platform_rows", "msgstats userstats", f"WITH {_rows_sql('blockinstanceid', 'courseid = 1', 'SELECT CAST(0 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS enrolled', 'true')} SELECT * RENAME (id AS blockinstanceid) FROM y")(_platform_rows)
-query("u6_scope_rows")(lambda s, d: D.scope_rows(_course_rows(s, d), _platform_rows(s, d)))
+_PLATFORM = _rows_sql("blockinstanceid", "courseid = 1", "SELECT CAST(0 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS enrolled", "true")
+query("u6_scope_rows", "msgstats userstats enrolments configured courses", f"""SELECT *, 'course' AS scope FROM (WITH {_rows_sql('courseid', 'true', _ENROLLED, 'id IN (SELECT courseid FROM courses WHERE courseid % 10 <> 4)')} SELECT * FROM y)
+UNION ALL SELECT *, 'platform' FROM (WITH {_PLATFORM} SELECT * FROM y)""")(lambda s, d: D.scope_rows(_course_rows(s, d), _platform_rows(s, d)))
 query("t1_busiest_courses", "msgstats enrolments configured", f"WITH t AS (SELECT courseid, CAST(sum(messages) AS BIGINT) AS questions FROM msgstats WHERE role = 'user' GROUP BY 1 ORDER BY questions DESC, courseid LIMIT 5), e AS ({_ENROLLED}) SELECT courseid, questions, coalesce(enrolled, 0) AS enrolled FROM t LEFT JOIN e ON id = courseid")(
     lambda s, d: D.busiest_courses(stats(s, d), _enrolled(s, d), 5)
 )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import classify as C
 from corvane.functions import text as X
 from corvane.operators import dashboard as D
+from corvane.operators import history as H
 from corvane.operators import knowledge as K
 from corvane.operators import learners as L
 from corvane.operators import retrieval as R
@@ -118,8 +119,48 @@ def test_headings_and_chunks(spark):
     docs = spark.createDataFrame([(1, "a" * 60 + "\n\n" + "b" * 60 + "\n\n" + "c" * 250)], "doc_id long, text string")
     got = [r["content"] for r in K.paragraph_chunks(docs, size=100, overlap=10).orderBy("chunkindex").collect()]
     assert got[0] == "a" * 60 and got[1] == "b" * 10 + "\n\n" + "b" * 60 and got[2] == "c" * 100
-    figs = spark.createDataFrame([("d", 1, 0, "Figure 3: The cycle."), ("d", 1, 1, "figure 3: the cycle"), ("d", 2, 0, "no caption")], "doc string, page int, at int, line string")
-    assert K.figure_captions(figs).count() == 1
+    figs = spark.createDataFrame([("d", 1, "Unidad 1\nFigure 3: The cycle.\nfigure 3: the cycle"), ("d", 2, "no caption")], "doc string, page int, text string")
+    found = K.figure_captions(figs, "doc", "page", "text").collect()
+    assert [(r["page"], r["label"]) for r in found] == [(1, "figure 3: the cycle")] and found[0]["content"].startswith("[Section: Unidad 1 › figure 3: the cycle | p. 1]\n[FIGURE REFERENCE]")
+    assert texts(spark, ["i. also note this", "I. Note this", "iv) Title", "v.2 part"], K.is_heading) == [False, True, True, True]
+
+
+def test_sections_of_chunks(spark):
+    """Headings and pages carry over pages; a chunk that begins with its heading has only the page; none without headings."""
+    pages = spark.createDataFrame([(1, 1, "Unidad 1\nPaso I\n\n" + "first " * 10), (1, 2, "more " * 10 + "\n\nUnidad 2\n\nlast"), (2, 1, "plain text here")], "doc_id long, page int, text string")
+    got = [r["content"] for r in K.paragraph_chunks(pages.filter("doc_id = 1"), page="page", size=80, overlap=5).orderBy("chunkindex").collect()]
+    assert got[0].startswith("[Section: Unidad 1 › Paso I | p. 1]\nUnidad 1\nPaso I\n\nfirst") and got[1].startswith("[Section: Unidad 1 › Paso I | p. 2]\n") and "\n\nmore" in got[1]
+    assert got[1].endswith("Unidad 2\n\nlast") or got[2].startswith("[Section: Unidad 2 | p. 2]")
+    assert [r["content"] for r in K.paragraph_chunks(pages.filter("doc_id = 2")).collect()] == ["plain text here"]
+    assert K.paragraph_chunks(pages.filter("doc_id = 3")).count() == 0
+
+
+def test_fallbacks_within_words(spark):
+    """Heads are found as substrings, also across the ends of words."""
+    said = ["sorry i cannot answer that now", "xsorry i cannot answer thatx", "i cannot", "please say it again", "a b", ""]
+    replies = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "conversationid long, turn long, words string")
+    for heads in (["sorry i cannot answer that"], ["say it"], ["ag"], ["b"], ["x y z"], [""], []):
+        got = H.used_fallback(replies, spark.createDataFrame([(h,) for h in heads], "fp string"), "words")
+        assert {r["turn"]: r["fallback"] for r in got.collect()} == {i: any(h and h in t for h in heads) for i, t in enumerate(said)}
+
+
+def test_offer_gate(spark):
+    """Every outcome: what blocks, silence after a refusal, no trigger, an opening request without a problem, allowed."""
+    script = {
+        1: [("user", "quiero hablar con una persona")],
+        2: [("user", "hola"), ("assistant", "dime"), ("user", "quiero hablar con una persona")],
+        3: [("user", "hola")],
+        4: [("user", "no puedo entrar"), ("assistant", "x"), ("user", "sigue fallando"), ("user", "y ahora"), ("user", "otra vez")],
+        5: [("user", "quiero hablar con una persona")],
+    }
+    turns = spark.createDataFrame([(c, i, r, t) for c, ts in script.items() for i, (r, t) in enumerate(ts)], "conversationid long, turn long, role string, content string")
+    trigger = F.when(F.col("conversationid") == 3, "").otherwise("asked")
+    blocked = spark.createDataFrame([(5, "quota"), (1, "")], "conversationid long, denied string")
+    refusals = spark.createDataFrame([(4, 1)], "conversationid long, refused long")
+    got = T.offer_gate(turns, turns.filter("role = 'user'").withColumn("trigger", trigger), blocked, refusals, 2)
+    assert {(r["conversationid"], r["turn"]): r["reason"] for r in got.collect()} == {
+        (1, 0): "needdetail", (2, 0): "allowed", (2, 2): "allowed", (3, 0): "notrigger", (4, 0): "allowed", (4, 2): "refused", (4, 3): "refused", (4, 4): "allowed", (5, 0): "quota",
+    }
 
 
 def test_links(spark):
