@@ -7,8 +7,10 @@ soon as the chi-square test says that a vector nearer than the k-th found would
 ``confidence`` (the documented recall target of each search).
 
 Vectors are cut into cells by the top of a kd-tree, which is fitted on at most ``sample`` projected vectors; every vector is
-indexed in its cell, and cells of over ``block`` vectors are several blocks. Each query first searches one block of its own
-cell; its k-th distance there bounds the projected radius, and only cells that the radius reaches are searched then.
+indexed in its cell. Cells that are still over-full are cut further, each by the medians of a bounded sample of its own, level
+by level in one grouped pass each, so cells stay small however many vectors there are. Each query first searches its own
+cell; its k-th distance there bounds the projected radius, and only cells whose vectors' bounds the radius reaches are searched
+then.
 Equal vectors are indexed once with their k + 1 smallest ids (more can't be among k neighbours), and searched once.
 
 Nearness is the cosine in double precision, computed from the original vectors; ties go to the smaller id. Vectors that are null,
@@ -30,6 +32,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import checkpointed
 
 
+#: Bits of the cells that an over-full cell is cut into at once, and how often cells may be cut.
+SPLIT, LEVELS = 8, 6
+
+
 def chi_square(x: float, dims: int) -> float:
     """The distribution function for an even number of degrees of freedom."""
     term = total = 1.0
@@ -146,6 +152,10 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -182,21 +192,45 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str =
     def placed(batches):
         for batch in batches:
             if batch.num_rows:
-                at = cells.of(_unit(_matrix(batch.column(1))) @ planes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(at)], ["p", "v", "ids", "cell"])
-
-    index = points.select("p", "v", "ids").mapInArrow(placed, "p long, v array<double>, ids array<long>, cell long")
-    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+                projected = _unit(_matrix(batch.column(1))) @ planes
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells.of(projected)), _lists(projected)], ["p", "v", "ids", "top", "proj"])
+
+    def splits_of(table: pa.Table) -> pa.Table:
+        """The cuts of one over-full cell, into as many cells as its rows need and its sample allows."""
+        n, own = table.column("n")[0].as_py(), _matrix(table.column("proj"))
+        depth = max(1, min(SPLIT, math.ceil(math.log2(n / block)), int(math.log2(max(2, len(own) / 16)))))
+        part = Cells(own, depth)
+        return pa.table({"cell": table.column("cell").slice(0, 1), "depth": pa.array([depth], pa.int32()), "dim": pa.array([part.dim.tolist()], pa.list_(pa.int32())), "cut": pa.array([part.cut.tolist()], pa.list_(pa.float64()))})
+
+    def deepened(df: DataFrame, splits: DataFrame) -> DataFrame:
+        """cell becomes the cell on the next level."""
+        step = lambda node, _: 2 * node + (F.get("proj", F.get("dim", node)) > F.get("cut", node)).cast("int")
+        sub = F.aggregate(F.sequence(F.lit(1), "depth"), F.lit(1), step) - F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))
+        deep = df.join(splits, "cell", "left").withColumn("cell", F.shiftleft("cell", SPLIT) + F.coalesce(sub, F.lit(0)))
+        return deep.select(*df.columns)
+
+    index = checkpointed(points.select("p", "v", "ids").mapInArrow(placed, "p long, v array<double>, ids array<long>, top long, proj array<double>").withColumn("cell", F.col("top")))
+    levels: list[DataFrame] = []
+    for _ in range(LEVELS):
+        full = checkpointed(index.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * block))
+        if full.isEmpty():
+            break
+        drawn = index.select("cell", "p", "proj").join(full, "cell").withColumn("nth", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("p"), "p"))).filter(F.col("nth") <= 16 << SPLIT)
+        levels.append(checkpointed(drawn.select("cell", "n", "proj").groupBy("cell").applyInArrow(splits_of, "cell long, depth int, dim array<int>, cut array<double>")))
+        index = checkpointed(deepened(index, levels[-1]))
+    # what can't be cut (equal projections) is dealt to blocks
+    sizes = index.groupBy("cell").agg(F.greatest(F.lit(1), F.floor(F.count("*") / (2 * block))).cast("int").alias("blocks"))
     index = checkpointed(index.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int")))
-    sizes = checkpointed(index.groupBy("cell", "block").agg(F.max("blocks").alias("blocks")))
+    bounds = [F.array(*(f(F.get("proj", F.lit(i))) for i in range(dims))).alias(name) for name, f in (("low", F.min), ("high", F.max))]
+    sizes = checkpointed(index.groupBy("cell", "block").agg(F.min("top").alias("top"), F.max("blocks").alias("blocks"), *bounds))
 
     asked = rows.filter(F.col("id") % query_every == 0).groupBy("v").agg(F.min("id").alias("q")).select("q", F.col("v").alias("qv"))
 
     def homes(batches):
         for batch in batches:
             if batch.num_rows:
-                at = cells.of(_unit(_matrix(batch.column(1))) @ planes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at)], ["q", "qv", "cell"])
+                projected = _unit(_matrix(batch.column(1))) @ planes
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells.of(projected)), _lists(projected)], ["q", "qv", "cell", "proj"])
 
     def reaching(batches):
         for batch in batches:
@@ -204,9 +238,10 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str =
                 continue
             q = _unit(_matrix(batch.column(1))) @ planes
             far = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = [cells.reached(q[i], np.inf if np.isnan(far[i]) else stop * far[i] * (1 + 1e-9) + 1e-12) for i in range(len(q))]
-            at = np.repeat(np.arange(len(q)), [len(h) for h in hit])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(np.concatenate(hit))], ["q", "qv", "far", "cell"])
+            radius = np.where(np.isnan(far), np.inf, stop * far * (1 + 1e-9) + 1e-12)
+            hit = [cells.reached(q[i], radius[i]) for i in range(len(q))]
+            at = pa.array(np.repeat(np.arange(len(q)), [len(h) for h in hit]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(radius).take(at), _lists(q).take(at), pa.array(np.concatenate(hit))], ["q", "radius", "qp", "top"])
 
     def search_block(queries: pa.Table, data: pa.Table) -> pa.Table:
         out: dict[str, list] = {"q": [], "id": [], "score": [], "d": []}
@@ -229,15 +264,20 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str =
         dealt = queries.select("q", "qv", "far", F.col("cell").alias("qcell"), F.col("block").alias("qblock"))
         return dealt.groupBy("qcell", "qblock").cogroup(index.select("v", "ids", "cell", "block").groupBy("cell", "block")).applyInArrow(search_block, kind)
 
-    first = asked.mapInArrow(homes, "q long, qv array<double>, cell long").withColumn("far", F.lit(float("nan")))
-    first = first.join(sizes, "cell").filter(F.col("block") == F.pmod(F.xxhash64("q"), F.col("blocks")))
+    first = asked.mapInArrow(homes, "q long, qv array<double>, cell long, proj array<double>").withColumn("far", F.lit(float("nan")))
+    for splits in levels:
+        first = deepened(first, splits)
+    first = checkpointed(first.join(sizes.select("cell", "block", "blocks"), "cell").filter(F.col("block") == F.pmod(F.xxhash64("q"), F.col("blocks"))).select("q", "qv", "far", "cell", "block"))
     home = checkpointed(searched(first))
     # the (k + 1)-th distance at home: the query's own row is among the k + 1
     bound = home.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"))
     bound = bound.select("q", F.when(F.col("n") > k, F.col("far")).alias("far"))
     second = asked.join(bound, "q", "left").select("q", "qv", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    second = second.mapInArrow(reaching, "q long, qv array<double>, far double, cell long").join(sizes, "cell")
-    second = second.join(first.select("q", "cell", "block"), ["q", "cell", "block"], "left_anti")
+    # of the cells below a reached one, those whose own vectors the radius reaches; vectors go along only with what is left
+    gap = F.zip_with(F.zip_with("low", "qp", lambda x, q: F.greatest(x - q, F.lit(0.0))), F.zip_with("high", "qp", lambda x, q: F.greatest(q - x, F.lit(0.0))), lambda a, b: F.greatest(a, b))
+    near = F.aggregate(gap, F.lit(0.0), lambda total, x: total + x * x) <= F.col("radius")
+    reached = second.mapInArrow(reaching, "q long, radius double, qp array<double>, top long").join(sizes.select("top", "cell", "block", "low", "high"), "top").filter(near).select("q", "cell", "block")
+    second = reached.join(first.select("q", "cell", "block"), ["q", "cell", "block"], "left_anti").join(second, "q")
     found = home.unionByName(searched(second)).select("q", "id", "score").distinct()
     top = found.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("nth") <= k + 1).drop("nth")
     # every query id of an equal vector, without itself

@@ -171,6 +171,23 @@ def test_neighbours(spark):
         assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
 
 
+@pytest.mark.parametrize("sample, block", [(20_000, 4096), (200, 40)])
+def test_recall_in_64_dimensions(spark, sample, block):
+    """Clustered vectors: at least 0.9 of the true neighbours, with a few large cells and with many that are cut again."""
+    rnd = np.random.default_rng(7)
+    centres = rnd.normal(size=(20, 64))
+    x = (centres[rnd.integers(0, 20, 3000)] + 0.5 * rnd.normal(size=(3000, 64))).astype(np.float32)
+    got = neighbors.nearest(vectors(spark, [(i, v, "", "") for i, v in enumerate(x.tolist())]), sample=sample, block=block).collect()
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits, asked = 0, range(0, 3000, 50)
+    for q in asked:
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-near)[:5].tolist()))
+    assert len(got) == 5 * len(asked) and hits >= 0.9 * len(got)
+
+
 def test_few_neighbours(spark):
     assert neighbors.nearest(vectors(spark, [])).count() == 0
     assert [(r["query_id"], r["vec_id"]) for r in neighbors.nearest(vectors(spark, [(50, [1.0, 0.0], "", ""), (51, [0.0, 1.0], "", "")])).collect()] == [(50, 51)]
