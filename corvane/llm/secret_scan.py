@@ -134,21 +134,32 @@ def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(*FEATURES, "label").unionByName(given.select(*FEATURES, "label"))
 
 
-def train(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7) -> Callable[[Column], Column]:
-    """A function from a candidate's struct of features to the column of its score (0 to 1). Both kinds of labels, which must be
-    there, weigh the same in all."""
+def fit(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 7):
+    """The random forest of labelled features. Both kinds of labels, which must be there, weigh the same in all."""
     # labels of a bounded number of documents, in an order that a second run meets again
     rows = checkpointed(labelled.select(*FEATURES, "label").repartition(8, *FEATURES).sortWithinPartitions(*FEATURES, "label"))
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not {0.0, 1.0} <= set(kinds):
         raise ValueError("labelled findings of both kinds are needed")
     weight = F.when(F.col("label") == 1, sum(kinds.values()) / kinds[1.0]).otherwise(sum(kinds.values()) / kinds[0.0])
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label", weight.alias("weight"))
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", weightCol="weight").fit(vectors)
+    vectors = as_vectors(rows.withColumn("weight", weight))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", weightCol="weight").fit(vectors)
+
+
+def as_vectors(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+
+def as_column(forest) -> Callable[[Column], Column]:
+    """A function from a candidate's struct of features to the column of its score (0 to 1): the trees' mean share of secrets."""
     roots = [_read(t._java_obj.rootNode()) for t in forest.trees]
     return lambda f: sum((_tree(r, f) for r in roots[1:]), _tree(roots[0], f)) / float(len(roots))
 
 
+def train(labelled: DataFrame, **options) -> Callable[[Column], Column]:
+    return as_column(fit(labelled, **options))
+
+
 def _read(node):
     """A tree as nested tuples (feature, threshold, left, right), a leaf as the share of secrets."""
     if node.getClass().getSimpleName() == "LeafNode":

@@ -56,6 +56,37 @@ def test_forest_decides_without_secrets_in_the_table(spark):
     assert {r["doc_id"] for r in secret_scan.findings(docs(spark, [*secrets, *others]), score).collect()} == {2, 3}
 
 
+def test_scores_are_the_forests_own(spark):
+    """The column expression gives what the forest itself predicts."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = secret_scan.weak_labels(docs(spark, [(1, "password = 0123456789abcdef01 and /usr/share/doc/notes"), (2, "order 4111111111111111")]))
+    forest = secret_scan.fit(rows)
+    own = F.struct(*(F.col(c) for c in secret_scan.FEATURES))
+    both = forest.transform(secret_scan.as_vectors(rows)).select(vector_to_array("probability")[1].alias("p"), secret_scan.as_column(forest)(own).alias("q")).collect()
+    assert len(both) > 150 and max(abs(r["p"] - r["q"]) for r in both) < 1e-9
+
+
+def test_recall_and_precision_on_held_out_findings(spark):
+    """Findings of other kinds of text and value than the fixed examples have: most secrets are found, most else is left alone."""
+    rnd = random.Random(21)
+    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    low, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [lambda: pick("0123456789abcdef", 40), lambda: pick(mixed, 24), lambda: pick(low, 32), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(mixed, 36)]
+    told = ["DB_PASSWORD={}", "export API_TOKEN={}", "auth_token: '{}'", "my api key is {} thanks", '{{"client_secret": "{}"}}']
+    uuid = lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    others = [
+        lambda: "see https://example.org/" + "/".join(rnd.choice(["docs", "images", "static", "users", "report"]) for _ in range(4)),
+        lambda: "the id " + uuid() + " of it", lambda: "data:image/png;base64," + pick(mixed + "+/", 200), lambda: "at commit " + pick("0123456789abcdef", 40),
+        lambda: "call " + pick("0123456789", 14) + " now", lambda: "eine " + rnd.choice(["Rechtsschutzversicherungsgesellschaft", "Donaudampfschifffahrtskapitaen"]) + " ist", lambda: "in src/main/java/" + rnd.choice(["services", "controllers"]) + "/index-page",
+    ]
+    rows = [(i, rnd.choice(told).format(rnd.choice(keys)())) for i in range(150)] + [(1000 + i, rnd.choice(others)()) for i in range(150)]
+    score = secret_scan.train(secret_scan.weak_labels(docs(spark, [(1, "none")])))
+    found = {r["doc_id"] for r in secret_scan.findings(docs(spark, rows), score).collect()}
+    hits = len([i for i in found if i < 1000])
+    assert hits / 150 >= 0.9 and hits / len(found) >= 0.9, (hits, len(found), [t for i, t in rows if i in found and i >= 1000][:9], [t for i, t in rows if i not in found and i < 1000][:9])
+
+
 def test_secrets_beyond_the_training_documents_are_labelled(spark):
     rows = [(i, "password: " + hashlib.md5(b"%d" % i).hexdigest() if i in (77, 150) else f"order {10**15 + i}") for i in range(200)]
     fixed = sum(label for _, label in secret_scan.EXAMPLES)
