@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from corvane.operators import rollup as R
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import shared_folder, table
 from corvane.sources import adapters as A
 from corvane.streaming import streams as S
 
 
 def shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, 'spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark, d):
@@ -37,13 +35,20 @@ query("g2_rate_limit", "messages", """SELECT messageid, row_number() OVER (PARTI
 OR row_number() OVER (PARTITION BY userid, CAST(timecreated AS DATE) ORDER BY timecreated, messageid) > 3 AS denied FROM messages WHERE role = 'user'""")(lambda s, d: S.over_limit(A.messages(s, d).filter("role = 'user'"), "userid", 1, 3).select("messageid", "denied"))
 
 
-def _minutes(s, d):
+def _counted(s, d, size):
     at = shared(s)
-    S.to_folder(S.window_counts(event_stream(s, d).filter("role = 'user'"), ["userid"], "1 day", "0 seconds"), f"{at}/out", f"{at}/state")
-    return s.read.schema("userid long, start timestamp, n long").parquet(f"{at}/out").select("userid", F.to_date("start").alias("day"), "n")
+    S.to_folder(S.window_counts(event_stream(s, d).filter("role = 'user'"), ["userid"], size, "0 seconds"), f"{at}/out", f"{at}/state")
+    return s.read.schema("userid long, start timestamp, n long").parquet(f"{at}/out")
 
 
-query("g2_window_count_stream")(_minutes)
+# a window comes out once the stream is past its end
+_CLOSED = "(SELECT max(timecreated) FROM messages WHERE role = 'user')"
+query("g2_window_count_stream", "messages", f"SELECT * FROM (SELECT userid, CAST(timecreated AS DATE) AS day, count(*) AS n FROM messages WHERE role = 'user' GROUP BY ALL) WHERE day + INTERVAL 1 DAY <= {_CLOSED}")(
+    lambda s, d: _counted(s, d, "1 day").select("userid", F.to_date("start").alias("day"), "n")
+)
+query("g2_minute_count_stream", "messages", f"SELECT * FROM (SELECT userid, date_trunc('minute', timecreated) AS minute, count(*) AS n FROM messages WHERE role = 'user' GROUP BY ALL) WHERE minute + INTERVAL 1 MINUTE <= {_CLOSED}")(
+    lambda s, d: _counted(s, d, "1 minute").select("userid", F.col("start").cast("timestamp_ntz").alias("minute"), "n")
+)
 query("g3_visitor_limits", "messages", """WITH v AS (SELECT messageid AS visitid, userid % 50 AS address, timecreated, row_number() OVER (PARTITION BY userid % 50, floor(epoch(timecreated) / 7200) ORDER BY timecreated, messageid) AS a,
 row_number() OVER (PARTITION BY CAST(timecreated AS DATE) ORDER BY timecreated, messageid) AS n FROM messages) SELECT visitid, address, a > 1 OR n > 200 AS denied, n = 201 AS notice FROM v""")(
     lambda s, d: S.visitor_limits(A.messages(s, d).select(F.col("messageid").alias("visitid"), (F.col("userid") % 50).alias("address"), "timecreated"), 120, 1, 200)
@@ -51,13 +56,16 @@ row_number() OVER (PARTITION BY CAST(timecreated AS DATE) ORDER BY timecreated,
 
 
 def _distinct(s, d):
+    """Tickets of the errors; all of them come in one batch, so of those that are alike one is kept."""
     at = shared(s)
-    tickets = event_stream(s, d).filter("role = 'assistant'").select("courseid", "userid", F.lit("one").alias("summaryhash"), F.col("timecreated"))
+    raw = S.read_folder(s, d, table(s, d, "events").schema, glob="events.parquet").filter("event_type = 'error'")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    tickets = raw.select((F.col("user_id") % 25).alias("courseid"), F.col("user_id").alias("userid"), F.sha1((k % 10).cast("string").cast("binary")).alias("summaryhash"), F.col("ts").cast("timestamp").alias("timecreated"))
     S.to_folder(S.distinct_tickets(tickets, 24), f"{at}/out", f"{at}/state")
     return s.read.schema("courseid long, userid long, summaryhash string").parquet(f"{at}/out").groupBy("courseid").agg(F.count("*").alias("tickets"))
 
 
-query("g4_distinct_tickets_stream")(_distinct)
+query("g4_distinct_tickets_stream", "tickets", "SELECT courseid, count(*) AS tickets FROM (SELECT DISTINCT courseid, userid, summaryhash FROM tickets) GROUP BY 1")(_distinct)
 
 
 def _lifecycle(s, d):
