@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import shared_folder
+
 #: White space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """The session's ``spark.checkpoint.dir``, which driver and executors share. Where it is unset a local session gets a temporary
-    folder; on a cluster that would be no shared folder, so it is an error there."""
-    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix=prefix)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the checkpoint folder that all executors share."""
     sc = df.sparkSession.sparkContext
