@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import language, mixing, ngram_join, pieces, secret_scan
-from corvane.llm.common import checkpointed, shared_folder
+from corvane.llm.common import checkpointed
 from corvane.llm.entries import tokenizer
-from corvane.session import ship_code
+from corvane.session import shared_folder, ship_code
 
 MODEL = "piece_bpe_32k.model"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
