@@ -36,7 +36,7 @@ SAFE = 24
 _UNIT = 1e100
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_KEEP = 300_000
+_KEEP = 80_000
 _FLOOR = 1e-8
 #: Ids to learn from that may be broadcast; more of them (of some hundred languages) are joined by shuffle.
 FEW = 1_000_000
@@ -128,7 +128,7 @@ class Vocabulary:
         for w in words:
             by.setdefault(len(w), []).append(w)
         for n, same in by.items():
-            step = max(1, 240_000 // n)
+            step = max(1, 100_000 // n)
             for i in range(0, len(same), step):
                 yield same[i : i + step]
 
@@ -204,10 +204,11 @@ def learn(docs: DataFrame, model: str, trained: Column, id_col: str = "doc_id",
             counts.clear()
 
         for batch in batches:
-            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, counts.values())) > _KEEP:
-                fold()
+            for text, lang in zip(batch.column(1), batch.column(2), strict=True):
+                own = counts.setdefault(lang.as_py(), Counter())
+                own.update(words_of(text.as_py()))
+                if len(own) > _KEEP:
+                    fold()
         fold()
         for lang, x in sums.items():
             some = np.flatnonzero(x[:-1] > 0)
@@ -243,8 +244,8 @@ def predict(docs: DataFrame, model: str, langs: list[str], p: np.ndarray, id_col
         row_of: dict[str, int] = {}
         logs = np.zeros((0, len(langs)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = [words_of(t) for t in part.column(1).to_pylist()]
                 if len(row_of) > _KEEP:
                     row_of, logs = {}, logs[:0]

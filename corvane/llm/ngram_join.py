@@ -73,7 +73,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     known = _words()
-    if len(known) > 200_000:
+    if len(known) > 100_000:
         known.clear()
     w = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     if len(w) >= SHINGLE:
@@ -182,11 +182,11 @@ def profile(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
     return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
-def signatures(docs: DataFrame, text_col: str, buckets: int, most: int, keys_at_once: int = 1_000_000, spread: int = 256) -> DataFrame:
-    """bucket, part and, packed, their share of a million keys: for each class and scheme (cls, scheme, slack) how many keys
+def signatures(docs: DataFrame, text_col: str, buckets: int, most: int, keys_at_once: int = 600_000, spread: int = 256) -> DataFrame:
+    """bucket, part and, packed, their share of some hundred thousand keys: for each class and scheme (cls, scheme, slack) how many keys
     follow, and 32 bits of each key (its bucket is the rest). Each class once a task.
 
-    Part 0 of a bucket has all keys but those that over ``spread`` classes share among one million: of these it has
+    Part 0 of a bucket has all keys but those that over ``spread`` classes share among those: of these it has
     most + 1 members, so that it knows them for hot, and the others go to parts of their own. So a bucket never holds
     all members of a very hot key."""
     schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("bucket", "part")] + [T.StructField(c, T.BinaryType()) for c in ("cls", "scheme", "slack", "n", "keys")])
@@ -237,7 +237,7 @@ def signatures(docs: DataFrame, text_col: str, buckets: int, most: int, keys_at_
                 if size >= keys_at_once:
                     yield packed(entries, 1 + hash((TaskContext.get().partitionId(), chunk)) % (1 << 30))
                     entries, size, chunk = [], 0, chunk + 1
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
         if entries:
             yield packed(entries, 1 + hash((TaskContext.get().partitionId(), chunk)) % (1 << 30))
@@ -245,6 +245,13 @@ def signatures(docs: DataFrame, text_col: str, buckets: int, most: int, keys_at_
     return docs.select(text_col).mapInArrow(run, schema)
 
 
+def flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers that a column of bytes holds, one row's after another's."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    ends = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else [0, 0]
+    return np.frombuffer(memoryview(whole.buffers()[2])[ends[0] : ends[-1]], dtype=kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+
+
 def meeting(signed: DataFrame, most: int, chunk: int = 4096) -> DataFrame:
     """What meets in equal keys: kind 0 (members of a key that at most ``most`` classes share), kind 1 (gid: a hot key; up to ``chunk`` of its
     members), kind 2 (cls, scheme, hot: how many of a class's keys are hot, slack)."""
@@ -252,21 +259,26 @@ def meeting(signed: DataFrame, most: int, chunk: int = 4096) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         bucket, always = table.column("bucket")[0].as_py(), table.column("part")[0].as_py() > 0
-        cls, scheme, slack, n, key = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), dtype=t) for c, t in (("cls", np.int64), ("scheme", np.int16), ("slack", np.int32), ("n", np.int32), ("keys", np.uint32)))
+        cls, scheme, slack, n, key = (flat(table.column(c), t) for c, t in (("cls", np.int64), ("scheme", np.int16), ("slack", np.int32), ("n", np.int32), ("keys", np.uint32)))
         names, dense = np.unique(cls, return_inverse=True)
         row = np.repeat(np.arange(len(cls), dtype=np.int32), n)
-        both = (key.astype(np.uint64) << _U(32)) | dense.astype(np.uint64)[row]
+        both = key.astype(np.uint64)
+        both <<= _U(32)
+        both |= dense.astype(np.uint32)[row]
         order = np.argsort(both)
         both, row = both[order], row[order]
+        del order
         fresh = np.r_[True, both[1:] != both[:-1]]
         both, row = both[fresh], row[fresh]
-        key, member = both >> _U(32), (both & _U(0xFFFFFFFF)).astype(np.int64)
+        member = both.astype(np.uint32)
+        key = (both >> _U(32)).astype(np.uint32)
+        del both, fresh
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         is_hot = np.full(len(size), True) if always else size > most
         # few: groups of the same members are one
         few = np.flatnonzero(~is_hot & (size >= 2))
-        ident = np.add.reduceat(mix(names[member].view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+        ident = np.add.reduceat(mix(names.view(np.uint64))[member], start) if len(start) else np.zeros(0, np.uint64)
         few = few[np.unique(ident[few] + size[few].astype(np.uint64), return_index=True)[1]]
         # hot: rows of at most ``chunk`` members
         hot = np.flatnonzero(is_hot)
@@ -451,7 +463,7 @@ def linked_apart(families: DataFrame, classes: DataFrame, docs: DataFrame, id_co
     return rows.groupBy("p", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keys_per_bucket: int = 2_000_000, most: int = HOT, room: int = ROOM, spread: int = 256) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keys_per_bucket: int = 1_200_000, most: int = HOT, room: int = ROOM, spread: int = 256) -> DataFrame:
     """One row per input row: doc_id, the columns to keep, n_shingles, component_id, cls and lead (the class that leads its component:
     the one with its smallest id; both null without shingles)."""
     rows = checkpointed(profile(docs, id_col, text_col, keep))

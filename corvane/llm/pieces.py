@@ -28,7 +28,7 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NO_PAIR = np.int64(1) << 60
 #: Distinct words kept between batches by one worker; longer words than _KEEP_CHARS are never kept.
-_KEEP_WORDS, _KEEP_CHARS = 400_000, 40
+_KEEP_WORDS, _KEEP_CHARS = 150_000, 40
 
 
 class PieceTable:
@@ -197,7 +197,7 @@ class Codec:
             for w in [w for w in self.known if len(w) > _KEEP_CHARS]:
                 del self.known[w]
 
-    def encode(self, texts: list[str | None], chunk: int = 2_000_000) -> list[tuple[str, int, str]]:
+    def encode(self, texts: list[str | None], chunk: int = 800_000) -> list[tuple[str, int, str]]:
         """(ids joined by commas, number of ids, decoded text) of each text; texts of some chunk characters at a time."""
         out, at = [], 0
         while at < len(texts):
