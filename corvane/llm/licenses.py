@@ -2,7 +2,8 @@
 and/or/with expressions are parsed by the shunting-yard method and evaluated.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered. A phrase is found wherever its words
-stand one after another. Null text counts as empty: no words, no labels, score 0. Repeated rows give repeated rows.
+stand one after another. Null text counts as empty: no words, no labels, score 0. Repeated rows give repeated rows, an empty
+table gives no rows, texts of any length are scanned whole, extra columns are ignored.
 An expression that can't be parsed gives the labels of the identifiers read before the fault.
 """
 
@@ -30,6 +31,20 @@ MORE_PHRASES = {
     "redistribution and use in source and binary forms": "bsd",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "mit license": "mit",
+    "gpl v3": "gpl-3",
+    "gplv3": "gpl-3",
+    "gpl version 3": "gpl-3",
+    "gpl v2": "gpl-2",
+    "gplv2": "gpl-2",
+    "gpl version 2": "gpl-2",
+    "lgpl v2": "lgpl",
+    "lgpl v3": "lgpl",
+    "lgplv2": "lgpl",
+    "lgplv3": "lgpl",
+    "agpl v3": "agpl-3",
+    "agplv3": "agpl-3",
+    "bsd license": "bsd",
+    "isc license": "isc",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
     "dedicated to the public domain": "public-domain",
@@ -48,8 +63,25 @@ IDENTIFIERS = {
     "gpl-2.0-or-later": "gpl-2",
     "agpl-3.0": "agpl-3",
     "agpl-3.0-only": "agpl-3",
+    "agpl-3.0-or-later": "agpl-3",
+    "lgpl-2.0": "lgpl",
+    "lgpl-2.0-only": "lgpl",
+    "lgpl-2.0-or-later": "lgpl",
+    "lgpl-2.1": "lgpl",
+    "lgpl-2.1-only": "lgpl",
+    "lgpl-2.1-or-later": "lgpl",
+    "lgpl-3.0": "lgpl",
+    "lgpl-3.0-only": "lgpl",
+    "lgpl-3.0-or-later": "lgpl",
     "mpl-2.0": "mpl-2",
+    "mpl-2.0-no-copyleft-exception": "mpl-2",
+    "cc-by-3.0": "cc-by",
+    "cc-by-4.0": "cc-by",
+    "cc-by-nc-3.0": "cc-by-nc",
     "cc-by-nc-4.0": "cc-by-nc",
+    "cc-by-nd-3.0": "cc-by-nd",
+    "cc-by-nd-4.0": "cc-by-nd",
+    "cc-by-sa-3.0": "cc-by-sa",
     "cc-by-sa-4.0": "cc-by-sa",
     "bsd-2-clause": "bsd",
     "bsd-3-clause": "bsd",

@@ -6,9 +6,10 @@ has to give, so each source ends at its number exactly. A source's slot j takes
 permutation of the source's block indices gives for j (a new permutation whenever all blocks were taken), and
 slots meet blocks in a join by index. Everything follows from ``seed``: reruns agree.
 
-The driver holds one row for each source and shard, never anything of the size of the documents. Sources go by code
-point, null last. A null text has no words, a document without words takes no part and gets 0; repeated rows are
-documents of their own. An empty table gives no rows.
+The driver holds one row for each source and shard, never anything of the size of the documents. Sources are named ones: over
+MOST_SOURCES of them are an error. They go by code point, null last. A null text has no words, a document without words takes
+no part and gets 0; repeated rows are documents of their own, texts of any length are taken whole. An empty table gives no
+rows; extra columns are ignored, or kept by ``drawn_texts``.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from corvane.llm.common import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_SOURCES = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -82,7 +84,10 @@ class Mix:
         self.block_words, self.seed = block_words, seed
         spark = docs.sparkSession
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("hash"))
-        per = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+        if len(per) > MOST_SOURCES:
+            raise ValueError(f"over {MOST_SOURCES} sources: name the sources that documents are mixed by")
+        per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
         self.sizes = [r["size"] for r in per]
         weights = weights or [float(i % 3 + 1) for i in range(len(per))]
         self.targets = targets(self.sizes, weights, cap)

@@ -163,6 +163,13 @@ def test_licences(spark):
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in got)
 
 
+def test_more_licences(spark):
+    texts = ["released under GPL v3.", "SPDX-License-Identifier: LGPL-2.1-or-later", "// SPDX-License-Identifier: CC-BY-ND-4.0 OR AGPL-3.0-or-later\n", "see the LGPLv3"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "gpl-3", 1: "lgpl", 2: "agpl-3,cc-by-nd", 3: "lgpl"}
+    assert licenses.scan(docs(spark, [])).count() == 0
+
+
 def test_licence_expressions():
     assert licenses.postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
     assert licenses.evaluate("(MIT OR GPL-3.0-only) AND Apache-2.0 WITH LLVM-exception") == ({"mit", "gpl-3", "apache-2"}, True)
