@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed
@@ -122,6 +122,12 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("__found", F.transform("__c", judged)).drop("__c")
 
 
+def examples(spark: SparkSession) -> DataFrame:
+    """The fixed labelled findings as literals, so that no Python worker makes them."""
+    rows = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(y).alias("label")) for t, y in EXAMPLES))
+    return spark.range(0, 1, 1, 1).select(F.explode(rows).alias("x")).select("x.*")
+
+
 def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 20_000) -> DataFrame:
     """Features and label of the candidates where the weak rule knows, of at most ``train_docs`` documents and of as many of those
     that ``MAYBE`` finds among all, and of the fixed examples."""
@@ -130,7 +136,7 @@ def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = first(rows).unionByName(first(rows.filter(F.regexp_like("text", F.lit(MAYBE))))).distinct()
     some = rows.join(F.broadcast(ids), "id", "left_semi")  # 2 * train_docs ids at most
     found = with_candidates(some).select(F.explode("__found").alias("f")).filter("f.weak IS NOT NULL").select("f.*", F.col("f.weak").alias("label"))
-    given = with_candidates(docs.sparkSession.createDataFrame(EXAMPLES, "text string, label double").coalesce(1)).select("label", F.explode("__found").alias("f")).select("f.*", "label")
+    given = with_candidates(examples(docs.sparkSession)).select("label", F.explode("__found").alias("f")).select("f.*", "label")
     return found.select(*FEATURES, "label").unionByName(given.select(*FEATURES, "label"))
 
 
