@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, fingerprint, language, licenses, mixing, neighbors, ngram_join, pieces, secret_scan, sharding
+from corvane.llm import chat, fingerprint, language, licenses, line_dedup, mixing, neighbors, ngram_join, pieces, secret_scan, sharding, spelling, turn_repair
 from corvane.session import ship_code, table
 
 
@@ -72,7 +72,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_licenses, op4_neighbors, op5_mixing, op6_chat, op7_sentencepiece, op8_language, op9_ngram_join, op10_fingerprints)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.damaged(spelling.runs(table(spark, sf_dir, "documents")))
+    return spelling.group_variants(spelling.counted(runs))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    return turn_repair.digests(turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")), here="here"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_licenses, op4_neighbors, op5_mixing, op6_chat, op7_sentencepiece, op8_language, op9_ngram_join, op10_fingerprints, op11_line_dedup, op12_spelling, op13_turn_repair)}
 
 
 def shards_sql(byte_limit: int, bits: int = 12) -> str:
@@ -93,5 +108,11 @@ l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+LINES_SQL = """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), u AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM s),
+l AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM u),
+r AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT l.*, r.last IS NOT NULL AND doc_id <> r.last AS gone FROM l LEFT JOIN r ON l.k = r.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id"""
+
 #: The others have no SQL form (forests, projections, permutations, merge rounds, sketches); tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_shards": shards_sql(16 << 20), "op9_ngram_join": JOIN_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_shards": shards_sql(16 << 20), "op9_ngram_join": JOIN_SQL, "op11_line_dedup": LINES_SQL}
