@@ -27,11 +27,14 @@ def purge_messages(t: Tables, cutoff: str | None) -> Tables:
 
 
 def purge_tickets(t: Tables, cutoff: str | None) -> Tables:
-    """Without old tickets that are no drafts, and without those whose conversation is gone."""
+    """Without tickets last modified before the cutoff and without those whose conversation is gone (of tickets that had one, a
+    conversationid over 0); drafts stay whatever their age."""
     if cutoff is None:
         return t
-    kept = t["tickets"].filter(~_before("timecreated", cutoff) | (F.col("status") == "draft"))
-    return t | {"tickets": kept.join(t["conversations"], CONV, "left_semi")}
+    draft, had = F.col("status") == "draft", F.coalesce(F.col(CONV) > 0, F.lit(False))
+    kept = t["tickets"].filter(draft | ~_before("timemodified", cutoff))
+    there = t["conversations"].select(CONV, F.lit(True).alias("__there")).distinct()
+    return t | {"tickets": kept.join(there, CONV, "left").filter(draft | ~had | F.col("__there")).select(*kept.columns)}
 
 
 def purge_visitors(t: Tables, now: str, hours: int = 24) -> Tables:
@@ -42,13 +45,20 @@ def purge_visitors(t: Tables, now: str, hours: int = 24) -> Tables:
 
 
 def expire_drafts(tickets: DataFrame, now: str, life_hours: int = 24) -> DataFrame:
-    over = (F.col("status") == "draft") & (F.col("timecreated") + F.expr(f"INTERVAL {life_hours} HOURS") < F.lit(now).cast("timestamp_ntz"))
-    return tickets.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
+    """Drafts whose token has expired become expired tickets, modified now. Tickets without ``tokenexpiry`` expire ``life_hours`` after they were
+    made; a null one never does."""
+    at = F.lit(now).cast("timestamp_ntz")
+    end = F.col("tokenexpiry") if "tokenexpiry" in tickets.columns else F.col("timecreated") + F.expr(f"INTERVAL {life_hours} HOURS")
+    over = F.coalesce((F.col("status") == "draft") & (end < at), F.lit(False))
+    return tickets.withColumns({"status": F.when(over, "expired").otherwise(F.col("status")), "timemodified": F.when(over, at).otherwise(F.col("timemodified"))})
 
 
 def retention(t: Tables, now: str, cutoff: str | None, hours: int = 24) -> Tables:
-    """All purges in order: visitors, drafts, conversations, messages, tickets."""
+    """Visitors' conversations go by their own clock. The rest only where retention is on (a cutoff): drafts expire, then conversations,
+    messages and tickets go."""
     t = purge_visitors(t, now, hours)
+    if cutoff is None:
+        return t
     t = t | {"tickets": expire_drafts(t["tickets"], now)}
     return purge_tickets(purge_messages(purge_conversations(t, cutoff), cutoff), cutoff)
 

@@ -61,6 +61,14 @@ def tables(s, d):
     return {n: f(s, d).withColumn("userid", zero) for n, f in (("conversations", A.conversations), ("messages", A.messages), ("tickets", A.tickets))}
 
 
+def aged(s, d):
+    """The same; tickets are modified days after they were made, some have lost their conversation and some never had one."""
+    t = tables(s, d)
+    later = F.expr("timecreated + make_dt_interval(CAST(ticketid % 17 AS INT))")
+    conv = F.when(F.col("ticketid") % 5 == 0, -F.col("conversationid")).when(F.col("ticketid") % 11 == 0, F.col("conversationid") + 400).otherwise(F.col("conversationid"))
+    return t | {"tickets": t["tickets"].withColumns({"timemodified": later, "conversationid": conv})}
+
+
 def all_tables(s, d):
     """Also the daily counts of users, and the conversations a user began on each day (the legacy usage table)."""
     t = tables(s, d)
@@ -74,18 +82,39 @@ _N = "SELECT 'conversations' AS name, count(*) AS n FROM c UNION ALL SELECT 'mes
 ALL = "convs messages tickets"
 query("p1_purge_conversations", ALL, f"WITH {_T}, c AS (SELECT * FROM c0 WHERE timemodified >= TIMESTAMP '{CUT}'), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0) {_N}")(lambda s, d: G.counts(G.purge_conversations(tables(s, d), CUT)))
 query("p2_purge_messages", ALL, f"WITH {_T}, c AS (SELECT * FROM c0), m AS (SELECT * FROM m0 WHERE timecreated >= TIMESTAMP '{CUT}'), t AS (SELECT * FROM t0) {_N}")(lambda s, d: G.counts(G.purge_messages(tables(s, d), CUT)))
-query("p3_purge_tickets", ALL, f"WITH {_T}, c AS (SELECT * FROM c0), m AS (SELECT * FROM m0), t AS (SELECT * FROM t0 WHERE timecreated >= TIMESTAMP '{CUT}' OR status = 'draft') {_N}")(lambda s, d: G.counts(G.purge_tickets(tables(s, d), CUT)))
+_A = """t9 AS (SELECT * REPLACE (timecreated + to_days(CAST(ticketid % 17 AS INTEGER)) AS timemodified,
+CASE WHEN ticketid % 5 = 0 THEN -conversationid WHEN ticketid % 11 = 0 THEN conversationid + 400 ELSE conversationid END AS conversationid) FROM t0)"""
+_LEFT = "SELECT 'ticket' AS name, ticketid AS id, status FROM t UNION ALL SELECT 'conversation', conversationid, NULL FROM c UNION ALL SELECT 'message', messageid, NULL FROM m"
+
+
+def left(t):
+    """What is left, row by row."""
+    tickets = t["tickets"].select(F.lit("ticket").alias("name"), F.col("ticketid").alias("id"), "status")
+    others = [t[f"{n}s"].select(F.lit(n).alias("name"), F.col(f"{n}id").alias("id"), F.lit(None).cast("string").alias("status")) for n in ("conversation", "message")]
+    return tickets.unionByName(others[0]).unionByName(others[1])
+
+
+query("p3_purge_tickets", ALL, f"""WITH {_T}, {_A}, c AS (SELECT * FROM c0), m AS (SELECT * FROM m0), old AS (SELECT ticketid FROM t9 WHERE timemodified < TIMESTAMP '{CUT}' AND status <> 'draft'),
+orphan AS (SELECT ticketid FROM t9 WHERE conversationid > 0 AND status <> 'draft' AND conversationid NOT IN (SELECT conversationid FROM c0)),
+t AS (SELECT * FROM t9 WHERE ticketid NOT IN (SELECT ticketid FROM old) AND ticketid NOT IN (SELECT ticketid FROM orphan)) {_LEFT}""")(lambda s, d: left(G.purge_tickets(aged(s, d), CUT)))
 _V = f"userid = 0 AND timemodified + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}'"
 query("p4_purge_visitors", ALL, f"WITH {_T}, c AS (SELECT * FROM c0 WHERE NOT ({_V})), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0) {_N}")(lambda s, d: G.counts(G.purge_visitors(tables(s, d), TODAY)))
-query("p5_expire_drafts", "tickets", f"SELECT ticketid, CASE WHEN status = 'draft' AND timecreated + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}' THEN 'expired' ELSE status END AS status FROM tickets")(lambda s, d: G.expire_drafts(A.tickets(s, d), TODAY).select("ticketid", "status"))
+query("p5_expire_drafts", "tickets", f"""WITH x AS (SELECT ticketid, status = 'draft' AND timecreated + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}' AS stale, status, timemodified FROM tickets)
+SELECT ticketid, CASE WHEN stale THEN 'expired' ELSE status END AS status, CASE WHEN stale THEN TIMESTAMP '{TODAY}' ELSE timemodified END AS timemodified FROM x""")(
+    lambda s, d: G.expire_drafts(A.tickets(s, d), TODAY).select("ticketid", "status", "timemodified")
+)
 _U = """u0 AS (SELECT courseid, blockinstanceid, CAST(timecreated AS DATE) AS daterecorded, userid, count(*) AS numquestions FROM m0 WHERE role = 'user' GROUP BY ALL),
 g0 AS (SELECT userid, courseid, CAST(timecreated AS DATE) AS day, count(*) AS conversationcount FROM c0 GROUP BY ALL)"""
 query("p6_erase_subject", ALL, f"""WITH {_T}, {_U}, c AS (SELECT * FROM c0 WHERE userid NOT IN (5, 12)), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0 WHERE userid NOT IN (5, 12)) {_N}
 UNION ALL SELECT 'userstats', count(*) FROM u0 WHERE userid NOT IN (5, 12) UNION ALL SELECT 'usage', count(*) FROM g0 WHERE userid NOT IN (5, 12)""")(
     lambda s, d: G.counts(G.erase_subject(all_tables(s, d), s.range(0, 20, 1, 1).filter("id IN (5, 12)").select(F.col("id").alias("userid"))))
 )
-query("p8_retention", ALL, f"""WITH {_T}, c1 AS (SELECT * FROM c0 WHERE NOT ({_V})), c AS (SELECT * FROM c1 WHERE timemodified >= TIMESTAMP '{CUT}'), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c) AND timecreated >= TIMESTAMP '{CUT}'),
-t AS (SELECT * FROM t0 WHERE (timecreated >= TIMESTAMP '{CUT}' OR (status = 'draft' AND timecreated + INTERVAL 24 HOUR >= TIMESTAMP '{TODAY}')) AND conversationid IN (SELECT conversationid FROM c)) {_N}""")(lambda s, d: G.counts(G.retention(tables(s, d), TODAY, CUT)))
+_GONE = f"""c1 AS (SELECT * FROM c0 WHERE NOT ({_V})), m1 AS (SELECT * FROM m0 WHERE conversationid NOT IN (SELECT conversationid FROM c0 WHERE {_V}))"""
+query("p8_retention", ALL, f"""WITH {_T}, {_A}, {_GONE}, x AS (SELECT *, status = 'draft' AND timecreated + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}' AS stale FROM t9),
+t1 AS (SELECT * REPLACE (CASE WHEN stale THEN 'expired' ELSE status END AS status, CASE WHEN stale THEN TIMESTAMP '{TODAY}' ELSE timemodified END AS timemodified) FROM x),
+c AS (SELECT * FROM c1 WHERE timemodified >= TIMESTAMP '{CUT}'), m AS (SELECT * FROM m1 WHERE timecreated >= TIMESTAMP '{CUT}' AND conversationid NOT IN (SELECT conversationid FROM c1 WHERE timemodified < TIMESTAMP '{CUT}')),
+t AS (SELECT * FROM t1 WHERE status = 'draft' OR (timemodified >= TIMESTAMP '{CUT}' AND (conversationid <= 0 OR conversationid IN (SELECT conversationid FROM c)))) {_LEFT}""")(lambda s, d: left(G.retention(aged(s, d), TODAY, CUT)))
+query("p8_retention_off", ALL, f"WITH {_T}, {_A}, {_GONE}, c AS (SELECT * FROM c1), m AS (SELECT * FROM m1), t AS (SELECT * FROM t9) {_LEFT}")(lambda s, d: left(G.retention(aged(s, d), TODAY, None)))
 query("u1_subject_contexts", ALL, f"WITH {_T}, {_U} SELECT userid, courseid FROM c0 UNION SELECT userid, courseid FROM m0 UNION SELECT userid, courseid FROM t0 UNION SELECT userid, courseid FROM u0 UNION SELECT userid, courseid FROM g0")(lambda s, d: G.subject_contexts(all_tables(s, d)))
 query("u2_users_in_context", ALL, f"WITH {_T} SELECT userid FROM c0 WHERE courseid = 3 UNION SELECT userid FROM m0 WHERE courseid = 3 UNION SELECT userid FROM t0 WHERE courseid = 3")(lambda s, d: G.users_in_context(tables(s, d), 3))
 query("s13_export_subject", ALL, f"WITH {_T}, c AS (SELECT userid, courseid, count(DISTINCT conversationid) AS n, count(messageid) AS said FROM c0 LEFT JOIN (SELECT conversationid, messageid FROM m0) USING (conversationid) GROUP BY ALL), t AS (SELECT userid, courseid, count(*) AS tickets FROM t0 GROUP BY ALL) SELECT userid, courseid, coalesce(n, 0) AS conversations, CAST(coalesce(said, 0) AS BIGINT) AS messages, coalesce(tickets, 0) AS tickets FROM c FULL JOIN t USING (userid, courseid)")(

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corvane.operators import limits as L
 from corvane.operators import rollup as R
 from corvane.plans.registry import query
 from corvane.session import shared_folder, table
@@ -31,8 +32,27 @@ def _daily(s, d):
 
 
 query("g1_daily_rollup_stream", "userstats", "SELECT * FROM userstats")(_daily)
-query("g2_rate_limit", "messages", """SELECT messageid, row_number() OVER (PARTITION BY userid, date_trunc('minute', timecreated) ORDER BY timecreated, messageid) > 1
-OR row_number() OVER (PARTITION BY userid, CAST(timecreated AS DATE) ORDER BY timecreated, messageid) > 3 AS denied FROM messages WHERE role = 'user'""")(lambda s, d: S.over_limit(A.messages(s, d).filter("role = 'user'"), "userid", 1, 3).select("messageid", "denied"))
+#: Bursts: the events' clock runs an hour in a minute, so a month of events is half a day, and the month begins a few minutes before midnight.
+def hurried(ts):
+    return F.timestamp_micros((F.unix_micros(F.col(ts).cast("timestamp")) / 60).cast("bigint") - F.lit(HURRY)).cast("timestamp_ntz")
+
+
+HURRY = 6_000_000_000
+HURRIED = f"make_timestamp(epoch_us(timecreated) // 60 - {HURRY})"
+
+
+def asked_in_bursts(s, d):
+    return A.messages(s, d).filter("role = 'user'").withColumn("timecreated", hurried("timecreated")).select("messageid", "userid", "timecreated")
+
+
+# what a minute accepts at most, then what the minutes before it have accepted on that day
+query("g2_rate_limit", "messages", f"""WITH q AS (SELECT messageid, userid, {HURRIED} AS ts FROM messages WHERE role = 'user'),
+n AS (SELECT *, row_number() OVER (PARTITION BY userid, date_trunc('minute', ts) ORDER BY ts, messageid) AS nth FROM q),
+c AS (SELECT userid, date_trunc('minute', ts) AS minute, least(count(*), 2) AS most FROM q GROUP BY ALL),
+p AS (SELECT *, coalesce(sum(most) OVER (PARTITION BY userid, CAST(minute AS DATE) ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT messageid, NOT (nth <= 2 AND before + nth <= 15) AS denied FROM n JOIN p ON p.userid = n.userid AND p.minute = date_trunc('minute', n.ts)""")(
+    lambda s, d: L.over_limit(asked_in_bursts(s, d), "userid", 2, 15).select("messageid", "denied")
+)
 
 
 def _counted(s, d, size):
@@ -49,9 +69,17 @@ query("g2_window_count_stream", "messages", f"SELECT * FROM (SELECT userid, CAST
 query("g2_minute_count_stream", "messages", f"SELECT * FROM (SELECT userid, date_trunc('minute', timecreated) AS minute, count(*) AS n FROM messages WHERE role = 'user' GROUP BY ALL) WHERE minute + INTERVAL 1 MINUTE <= {_CLOSED}")(
     lambda s, d: _counted(s, d, "1 minute").select("userid", F.col("start").cast("timestamp_ntz").alias("minute"), "n")
 )
-query("g3_visitor_limits", "messages", """WITH v AS (SELECT messageid AS visitid, userid % 50 AS address, timecreated, row_number() OVER (PARTITION BY userid % 50, floor(epoch(timecreated) / 7200) ORDER BY timecreated, messageid) AS a,
-row_number() OVER (PARTITION BY CAST(timecreated AS DATE) ORDER BY timecreated, messageid) AS n FROM messages) SELECT visitid, address, a > 1 OR n > 200 AS denied, n = 201 AS notice FROM v""")(
-    lambda s, d: S.visitor_limits(A.messages(s, d).select(F.col("messageid").alias("visitid"), (F.col("userid") % 50).alias("address"), "timecreated"), 120, 1, 200)
+def visits_in_bursts(s, d):
+    return A.messages(s, d).select(F.col("messageid").alias("visitid"), (F.col("userid") % 50).alias("address"), hurried("timecreated").alias("timecreated"))
+
+
+# a visit passes its address while that has accepted fewer than three; the day's count takes only those that passed
+query("g3_visitor_limits", "messages", f"""WITH v AS (SELECT messageid AS visitid, userid % 50 AS address, {HURRIED} AS ts FROM messages),
+a AS (SELECT *, floor(epoch(ts) / 600) AS slot, row_number() OVER (PARTITION BY address, floor(epoch(ts) / 600) ORDER BY ts, visitid) AS nth FROM v),
+d AS (SELECT *, sum(CASE WHEN nth <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, visitid) AS passed FROM a),
+x AS (SELECT *, nth <= 3 AND passed <= 300 AS ok FROM d), s AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY address, slot) AS used FROM x)
+SELECT visitid, address, CASE WHEN ok THEN 'accepted' WHEN used >= 3 THEN 'address' ELSE 'cap' END AS outcome, nth <= 3 AND passed = 301 AS notice FROM s""")(
+    lambda s, d: L.visitor_limits(visits_in_bursts(s, d), 10, 3, 300)
 )
 
 

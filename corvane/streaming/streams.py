@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,26 +57,6 @@ def window_counts(events: DataFrame, keys: list[str], size: str, late: str = "1
     return source.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
 
 
-def over_limit(events: DataFrame, user: str, per_minute: int, per_day: int, ts: str = "timecreated") -> DataFrame:
-    """Which events a rate limiter denies: those beyond the limit of their minute or day; 0 is no limit."""
-    minute, day = F.date_trunc("minute", F.col(ts)), F.to_date(ts)
-    nth = lambda *k: F.row_number().over(W.partitionBy(user, *k).orderBy(ts, "messageid"))
-    denied = ((F.lit(per_minute) > 0) & (F.col("m") > per_minute)) | ((F.lit(per_day) > 0) & (F.col("d") > per_day))
-    return events.withColumns({"m": nth(minute), "d": nth(day)}).withColumn("denied", denied).drop("m", "d")
-
-
-def visitor_limits(visits: DataFrame, minutes: int, per_address: int, per_day: int, ts: str = "timecreated") -> DataFrame:
-    """Denied visits (by address and window of minutes, by day for the whole site), and which one of a day raises its one notice."""
-    slot = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (minutes * 60))
-    v = visits.withColumns({"day": F.to_date(ts), "slot": slot, "hour": F.hour(ts)})
-    v = v.withColumn("by_address", F.row_number().over(W.partitionBy("address", "slot").orderBy(ts, "visitid")))
-    # ranks within a day from hourly counts, so that no day is one group
-    hours = v.groupBy("day", "hour").agg(F.count("*").alias("c"))
-    hours = hours.withColumn("earlier", F.coalesce(F.sum("c").over(W.partitionBy("day").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    v = v.join(hours.select("day", "hour", "earlier"), ["day", "hour"]).withColumn("of_day", F.col("earlier") + F.row_number().over(W.partitionBy("day", "hour").orderBy(ts, "visitid")))
-    return v.select("visitid", "address", ((F.col("by_address") > per_address) | (F.col("of_day") > per_day)).alias("denied"), (F.col("of_day") == per_day + 1).alias("notice"))
-
-
 def distinct_tickets(tickets: DataFrame, hours: int, keys: tuple[str, ...] = ("courseid", "userid", "summaryhash")) -> DataFrame:
     """A stream of tickets without those that repeat one within ``hours``."""
     return tickets.withWatermark("timecreated", f"{hours} hours").dropDuplicatesWithinWatermark(list(keys))
