@@ -11,6 +11,7 @@ from corvane.operators import rollup as R
 from corvane.plans.registry import query
 from corvane.session import shared_folder, table
 from corvane.sources import adapters as A
+from corvane.streaming import decisions as D
 from corvane.streaming import streams as S
 
 
@@ -32,25 +33,26 @@ def _daily(s, d):
 
 
 query("g1_daily_rollup_stream", "userstats", "SELECT * FROM userstats")(_daily)
-#: Bursts: the events' clock runs an hour in a minute, so a month of events is half a day, and the month begins a few minutes before midnight.
-def hurried(ts):
-    return F.timestamp_micros((F.unix_micros(F.col(ts).cast("timestamp")) / 60).cast("bigint") - F.lit(HURRY)).cast("timestamp_ntz")
-
-
+#: Bursts: the events' clock runs an hour in a minute, so that a month of events is half a day with a midnight in it.
 HURRY = 6_000_000_000
 HURRIED = f"make_timestamp(epoch_us(timecreated) // 60 - {HURRY})"
 
 
+def hurried(ts):
+    return F.timestamp_micros((F.unix_micros(F.col(ts).cast("timestamp")) / 60).cast("bigint") - F.lit(HURRY)).cast("timestamp_ntz")
+
+
 def asked_in_bursts(s, d):
     return A.messages(s, d).filter("role = 'user'").withColumn("timecreated", hurried("timecreated")).select("messageid", "userid", "timecreated")
 
 
 # what a minute accepts at most, then what the minutes before it have accepted on that day
-query("g2_rate_limit", "messages", f"""WITH q AS (SELECT messageid, userid, {HURRIED} AS ts FROM messages WHERE role = 'user'),
+_G2 = f"""WITH q AS (SELECT messageid, userid, {HURRIED} AS ts FROM messages WHERE role = 'user'),
 n AS (SELECT *, row_number() OVER (PARTITION BY userid, date_trunc('minute', ts) ORDER BY ts, messageid) AS nth FROM q),
 c AS (SELECT userid, date_trunc('minute', ts) AS minute, least(count(*), 2) AS most FROM q GROUP BY ALL),
 p AS (SELECT *, coalesce(sum(most) OVER (PARTITION BY userid, CAST(minute AS DATE) ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-SELECT messageid, NOT (nth <= 2 AND before + nth <= 15) AS denied FROM n JOIN p ON p.userid = n.userid AND p.minute = date_trunc('minute', n.ts)""")(
+SELECT messageid, NOT (nth <= 2 AND before + nth <= 15) AS denied FROM n JOIN p ON p.userid = n.userid AND p.minute = date_trunc('minute', n.ts)"""
+query("g2_rate_limit", "messages", _G2)(
     lambda s, d: L.over_limit(asked_in_bursts(s, d), "userid", 2, 15).select("messageid", "denied")
 )
 
@@ -70,19 +72,39 @@ query("g2_minute_count_stream", "messages", f"SELECT * FROM (SELECT userid, date
     lambda s, d: _counted(s, d, "1 minute").select("userid", F.col("start").cast("timestamp_ntz").alias("minute"), "n")
 )
 def visits_in_bursts(s, d):
-    return A.messages(s, d).select(F.col("messageid").alias("visitid"), (F.col("userid") % 50).alias("address"), hurried("timecreated").alias("timecreated"))
+    return A.messages(s, d).select(F.col("messageid").alias("visitid"), (F.col("userid") % 7).alias("address"), hurried("timecreated").alias("timecreated"))
 
 
 # a visit passes its address while that has accepted fewer than three; the day's count takes only those that passed
-query("g3_visitor_limits", "messages", f"""WITH v AS (SELECT messageid AS visitid, userid % 50 AS address, {HURRIED} AS ts FROM messages),
+_G3 = f"""WITH v AS (SELECT messageid AS visitid, userid % 7 AS address, {HURRIED} AS ts FROM messages),
 a AS (SELECT *, floor(epoch(ts) / 600) AS slot, row_number() OVER (PARTITION BY address, floor(epoch(ts) / 600) ORDER BY ts, visitid) AS nth FROM v),
 d AS (SELECT *, sum(CASE WHEN nth <= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, visitid) AS passed FROM a),
 x AS (SELECT *, nth <= 3 AND passed <= 300 AS ok FROM d), s AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY address, slot) AS used FROM x)
-SELECT visitid, address, CASE WHEN ok THEN 'accepted' WHEN used >= 3 THEN 'address' ELSE 'cap' END AS outcome, nth <= 3 AND passed = 301 AS notice FROM s""")(
+SELECT visitid, address, CASE WHEN ok THEN 'accepted' WHEN used >= 3 THEN 'address' ELSE 'cap' END AS outcome, nth <= 3 AND passed = 301 AS notice FROM s"""
+query("g3_visitor_limits", "messages", _G3)(
     lambda s, d: L.visitor_limits(visits_in_bursts(s, d), 10, 3, 300)
 )
 
 
+def hurried_stream(s, d):
+    e = event_stream(s, d)
+    return e.withColumn("timecreated", hurried("timecreated").cast("timestamp"))
+
+
+def decided(s, stream, schema):
+    at = shared(s)
+    S.to_folder(stream, f"{at}/out", f"{at}/state")
+    return s.read.schema(schema).parquet(f"{at}/out")
+
+
+query("g2_rate_limit_stream", "messages", _G2)(
+    lambda s, d: decided(s, D.decide_limits(hurried_stream(s, d).filter("role = 'user'"), 2, 15), "messageid long, denied boolean")
+)
+query("g3_visitor_limits_stream", "messages", f"WITH o AS ({_G3}) SELECT visitid, address, outcome <> 'accepted' AS denied, notice FROM o")(
+    lambda s, d: decided(s, D.decide_visits(hurried_stream(s, d).select(F.col("messageid").alias("visitid"), (F.col("userid") % 7).alias("address"), "timecreated"), 10, 3, 300), "visitid long, address string, denied boolean, notice boolean").withColumn("address", F.col("address").cast("long"))
+)
+
+
 def _distinct(s, d):
     """Tickets of the errors; all of them come in one batch, so of those that are alike one is kept."""
     at = shared(s)
@@ -96,16 +118,36 @@ def _distinct(s, d):
 query("g4_distinct_tickets_stream", "tickets", "SELECT courseid, count(*) AS tickets FROM (SELECT DISTINCT courseid, userid, summaryhash FROM tickets) GROUP BY 1")(_distinct)
 
 
-def _lifecycle(s, d):
-    at = shared(s)
-    raw = S.read_folder(s, d, table(s, d, "events").schema, glob="events.parquet")
-    actions = {"view": "create", "click": "confirm", "signup": "bounced", "purchase": "delivered", "error": "cancel"}
-    action = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in actions.items()))
-    S.to_folder(S.ticket_lifecycle(raw.select(F.col("user_id").alias("ticketid"), action.alias("action"), F.col("ts").cast("timestamp").alias("at"))), f"{at}/out", f"{at}/state")
-    return s.read.schema(S.LIFE).parquet(f"{at}/out").groupBy("status").agg(F.count("*").alias("changes"))
+ACTIONS = {"view": "create", "click": "confirm", "signup": "bounced", "purchase": "delivered", "error": "cancel"}
+
+
+def actions(events):
+    """Events as actions on tickets; a user has a ticket in each five days."""
+    action = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in ACTIONS.items()))
+    return events.select((F.col("user_id") * 100 + F.floor(F.dayofyear("ts") / 5)).alias("ticketid"), action.alias("action"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+
+
+_KINDS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items())
+# what a ticket becomes, from its first answer in time and its deliveries since then; an hour before the last event is now
+_G5 = f"""WITH e AS (SELECT user_id * 100 + floor(dayofyear(ts) / 5)::BIGINT AS ticketid, CASE event_type {_KINDS} END AS action, ts, event_id AS seq FROM events),
+n AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS now FROM e), a AS (SELECT e.* FROM e, n WHERE ts < now + INTERVAL 1 MILLISECOND),
+b AS (SELECT ticketid, min((ts, seq)) AS born FROM a WHERE action = 'create' GROUP BY 1),
+r AS (SELECT a.ticketid, min((ts, seq)) AS answer, arg_min(action, (ts, seq)) AS kind FROM a JOIN b USING (ticketid) WHERE action IN ('confirm', 'cancel') AND (ts, seq) > born AND ts <= born[1] + INTERVAL 1 DAY GROUP BY 1),
+t AS (SELECT a.*, count(*) FILTER (action = 'bounced') OVER w AS bounces, count(*) FILTER (action = 'delivered') OVER w AS sent FROM a JOIN r USING (ticketid) WHERE kind = 'confirm' AND (ts, seq) > answer AND action IN ('bounced', 'delivered') WINDOW w AS (PARTITION BY ticketid ORDER BY ts, seq))
+SELECT ticketid, 'draft' AS status, 0 AS attempts, born[1] AS "at" FROM b UNION ALL SELECT ticketid, CASE kind WHEN 'confirm' THEN 'queued' ELSE 'cancelled' END, 0, answer[1] FROM r
+UNION ALL SELECT ticketid, 'expired', 0, born[1] + INTERVAL 1 DAY FROM b, n WHERE ticketid NOT IN (SELECT ticketid FROM r) AND born[1] + INTERVAL 1 DAY < now
+UNION ALL SELECT ticketid, CASE WHEN action = 'delivered' THEN 'sent' WHEN bounces = 3 THEN 'failed' ELSE 'queued' END, CAST(bounces AS INTEGER), ts FROM t WHERE (action = 'delivered' AND sent = 1 AND bounces < 3) OR (action = 'bounced' AND sent = 0 AND bounces <= 3)"""
+plain = lambda df: df.withColumn("at", F.col("at").cast("timestamp_ntz"))
+query("g5_ticket_lifecycle_stream", "", _G5)(lambda s, d: plain(decided(s, D.ticket_lifecycle(actions(S.read_folder(s, d, table(s, d, "events").schema, glob="events.parquet"))), D.LIFE)))
+
+
+def _replay(s, d):
+    rows = actions(table(s, d, "events"))
+    last = rows.agg(F.date_format(F.max("at") - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss.SSS")).first()[0]
+    return plain(D.replay_lifecycle(rows, f"{last or '1970-01-01 00:00:00.000'}999"))
 
 
-query("g5_ticket_lifecycle_stream")(_lifecycle)
+query("g5_ticket_lifecycle_replay", "", _G5)(_replay)
 
 
 def _sweep(s, d):

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators.rollup import write_rollup
 
@@ -62,53 +58,6 @@ def distinct_tickets(tickets: DataFrame, hours: int, keys: tuple[str, ...] = ("c
     return tickets.withWatermark("timecreated", f"{hours} hours").dropDuplicatesWithinWatermark(list(keys))
 
 
-LIFE = "ticketid long, status string, attempts int, at timestamp"
-
-
-def _advance(status: str, attempts: int, action: str) -> tuple[str, int]:
-    """The next state of a ticket."""
-    if status == "draft" and action in ("confirm", "cancel"):
-        return ("queued", attempts) if action == "confirm" else ("cancelled", attempts)
-    if status == "queued" and action == "delivered":
-        return "sent", attempts
-    if status == "queued" and action == "bounced":
-        return ("failed" if attempts + 1 >= 3 else "queued"), attempts + 1
-    return status, attempts
-
-
-def ticket_lifecycle(actions: DataFrame, life: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Changes of state from a stream of actions (ticketid, action, at): drafts are confirmed, cancelled or expire after
-    ``life`` of event time; deliveries fail at the third attempt."""
-    span = int(pd.Timedelta(life).total_seconds() * 1000)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, attempts, born = state.get
-            state.remove()
-            yield pd.DataFrame({"ticketid": [key[0]], "status": ["expired"], "attempts": [attempts], "at": [pd.Timestamp(born + span, unit="ms")]})
-            return
-        rows = pd.concat(list(batches)).sort_values("at")
-        status, attempts, born = state.get if state.exists else ("", 0, 0)
-        out = []
-        for action, at in zip(rows["action"], rows["at"], strict=True):
-            if action == "create" and not status:
-                after, born = ("draft", 0), int(at.timestamp() * 1000)
-            elif status == "draft" and at.timestamp() * 1000 > born + span:
-                after = ("expired", attempts)
-            else:
-                after = _advance(status, attempts, action)
-            if after != (status, attempts):
-                out.append((key[0], *after, at))
-            status, attempts = after
-        state.update((status, attempts, born))
-        if status == "draft":
-            state.setTimeoutTimestamp(max(born + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["ticketid", "status", "attempts", "at"])
-
-    keyed = actions.withWatermark("at", late).groupBy("ticketid")
-    return keyed.applyInPandasWithState(step, LIFE, "status string, attempts int, born long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def embedding_sweep(pending: DataFrame, vectors: DataFrame, key: str, path: str, checkpoint: str) -> None:
     """Write vectors for the pending chunks that have arrived, then stop."""
 

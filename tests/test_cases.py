@@ -249,14 +249,3 @@ def test_late_facts_rebuild_their_day(spark, tmp_path):
     sink(make(dt.datetime(2024, 1, 1, 9)), 1)
     got = {str(r["daterecorded"]): r["numquestions"] for r in spark.read.parquet(str(tmp_path / "rollup")).collect()}
     assert got == {"2024-01-01": 2, "2024-01-02": 1}
-
-
-def test_lifecycle_stream(spark, tmp_path):
-    d = dt.datetime
-    rows = [(1, "create", d(2024, 1, 1, 1)), (1, "confirm", d(2024, 1, 1, 2)), (1, "bounced", d(2024, 1, 1, 3)), (1, "delivered", d(2024, 1, 1, 4)), (2, "create", d(2024, 1, 1, 1)), (3, "create", d(2024, 1, 9, 1)), (3, "cancel", d(2024, 1, 9, 2))]
-    src, schema = tmp_path / "in", "ticketid long, action string, at timestamp"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src))
-    stream = S.read_folder(spark, str(src), spark.read.parquet(str(src)).schema)
-    S.to_folder(S.ticket_lifecycle(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {(r["ticketid"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got >= {(1, "draft"), (1, "queued"), (1, "sent"), (2, "draft"), (3, "cancelled"), (2, "expired")}
