@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import is_effectively_empty, normalize_text
+from corvane.operators.containment import contained_urls
 
 MOST_CHARS = 2_000_000
 # Heading words by level, caption words, page labels.
@@ -191,19 +192,25 @@ def attach_embeddings(chunks: DataFrame, vectors: DataFrame, key: str, model: st
     return joined.withColumns({"embedding": F.when(use, fresh).otherwise(F.col("embedding")), "embeddingmodel": F.when(use, F.lit(model)).otherwise(F.col("embeddingmodel"))}).drop("__new")
 
 
-LINK = r"\[([^\]]*)\]\((https?://[^\s)]+)\)"
-
-
-def clean_links(texts: DataFrame, text_col: str, known_urls: DataFrame, own_host: str) -> DataFrame:
-    """Markdown links stay if they go to the own host or to a url (column ``url``) that the indexed content has; others become their text."""
-    found = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(LINK), F.lit(2)))).alias("url")).distinct()
-    trusted = found.filter(F.parse_url("url", F.lit("HOST")) == own_host).unionByName(found.join(known_urls.select(F.lower("url").alias("k")).distinct(), F.lower(found["url"]) == F.col("k"), "left_semi"))
-    df = texts.withColumn("__id", F.monotonically_increasing_id()).withColumn("__urls", F.array_distinct(F.regexp_extract_all(text_col, F.lit(LINK), F.lit(2))))
-    ok = df.select("__id", F.explode("__urls").alias("url")).join(trusted.distinct(), "url", "left_semi").groupBy("__id").agg(F.collect_set("url").alias("__ok"))
-    df = df.join(ok, "__id", "left")
-    bad = F.filter("__urls", lambda u: ~F.array_contains(F.coalesce("__ok", F.array().cast("array<string>")), u))
-    text = F.aggregate(bad, F.col(text_col), lambda t, u: F.regexp_replace(t, F.concat(F.lit(r"\[([^\]]*)\]\(\Q"), u, F.lit(r"\E\)")), F.lit("$1")))
-    return df.withColumn(text_col, text).drop("__id", "__urls", "__ok")
+# Fixed value: a Markdown link.
+LINK = r"\[([^\]]*)\]\(([^)\s]*)\)"
+
+
+def clean_links(texts: DataFrame, text_col: str, chunks: DataFrame, own_host: str, scope: str = "courseid") -> DataFrame:
+    """Markdown links stay if they go to the own host, or to a url that stands anywhere in the content of the text's own scope, in any case;
+    others become their text. ``chunks``: scope and content."""
+    links = lambda group: F.regexp_extract_all(text_col, F.lit(LINK), F.lit(group))
+    key = [F.xxhash64(F.lit(i), text_col).alias(f"__k{i}") for i in (1, 2)]
+    found = texts.select(scope, *key, F.explode(links(2)).alias("url")).distinct()
+    asked = contained_urls(found.select(scope, "url").distinct(), chunks, scope)
+    own = F.lower(F.regexp_extract("url", r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)) == own_host.lower()
+    ok = found.join(asked.filter(own | F.col("contained")), [scope, "url"]).groupBy(scope, "__k1", "__k2").agg(F.collect_set("url").alias("__ok"))
+    df = texts.withColumns({f"__k{i}": F.xxhash64(F.lit(i), text_col) for i in (1, 2)}).join(ok, [scope, "__k1", "__k2"], "left")
+    df = df.withColumns({"__between": F.split(text_col, LINK, -1), "__all": links(0), "__labels": links(1), "__urls": links(2), "__ok": F.coalesce("__ok", F.array().cast("array<string>"))})
+    kept = lambda i: F.when(F.array_contains("__ok", F.get("__urls", i)), F.get("__all", i)).otherwise(F.get("__labels", i))
+    whole = F.transform(F.sequence(F.lit(0), F.size("__between") - 1), lambda i: F.concat(F.get("__between", i), F.coalesce(kept(i), F.lit(""))))
+    text = F.when(F.col(text_col).isNotNull(), F.array_join(whole, ""))
+    return df.withColumn(text_col, text).select(*texts.columns)
 
 
 def content_urls(chunks: DataFrame) -> DataFrame:

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ACCENTED, PLAIN, cosine
+from corvane.operators import containment as C
 from corvane.operators import history as H
+from corvane.operators import index_store as I
 from corvane.operators import knowledge as K
 from corvane.operators import retrieval as R
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import shared_folder, table
 from corvane.sources import adapters as A
 
 
+def shared(s):
+    """A new folder where driver and executors can write."""
+    return f"{shared_folder(s, 'spark-index-')}/index-{uuid.uuid4().hex}"
+
+
 def docs(s, d):
     return table(s, d, "documents")
 
@@ -80,7 +89,90 @@ CASE WHEN doc_id % 6 = 0 THEN 1.0 WHEN vec_id IS NOT NULL THEN round(CAST(embedd
     lambda s, d: (lambda x: K.attach_embeddings(x[0], x[1], "doc_id", "m2").select("doc_id", "chunkindex", "embeddingmodel", F.get("embedding", F.lit(0)).alias("first")))(_vectored(s, d))
 )
 query("k14_scope_cap", "docchunks", "SELECT courseid, doc_id, chunkindex FROM (SELECT *, row_number() OVER (PARTITION BY courseid ORDER BY doc_id, chunkindex) AS n FROM docchunks) WHERE n <= 2000")(lambda s, d: R.scope_chunks(A.chunks(s, d)).select("courseid", "doc_id", "chunkindex"))
-query("f14_clean_links")(lambda s, d: K.clean_links(A.turns(s, d).select("conversationid", "turn", "content"), "content", K.content_urls(A.chunks(s, d)), "campus.example.org"))
+
+
+def sited(s, d):
+    """Documents whose text names the address of the page of their number, in capitals and with more behind it; a course is a scope."""
+    site = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit(" SEE "), F.upper("url"), F.lit("/print.")).alias("more"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.coalesce("more", F.lit("")))
+    return docs(s, d).join(site, "doc_id", "left").select((F.col("doc_id") % 5).alias("courseid"), text.alias("content"))
+
+
+_SITED = "sited AS (SELECT doc_id % 5 AS courseid, coalesce(text, '') || coalesce(' SEE ' || upper(url) || '/print.', '') AS content FROM documents LEFT JOIN pages ON page_id = doc_id)"
+
+
+def addresses(s, d):
+    """Addresses as they are, without what follows # or ?, with a letter more, and in another course."""
+    p = table(s, d, "pages").filter("url IS NOT NULL")
+    ways = F.array(F.struct("url", F.lit(0).alias("shift")), F.struct(F.regexp_replace("url", "[?#].*", "").alias("url"), F.lit(0).alias("shift")), F.struct(F.concat("url", F.lit("x")).alias("url"), F.lit(0).alias("shift")), F.struct("url", F.lit(1).alias("shift")))
+    return p.select("page_id", F.explode(ways).alias("w")).select("page_id", "w.url", ((F.col("page_id") + F.col("w.shift")) % 5).alias("courseid")).distinct()
+
+
+query("j11_url_in_content", "", f"""WITH {_SITED}, u AS (SELECT page_id, url, page_id % 5 AS courseid FROM pages UNION SELECT page_id, regexp_replace(url, '[?#].*', ''), page_id % 5 FROM pages
+UNION SELECT page_id, url || 'x', page_id % 5 FROM pages UNION SELECT page_id, url, (page_id + 1) % 5 FROM pages)
+SELECT *, EXISTS (SELECT 1 FROM sited t WHERE t.courseid = u.courseid AND contains(lower(t.content), lower(u.url))) AS contained FROM u WHERE url IS NOT NULL""")(lambda s, d: C.contained_urls(addresses(s, d), sited(s, d), "courseid"))
+
+
+def linked_turns(s, d):
+    """Turns with three links behind them: to the page of their conversation's number, to the own site and to no address."""
+    p = table(s, d, "pages").select(F.col("page_id").alias("conversationid"), "url")
+    more = F.concat(F.lit(" [its page]("), F.coalesce("url", F.lit("https://nowhere.example.org/a(b")), F.lit(") and [home](https://CAMPUS.example.org/x), [help](support_url)."))
+    t = A.turns(s, d).join(p, "conversationid", "left")
+    return t.select("conversationid", "turn", ((F.col("conversationid") + F.col("turn") % 2) % 5).alias("courseid"), F.concat("content", more).alias("content"))
+
+
+query("f14_clean_links", "turns", f"""WITH {_SITED}, t AS (SELECT conversationid, turn, (conversationid + turn % 2) % 5 AS courseid, content || ' ' AS content, coalesce(url, 'https://nowhere.example.org/a(b') AS url FROM turns LEFT JOIN pages ON page_id = conversationid),
+k AS (SELECT DISTINCT t.courseid, t.url, EXISTS (SELECT 1 FROM sited x WHERE x.courseid = t.courseid AND contains(lower(x.content), lower(t.url))) AS known FROM (SELECT DISTINCT courseid, url FROM t) t)
+SELECT conversationid, turn, courseid, content || CASE WHEN known THEN '[its page](' || url || ')' ELSE 'its page' END || ' and [home](https://CAMPUS.example.org/x), help.' AS content FROM t JOIN k USING (courseid, url)""")(
+    lambda s, d: K.clean_links(linked_turns(s, d), "content", sited(s, d), "campus.example.org")
+)
+
+
+def listing(s, d, left_out: int, old: bool):
+    """A listing of files: of each text of a course one, the last by name. The old one has other names and other rights."""
+    name = F.concat(F.when((F.col("doc_id") % 3 == 0) & F.lit(old), "old/").otherwise(F.lit("")), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    rows = docs(s, d).filter((F.col("text") != "") & (F.col("doc_id") % left_out != 0))
+    rows = rows.select((F.col("doc_id") % 5).alias("courseid"), F.sha1(F.col("text").cast("binary")).alias("contenthash"), F.struct(name.alias("filename"), (F.col("lang") != "de").alias("citable"), "text").alias("x"))
+    return rows.groupBy("courseid", "contenthash").agg(F.max("x").alias("x")).select("courseid", "contenthash", "x.*")
+
+
+def cut_files(files):
+    return K.window_chunks(files, "text", A.CHUNK, A.STEP)
+
+
+def _vectors(store, every=2):
+    """A vector for every second chunk, or all."""
+    return store.read().filter(F.col("chunkindex") % every == 0).select("courseid", "contenthash", "chunkindex", F.array(F.col("chunkindex") + 0.5).alias("vector"))
+
+
+def _applied(s, d):
+    """An index of yesterday's files with vectors, brought up to today's."""
+    store = I.ChunkStore.create(s, shared(s), 16)
+    store.apply(listing(s, d, 7, True), cut_files, 1, whole=True)
+    store.sweep(_vectors(store), "m", 1)
+    store.apply(listing(s, d, 11, False), cut_files, 1, whole=True)
+    return store.read().select("courseid", "contenthash", "filename", "citable", "chunkindex", F.md5(F.col("content").cast("binary")).alias("content"), F.col("embedding").isNotNull().alias("embedded"))
+
+
+query("k12_index_applied", "", """WITH f AS (SELECT doc_id, doc_id % 5 AS courseid, sha1(text) AS contenthash, source || '/' || doc_id AS filename, lang <> 'de' AS citable, text FROM documents WHERE text <> ''),
+old AS (SELECT DISTINCT courseid, contenthash FROM f WHERE doc_id % 7 <> 0), new AS (SELECT * FROM f WHERE doc_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY courseid, contenthash ORDER BY filename DESC) = 1)
+SELECT courseid, contenthash, filename, citable, CAST(i AS BIGINT) AS chunkindex, md5(substring(text, CAST(i * 1000 + 1 AS BIGINT), 1200)) AS content, i % 2 = 0 AND (courseid, contenthash) IN (SELECT (courseid, contenthash) FROM old) AS embedded
+FROM new, unnest(range(CAST(greatest(1, ceil((length(text) - 200) / 1000.0)) AS BIGINT))) u(i)""")(_applied)
+
+
+def _swept(s, d):
+    """Three runs of a sweep of at most 50 courses over an index of 120."""
+    store = I.ChunkStore.create(s, shared(s), 16)
+    files = listing(s, d, 1 << 40, False).withColumn("courseid", F.conv(F.left("contenthash", F.lit(6)), 16, 10).cast("long") % 120)
+    store.apply(files, cut_files, 1, whole=True)
+    for run in (1, 2, 3):
+        store.sweep(_vectors(store, 1), "m", run)
+    return store.read().groupBy("courseid").agg(F.min("sweep").alias("first"), F.max("sweep").alias("last"), F.count("*").alias("chunks"))
+
+
+query("g8_embedding_sweep", "", """WITH f AS (SELECT DISTINCT CAST('0x' || left(sha1(text), 6) AS BIGINT) % 120 AS courseid, text FROM documents WHERE text <> ''),
+n AS (SELECT courseid, sum(CAST(greatest(1, ceil((length(text) - 200) / 1000.0)) AS BIGINT)) AS chunks FROM f GROUP BY 1), r AS (SELECT *, (row_number() OVER (ORDER BY courseid) - 1) // 50 + 1 AS run FROM n)
+SELECT courseid, run AS first, run AS last, CAST(chunks AS BIGINT) AS chunks FROM r""")(_swept)
 query("j11_url_containment", "", r"""SELECT page_id, count(DISTINCT u) AS urls FROM (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\s)"''<>]+')) AS u FROM pages) GROUP BY 1""")(
     lambda s, d: A.pages(s, d).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"https?://[^\s)\"'<>]+"), F.lit(0))).alias("u")).groupBy("page_id").agg(F.countDistinct("u").alias("urls"))
 )

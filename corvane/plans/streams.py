@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corvane.operators import index_store as I
+from corvane.operators import knowledge as K
 from corvane.operators import limits as L
 from corvane.operators import rollup as R
 from corvane.plans.registry import query
@@ -151,13 +153,18 @@ query("g5_ticket_lifecycle_replay", "", _G5)(_replay)
 
 
 def _sweep(s, d):
+    """Documents arrive; those of the first 50 of 120 courses are embedded in the batch they come in."""
     at = shared(s)
-    pending = S.read_folder(s, d, table(s, d, "labels").schema, glob="labels.parquet").select("doc_id")
-    S.embedding_sweep(pending, table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.element_at("embedding", 1).alias("first")), "doc_id", f"{at}/out", f"{at}/state")
-    return s.read.schema("doc_id long, first float").parquet(f"{at}/out").select("doc_id", "first")
+    store = I.ChunkStore.create(s, f"{at}/index", 16)
+    raw = S.read_folder(s, d, table(s, d, "documents").schema, glob="documents.parquet").filter("text <> ''")
+    name = F.concat(F.sha1(F.col("text").cast("binary")), F.lit("/"), F.col("doc_id").cast("string"))
+    files = raw.select((F.col("doc_id") % 120).alias("courseid"), F.sha1(name.cast("binary")).alias("contenthash"), F.col("doc_id").cast("string").alias("filename"), F.lit(True).alias("citable"), "text")
+    S.index_files(files, store, lambda x: K.window_chunks(x, "text", A.CHUNK, A.STEP), 1, lambda x: x.read().select("courseid", "contenthash", "chunkindex", F.array(F.lit(0.5)).alias("vector")), "m", f"{at}/state")
+    return store.read().groupBy("courseid").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
 
 
-query("g8_embedding_sweep_stream", "", "SELECT doc_id, embedding[1] AS first FROM labels JOIN embeddings ON vec_id = doc_id")(_sweep)
+query("g8_embedding_sweep_stream", "", """WITH f AS (SELECT doc_id % 120 AS courseid, CAST(sum(CAST(greatest(1, ceil((length(text) - 200) / 1000.0)) AS BIGINT)) AS BIGINT) AS chunks FROM documents WHERE text <> '' GROUP BY 1)
+SELECT courseid, chunks, CASE WHEN row_number() OVER (ORDER BY courseid) <= 50 THEN chunks ELSE 0 END AS embedded FROM f""")(_sweep)
 query("session_windows", "messages", """WITH g AS (SELECT userid, timecreated, timecreated - lag(timecreated) OVER (PARTITION BY userid ORDER BY timecreated) >= INTERVAL 6 HOUR AS gap FROM messages),
 n AS (SELECT userid, timecreated, count(*) FILTER (gap) OVER (PARTITION BY userid ORDER BY timecreated) AS k FROM g) SELECT userid, min(timecreated) AS start, count(*) AS n FROM n GROUP BY userid, k""")(
     lambda s, d: S.sessions(A.messages(s, d), "userid", "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -58,13 +58,15 @@ def distinct_tickets(tickets: DataFrame, hours: int, keys: tuple[str, ...] = ("c
     return tickets.withWatermark("timecreated", f"{hours} hours").dropDuplicatesWithinWatermark(list(keys))
 
 
-def embedding_sweep(pending: DataFrame, vectors: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Write vectors for the pending chunks that have arrived, then stop."""
+def index_files(files: DataFrame, store, chunker, version: int, vectors, model: str, checkpoint: str, most: int = 50) -> None:
+    """Bring a chunk store up to date with the files that have arrived, and after each batch give vectors to the pending chunks of the first
+    ``most`` courses that have any. ``vectors``: the store to a table of vectors."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.join(vectors, key).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        store.apply(batch, chunker, version)
+        store.sweep(vectors(store), model, batch_id, most)
 
-    run_available(pending, sink, checkpoint)
+    run_available(files, sink, checkpoint)
 
 
 def sessions(events: DataFrame, user: str, gap: str, ts: str = "timecreated") -> DataFrame:

@@ -164,10 +164,15 @@ def test_offer_gate(spark):
 
 
 def test_links(spark):
-    t = spark.createDataFrame([(1, "see [a](https://ok.org/x) and [b](https://bad.org/y) and [c](https://in.org/z)"), (2, "none")], "i int, t string")
-    known = spark.createDataFrame([("https://IN.org/z",)], "url string")
-    got = {r["i"]: r["t"] for r in K.clean_links(t, "t", known, "ok.org").collect()}
-    assert got == {1: "see [a](https://ok.org/x) and b and [c](https://in.org/z)", 2: "none"}
+    """A link stays if it goes to the own host or stands in the content of its own scope, in any case and anywhere; targets that are no address go."""
+    said = "see [a](https://OK.org/x) and [b](https://bad.org/y) and [c](https://in.org/z)[d](support_url)[]( )"
+    rows = [(1, 1, said), (2, 2, said), (3, 1, "none"), (4, 1, None), (5, 1, "[e](https://u@ok.org:80/q?x#y)[f](https://ok.org.evil.net)[g](HTTPS://in.ORG/z)"), (1, 1, said)]
+    t = spark.createDataFrame(rows, "i int, courseid long, t string")
+    chunks = spark.createDataFrame([(1, "go to HTTPS://IN.org/Zebra now"), (2, "https://in.org/"), (1, None)], "courseid long, content string")
+    got = sorted((r["i"], r["t"]) for r in K.clean_links(t, "t", chunks, "ok.org").collect() if r["t"])
+    kept = "see [a](https://OK.org/x) and b and [c](https://in.org/z)d[]( )"
+    assert got == [(1, kept), (1, kept), (2, "see [a](https://OK.org/x) and b and cd[]( )"), (3, "none"), (5, "[e](https://u@ok.org:80/q?x#y)f[g](HTTPS://in.ORG/z)")]
+    assert K.clean_links(t, "t", chunks, "ok.org").columns == t.columns
 
 
 CHUNK = "courseid long, doc_id long, chunkindex long, filename string, content string"
