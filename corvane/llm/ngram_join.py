@@ -106,9 +106,9 @@ def short_column(cls: str) -> Column:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles that fall on each bit; at least two bits for each shingle."""
+    """Parity of the number of shingles that fall on each bit; at least one bit for each shingle."""
     bits = 64
-    while bits < 2 * len(s) and bits < 1 << 20:
+    while bits < len(s) and bits < 1 << 20:
         bits *= 2
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
