@@ -5,11 +5,10 @@ prefix by prefix; comparing each output with the one before locates the new turn
 doesn't continue the one before shows that the template rewrites history. An assistant turn is rendered
 twice more with probe texts, whose common prefix and suffix bound the text inside the span: the loss mask.
 
-Prefixes of long conversations keep the first turn and the latest ``window - 1``; the joined output is then held against one
-rendering of the whole conversation, and a conversation where they differ (a template that looks at turns further
-away, or numbers them) is rendered again with its true prefixes, turn by turn. So work is in proportion to the turns where
-the template allows it, and what is returned never depends on the window: with ``window=None`` every prefix is true from
-the start.
+Every prefix is true: a template may number turns, look far back, or rewrite and undo it again. Of a template that is known to be local
+(``window``: a turn's output depends on the first turn and the ``window - 1`` before it at most) only so much of a prefix is rendered, and work is in
+proportion to the turns. The joined output is still held against one rendering of the whole conversation, and where they differ
+every true prefix is rendered.
 
 Rows go by turn, then role and text; null role and text count as empty; rows with a null conversation
 id make one conversation. Repeated rows are repeated turns, empty and very long texts are texts like others, an empty table
@@ -99,11 +98,11 @@ def format_turns(
     conversations: DataFrame,
     template: Callable[[Turns], str] = turn_template,
     trained_roles: tuple[str, ...] = ("assistant",),
-    window: int | None = 16,
+    window: int | None = None,
     keys: tuple[str, str, str, str] = ("conv_id", "turn", "role", "text"),
 ) -> DataFrame:
     """One row per turn, in order within a partition: conv_id, position, role, formatted (what the turn appends),
-    loss_start, loss_end (in formatted; equal: nothing is trained), rewrites.
+    loss_start, loss_end (in formatted; equal: nothing is trained), rewrites. ``window`` is for local templates alone.
 
     One shuffle by conversation; rows are sorted and streamed, so a task holds one conversation at a time."""
     conv, turn, role, text = keys

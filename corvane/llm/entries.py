@@ -49,7 +49,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.sql("SELECT -7L AS conv_id, turn, role FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(said))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.format_turns(rows))
+    return chat.digests(chat.format_turns(rows, window=16))  # its template renders each turn by itself
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ def test_mixture(spark):
     for _, t, _, s in rows:
         size[s] += len((t or "").split())
     order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
-    want = dict(zip(order, mixing.targets([size[s] for s in order], [i % 3 + 1 for i in range(len(order))]), strict=True))
+    want = dict(zip(order, brute_targets([size[s] for s in order], [i % 3 + 1 for i in range(len(order))], 3.0), strict=True))
     taken = collections.Counter()
     for r in got:
         assert r["taken"] <= 3 * r["size"] and r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
@@ -257,6 +257,44 @@ def test_mixture(spark):
     assert mixing.Mix(docs(spark, [])).taken().count() == 0
 
 
+def brute_targets(sizes, weights, cap):
+    """The level of water in vessels as wide as the weights and as high as the caps: found by bisection."""
+    total, low, high = sum(sizes), 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap * s, w * mid) for s, w in zip(sizes, weights, strict=True)) < total else (low, mid)
+    return [min(cap * s, w * low) for s, w in zip(sizes, weights, strict=True)]
+
+
+@pytest.mark.parametrize("weights", [None, "given"])
+def test_very_many_sources(spark, monkeypatch, weights):
+    """Numbered, weighed and drawn in DataFrames: the same targets, and every source near its own."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 20)
+    monkeypatch.setattr(mixing, "PER_GROUP", 32)
+    rnd = random.Random(11)
+    names = [None, "", *(rnd.choice("aé日\U0001F600z") + f"host{i}" for i in range(300))]
+    rows = [(i, "w " * rnd.choice([0, 3, 40, 900]), "en", rnd.choice(names)) for i in range(1500)] + [(5000 + i, "x " * 2000, "en", "hot") for i in range(60)]
+    size = collections.Counter()
+    for _, t, _, s in rows:
+        size[s] += len(t.split())
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    given = [1.0 + i % 7 for i in range(len(order))] if weights else None
+    mix = mixing.Mix(docs(spark, rows), given, shards=8)
+    info = {r["source"]: r for r in mix.sources.collect()}
+    want = dict(zip(order, brute_targets([size[s] for s in order], given or [i % 3 + 1 for i in range(len(order))], 3.0), strict=True))
+    assert [r["source"] for r in sorted(info.values(), key=lambda r: r["src"])] == order
+    assert all(r["target"] == pytest.approx(want[s]) and r["dealt"][-1] == r["quota"] for s, r in info.items())
+    shards = np.diff(np.array([r["dealt"] for r in info.values()]).sum(axis=0), prepend=0)
+    assert abs(shards - shards.mean()).max() <= 8
+    taken = collections.Counter()
+    for r in mix.taken().collect():
+        assert r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(want[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= max(100, 0.02 * want[s]) for s in order)
+    slots = mix.slots().collect()
+    assert len(slots) == sum(r["quota"] for r in info.values()) and max(r["shard"] for r in slots) == 7
+
+
 def test_targets_and_permutation():
     assert mixing.targets([10, 10, 100], [1, 1, 1]) == [30.0, 30.0, 60.0]
     assert sum(mixing.targets([5, 0, 7], [1, 2, 3])) == pytest.approx(12) and mixing.targets([0, 0], [1, 2]) == [0, 0]
@@ -322,6 +360,13 @@ def test_prefixes_are_true_beyond_the_window(spark):
     assert [r["formatted"][r["loss_start"] : r["loss_end"]] for r in rows if r["role"] == "assistant"] == [t for r, t in turns if r == "assistant"]
 
 
+def test_a_rewrite_that_is_undone_is_seen(spark):
+    """A mark stands in front while there are 20 to 29 turns; the whole rendering of 40 doesn't have it."""
+    marked = lambda ts: ("!" if 20 <= len(ts) < 30 else "") + "".join(t for _, t in ts)
+    df = spark.createDataFrame([(1, i, "user", f"said {i}") for i in range(40)], "conv_id long, turn long, role string, text string")
+    assert sorted(r["position"] for r in chat.format_turns(df, marked).filter("rewrites").collect()) == [19, 29]
+
+
 def test_template_that_rewrites():
     state = chat.Incremental(lambda turns: "".join(("*" if i == len(turns) - 1 else "") + t for i, (_, t) in enumerate(turns)), 8)
     assert [state.add("user", x, False)[3] for x in "abc"] == [False, True, True]
