@@ -6,10 +6,13 @@ has to give, so each source ends at its number exactly. A source's slot j takes
 permutation of the source's block indices gives for j (a new permutation whenever all blocks were taken), and
 slots meet blocks in a join by index. Everything follows from ``seed``: reruns agree.
 
-The driver holds one row for each source and shard, never anything of the size of the documents. Sources are named ones: over
-MOST_SOURCES of them are an error. They go by code point, null last. A null text has no words, a document without words takes
-no part and gets 0; repeated rows are documents of their own, texts of any length are taken whole. An empty table gives no
-rows; extra columns are ignored, or kept by ``drawn_texts``.
+Sources go by code point, null last. Up to ``MOST_SOURCES`` of them are drawn on the driver, which then holds a row for each source and shard.
+More are numbered, weighed and capped in DataFrames (the driver gets sums and a row for each ``PER_GROUP`` sources): a group's slots are drawn first, then
+its sources' within it, which is the same distribution.
+
+A null text has no words, a document without words takes no part and gets 0; repeated rows are documents of their own, and those that
+tie in a source's order are equal in id, text and size. Texts of any length are taken whole. An empty table gives no rows; extra columns
+are ignored, or kept by ``drawn_texts``.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from corvane.llm.common import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 10_000
+PER_GROUP = 5_000
+#: Slots of a source that one row stands for until they are told apart.
+SLOTS = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -45,12 +51,13 @@ def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[fl
     return out
 
 
-def draw(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """[shard, source] slots: multinomial draws from what is left of the quotas, which the last shard completes."""
+def draw(quotas: np.ndarray, shards: int, seed: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """[shard, source] slots: multinomial draws from what is left of the quotas, which the last shard completes. ``sizes``: slots of each shard,
+    which make up the quotas; else shards are alike."""
     rng = np.random.Generator(np.random.Philox(seed))
     left, out = quotas.astype(np.int64).copy(), np.zeros((shards, len(quotas)), dtype=np.int64)
     for s in range(shards):
-        n = int(left.sum()) if s == shards - 1 else int(round(left.sum() / (shards - s)))
+        n = int(sizes[s]) if sizes is not None else int(left.sum()) if s == shards - 1 else int(round(left.sum() / (shards - s)))
         while n > 0:  # what a draw gives beyond a source's rest is drawn again
             got = np.minimum(rng.multinomial(n, left / left.sum()), left)
             out[s] += got
@@ -61,6 +68,67 @@ def draw(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+SOURCES = "src int, source string, source_size long, target double, blocks long, quota long, dealt array<long>"
+
+
+def few_sources(per: DataFrame, weights: list[float] | None, block_words: int, shards: int, seed: int, cap: float) -> DataFrame:
+    """SOURCES of at most MOST_SOURCES sources (source, size): number, target, blocks, slots and the slots of the first 1, 2, ... shards."""
+    rows = sorted(per.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    sizes = [r["size"] for r in rows]
+    goals = targets(sizes, weights or [float(i % 3 + 1) for i in range(len(rows))], cap)
+    blocks = [-(-s // block_words) for s in sizes]
+    quotas = [min(int(cap * b), round(t / (s / b))) if s else 0 for t, s, b in zip(goals, sizes, blocks, strict=True)]
+    dealt = np.cumsum(draw(np.array(quotas, dtype=np.int64), shards, seed), axis=0)
+    return per.sparkSession.createDataFrame([(i, r["source"], r["size"], t, b, q, dealt[:, i].tolist()) for i, (r, t, b, q) in enumerate(zip(rows, goals, blocks, quotas, strict=True))], SOURCES)
+
+
+def numbered(per: DataFrame) -> DataFrame:
+    """Add src: the place of a source by code point, null last. Ranges are ordered, and counted, apart."""
+    ranged = checkpointed(per.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id()))
+    first, at = {}, 0
+    for r in sorted(ranged.groupBy("part").count().collect()):  # a row for each range
+        first[r["part"]], at = at, at + r["count"]
+    starts = per.sparkSession.createDataFrame(list(first.items()), "part int, first long")
+    nth = F.row_number().over(W.partitionBy("part").orderBy(F.asc_nulls_last("source")))
+    return ranged.join(starts, "part").withColumn("src", (F.col("first") + nth - 1).cast("int")).drop("part", "first")
+
+
+def many_sources(per: DataFrame, weights: list[float] | None, block_words: int, shards: int, seed: int, cap: float) -> DataFrame:
+    """The same for any number of sources."""
+    spark, rows = per.sparkSession, numbered(per)
+    if weights:
+        rows = rows.join(spark.createDataFrame(list(enumerate(map(float, weights))), "src int, weight double"), "src")
+    else:
+        rows = rows.withColumn("weight", (F.col("src") % 3 + 1).cast("double"))
+    rows = checkpointed(rows)
+    total, level = float(rows.agg(F.sum("size")).first()[0]), 0.0
+    while True:  # words for a unit of weight: rises as sources stop at their cap
+        over = F.col("weight") * level > cap * F.col("size")
+        used, weight = rows.agg(F.sum(F.when(over, cap * F.col("size")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        after = (total - used) / weight if weight else level
+        if after <= level:
+            break
+        level = after
+    rows = rows.withColumn("target", F.least(F.col("weight") * level, cap * F.col("size"))).withColumn("blocks", F.ceil(F.col("size") / block_words).cast("long"))
+    mean = F.col("size") / F.greatest(F.col("blocks"), F.lit(1))
+    quota = F.when(F.col("size") > 0, F.least(F.floor(cap * F.col("blocks")), F.rint(F.col("target") / mean))).otherwise(0).cast("long")
+    rows = checkpointed(rows.withColumn("quota", quota).withColumn("g", F.expr(f"src div {PER_GROUP}L")))
+    groups = sorted((r["g"], r["q"]) for r in rows.groupBy("g").agg(F.sum("quota").alias("q")).collect())
+    drawn = draw(np.array([q for _, q in groups], dtype=np.int64), shards, seed)
+    by_group = spark.createDataFrame([(g, drawn[:, i].tolist()) for i, (g, _) in enumerate(groups)], "g long, sizes array<long>")
+    schema = T.StructType.fromDDL(SOURCES)
+    names = schema.names
+
+    def within(table: pa.Table) -> pa.Table:
+        table = table.sort_by("src")
+        sizes, g = table.column("sizes")[0].as_py(), table.column("g")[0].as_py()
+        dealt = np.cumsum(draw(table.column("quota").to_numpy(), shards, seed + 1 + g, np.array(sizes)), axis=0)
+        return table.append_column("dealt", pa.array(dealt.T.tolist(), pa.list_(pa.int64()))).select(names)
+
+    whole = rows.withColumnRenamed("size", "source_size").select("g", *names[:-1]).join(by_group, "g")
+    return checkpointed(whole.groupBy("g").applyInArrow(within, schema))
+
+
 def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Index j of range(n) under a keyed permutation: a four-round Feistel network with cycle walking."""
     half = np.maximum(1, np.ceil(np.ceil(np.log2(np.maximum(2, n))) / 2)).astype(np.uint64)
@@ -84,19 +152,11 @@ class Mix:
         self.block_words, self.seed = block_words, seed
         spark = docs.sparkSession
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("hash"))
-        per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-        if len(per) > MOST_SOURCES:
-            raise ValueError(f"over {MOST_SOURCES} sources: name the sources that documents are mixed by")
-        per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        self.sizes = [r["size"] for r in per]
-        weights = weights or [float(i % 3 + 1) for i in range(len(per))]
-        self.targets = targets(self.sizes, weights, cap)
-        self.blocks = np.array([-(-s // block_words) for s in self.sizes], dtype=np.int64)
-        mean = [s / max(1, b) for s, b in zip(self.sizes, self.blocks.tolist(), strict=True)]
-        self.quotas = np.array([min(int(cap * b), round(t / m)) if m else 0 for t, m, b in zip(self.targets, mean, self.blocks.tolist(), strict=True)], dtype=np.int64)
-        self.drawn = draw(self.quotas, shards, seed)
-        info = spark.createDataFrame([(i, r["source"], r["size"], t) for i, (r, t) in enumerate(zip(per, self.targets, strict=True))], "src int, source string, source_size long, target double")
-        n = sum(r["n"] for r in per)
+        per = checkpointed(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+        count, n = per.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        form = few_sources if count <= MOST_SOURCES else many_sources
+        self.sources = form(per.select("source", "size"), weights, block_words, shards, seed, cap)
+        info = self.sources.select("src", "source", "source_size", "target")
         buckets = max(1, n // rows_per_bucket)
         rows = rows.join(info, rows["source"].eqNullSafe(info["source"]), "left").drop(info["source"])
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(buckets)))
@@ -120,27 +180,31 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """src, block, pass, shard: one row for each slot of the mixture."""
-        ends = np.cumsum(self.quotas)
-        total = int(ends[-1]) if len(ends) else 0
-        starts, blocks, seed = ends - self.quotas, self.blocks, self.seed
-        by_shard = np.cumsum(self.drawn, axis=0)
+        seed = self.seed
+        total = self.sources.agg(F.sum("quota")).first()[0] or 0
+        rows = self.sources.filter("quota > 0").withColumn("low", F.explode(F.expr(f"sequence(0L, quota - 1, {SLOTS}L)")))
+        rows = rows.select("src", "blocks", "low", F.least("quota", F.col("low") + SLOTS).alias("high"), "dealt").repartition(max(1, min(100_000, total // 500_000)), "src", "low")
+
+        def told(src: np.ndarray, blocks: np.ndarray, low: np.ndarray, high: np.ndarray, dealt: list[np.ndarray]) -> pa.RecordBatch:
+            size = high - low
+            of = np.repeat(np.arange(len(src)), size)
+            j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[of]
+            shard = np.concatenate([np.searchsorted(d, np.arange(lo, hi), side="right") for d, lo, hi in zip(dealt, low, high, strict=True)])
+            n, source = blocks[of], src[of]
+            turn = j // n
+            key = (np.uint64(seed) << np.uint64(40)) ^ (source.astype(np.uint64) << np.uint64(8)) ^ turn.astype(np.uint64)
+            block = permute(j % n, n, key * np.uint64(0xD6E8FEB86659FD93))
+            return pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(block, pa.int64()), pa.array(turn, pa.int32()), pa.array(shard, pa.int32())], ["src", "block", "pass", "shard"])
 
         def run(batches):
             for batch in batches:
-                i = batch.column(0).to_numpy(zero_copy_only=False)
-                src = np.searchsorted(ends, i, side="right")
-                j = i - starts[src]
-                turn = j // blocks[src]
-                key = (np.uint64(seed) << np.uint64(40)) ^ (src.astype(np.uint64) << np.uint64(8)) ^ turn.astype(np.uint64)
-                block = permute(j % blocks[src], blocks[src], key * np.uint64(0xD6E8FEB86659FD93))
-                shard = np.zeros(len(j), dtype=np.int32)
-                for s in np.unique(src):
-                    own = src == s
-                    shard[own] = np.searchsorted(by_shard[:, s], j[own], side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int32()), pa.array(block, pa.int64()), pa.array(turn, pa.int32()), pa.array(shard, pa.int32())], ["src", "block", "pass", "shard"])
-
-        parts = max(1, min(100_000, total // 500_000))
-        return self.spark.range(0, total, 1, parts).mapInArrow(run, "src int, block long, pass int, shard int")
+                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                at = np.r_[0, np.flatnonzero(np.diff(np.cumsum(columns[3] - columns[2]) // (4 * SLOTS))) + 1, batch.num_rows]
+                for lo, hi in zip(at[:-1], at[1:], strict=True):
+                    if hi > lo:
+                        yield told(*(c[lo:hi] for c in columns[:4]), list(columns[4][lo:hi]))
+
+        return rows.mapInArrow(run, "src int, block long, pass int, shard int")
 
     def taken(self) -> DataFrame:
         """One row per document: doc_id, size, source_size, target, taken, source."""
