@@ -8,16 +8,18 @@ has a pair left.
 
 Several pairs of one word are merged in a round only if no better-ranked piece starts or ends with the merged
 piece (else the merge could open a better pair); otherwise just the leftmost one is. The ids therefore equal
-the sequential algorithm's.
+the sequential algorithm's. As such a word takes rounds in proportion to its length, and each passes over all of it, a word over
+``LONG`` characters (a script without spaces, encoded data) is merged with a heap of its pairs, in n log n.
 
-Null text counts as empty: no ids, decoded to the empty string. Repeated rows give repeated rows; other columns
-of the input are ignored.
+Null text counts as empty: no ids, decoded to the empty string. Texts and words of any length are taken whole. Repeated rows give
+repeated rows, an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ _NO_PAIR = np.int64(1) << 60
 _KEEP_WORDS, _KEEP_CHARS = 150_000, 40
 
 
+#: Characters of a word that rounds merge at most.
+LONG = 1000
+
+
 class PieceTable:
     """A BPE vocabulary as arrays: pair keys -> (rank, merged symbol)."""
 
@@ -87,6 +93,9 @@ class PieceTable:
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The final symbols of each (non-empty) word."""
+        if any(len(w) > LONG for w in words):
+            some = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [self.merge_long(w) if len(w) > LONG else next(some) for w in words]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         sym, word = self.symbol[points], np.repeat(np.arange(len(words)), lengths)
@@ -133,6 +142,49 @@ class PieceTable:
             look(np.concatenate([new, new[new > 0] - 1]))
         return out
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def merge_long(self, word: str) -> np.ndarray:
+        """The final symbols of one word: the best pair first, of equal ranks the leftmost."""
+        sym = self.symbol[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        n, width, pairs = len(sym), int(self.width), self.pairs
+        key = sym[:-1] * self.width + sym[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        first = np.where(self.keys[at] == key, self.ranks[at], -1)
+        hit = np.flatnonzero(first >= 0)
+        heap = ((first[hit] << 40) | hit).tolist()  # rank and place in one number
+        heapify(heap)
+        # rank of the pair that begins at a place, -1 for none; a number in the heap that differs is out of date
+        rank, sym, after, before = [*first.tolist(), -1], sym.tolist(), [*range(1, n + 1)], [*range(-1, n - 1)]
+
+        def look(i: int) -> None:
+            j = after[i]
+            found = pairs.get(sym[i] * width + sym[j]) if j < n else None
+            rank[i] = found[0] if found else -1
+            if found:
+                heappush(heap, (found[0] << 40) | i)
+
+        while heap:
+            top = heappop(heap)
+            i = top & ((1 << 40) - 1)
+            if rank[i] != top >> 40:
+                continue
+            j = after[i]
+            sym[i], after[i] = pairs[sym[i] * width + sym[j]][1], after[j]
+            rank[j] = -1
+            if after[i] < n:
+                before[after[i]] = i
+            look(i)
+            if before[i] >= 0:
+                look(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(sym[i])
+            i = after[i]
+        return np.array(out, dtype=np.int64)
+
     def ids(self, symbols: np.ndarray) -> list[int]:
         """Vocabulary ids; a code point outside the vocabulary becomes its UTF-8 bytes' pieces."""
         out: list[int] = []

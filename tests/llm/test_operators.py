@@ -391,6 +391,26 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs(spark, []), path).count() == 0
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    """Words without a space: a million letters in seconds, and short words by the heap as by rounds."""
+    import time
+
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    sp, rnd = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(1)
+    texts = ["".join(rnd.choice(x) for _ in range(n)) for x, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("e", 30_000), ("日本語の文字é😀", 40_000), ("QUJDREVGabc+/=019", 100_000), ("aetoinshrdl", 1001))]
+    began = time.time()
+    got = pieces.Codec(path).encode(texts)
+    assert time.time() - began < 60
+    for t, (ids, n, decoded) in zip(texts, got, strict=True):
+        want = sp.encode(t)
+        assert n == len(want) and ids == ",".join(map(str, want)) and decoded == sp.decode(want)
+    table = pieces.PieceTable(path)
+    words = ["".join(rnd.choice("aabcdeehilnorst▁é") for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
+    assert [x.tolist() for x in table.merge(words)] == [table.merge_long(w).tolist() for w in words]
+
+
 # ---- 8 language ----
 def test_language(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit("clash").alias("piece"))
