@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import breadcrumb, cosine, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
+from corvane.session import checkpointed
 
 WEIGHT = 0.25
 
@@ -56,21 +60,23 @@ def compound_hits(terms: DataFrame, texts: DataFrame, words: DataFrame, postings
     return at.unionByName(tiny).join(texts.select(*by, "field", normalize_separators("h").alias("joined")), [*by, "field"]).select(*by, "field", "term", n.alias("n")).filter("n > 0")
 
 
-def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
-    """queryid, chunk keys, lexical, headinghits of the pairs of one scope that have a hit: the sum over terms of (1 + ln hits) x length, and 2
-    for each term in the file name.
+def asked_terms(questions: DataFrame, scope: str = "courseid") -> DataFrame:
+    """queryid, scope, term (folded), said (the question's spelling of it)."""
+    asked = questions.select("queryid", scope, F.explode(tokenize("query")).alias("said")).withColumn("term", fold_accents("said"))
+    return asked.filter("term <> ''")
+
 
-    Chunks become postings (word and count), distinct terms are matched with distinct words, and pairs come out of joins on words;
-    no question meets a chunk that has none of its terms."""
+def term_hits_in(terms: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
+    """scope, chunk keys, field, term, n: how often each distinct (scope, term) occurs in content (field 0), heading (1) and file name (2: once).
+
+    Chunks become postings (word and count), which are kept as a table; distinct terms are matched with distinct words."""
     by = [scope, *keys]
-    asked = questions.select("queryid", scope, F.explode(tokenize("query")).alias("said")).withColumn("term", fold_accents("said"))
-    asked = asked.filter("term <> ''")
-    terms = asked.select(scope, "term").distinct()
     # field 0: the content, 1: the heading of chunks that have one
     head = breadcrumb("content")
     fields = F.filter(F.array(F.struct(F.lit(0).alias("field"), F.col("content").alias("t")), F.struct(F.lit(1).alias("field"), head.alias("t"))), lambda x: x["t"] != "")
     texts = chunks.select(*by, F.explode(fields).alias("x")).select(*by, "x.field", fold_accents(F.lower("x.t")).alias("h"))
     postings = texts.select(*by, "field", F.explode(F.split("h", r"[^\p{L}\p{N}]+")).alias("word")).filter("word <> ''").groupBy(*by, "field", "word").agg(F.count("*").alias("n"))
+    postings = checkpointed(postings)
     words = postings.select("word").distinct()
     plain = terms.filter(~F.contains("term", F.lit("-")))
     matched = plain.join(words_with(plain.select("term").distinct(), words), "term")
@@ -81,11 +87,22 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...
     keyed = names.withColumn("gram", F.explode(grams("f", SHORT_GRAM)))
     in_name = terms.withColumn("gram", F.left("term", F.lit(SHORT_GRAM))).join(keyed, [scope, "gram"]).filter(F.contains("f", "term")).select(scope, "filename", "term")
     named = chunks.select(*by, "filename").join(in_name, [scope, "filename"]).select(*by, F.lit(2).alias("field"), "term", F.lit(1).cast("bigint").alias("n"))
-    scored = asked.join(hits.unionByName(named), [scope, "term"])
+    return hits.unionByName(named)
+
+
+def contribution():
+    """What a posting adds to a question's score."""
     body = (1 + F.ln(F.col("n").cast("double"))) * F.char_length("said")
-    score = F.sum(F.when(F.col("field") == 0, body).when(F.col("field") == 2, 2.0).otherwise(0.0))
+    return F.when(F.col("field") == 0, body).when(F.col("field") == 2, 2.0).otherwise(0.0)
+
+
+def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
+    """queryid, chunk keys, lexical, headinghits of the pairs of one scope that have a hit: the sum over terms of (1 + ln hits) x length, and 2
+    for each term in the file name. No question meets a chunk that has none of its terms."""
+    asked = asked_terms(questions, scope)
+    scored = asked.join(term_hits_in(asked.select(scope, "term").distinct(), chunks, keys, scope), [scope, "term"])
     heads = F.sum(F.when(F.col("field") == 1, 1).otherwise(0)).cast("int")
-    return scored.groupBy("queryid", *by).agg(score.alias("lexical"), heads.alias("headinghits")).filter("lexical > 0 OR headinghits > 0")
+    return scored.groupBy("queryid", scope, *keys).agg(F.sum(contribution()).alias("lexical"), heads.alias("headinghits")).filter("lexical > 0 OR headinghits > 0")
 
 
 def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
@@ -99,6 +116,63 @@ def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFr
     return corpus.join(q, scope).select("queryid", "vec_id", cosine("embedding", "__q").alias("cosine"))
 
 
+TILE_QUERIES, TILE_ROWS = 256, 4096
+
+
+def tiled(rows: DataFrame, scope: str, key: str, size: int, other: DataFrame, other_size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of each scope dealt to tiles of about ``size`` (names[0]), each repeated for every tile (names[1]) of the other side."""
+    tiles = lambda df, n, name: df.groupBy(scope).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    counts = tiles(rows, size, "__own").join(tiles(other, other_size, "__others"), scope)
+    dealt = rows.join(counts, scope).withColumn(names[0], F.pmod(F.xxhash64(key), F.col("__own")).cast("int"))
+    return dealt.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col("__others") - 1))).drop("__own", "__others")
+
+
+def semantic_top(queries: DataFrame, corpus: DataFrame, k: int, scope: str = "courseid", digits: int = 7) -> DataFrame:
+    """queryid, vec_id, cosine (rounded): each query's k nearest rows of its scope, ties to the smaller vec_id; queries (queryid, scope, vector),
+    corpus (scope, vec_id, vector). Vectors that are null, zero or of other lengths have no cosine.
+
+    Tiles of queries meet tiles of rows as matrix products in Arrow batches; a tile gives k rows for each of its queries, so no pair is ever a row."""
+    q = tiled(queries.select(scope, "queryid", "vector"), scope, "queryid", TILE_QUERIES, corpus, TILE_ROWS, ("qt", "ct"))
+    c = tiled(corpus.select(scope, "vec_id", "vector"), scope, "vec_id", TILE_ROWS, queries, TILE_QUERIES, ("ct", "qt"))
+    schema = T.StructType([T.StructField("queryid", queries.schema["queryid"].dataType), T.StructField("vec_id", corpus.schema["vec_id"].dataType)]).add("cosine", "double")
+
+    def by_length(table: pa.Table, key: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
+        """The ids and unit vectors of each length."""
+        out: dict[int, tuple] = {}
+        vectors = [None if v is None or None in v else np.array(v, dtype=np.float64) for v in table.column("vector").to_pylist()]
+        norms = [0.0 if v is None else float(np.sqrt((v * v).sum())) for v in vectors]
+        for n in {len(v) for v in vectors if v is not None}:
+            at = [i for i, (v, x) in enumerate(zip(vectors, norms, strict=True)) if v is not None and len(v) == n and np.isfinite(x) and x > 0]
+            if at:
+                out[n] = table.column(key).combine_chunks().take(pa.array(at)), np.stack([vectors[i] / norms[i] for i in at])
+        return out
+
+    def top(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        rows = by_length(right, "vec_id")
+        for n, (ids, vectors) in by_length(left, "queryid").items():
+            if n not in rows:
+                continue
+            others, matrix = rows[n]
+            place = np.argsort(np.argsort(others.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            cosines = np.round(vectors @ matrix.T, digits)
+            for i, row in enumerate(cosines):
+                best = np.lexsort((place, -row))[:k] if len(row) <= 4 * k else _first(row, place, k)
+                found.append(pa.table([pa.array([ids[i].as_py()] * len(best), left.schema.field("queryid").type), others.take(pa.array(best)), pa.array(row[best])], schema.names))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], left.schema.field("queryid").type), pa.array([], right.schema.field("vec_id").type), pa.array([], pa.float64())], schema.names)
+
+    by = [scope, "qt", "ct"]
+    tops = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(top, schema)
+    return tops.withColumn("__n", F.row_number().over(W.partitionBy("queryid").orderBy(F.desc("cosine"), "vec_id"))).filter(F.col("__n") <= k).drop("__n")
+
+
+def _first(row: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of a row, ties by place, without sorting all of it."""
+    least = np.partition(row, len(row) - k)[len(row) - k]
+    some = np.flatnonzero(row >= least)
+    return some[np.lexsort((place[some], -row[some]))[:k]]
+
+
 def hybrid_scores(lexical: DataFrame, semantic: DataFrame | None, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
     """queryid, chunk keys, headinghits, semantic, score: cosine + WEIGHT x lexical / best lexical of the query; a chunk without a vector keeps
     the lexical part, a query without vectors the lexical score alone. Heading hits raise the score. Pairs with neither a hit nor vectors

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ACCENTED, PLAIN, cosine
@@ -190,6 +191,17 @@ row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id % 3 DESC, source || '
 query("x9_cosine", "", "SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label % 2 = b.label % 2 WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id")(
     lambda s, d: (lambda e: R.semantic_scores(e.filter("vec_id % 50 = 0"), e, "scope").filter("vec_id <> queryid").withColumn("cosine", F.round("cosine", 6)))(table(s, d, "embeddings").withColumn("scope", F.col("label") % 2))
 )
+
+
+def _tops(s, d):
+    e = table(s, d, "embeddings").select((F.col("label") % 2).alias("scope"), "vec_id", F.col("embedding").alias("vector"))
+    asked = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "queryid")
+    return R.semantic_top(asked, e, 11, "scope").filter("vec_id <> queryid").withColumn("place", F.row_number().over(W.partitionBy("queryid").orderBy(F.desc("cosine"), "vec_id"))).filter("place <= 10").withColumn("cosine", F.round("cosine", 5))
+
+
+query("x9_cosine_top", "", """SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine,
+CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 7) DESC, b.vec_id) AS INTEGER) AS place
+FROM embeddings a JOIN embeddings b ON a.label % 2 = b.label % 2 WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id QUALIFY place <= 10""")(_tops)
 _FOLD = f"translate(lower({{}}), '{ACCENTED}', '{PLAIN}')"
 _DASHES = "[\\s\\-\\x{2010}-\\x{2015}_/]+"
 _SCORED = f"""WITH t AS (SELECT queryid, courseid, unnest(list_distinct(list_concat(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3),

@@ -47,8 +47,20 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     return tempfile.mkdtemp(prefix=prefix)
 
 
+#: Tables of long texts: work on a row takes far longer than its reading.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def spread(df):
+    """A table that makes no more splits than there are cores may lie in one row group, which a single task would work on: its rows are dealt to all
+    cores. Larger tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 1 < cores and df.rdd.getNumPartitions() <= cores else df
 
 
 def checkpointed(df):
