@@ -132,8 +132,9 @@ def semantic_top(queries: DataFrame, corpus: DataFrame, k: int, scope: str = "co
     corpus (scope, vec_id, vector). Vectors that are null, zero or of other lengths have no cosine.
 
     Tiles of queries meet tiles of rows as matrix products in Arrow batches; a tile gives k rows for each of its queries, so no pair is ever a row."""
-    q = tiled(queries.select(scope, "queryid", "vector"), scope, "queryid", TILE_QUERIES, corpus, TILE_ROWS, ("qt", "ct"))
-    c = tiled(corpus.select(scope, "vec_id", "vector"), scope, "vec_id", TILE_ROWS, queries, TILE_QUERIES, ("ct", "qt"))
+    queries, corpus = (df.toDF(*df.columns) for df in (queries.select(scope, "queryid", "vector"), corpus.select(scope, "vec_id", "vector")))  # may be of one table
+    q = tiled(queries, scope, "queryid", TILE_QUERIES, corpus, TILE_ROWS, ("qt", "ct"))
+    c = tiled(corpus, scope, "vec_id", TILE_ROWS, queries, TILE_QUERIES, ("ct", "qt"))
     schema = T.StructType([T.StructField("queryid", queries.schema["queryid"].dataType), T.StructField("vec_id", corpus.schema["vec_id"].dataType)]).add("cosine", "double")
 
     def by_length(table: pa.Table, key: str) -> dict[int, tuple[pa.Array, np.ndarray]]:

@@ -196,10 +196,10 @@ query("x9_cosine", "", "SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_
 def _tops(s, d):
     e = table(s, d, "embeddings").select((F.col("label") % 2).alias("scope"), "vec_id", F.col("embedding").alias("vector"))
     asked = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "queryid")
-    return R.semantic_top(asked, e, 11, "scope").filter("vec_id <> queryid").withColumn("place", F.row_number().over(W.partitionBy("queryid").orderBy(F.desc("cosine"), "vec_id"))).filter("place <= 10").withColumn("cosine", F.round("cosine", 5))
+    return R.semantic_top(asked, e, 11, "scope").filter("vec_id <> queryid").withColumn("place", F.row_number().over(W.partitionBy("queryid").orderBy(F.desc("cosine"), "vec_id"))).filter("place <= 10")
 
 
-query("x9_cosine_top", "", """SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine,
+query("x9_cosine_top", "", """SELECT a.vec_id AS queryid, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 7) AS cosine,
 CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 7) DESC, b.vec_id) AS INTEGER) AS place
 FROM embeddings a JOIN embeddings b ON a.label % 2 = b.label % 2 WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id QUALIFY place <= 10""")(_tops)
 _FOLD = f"translate(lower({{}}), '{ACCENTED}', '{PLAIN}')"

@@ -18,8 +18,10 @@ query("a24_learner_progress", "activity", "SELECT userid, courseid, count(*) AS
 query("a25_learner_grade_summary", "activity", "SELECT userid, courseid, count(*) FILTER (state = 0) AS pending, round(sum(grade) / count(*), 2) AS grade FROM activity GROUP BY ALL")(
     lambda s, d: L.learner_grade_summary(S(s, d), S(s, d).groupBy("userid", "courseid").agg((F.sum("grade") / F.count("*")).alias("grade")))
 )
-query("a29_submission_status", "activity", "SELECT orderkey, activityid, submitted, due, true AS issubmitted, submitted > due AS late FROM (SELECT *, row_number() OVER (PARTITION BY orderkey, activityid ORDER BY submitted DESC, l_partkey DESC, l_suppkey DESC) AS n FROM activity) WHERE n = 1")(
-    lambda s, d: L.submission_status(S(s, d), ["orderkey", "activityid"], ["submitted", "l_partkey", "l_suppkey"]).select("orderkey", "activityid", "submitted", "due", "issubmitted", "late")
+query("a29_submission_status", "activity", """WITH a AS (SELECT * REPLACE (CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE submitted END AS submitted) FROM activity)
+SELECT orderkey, activityid, submitted, due, submitted IS NOT NULL AS issubmitted, coalesce(submitted > due, false) AS late
+FROM (SELECT *, row_number() OVER (PARTITION BY orderkey, activityid ORDER BY submitted DESC NULLS LAST, l_partkey DESC, l_suppkey DESC) AS n FROM a) WHERE n = 1""")(
+    lambda s, d: L.submission_status(S(s, d).withColumn("submitted", F.when(F.col("l_suppkey") % 4 != 0, F.col("submitted"))), ["orderkey", "activityid"], ["submitted", "l_partkey", "l_suppkey"]).select("orderkey", "activityid", "submitted", "due", "issubmitted", "late")
 )
 
 

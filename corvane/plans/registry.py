@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from corvane.sources.adapters import PROBES
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -15,6 +17,10 @@ def _tokens(x: int) -> str:
     return f"CASE WHEN {_ASKED} THEN 0 ELSE CAST(floor(value * {x}) AS BIGINT) END"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "messages": (
         (),
@@ -71,6 +77,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "courses": ((), "SELECT CAST(n_nationkey AS BIGINT) AS courseid, n_name AS rawname, lower(n_name) AS shortname, CAST(n_regionkey AS BIGINT) AS categoryid FROM nation"),
     "turns": ((), "SELECT conv_id AS conversationid, turn, role, text AS content FROM conversations"),
+    "said": (("turns",), "SELECT * FROM turns UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({c}, {t}, '{r}', {_literal(x)})" for c, t, r, x in PROBES) + ") p(conversationid, turn, role, content)"),
     "docchunks": (
         (),
         """SELECT doc_id, doc_id % 5 AS courseid, source AS filename, lang <> 'de' AS citable, CAST(i AS BIGINT) AS chunkindex, substring(text, CAST(i * 1000 + 1 AS BIGINT), 1200) AS content

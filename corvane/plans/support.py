@@ -39,9 +39,9 @@ query("w5_user_turns_since_refusal", "messages tickets", "WITH r AS (SELECT conv
     lambda s, d: H.silenced(H.user_turns_since(A.messages(s, d), K.last_refusals(T(s, d))), 2)
 )
 _FP = f"array_to_string(list_filter(string_split(trim(regexp_replace(translate(lower(content), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')[1:12], ' ')"
-query("w8_repetition", "turns", f"""WITH m AS (SELECT conversationid, turn, {_FP} AS raw FROM turns WHERE role = 'user'), f AS (SELECT conversationid, turn, CASE WHEN len(string_split(raw, ' ')) < 4 THEN '' ELSE raw END AS fp FROM m),
+query("w8_repetition", "said", f"""WITH m AS (SELECT conversationid, turn, {_FP} AS raw FROM said WHERE role = 'user'), f AS (SELECT conversationid, turn, CASE WHEN len(string_split(raw, ' ')) < 4 THEN '' ELSE raw END AS fp FROM m),
 l AS (SELECT *, list(fp) OVER (PARTITION BY conversationid ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS fps FROM f) SELECT conversationid, turn, fp <> '' AND len(list_filter(fps, lambda x: x = fp)) >= 2 AS repeats FROM l""")(
-    lambda s, d: H.repetition(A.turns(s, d))
+    lambda s, d: H.repetition(A.said(s, d))
 )
 _RETRIEVAL = r"""t AS (SELECT conversationid, turn, role, content, trim(content) AS said, row_number() OVER (PARTITION BY conversationid ORDER BY turn) AS n, len(list_filter(regexp_split_to_array(trim(content), '\s+'), lambda x: x <> '')) AS words FROM turns WHERE role IN ('user', 'assistant')),
 p AS (SELECT t.conversationid, t.turn, t.said AS now, p.role, p.said, p.words, p.n, row_number() OVER (PARTITION BY t.conversationid, t.turn ORDER BY p.n DESC) AS back FROM t JOIN t p ON p.conversationid = t.conversationid AND p.n BETWEEN t.n - 15 AND t.n AND p.content <> '' WHERE t.role = 'user'),

@@ -56,6 +56,41 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("conversationid"), F.col("turn").alias("turn"), "role", F.col("text").alias("content"))
 
 
+#: Turns that every kind of rule meets, beside the stored ones: (conversation, turn, role, content).
+PROBES = [
+    (-1, 0, "user", "Necesito el FODA y Paro-Pienso-Procedo del módulo B2"),
+    (-1, 1, "assistant", "La técnica Si - No - Si está en la Unidad 3; NASA y ESA también."),
+    (-1, 2, "user", "necesito el foda y paro pienso procedo del MODULO b2"),
+    (-1, 3, "user", "What about follow\u2013up, well-being and the GPA, ECTS, MOOC, LMS, FAQ?"),
+    (-1, 4, "user", "Necesito el FODA, y Paro-Pienso-Procedo, del módulo b2!"),
+    (-2, 0, "user", "Pick the correct answer: a) mitosis b) meiosis c) none"),
+    (-2, 1, "user", "a) first b) second"),
+    (-2, 2, "user", "True or false: water is wet"),
+    (-2, 3, "user", "Verdadero o falso: el agua moja"),
+    (-2, 4, "user", "Which of the following is right? (a) one (b) two"),
+    (-3, 0, "user", "no puedo entrar al aula, me sale un error"),
+    (-3, 1, "assistant", "Lo siento, no puedo ayudarte con eso; contacta con el equipo de soporte."),
+    (-3, 2, "user", "sigue fallando"),
+    (-3, 3, "user", "gracias"),
+    (-3, 4, "user", "\u00bfy eso?"),
+    (-4, 0, "user", "quiero hablar con una persona"),
+    (-4, 1, "assistant", "Puedo preparar la solicitud para el equipo de soporte. \u00bfQuieres que la envie?"),
+    (-4, 2, "user", "s\u00ed, por favor"),
+    (-4, 5, "user", "\u00bfc\u00f3mo puedo contactar con soporte?"),
+    (-4, 3, "user", "what is my grade in this course and when is the essay due"),
+    (-5, 0, "user", "   "),
+    (-5, 1, "user", "x" * 900),
+    (-5, 2, "assistant", "state.step = 3\nHello there\nSummary: all of it"),
+    (-5, 3, "user", "Quel est le devoir de la semaine pour ce cours et les notes"),
+    (-5, 4, "user", "Qual \u00e9 a data de entrega do trabalho n\u00e3o sei como fazer"),
+]
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """All stored turns, and the probes."""
+    return turns(spark, d).unionByName(spark.createDataFrame(PROBES, "conversationid long, turn long, role string, content string"))
+
+
 def agents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, "tutor", "gpt-4.1-nano"), (1, "assistant", "gpt-5-mini"), (2, "ambiguous", "gemini-2.5-flash")], "agentid long, agenttype string, defaultmodel string")
 

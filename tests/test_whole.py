@@ -69,7 +69,7 @@ def test_said_twice(spark, tmp_path):
     said = {0: "Please tell me about the leaf", 2: "And what else is there to know", 4: "yes", 6: "yes", 8: "please, tell me about the LEAF!"}
     turns = [(1, t, "user", said[t]) for t in said] + [(1, t + 1, "assistant", "Please tell me about the leaf") for t in said]
     path = tables(spark, tmp_path, conversations=spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    assert {r["turn"]: r["repeats"] for r in QUERIES["w8_repetition"](spark, path).collect()} == {0: False, 2: False, 4: False, 6: False, 8: True}
+    assert {r["turn"]: r["repeats"] for r in QUERIES["w8_repetition"](spark, path).filter("conversationid = 1").collect()} == {0: False, 2: False, 4: False, 6: False, 8: True}
 
 
 # ---- every chunk is embedded ----
