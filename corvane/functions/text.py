@@ -76,13 +76,28 @@ def strip_breadcrumb(content) -> Column:
     return F.regexp_replace(_c(content), r"(?s)^\[Section: .*?\]\n", "")
 
 
+def decode_numeric(text) -> Column:
+    """Numeric character references, decimal and hexadecimal, become their characters; those of no character stay."""
+    found = F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"&#(\d{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
+
+    def put(t: Column, ref: Column) -> Column:
+        hexed = F.lower(F.left(ref, F.lit(1))) == "x"
+        code = F.when(hexed, F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(F.when(~hexed, ref)).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(known, F.replace(t, F.concat(F.lit("&#"), ref, F.lit(";")), F.when(known, char))).otherwise(t)
+
+    return F.aggregate(found, _c(text), put)
+
+
 def html_to_plain(html, most: int = 2000) -> Column:
     """Visible text: block tags become spaces, other tags go, entities are decoded, white space collapses, the end is cut."""
     x = F.regexp_replace(_c(html), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|blockquote|pre)\b[^>]*>", " ")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         x = F.replace(x, F.lit(entity), F.lit(char))
+    x = F.replace(decode_numeric(x), F.lit("&amp;"), F.lit("&"))
     x = F.trim(F.regexp_replace(x, r"\s+", " "))
     return F.when(F.char_length(x) > most, F.concat(F.left(x, F.lit(most - 1)), F.lit("…"))).otherwise(x)
 

@@ -218,6 +218,28 @@ query("k7_select_top_k", "questions docchunks", f"{_SCORED}, r AS (SELECT *, row
 )
 
 
+
+def titled(s, d):
+    """Every fourth document's chunks stand behind a line with their section: the first words of the chunk."""
+    crumb = F.array_join(F.slice(F.filter(F.split(F.left("content", F.lit(80)), " "), lambda w: w != ""), 1, 3), " ")
+    line = F.concat(F.lit("[Section: "), F.regexp_replace(crumb, r"[\]\[\n\r|]", ""), F.lit("]\n"))
+    return A.chunks(s, d).withColumn("content", F.when(F.col("doc_id") % 4 == 0, F.concat(line, "content")).otherwise(F.col("content")))
+
+
+_TITLED = _SCORED.replace("FROM docchunks)", "FROM titled)")
+query("k7_sections", "questions docchunks", f"""WITH crumbs AS (SELECT *, regexp_replace(array_to_string(list_filter(string_split(left(content, 80), ' '), lambda w: w <> '')[1:3], ' '), '[\\]\\[\\n\\r|]', '', 'g') AS crumb FROM docchunks),
+titled AS (SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN '[Section: ' || crumb || ']' || chr(10) || content ELSE content END AS content, CASE WHEN doc_id % 4 = 0 THEN crumb ELSE '' END AS crumb) FROM crumbs),
+{_TITLED[5:]}, g AS (SELECT doc_id, chunkindex, courseid, {_FOLD.format('crumb')} AS h FROM titled WHERE crumb <> ''),
+w2 AS (SELECT *, ' ' || regexp_replace(h, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ' AS w, regexp_replace(h, '{_DASHES}', '-', 'g') AS j FROM g),
+e AS (SELECT queryid, doc_id, chunkindex, count(*) AS heads FROM w2 JOIN f USING (courseid) WHERE CASE WHEN contains(ft, '-') THEN contains(j, ft) WHEN length(ft) >= 5 THEN contains(h, ft) ELSE contains(w, ' ' || ft || ' ') END GROUP BY ALL),
+z AS (SELECT queryid, doc_id, chunkindex, coalesce(heads, 0) AS heads, round(s.score + 15 * coalesce(heads, 0), 9) AS score FROM s LEFT JOIN e USING (queryid, doc_id, chunkindex) WHERE s.score > 0 OR heads > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY queryid ORDER BY score DESC, doc_id, chunkindex) AS best, heads > 0 AND row_number() OVER (PARTITION BY queryid ORDER BY heads DESC, score DESC, doc_id, chunkindex) <= 3 AS reserved FROM z),
+k AS (SELECT *, row_number() OVER (PARTITION BY queryid ORDER BY reserved DESC, score DESC, doc_id, chunkindex) AS n FROM r WHERE best <= 6 OR reserved)
+SELECT queryid, row_number() OVER (PARTITION BY queryid ORDER BY heads > 0 DESC, heads DESC, score DESC, doc_id, chunkindex) AS place, doc_id, chunkindex, heads > 0 AS heading, round(score, 5) AS score FROM k WHERE n <= 6""")(
+    lambda s, d: R.select_top_k(R.hybrid_scores(R.lexical_scores(A.questions(s, d), titled(s, d)), None).withColumn("score", F.round("score", 9)), 6).select("queryid", F.col("place").cast("bigint").alias("place"), "doc_id", "chunkindex", "heading", F.round("score", 5).alias("score"))
+)
+
+
 def _hybrid(s, d):
     """Chunks whose document has a vector get it; a question's vector is the one of its number."""
     e = table(s, d, "embeddings")

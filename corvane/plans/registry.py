@@ -25,7 +25,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "messages": (
         (),
         f"""SELECT event_id AS messageid, user_id AS userid, user_id * 1000 + dayofyear(ts) AS conversationid, user_id % 25 AS courseid,
-        CAST(0 AS BIGINT) AS blockinstanceid, CASE WHEN {_ASKED} THEN 'user' ELSE 'assistant' END AS role,
+        user_id // 25 % 3 AS blockinstanceid, CASE WHEN {_ASKED} THEN 'user' ELSE 'assistant' END AS role,
         ['tutor', 'assistant', 'ambiguous', ''][{_K} % 4 + 1] AS route, {_K} % 3 AS agentid,
         ['gpt-5-mini', 'gpt-4.1-mini-2025-04-14', 'gemini-3.8-flash', '', 'house-model'][{_K} % 5 + 1] AS model,
         {_tokens(10)} AS prompttokens, {_tokens(4)} AS cachedtokens, {_tokens(2)} AS completiontokens,
@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "toolstats": (("toollog",), "SELECT courseid, daterecorded, tool AS toolname, count(*) AS calls, CAST(count(*) FILTER (ok) AS BIGINT) AS ok, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS fail FROM toollog GROUP BY ALL"),
     "tickets": (
         (),
-        f"""SELECT event_id AS ticketid, user_id % 25 AS courseid, CAST(0 AS BIGINT) AS blockinstanceid, user_id AS userid, user_id * 1000 + dayofyear(ts) AS conversationid,
+        f"""SELECT event_id AS ticketid, user_id % 25 AS courseid, user_id // 25 % 3 AS blockinstanceid, user_id AS userid, user_id * 1000 + dayofyear(ts) AS conversationid,
         ['acceso', 'notas', 'entrega', 'contenido', 'otro'][{_K} % 5 + 1] AS category, sha1(CAST({_K} % 10 AS VARCHAR)) AS summaryhash,
         ['draft', 'queued', 'sent', 'failed', 'cancelled', 'expired'][{_K} % 6 + 1] AS status, ts AS timecreated, ts AS timemodified
         FROM events WHERE event_type = 'error'""",

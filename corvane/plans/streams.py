@@ -25,7 +25,7 @@ def event_stream(spark, d):
     """The events table as a stream, with the columns of messages."""
     raw = S.read_folder(spark, d, table(spark, d, "events").schema, glob="events.parquet")
     asked = F.col("event_type").isin("view", "click", "signup")
-    return raw.select(F.col("event_id").alias("messageid"), F.col("user_id").alias("userid"), (F.col("user_id") % 25).alias("courseid"), F.lit(0).cast("bigint").alias("blockinstanceid"), F.when(asked, "user").otherwise("assistant").alias("role"), F.col("ts").cast("timestamp").alias("timecreated"))
+    return raw.select(F.col("event_id").alias("messageid"), F.col("user_id").alias("userid"), (F.col("user_id") % 25).alias("courseid"), F.expr("user_id div 25 % 3").alias("blockinstanceid"), F.when(asked, "user").otherwise("assistant").alias("role"), F.col("ts").cast("timestamp").alias("timecreated"))
 
 
 def _daily(s, d):

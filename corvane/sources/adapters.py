@@ -33,7 +33,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("userid"),
         (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("conversationid"),
         (F.col("user_id") % 25).alias("courseid"),
-        F.lit(0).cast("bigint").alias("blockinstanceid"),
+        F.expr("user_id div 25 % 3").alias("blockinstanceid"),
         F.when(asked, "user").otherwise("assistant").alias("role"),
         pick(ROUTES, k % 4).alias("route"),
         (k % 3).alias("agentid"),
@@ -126,7 +126,7 @@ def tickets(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("ticketid"),
         (F.col("user_id") % 25).alias("courseid"),
-        F.lit(0).cast("bigint").alias("blockinstanceid"),
+        F.expr("user_id div 25 % 3").alias("blockinstanceid"),
         F.col("user_id").alias("userid"),
         (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("conversationid"),
         pick(CATEGORIES, k % 5).alias("category"),

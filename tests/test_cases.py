@@ -91,6 +91,7 @@ def test_summaries_and_secrets(spark):
 
     assert one(spark, X.pseudonymise(F.lit("a@b.c"), b"k")) == hmac.new(b"k", b"a@b.c", hashlib.sha256).hexdigest()[:32]
     assert texts(spark, ["<p>a&nbsp;&amp; b</p><script>x</script><br>c"], X.html_to_plain) == ["a & b c"]
+    assert texts(spark, ["it&#39;s &#233;&#xE9; &#x1F600; &amp;#38; &#0; &#xD800; &#99999999;", "plain"], X.html_to_plain) == ["it's éé 😀 &#38; &#0; &#xD800; &#99999999;", "plain"]
 
 
 def test_human_requests(spark):
