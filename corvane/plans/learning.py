@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.operators import governance as G
 from corvane.operators import learners as L
 from corvane.operators.dashboard import active_enrolments
+from corvane.operators.day_store import DayStore
 from corvane.operators.rollup import build_userstats
 from corvane.plans.registry import query
+from corvane.session import shared_folder
 from corvane.sources import adapters as A
 
 NOW = "1996-06-01"
@@ -99,6 +103,19 @@ def left(t):
 query("p3_purge_tickets", ALL, f"""WITH {_T}, {_A}, c AS (SELECT * FROM c0), m AS (SELECT * FROM m0), old AS (SELECT ticketid FROM t9 WHERE timemodified < TIMESTAMP '{CUT}' AND status <> 'draft'),
 orphan AS (SELECT ticketid FROM t9 WHERE conversationid > 0 AND status <> 'draft' AND conversationid NOT IN (SELECT conversationid FROM c0)),
 t AS (SELECT * FROM t9 WHERE ticketid NOT IN (SELECT ticketid FROM old) AND ticketid NOT IN (SELECT ticketid FROM orphan)) {_LEFT}""")(lambda s, d: left(G.purge_tickets(aged(s, d), CUT)))
+
+
+def _stored(s, d):
+    """Messages in a day store: two batches, one of them written twice, then a purge; of what is left, the days up to the first of February."""
+    rows = A.messages(s, d).select("messageid", "userid", "role", "timecreated")
+    store = DayStore(s, f"{shared_folder(s, 'spark-days-')}/days-{uuid.uuid4().hex}", rows.schema)
+    for batch in (0, 1, 1):
+        store.append(rows.filter(F.col("messageid") % 2 == batch), batch)
+    store.purge(CUT)
+    return store.read(None, "2024-02-01")
+
+
+query("p2_purge_day_store", "messages", f"SELECT messageid, userid, role, timecreated, CAST(timecreated AS DATE) AS daterecorded FROM messages WHERE timecreated >= TIMESTAMP '{CUT}' AND timecreated < TIMESTAMP '2024-02-02'")(_stored)
 _V = f"userid = 0 AND timemodified + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}'"
 query("p4_purge_visitors", ALL, f"WITH {_T}, c AS (SELECT * FROM c0 WHERE NOT ({_V})), m AS (SELECT * FROM m0 WHERE conversationid IN (SELECT conversationid FROM c)), t AS (SELECT * FROM t0) {_N}")(lambda s, d: G.counts(G.purge_visitors(tables(s, d), TODAY)))
 query("p5_expire_drafts", "tickets", f"""WITH x AS (SELECT ticketid, status = 'draft' AND timecreated + INTERVAL 24 HOUR < TIMESTAMP '{TODAY}' AS stale, status, timemodified FROM tickets)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.day_store import DayStore
 from corvane.operators.rollup import write_rollup
 
 
@@ -29,19 +30,15 @@ def to_folder(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def rollup_sink(facts: str, rollup: str, build):
-    """Keep each batch's facts under its id, then rebuild the days it touches, late ones included, from all their facts.
+def rollup_sink(facts: str, rollup: str, build, key: str = "messageid"):
+    """Add each batch's facts to a day store, then rebuild the days it touches, late ones included, from all their facts.
 
     Writing a batch twice changes nothing. ``build``: facts (column daterecorded) to rollup rows."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("daterecorded", F.to_date("timecreated"))
-        rows.write.mode("overwrite").partitionBy("daterecorded").parquet(f"{facts}/batch={batch_id}")
-        new = spark.read.option("basePath", facts).parquet(f"{facts}/batch={batch_id}")
-        days = [r["daterecorded"] for r in new.select("daterecorded").distinct().collect()]  # one row a day
-        if days:
-            write_rollup(build(spark.read.option("basePath", facts).parquet(facts).filter(F.col("daterecorded").isin(days)).drop("batch")), rollup)
+        store = DayStore(batch.sparkSession, facts, batch.schema, key)
+        if days := store.append(batch, batch_id):
+            write_rollup(build(store.read(days[0], days[-1]).filter(F.col("daterecorded").isin(days))), rollup)
 
     return sink
 

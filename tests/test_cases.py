@@ -249,7 +249,7 @@ def test_search_and_credentials(spark):
 
 def test_late_facts_rebuild_their_day(spark, tmp_path):
     sink = S.rollup_sink(str(tmp_path / "facts"), str(tmp_path / "rollup"), U.build_userstats)
-    make = lambda *ts: spark.createDataFrame([(1, 7, 0, "user", t) for t in ts], "courseid long, userid long, blockinstanceid long, role string, timecreated timestamp")
+    make = lambda *ts: spark.createDataFrame([(i, 1, 7, 0, "user", t) for i, t in enumerate(ts)], "messageid long, courseid long, userid long, blockinstanceid long, role string, timecreated timestamp")
     sink(make(dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 2, 5)), 0)
     sink(make(dt.datetime(2024, 1, 1, 9)), 1)
     sink(make(dt.datetime(2024, 1, 1, 9)), 1)
