@@ -15,7 +15,8 @@ Equal vectors are indexed once with their k + 1 smallest ids (more can't be amon
 
 Nearness is the cosine in double precision, computed from the original vectors; ties go to the smaller id. Vectors that are null,
 empty, zero, of another length than most or hold a null or non-finite component take no part; rows with a null id neither. Of rows
-that repeat an id and a vector one counts. An empty table gives no rows.
+that repeat an id and a vector one counts. An empty table gives no rows; columns other than the id and the vector are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

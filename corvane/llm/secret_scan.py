@@ -11,7 +11,7 @@ telling names, on at most ``train_docs`` documents of any kind and as many of al
 what the weak rule leaves open. So there are labels of both kinds at any size, and the forest always decides. A
 candidate in a public key format needs no forest: its score is 1.
 
-Null text has no candidates; repeated rows give repeated findings; empty tables give no rows; extra columns are kept
+Null and empty texts have no candidates; texts of any length are scanned whole; repeated rows give repeated findings; empty tables give no rows; extra columns are kept
 by ``redact`` and ignored by ``findings``. Positions are code points from 0.
 """
 
