@@ -160,18 +160,16 @@ def offer_gate(turns: DataFrame, triggers: DataFrame, blocked: DataFrame, refusa
     """For each user turn whether support may be offered (reason ``allowed``) or why not: what blocks its conversation (blocked: conversationid,
     denied; the reasons of escalation_gate), refused (at most ``silence`` user turns since the last refusal, unless the user asks for a
     person; refusals: conversationid, refused, on the turns' order), notrigger, needdetail (an opening request without a problem)."""
-    w = W.partitionBy(CONV).orderBy(order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    reply = F.last(F.when(F.col("role") == "assistant", F.col("content")), ignorenulls=True).over(before)
-    users = F.count(F.when(F.col("role") == "user", 1)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = turns.withColumns({"__reply": F.coalesce(reply, F.lit("")), "__user": users})
+    # refusals stand among the turns, each before the turn of its number
+    both = turns.select(CONV, order, "role", "content", F.lit(1).alias("__kind")).unionByName(refusals.select(CONV, F.col("refused").alias(order), F.lit(0).alias("__kind")), allowMissingColumns=True)
+    w = W.partitionBy(CONV).orderBy(order, "__kind")
+    sofar = w.rowsBetween(W.unboundedPreceding, 0)
+    reply = F.last(F.when(F.col("role") == "assistant", F.col("content")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = both.withColumns({"__reply": F.coalesce(reply, F.lit("")), "__user": F.count(F.when(F.col("role") == "user", 1)).over(sofar)})
+    rows = rows.withColumn("__since", F.col("__user") - F.last(F.when(F.col("__kind") == 0, F.col("__user")), ignorenulls=True).over(sofar))
     mine = rows.filter("role = 'user'")
-    # user turns from the last refusal that lies before the turn
-    told = mine.select(CONV, order, "__user").join(refusals.select(F.col(CONV).alias("__c"), "refused"), (F.col(CONV) == F.col("__c")) & (F.col("refused") <= F.col(order)))
-    last = told.groupBy(CONV, order).agg(F.max("refused").alias("refused"))
-    since = last.join(mine.select(F.col(CONV).alias("__c"), F.col(order).alias("__t")), (F.col(CONV) == F.col("__c")) & (F.col("__t") >= F.col("refused")) & (F.col("__t") <= F.col(order)))
-    since = since.groupBy(CONV, order).agg(F.count("*").alias("__since"))
-    df = mine.join(triggers.select(CONV, order, "trigger"), [CONV, order]).join(since, [CONV, order], "left").join(blocked.select(CONV, "denied"), CONV, "left")
+    why = blocked.groupBy(CONV).agg(F.max("denied").alias("denied"))  # a reason rather than none
+    df = mine.join(triggers.select(CONV, order, "trigger"), [CONV, order]).join(why, CONV, "left")
     asked = C.human_request_kind("content") == "request"
     reason = (
         F.when(F.coalesce("denied", F.lit("")) != "", F.col("denied"))

@@ -156,8 +156,8 @@ def test_offer_gate(spark):
     }
     turns = spark.createDataFrame([(c, i, r, t) for c, ts in script.items() for i, (r, t) in enumerate(ts)], "conversationid long, turn long, role string, content string")
     trigger = F.when(F.col("conversationid") == 3, "").otherwise("asked")
-    blocked = spark.createDataFrame([(5, "quota"), (1, "")], "conversationid long, denied string")
-    refusals = spark.createDataFrame([(4, 1)], "conversationid long, refused long")
+    blocked = spark.createDataFrame([(5, "quota"), (5, ""), (1, ""), (1, "")], "conversationid long, denied string")
+    refusals = spark.createDataFrame([(4, 1), (9, 1)], "conversationid long, refused long")
     got = T.offer_gate(turns, turns.filter("role = 'user'").withColumn("trigger", trigger), blocked, refusals, 2)
     assert {(r["conversationid"], r["turn"]): r["reason"] for r in got.collect()} == {
         (1, 0): "needdetail", (2, 0): "allowed", (2, 2): "allowed", (3, 0): "notrigger", (4, 0): "allowed", (4, 2): "refused", (4, 3): "refused", (4, 4): "allowed", (5, 0): "quota",
