@@ -179,7 +179,9 @@ class Mix:
         return whole.select("src", "block", "start", F.greatest(F.lit(0), F.col("block") * b - F.col("start")).alias("from_word"), F.least("size", (F.col("block") + 1) * b - F.col("start")).alias("to_word"))
 
     def slots(self) -> DataFrame:
-        """src, block, pass, shard: one row for each slot of the mixture."""
+        """src, block, pass, shard: one row for each slot of the mixture.
+
+        Spark takes these rows for as few as the sources that they come from: joins with them say that nothing is to be broadcast."""
         seed = self.seed
         total = self.sources.agg(F.sum("quota")).first()[0] or 0
         rows = self.sources.filter("quota > 0").withColumn("low", F.explode(F.expr(f"sequence(0L, quota - 1, {SLOTS}L)")))
@@ -209,7 +211,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """One row per document: doc_id, size, source_size, target, taken, source."""
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
-        got = self.segments().join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("times") * (F.col("to_word") - F.col("from_word"))).alias("taken"))
+        got = self.segments().join(times.hint("merge"), ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("times") * (F.col("to_word") - F.col("from_word"))).alias("taken"))
         some = self.rows.filter("size > 0").join(got, ["src", "start"], "left")
         none = self.rows.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
         return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
@@ -218,7 +220,7 @@ class Mix:
         """The input's columns once for each document and pass that took something of it; the text is cut to what was
         taken. Neighbouring parts keep what stands between their words, others are joined by a newline."""
         part = F.struct("from_word", "to_word")
-        got = self.slots().join(self.segments(), ["src", "block"]).groupBy("src", "start", "pass").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        got = self.slots().hint("merge").join(self.segments().hint("merge"), ["src", "block"]).groupBy("src", "start", "pass").agg(F.array_sort(F.collect_list(part)).alias("parts"))
         texts = self.docs.withColumn("__hash", F.xxhash64(self.text_col)).withColumn("__copy", F.lit(0))
         rows = self.rows.select("src", "start", "size", "source", F.col("doc_id").alias("__id"), "hash", F.lit(0).alias("copy"))
         same = ["__id", "hash", "source"]
