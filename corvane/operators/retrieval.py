@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corvane.functions.text import breadcrumb, cosine, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
+from corvane.functions.text import breadcrumb, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
 from corvane.session import checkpointed
 
 WEIGHT = 0.25
@@ -45,19 +47,30 @@ def words_with(terms: DataFrame, words: DataFrame) -> DataFrame:
     return short.unionByName(long.select("term", "word", occurrences(F.col("word"), F.col("term")).alias("times")))
 
 
-def compound_hits(terms: DataFrame, texts: DataFrame, words: DataFrame, postings: DataFrame, by: list[str]) -> DataFrame:
-    """(by), term, field, n for terms with hyphens. Candidates are the texts with a word that holds the term's longest part (all texts
+#: Rows up to which a side is broadcast, and terms up to which every word meets them.
+FEW, FEW_TERMS = 500_000, 20_000
+
+
+def few(kept: DataFrame) -> DataFrame:
+    """A kept table, which joins broadcast if it has few rows."""
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
+def compound_hits(terms: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """(by), field, tid, n for terms (scope, term, tid) with hyphens. Candidates are the texts with a word that holds the term's longest part (all texts
     of the scope, if no part has SHORT_GRAM letters); there the term is counted in the text with hyphens for separators."""
     scope = by[0]
     longest = F.array_max(F.transform(F.split("term", "-"), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    parts = terms.filter(F.contains("term", F.lit("-"))).withColumn("part", longest)
-    keyed = words.select("word", F.explode(grams("word", SHORT_GRAM)).alias("gram"))
+    parts = terms.withColumn("part", longest)
+    words = worded(texts).select("word").distinct()
     held = parts.select("part").distinct().filter(F.char_length("part") >= SHORT_GRAM).withColumn("gram", F.left("part", F.lit(SHORT_GRAM)))
-    held = held.join(keyed, "gram").filter(F.contains("word", "part")).select("part", "word")
-    at = parts.join(held, "part").join(postings.select(*by, "field", "word"), [scope, "word"]).select(*by, "field", "term").distinct()
-    tiny = parts.filter(F.char_length("part") < SHORT_GRAM).select(scope, "term").join(texts.select(*by, "field"), scope).select(*by, "field", "term")
+    held = held.join(words.select("word", F.explode(grams("word", SHORT_GRAM)).alias("gram")), "gram").filter(F.contains("word", "part")).select("part", "word")
+    named = few(checkpointed(parts.join(held, "part").select(scope, "word", "tid").distinct()))
+    at = worded(texts).join(named, [scope, "word"]).select(*by, "field", "tid").distinct()
+    tiny = parts.filter(F.char_length("part") < SHORT_GRAM).select(scope, "tid").join(texts.select(*by, "field"), scope).select(*by, "field", "tid")
+    joined = texts.select(*by, "field", normalize_separators("h").alias("joined"))
     n = occurrences(F.col("joined"), F.col("term"))
-    return at.unionByName(tiny).join(texts.select(*by, "field", normalize_separators("h").alias("joined")), [*by, "field"]).select(*by, "field", "term", n.alias("n")).filter("n > 0")
+    return few(checkpointed(at.unionByName(tiny))).join(joined, [*by, "field"]).join(terms.select("tid", "term"), "tid").select(*by, "field", "tid", n.alias("n")).filter("n > 0")
 
 
 def asked_terms(questions: DataFrame, scope: str = "courseid") -> DataFrame:
@@ -66,43 +79,188 @@ def asked_terms(questions: DataFrame, scope: str = "courseid") -> DataFrame:
     return asked.filter("term <> ''")
 
 
+def worded(texts: DataFrame) -> DataFrame:
+    """A row for each word of each text."""
+    rest = [c for c in texts.columns if c != "h"]
+    return texts.select(*rest, F.explode(F.split("h", r"[^\p{L}\p{N}]+")).alias("word")).filter("word <> ''")
+
+
 def term_hits_in(terms: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
-    """scope, chunk keys, field, term, n: how often each distinct (scope, term) occurs in content (field 0), heading (1) and file name (2: once).
+    """scope, chunk keys, field, tid, n: where the distinct terms (scope, term, tid) occur in content (field 0), heading (1) and file name (2: once).
+    A term's hits in a field are the sum of its rows there.
 
-    Chunks become postings (word and count), which are kept as a table; distinct terms are matched with distinct words."""
+    Up to FEW_TERMS terms are broadcast and meet the words of chunks by their first GRAM characters, so only hits leave a task. Of more
+    terms the distinct ones are matched with the distinct words first, and the words of chunks meet what was matched."""
     by = [scope, *keys]
     # field 0: the content, 1: the heading of chunks that have one
     head = breadcrumb("content")
     fields = F.filter(F.array(F.struct(F.lit(0).alias("field"), F.col("content").alias("t")), F.struct(F.lit(1).alias("field"), head.alias("t"))), lambda x: x["t"] != "")
     texts = chunks.select(*by, F.explode(fields).alias("x")).select(*by, "x.field", fold_accents(F.lower("x.t")).alias("h"))
-    postings = texts.select(*by, "field", F.explode(F.split("h", r"[^\p{L}\p{N}]+")).alias("word")).filter("word <> ''").groupBy(*by, "field", "word").agg(F.count("*").alias("n"))
-    postings = checkpointed(postings)
-    words = postings.select("word").distinct()
     plain = terms.filter(~F.contains("term", F.lit("-")))
-    matched = plain.join(words_with(plain.select("term").distinct(), words), "term")
-    single = postings.join(matched, [scope, "word"]).groupBy(*by, "field", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    hits = single.unionByName(compound_hits(terms, texts, words, postings, by))
+    if terms.count() <= FEW_TERMS:
+        key = F.when(F.char_length("word") >= GRAM, grams("word", GRAM)).otherwise(F.array("word"))
+        asked = F.broadcast(plain.withColumn("key", F.left("term", F.lit(GRAM))))
+        hits = worded(texts).withColumn("key", F.explode(key)).join(asked, [scope, "key"]).filter(F.contains("word", "term"))
+        hits = hits.select(*by, "field", "tid", F.when(F.char_length("term") < GRAM, 1).otherwise(occurrences(F.col("word"), F.col("term"))).cast("bigint").alias("n"))
+    else:
+        found = words_with(plain.select("term").distinct(), worded(texts).select("word").distinct())
+        matched = few(checkpointed(plain.join(found, "term").select(scope, "word", "tid", "times")))
+        hits = worded(texts).join(matched, [scope, "word"]).select(*by, "field", "tid", F.col("times").alias("n"))
+    compound = terms.filter(F.contains("term", F.lit("-")))
+    if not compound.isEmpty():
+        hits = hits.unionByName(compound_hits(compound, texts, by))
     # file names: each distinct one once
     names = chunks.select(scope, "filename").distinct().select(scope, "filename", fold_accents(F.lower("filename")).alias("f"))
     keyed = names.withColumn("gram", F.explode(grams("f", SHORT_GRAM)))
-    in_name = terms.withColumn("gram", F.left("term", F.lit(SHORT_GRAM))).join(keyed, [scope, "gram"]).filter(F.contains("f", "term")).select(scope, "filename", "term")
-    named = chunks.select(*by, "filename").join(in_name, [scope, "filename"]).select(*by, F.lit(2).alias("field"), "term", F.lit(1).cast("bigint").alias("n"))
+    in_name = terms.withColumn("gram", F.left("term", F.lit(SHORT_GRAM))).join(keyed, [scope, "gram"]).filter(F.contains("f", "term"))
+    in_name = checkpointed(in_name.select(scope, "filename", "tid"))
+    if in_name.isEmpty():
+        return hits
+    in_name = few(in_name)
+    named = chunks.select(*by, "filename").join(in_name, [scope, "filename"]).select(*by, F.lit(2).alias("field"), "tid", F.lit(1).cast("bigint").alias("n"))
     return hits.unionByName(named)
 
 
-def contribution():
-    """What a posting adds to a question's score."""
-    body = (1 + F.ln(F.col("n").cast("double"))) * F.char_length("said")
-    return F.when(F.col("field") == 0, body).when(F.col("field") == 2, 2.0).otherwise(0.0)
+#: Questions and chunks of a tile where all pairs come out, and where each question's best do.
+ALL_PAIRS, BEST_PAIRS = (256, 4096), (32768, 4096)
 
 
-def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid") -> DataFrame:
-    """queryid, chunk keys, lexical, headinghits of the pairs of one scope that have a hit: the sum over terms of (1 + ln hits) x length, and 2
-    for each term in the file name. No question meets a chunk that has none of its terms."""
+def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid", most: int | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """queryid, scope, chunk keys, lexical, headinghits of the pairs of one scope that have a hit: the sum over terms of (1 + ln hits) x length, and 2
+    for each term in the file name. With ``most``, of each question at least its ``most`` best pairs by score (lexical + HEAD_SCORE for each heading hit,
+    to DIGITS digits) and its ``most`` best with heading hits by these and score, ties by the chunk's keys.
+    With ``vectors`` (queryid, vector; some of the chunk keys, vector) also cosine, and all pairs of one scope that both have one.
+
+    Chunks are dealt to tiles, which meet tiles of questions in Arrow batches: a question's hits are summed there, so they are never rows."""
     asked = asked_terms(questions, scope)
-    scored = asked.join(term_hits_in(asked.select(scope, "term").distinct(), chunks, keys, scope), [scope, "term"])
-    heads = F.sum(F.when(F.col("field") == 1, 1).otherwise(0)).cast("int")
-    return scored.groupBy("queryid", scope, *keys).agg(F.sum(contribution()).alias("lexical"), heads.alias("headinghits")).filter("lexical > 0 OR headinghits > 0")
+    terms = checkpointed(asked.select(scope, "term").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    hits = term_hits_in(terms, chunks, keys, scope)
+    weights = F.collect_list(F.struct("tid", F.char_length("said").cast("double").alias("size")))
+    said = checkpointed(asked.join(few(terms), [scope, "term"]).groupBy("queryid", scope).agg(weights.alias("terms")))
+    if vectors is not None:
+        scoped = questions.select("queryid", scope).join(said, ["queryid", scope], "left").join(vectors[0].select("queryid", "vector", F.lit(True).alias("vectored")), "queryid", "left")
+        said = checkpointed(scoped.filter("terms IS NOT NULL OR vectored"))
+        held = chunks.select(scope, *keys).join(vectors[1].withColumn("field", F.lit(VECTOR)), [k for k in keys if k in vectors[1].columns])
+        hits = hits.unionByName(held.select(scope, *keys, "field", "vector"), allowMissingColumns=True)
+    queries, rows = ALL_PAIRS if most is None else BEST_PAIRS
+    # a chunk's rows go to one tile
+    sizes = checkpointed(chunks.groupBy(scope).agg(F.ceil(F.count("*") / rows).cast("int").alias("__own")).join(said.groupBy(scope).agg(F.ceil(F.count("*") / queries).cast("int").alias("__others")), scope))
+    each = F.explode(F.sequence(F.lit(0), F.col("__others") - 1)).alias("qt")
+    dealt = hits.join(F.broadcast(sizes), scope).select(*hits.columns, F.pmod(F.xxhash64(*keys), F.col("__own")).cast("int").alias("ct"), each)
+    every = F.explode(F.sequence(F.lit(0), F.col("__own") - 1)).alias("ct")
+    tiles = said.join(F.broadcast(sizes), scope).select(*said.columns, F.pmod(F.xxhash64("queryid"), F.col("__others")).cast("int").alias("qt"), every)
+    out = T.StructType([said.schema["queryid"], said.schema[scope], *(hits.schema[k] for k in keys)]).add("lexical", "double").add("headinghits", "integer")
+    if vectors is not None:
+        out = out.add("cosine", "double")
+    by = [scope, "qt", "ct"]
+    return tiles.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda left, right: tile_scores(left, right, list(keys), scope, out, most), out)
+
+
+HEAD_SCORE, DIGITS = 15.0, 9
+#: The field of rows that bring a chunk's vector.
+VECTOR = 3
+
+
+def tile_scores(left: pa.Table, right: pa.Table, keys: list[str], scope: str, schema: T.StructType, most: int | None) -> pa.Table:
+    """Scores of a tile's questions (left) and hits (right)."""
+    if not left.num_rows or not right.num_rows:
+        return to_arrow_schema(schema).empty_table()
+    chunk = right.select(keys).to_pandas().groupby(keys, sort=True, dropna=False).ngroup().to_numpy()  # numbers in the order of keys
+    whole = right
+    size, example = int(chunk.max()) + 1, np.zeros(int(chunk.max()) + 1, dtype=np.int64)
+    example[chunk] = np.arange(len(chunk))
+    cosines = paired = None
+    field = right.column("field").to_numpy()
+    if "vector" in left.column_names:
+        at = np.flatnonzero(field == VECTOR)
+        has = np.flatnonzero(left.column("vectored").fill_null(False).to_numpy())
+        cosines, paired = np.zeros((left.num_rows, size)), np.zeros((left.num_rows, size), dtype=bool)
+        cosines[np.ix_(has, chunk[at])] = cosine_matrix(left.column("vector").take(pa.array(has)), right.column("vector").take(pa.array(at)))
+        paired[np.ix_(has, chunk[at])] = True
+        right, chunk, field = (x.filter(pa.array(field != VECTOR)) if isinstance(x, pa.Table) else x[field != VECTOR] for x in (right, chunk, field))
+    tids, term = np.unique(right.column("tid").to_numpy().astype(np.int64), return_inverse=True)
+    tids = tids if len(tids) else np.array([-1])
+    n = right.column("n").to_numpy()
+    postings = []
+    for f in (0, 1, 2):
+        at = field == f
+        pairs, inverse = np.unique(term[at].astype(np.int64) * size + chunk[at], return_inverse=True)
+        hits = np.bincount(inverse, weights=n[at], minlength=len(pairs))
+        ends = np.searchsorted(pairs, np.arange(len(tids) + 1, dtype=np.int64) * size)
+        postings.append((ends, pairs % size, 1 + np.log(hits) if f == 0 else np.ones(len(pairs))))
+
+    lists = left.column("terms").combine_chunks()
+    if lists.null_count:
+        lists = pc.coalesce(lists, pa.array([[]], lists.type)[0])
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    asked, sizes = flat.field("tid").to_numpy(), flat.field("size").to_numpy()
+    place = np.searchsorted(tids, asked)
+    known = tids[np.minimum(place, len(tids) - 1)] == asked
+
+    def summed(f: int, at: np.ndarray, weights: np.ndarray | None) -> np.ndarray | None:
+        """By chunk the sum over the terms ``at``."""
+        ends, chunks, values = postings[f]
+        first, counts = ends[at], ends[at + 1] - ends[at]
+        total = int(counts.sum())
+        if not total:
+            return None
+        i = np.arange(total) + np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        return np.bincount(chunks[i], weights=values[i] if weights is None else values[i] * np.repeat(weights, counts), minlength=size)
+
+    found = []
+    none = np.zeros(size)
+    for q in range(left.num_rows):
+        span = slice(bounds[q], bounds[q + 1])
+        at, w = place[span][known[span]], sizes[span][known[span]]
+        body, heads, names = summed(0, at, w), summed(1, at, None), summed(2, at, None)
+        if body is None and heads is None and names is None and (paired is None or not paired[q].any()):
+            continue
+        lexical = none if body is None else body
+        if names is not None:
+            lexical = lexical + 2.0 * names
+        hit = lexical > 0 if heads is None else (lexical > 0) | (heads > 0)
+        score = np.round(lexical if heads is None else lexical + HEAD_SCORE * heads, DIGITS)
+        rows = np.flatnonzero(hit if paired is None else hit | paired[q])
+        if most is not None and len(rows) > most:
+            best = rows[_first(score[rows], rows, most)]
+            if heads is not None and heads.any():
+                headed = np.flatnonzero(heads > 0)
+                best = np.union1d(best, headed[np.lexsort((headed, -score[headed], -heads[headed]))[:most]])
+            rows = best
+        found.append((q, rows, lexical[rows], none[rows] if heads is None else heads[rows]))
+    if not found:
+        return to_arrow_schema(schema).empty_table()
+    q = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
+    rows = np.concatenate([x[1] for x in found])
+    columns = [left.column("queryid").combine_chunks().take(pa.array(q)), left.column(scope).combine_chunks().take(pa.array(q))]
+    columns += [whole.column(k).combine_chunks().take(pa.array(example[rows])) for k in keys]
+    columns += [pa.array(np.concatenate([x[2] for x in found])), pa.array(np.concatenate([x[3] for x in found]).astype(np.int32))]
+    if cosines is not None:
+        columns.append(pa.array(cosines[q, rows], mask=~paired[q, rows]))
+    return pa.table(columns, schema.names)
+
+
+def cosine_matrix(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
+    """Cosines of all pairs of vectors: 0 when lengths differ, one is zero or lacks a component."""
+    out = np.zeros((len(left), len(right)))
+    a, b = vectors_by_length(left), vectors_by_length(right)
+    for n in a.keys() & b.keys():
+        (i, x), (j, y) = a[n], b[n]
+        sizes = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
+        some = ~(sizes <= 0)
+        out[np.ix_(i, j)] = np.divide(x @ y.T, sizes, out=np.zeros(sizes.shape), where=some)
+    return out
+
+
+def vectors_by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors of each length."""
+    held = vectors.to_pylist()
+    found: dict[int, list[int]] = {}
+    for i, v in enumerate(held):
+        if v and None not in v:
+            found.setdefault(len(v), []).append(i)
+    return {n: (np.array(at), np.array([held[i] for i in at], dtype=np.float64)) for n, at in found.items()}
 
 
 def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
@@ -111,9 +269,22 @@ def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("d
 
 
 def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
-    """queryid, vec_id, cosine within the scope."""
-    q = queries.select(F.col("vec_id").alias("queryid"), scope, F.col("embedding").alias("__q"))
-    return corpus.join(q, scope).select("queryid", "vec_id", cosine("embedding", "__q").alias("cosine"))
+    """queryid, vec_id, cosine of all pairs within the scope; queries and corpus: vec_id, scope, embedding. Tiles of queries meet tiles of rows as
+    matrix products in Arrow batches; every pair is a row."""
+    q = queries.select(scope, F.col("vec_id").alias("queryid"), F.col("embedding").alias("vector"))
+    queries, corpus = (df.toDF(*df.columns) for df in (q, corpus.select(scope, "vec_id", F.col("embedding").alias("vector"))))  # may be of one table
+    q = tiled(queries, scope, "queryid", TILE_QUERIES, corpus, TILE_ROWS, ("qt", "ct"))
+    c = tiled(corpus, scope, "vec_id", TILE_ROWS, queries, TILE_QUERIES, ("ct", "qt"))
+    schema = T.StructType([T.StructField("queryid", queries.schema["queryid"].dataType), T.StructField("vec_id", corpus.schema["vec_id"].dataType)]).add("cosine", "double")
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        cosines = cosine_matrix(left.column("vector"), right.column("vector"))
+        ids = left.column("queryid").combine_chunks().take(pa.array(np.repeat(np.arange(left.num_rows), right.num_rows)))
+        others = right.column("vec_id").combine_chunks().take(pa.array(np.tile(np.arange(right.num_rows), left.num_rows)))
+        return pa.table([ids, others, pa.array(cosines.ravel())], schema.names)
+
+    by = [scope, "qt", "ct"]
+    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(pairs, schema)
 
 
 TILE_QUERIES, TILE_ROWS = 256, 4096
@@ -174,21 +345,18 @@ def _first(row: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((place[some], -row[some]))[:k]]
 
 
-def hybrid_scores(lexical: DataFrame, semantic: DataFrame | None, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
-    """queryid, chunk keys, headinghits, semantic, score: cosine + WEIGHT x lexical / best lexical of the query; a chunk without a vector keeps
-    the lexical part, a query without vectors the lexical score alone. Heading hits raise the score. Pairs with neither a hit nor vectors
-    are not there (their score is 0)."""
-    if semantic is None:
-        scored = lexical.select("queryid", *keys, "headinghits", F.lit(False).alias("semantic"), F.col("lexical").alias("score"))
+def hybrid_scores(pairs: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
+    """queryid, chunk keys, headinghits, semantic, score. For pairs with a column cosine: cosine + WEIGHT x lexical / best lexical of the query; a chunk
+    without a vector keeps the lexical part, a query without vectors the lexical score alone. Heading hits raise the score. Pairs with neither a
+    hit nor vectors are not there (their score is 0)."""
+    if "cosine" not in pairs.columns:
+        scored = pairs.select("queryid", *keys, "headinghits", F.lit(False).alias("semantic"), F.col("lexical").alias("score"))
     else:
-        top = lexical.groupBy("queryid").agg(F.max("lexical").alias("top"))
-        vectored = semantic.select("queryid").distinct().withColumn("semantic", F.lit(True))
-        joined = lexical.select("queryid", *keys, "lexical", "headinghits").join(semantic.select("queryid", *keys, "cosine"), ["queryid", *keys], "full")
-        joined = joined.join(top, "queryid", "left").join(vectored, "queryid", "left")
-        share = F.when(F.col("top") > 0, F.coalesce("lexical", F.lit(0.0)) / F.col("top")).otherwise(0.0)
+        top = checkpointed(pairs.groupBy("queryid").agg(F.max("lexical").alias("top"), F.max(F.col("cosine").isNotNull()).alias("semantic")))
+        share = F.when(F.col("top") > 0, F.col("lexical") / F.col("top")).otherwise(0.0)
         score = F.when(F.col("semantic"), F.coalesce("cosine", F.lit(0.0)) + WEIGHT * share).otherwise(F.col("lexical"))
-        scored = joined.select("queryid", *keys, F.coalesce("headinghits", F.lit(0)).alias("headinghits"), F.coalesce("semantic", F.lit(False)).alias("semantic"), score.alias("score"))
-    boost = F.when(F.col("semantic"), F.least(F.lit(0.4), 0.15 * F.col("headinghits"))).otherwise(15.0 * F.col("headinghits"))
+        scored = pairs.join(few(top), "queryid").select("queryid", *keys, "headinghits", "semantic", score.alias("score"))
+    boost = F.when(F.col("semantic"), F.least(F.lit(0.4), 0.15 * F.col("headinghits"))).otherwise(HEAD_SCORE * F.col("headinghits"))
     return scored.withColumn("score", F.col("score") + boost)
 
 
@@ -238,8 +406,16 @@ def merge_ranked(lists: DataFrame, k: int, key: str = "queryid") -> DataFrame:
 
 
 def lexical_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each question by terms, with file name and content."""
-    return with_content(select_top_k(hybrid_scores(lexical_scores(questions, chunks), None), k), chunks)
+    """The k best chunks of each question by terms (scores to DIGITS digits), with file name and content."""
+    return with_content(select_top_k(top_scores(questions, chunks, k), k), chunks)
+
+
+def top_scores(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Scored pairs by terms, to DIGITS digits, from which select_top_k and retrieval_report choose at most k as from all: kept as a table."""
+    scored = hybrid_scores(lexical_scores(questions, chunks, most=k)).withColumn("score", F.round("score", DIGITS))
+    by, best = W.partitionBy("queryid"), [F.desc("score"), "doc_id", "chunkindex"]
+    ranks = {"__n": F.row_number().over(by.orderBy(*best)), "__h": F.row_number().over(by.orderBy(F.desc("headinghits"), *best))}
+    return checkpointed(scored.withColumns(ranks).filter((F.col("__n") <= k) | ((F.col("headinghits") > 0) & (F.col("__h") <= k))).drop(*ranks))
 
 
 def multi_pass(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
