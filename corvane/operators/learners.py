@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.text import normalize_for_search, search_terms
+from corvane.session import checkpointed
 
 DONE = (1, 2)  # complete, complete with a pass
+#: Rows up to which a side is broadcast.
+FEW = 500_000
 
 
 def learner_progress(states: DataFrame, host: DataFrame | None = None) -> DataFrame:
@@ -102,9 +105,14 @@ def enrolment_availability(methods: DataFrame, users: DataFrame, enrolled: DataF
     """For users and the methods of the course they look at (column courseid of both): available and reason."""
     day = F.lit(now).cast("date")
     seats = enrolled.groupBy("methodid").agg(F.count("*").alias("taken"))
-    df = users.select("userid", "courseid").join(enrolment_restriction(methods), "courseid").join(seats, "methodid", "left")
-    df = df.join(enrolled.select("userid", "methodid", F.lit(True).alias("__in")).distinct(), ["userid", "methodid"], "left")
-    df = df.join(members.select("userid", "cohortid", F.lit(True).alias("__member")).distinct(), ["userid", "cohortid"], "left")
+    # what a user is in is one row beside the user, so that the pairs of users and methods are never shuffled
+    held = lambda df, c, name: df.filter(F.col(c).isNotNull()).groupBy("userid").agg(F.collect_set(c).alias(name))
+    people = users.select("userid", "courseid").join(held(enrolled, "methodid", "__in"), "userid", "left").join(held(members, "cohortid", "__of"), "userid", "left")
+    # user rows are few bytes, but each becomes many: dealt to all cores, which adaptive execution would not do
+    people = people.repartition(4 * people.sparkSession.sparkContext.defaultParallelism, "userid")
+    offers = checkpointed(enrolment_restriction(methods).join(seats, "methodid", "left"))
+    df = people.join(F.broadcast(offers) if offers.count() <= FEW else offers, "courseid")
+    df = df.withColumn("__in", F.coalesce(F.array_contains("__in", F.col("methodid")), F.lit(False))).withColumn("__member", F.array_contains("__of", F.col("cohortid")))
     own = F.col("method") == "self"
     reason = (
         F.when(F.col("restriction").isin("managed", "other"), None)
@@ -113,7 +121,7 @@ def enrolment_availability(methods: DataFrame, users: DataFrame, enrolled: DataF
         .when(F.col("closes") < day, "closed")
         .when(own & ~F.col("newenrols"), "new_enrolments_disabled")
         .when(own & (F.col("seats") > 0) & (F.coalesce("taken", F.lit(0)) >= F.col("seats")), "full")
-        .when(own & (F.coalesce("cohortid", F.lit(0)) > 0) & F.col("__member").isNull(), "cohort_only")
+        .when(own & (F.coalesce("cohortid", F.lit(0)) > 0) & ~F.coalesce("__member", F.lit(False)), "cohort_only")
         .when(F.col("restriction") == "key", "needs_key")
     )
     df = df.withColumn("reason", reason)

@@ -255,3 +255,16 @@ def test_late_facts_rebuild_their_day(spark, tmp_path):
     sink(make(dt.datetime(2024, 1, 1, 9)), 1)
     got = {str(r["daterecorded"]): r["numquestions"] for r in spark.read.parquet(str(tmp_path / "rollup")).collect()}
     assert got == {"2024-01-01": 2, "2024-01-02": 1}
+
+
+def test_availability_without_pairs_in_a_shuffle(spark):
+    """Users and methods meet after what users are in was gathered: only the users' own rows are shuffled."""
+    users = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "userid long, courseid long")
+    m = spark.createDataFrame([(i, 1, "self", 7 if i == 3 else 0, "", None, None, None, True, 0) for i in range(1, 5)], "methodid long, courseid long, method string, cohortid long, password string, cost double, opens date, closes date, newenrols boolean, seats long")
+    enrolled = spark.createDataFrame([(1, 2), (1, 2), (2, None), (9, 1)], "userid long, methodid long")
+    members = spark.createDataFrame([(2, 7), (2, 7), (3, None)], "userid long, cohortid long")
+    got = L.enrolment_availability(m, users, enrolled, members, "2024-01-01")
+    reasons = {(r["userid"], r["methodid"]): r["reason"] for r in got.collect()}
+    assert reasons == {(u, i): "already_enrolled" if (u, i) == (1, 2) else "cohort_only" if i == 3 and u != 2 else None for u in (1, 2, 3) for i in range(1, 5)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Join" in line][0].count("Inner") == 1
