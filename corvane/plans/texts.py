@@ -147,7 +147,7 @@ SELECT conversationid, turn, CASE WHEN length(t) < 8 OR len(words) < 3 OR o[1] <
 _MARKS = ", ".join("(" + " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}" for m in ms) + f") AS m_{n}" for n, ms in C.REPLY_MARKERS.items())
 query("x26_reply_language", "said", f"""WITH a AS (SELECT conversationid, turn, ' ' || lower(regexp_replace(content, '<[^>]*>', '', 'g')) || ' ' AS t FROM said), b AS (SELECT *, {_MARKS} FROM a), c AS (SELECT *, list_reverse_sort([m_es, m_pt, m_en]) AS o FROM b)
 SELECT conversationid, turn, CASE WHEN o[1] < 2 OR o[1] < 2 * o[2] THEN '' WHEN m_es = o[1] THEN 'es' WHEN m_pt = o[1] THEN 'pt' ELSE 'en' END AS language FROM c""")(lambda s, d: turns(s, d, language=C.reply_language("content")))
-_BEFORE, _AFTER = "(^|[^a-zA-Z0-9_])", "($|[^a-zA-Z0-9_])"
+_BEFORE, _AFTER = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
 _TERMS = f"list_distinct(list_concat(list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), {_NAMES.format('t')}))"
 query("x27_is_vague", "said", f"""WITH a AS (SELECT conversationid, turn, trim(content) AS t, len(list_filter(regexp_split_to_array(trim(content), '\\s+'), lambda x: x <> '')) AS words FROM said)
 SELECT conversationid, turn, t <> '' AND (words <= 4 OR len({_TERMS}) <= 1 OR (words <= 9 AND regexp_matches(lower(t), '{_BEFORE}{C.DEICTIC[2:-2]}{_AFTER}'))) AS vague FROM a""")(lambda s, d: turns(s, d, vague=C.is_vague("content")))

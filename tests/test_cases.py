@@ -268,3 +268,20 @@ def test_availability_without_pairs_in_a_shuffle(spark):
     assert reasons == {(u, i): "already_enrolled" if (u, i) == (1, 2) else "cohort_only" if i == 3 and u != 2 else None for u in (1, 2, 3) for i in range(1, 5)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Join" in line][0].count("Inner") == 1
+
+
+def test_vague_of_any_script(spark):
+    """A pointing word ends where no letter of any script follows, in the query and in its SQL."""
+    import duckdb
+
+    from corvane.functions.classify import is_vague
+    from corvane.plans import ORACLE_SQL
+
+    rows = [(1, 1, "user", "responde ñesta larga pregunta sobre mitosis"), (1, 2, "user", "responde esta larga pregunta sobre mitosis"), (1, 3, "user", "responde ité larga pregunta sobre mitosis"), (1, 4, "user", "algo, (esto) responde larga pregunta siempre")]
+    want = [(1, False), (2, True), (3, False), (4, True)]
+    got = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("turn", is_vague("text").alias("vague"))
+    assert sorted(map(tuple, got.collect())) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert con.execute(f"SELECT turn, vague FROM ({ORACLE_SQL['x27_is_vague']}) WHERE conversationid = 1 ORDER BY turn").fetchall() == want
