@@ -371,7 +371,8 @@ def select_top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("doc_id", "
     df = scored.filter("score > 0")
     top = df.withColumn("__n", F.row_number().over(by.orderBy(*best))).filter(F.col("__n") <= k).withColumn("__reserved", F.lit(False))
     reserved = df.filter(head).withColumn("__n", F.row_number().over(by.orderBy(F.desc("headinghits"), *best))).filter(F.col("__n") <= max(1, k // 2)).withColumn("__reserved", F.lit(True))
-    both = top.unionByName(reserved).groupBy(*scored.columns).agg(F.max("__reserved").alias("__reserved"))
+    # dealt anew: Spark 4.1 may take a union of two sides that lie by queryid for one that does, with other partitions than it has
+    both = top.unionByName(reserved).repartition("queryid", *keys).groupBy(*scored.columns).agg(F.max("__reserved").alias("__reserved"))
     both = both.withColumn("__n", F.row_number().over(by.orderBy(F.desc("__reserved"), *best))).filter(F.col("__n") <= k)
     place = F.row_number().over(by.orderBy(F.desc(head), F.desc("headinghits"), *best))
     return both.withColumn("place", place).withColumn("heading", head).drop("__reserved", "__n")
