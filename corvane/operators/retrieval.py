@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corvane.functions.text import breadcrumb, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
-from corvane.session import checkpointed
+from corvane.functions.text import ACCENTED, PLAIN, breadcrumb, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
+from corvane.session import checkpointed, ship_code
 
 WEIGHT = 0.25
 
@@ -121,6 +123,172 @@ def term_hits_in(terms: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("
     return hits.unionByName(named)
 
 
+#: Letters of words, what stands between the parts of a compound (as in normalize_separators), and bytes of which none but letters and digits stay in ASCII.
+WORD, SEPARATORS = re.compile(r"[^\W_]+"), re.compile(r"[ \t\n\x0b\f\r\-\u2010-\u2015_/]+")
+FOLDS, BLANKS = str.maketrans(ACCENTED, PLAIN), np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], dtype=np.uint8)
+
+
+class Prefixed:
+    """Parts by the first bytes of their UTF-8, to find those that stand in runs of letters."""
+
+    def __init__(self, parts: dict[int, str], size: int):
+        self.size, self.by = size, {}
+        for i, part in parts.items():
+            if len(part) >= size:
+                self.by.setdefault(part.encode()[:size], []).append((i, part.encode()))
+        self.marks = np.zeros(1 << 20, dtype=bool)
+        for gram in self.by:
+            self.marks[self.places(np.frombuffer(gram, dtype=np.uint8))] = True
+
+    def places(self, data: np.ndarray) -> np.ndarray:
+        """A place among the marks for each run of ``size`` bytes."""
+        n, gram = max(0, len(data) - self.size + 1), np.uint64(0)
+        for k in range(self.size):
+            gram = (gram << np.uint64(8)) | data[k : n + k].astype(np.uint64)
+        return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def within(self, runs: list[bytes]) -> dict[int, dict[int, int]]:
+        """By run (its place) the parts in it, with how often they stand there."""
+        found: dict[int, dict[int, int]] = {}
+        if not self.by:
+            return found
+        whole = b"\n".join(runs)
+        at = np.flatnonzero(self.marks[self.places(np.frombuffer(whole, dtype=np.uint8))])
+        of = np.searchsorted(np.cumsum([0, *(len(x) + 1 for x in runs)]), at, side="right") - 1
+        for i, place in zip(of.tolist(), at.tolist(), strict=True):
+            for k, part in self.by.get(whole[place : place + self.size], ()):
+                if whole.startswith(part, place):
+                    found.setdefault(i, {})[k] = runs[i].count(part)
+        return found
+
+
+class KnownWords(dict):
+    """A number for each run of bytes without ASCII blanks and marks that was seen (a word, or some with other marks between them); 0: no term stands in
+    it. The terms of a number and how often they stand there lie between two ``ends``."""
+
+    MOST = 500_000
+
+    def __init__(self, terms: list[str]):
+        compound = {i: max(t.split("-"), key=lambda w: (len(w), w)) for i, t in enumerate(terms) if "-" in t}
+        plain = {i: t for i, t in enumerate(terms) if i not in compound}
+        self.long, self.short = Prefixed({i: t for i, t in plain.items() if len(t) >= GRAM}, GRAM), {t.encode(): i for i, t in plain.items() if len(t) < GRAM}
+        self.parts, self.anywhere = Prefixed(compound, SHORT_GRAM), {i for i, part in compound.items() if len(part) < SHORT_GRAM}
+        self.terms, self.names, self.name_hits = terms, Prefixed(dict(enumerate(terms)), SHORT_GRAM), {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ends, self.tids, self.times, self.compounds = [0, 0], [], [], {}
+
+    def learn(self, runs: list[bytes]) -> None:
+        """Number new runs. No term but a compound has a mark in it, so a long one stands in a run as often as in its words."""
+        folded, mixed = list(runs), [i for i, x in enumerate(runs) if not x.isascii()]
+        for i, x in zip(mixed, b"\n".join(runs[i] for i in mixed).decode("utf-8", "replace").translate(FOLDS).split("\n"), strict=False):
+            folded[i] = x.encode()
+        found, near = self.long.within(folded), self.parts.within(folded)
+        for i, x in enumerate(folded):
+            for word in (x,) if x.isascii() else (w.encode() for w in WORD.findall(x.decode())):
+                if (k := self.short.get(word)) is not None:
+                    of = found.setdefault(i, {})
+                    of[k] = of.get(k, 0) + 1
+        self.update(dict.fromkeys(runs, 0))
+        for i in found.keys() | near.keys():
+            self[runs[i]] = n = len(self.ends) - 1
+            self.tids.extend(found.get(i, ()))
+            self.times.extend(found.get(i, {}).values())
+            self.ends.append(len(self.tids))
+            if i in near:
+                self.compounds[n] = set(near[i])
+
+    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text (its place), tid and n of lower-cased texts in UTF-8 (binary)."""
+        if len(self) > self.MOST:
+            self.forget()
+        texts = texts.cast(pa.binary()).fill_null(b"")
+        _, offsets, data = texts.buffers()
+        blanked = BLANKS[np.frombuffer(data, dtype=np.uint8)] if data is not None else np.zeros(0, np.uint8)
+        runs = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, pa.py_buffer(blanked)], offset=texts.offset))
+        words = runs.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        self.learn([x for x in distinct if x not in self])
+        numbers = np.fromiter(map(self.__getitem__, distinct), np.int64)
+        code, text = numbers[words.indices.to_numpy()], np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+        code, text = code[code > 0], text[code > 0]
+        ends, tids, times = (np.array(x, dtype=np.int64) for x in (self.ends, self.tids, self.times))
+        size = ends[code + 1] - ends[code]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[code], size)
+        more = []
+        if self.compounds or self.anywhere:
+            asked = {i: set(self.anywhere) for i in np.flatnonzero(pc.binary_length(texts).to_numpy()).tolist()} if self.anywhere else {}
+            marked = np.zeros(len(ends), dtype=bool)
+            marked[list(self.compounds)] = True
+            for i, c in set(zip(text[marked[code]].tolist(), code[marked[code]].tolist(), strict=True)):
+                asked.setdefault(i, set()).update(self.compounds[c])
+            for i, some in asked.items():
+                joined = SEPARATORS.sub("-", texts[i].as_py().decode("utf-8", "replace").translate(FOLDS))
+                more += [(i, tid, n) for tid in some if (n := joined.count(self.terms[tid]))]
+        extra = np.array(more, dtype=np.int64).reshape(-1, 3)
+        return np.r_[np.repeat(text, size), extra[:, 0]], np.r_[tids[at], extra[:, 1]], np.r_[times[at], extra[:, 2]]
+
+    def in_names(self, names: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of lower-cased file names, in which a term counts once."""
+        if len(self.name_hits) > self.MOST:
+            self.name_hits.clear()
+        new = list(set(names) - self.name_hits.keys())
+        of = self.names.within([(f or "").translate(FOLDS).encode() for f in new])
+        self.name_hits.update((f, list(of.get(i, ()))) for i, f in enumerate(new))
+        found = [(i, tid) for i, f in enumerate(names) for tid in self.name_hits[f]]
+        both = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1], np.ones(len(both), dtype=np.int64)
+
+
+#: Terms of questions (a row for each question and term) up to which the questions go to the chunks, and chunks that are then scored at once.
+FEW_ASKED, SCANNED = 20_000, 16_384
+
+
+def scan_scores(said: pa.Table, terms: list[str], chunks: DataFrame, keys: list[str], scope: str, out: T.StructType, most: int | None) -> DataFrame:
+    """lexical_scores of few questions: ``said`` is held by every task, and chunks are read once, where they lie. Only scores leave a task; of chunks that are
+    scored at once they are cut to the best of each question."""
+    ship_code(chunks.sparkSession)
+    rest = ["vector", "vectored"] if "vectored" in chunks.columns else []
+    given = chunks.select(scope, *keys, F.lower("content").cast("binary").alias("__t"), F.lower(breadcrumb("content")).cast("binary").alias("__s"), F.lower("filename").alias("__f"), *rest)
+
+    def run(batches):
+        known, held, size = KnownWords(terms), [], 0
+        of = dict.fromkeys(said.column(scope).to_pylist())
+        lists = {x: said.filter(pc.equal(said.column(scope), pa.scalar(x, said.schema.field(scope).type))) for x in of if x is not None}
+
+        def scored():
+            whole = pa.Table.from_batches([x for x, _ in held])
+            first = np.cumsum([0, *(x.num_rows for x, _ in held[:-1])])
+            row, field, tid, n = (np.concatenate(x) for x in zip(*((r + at, f, t, m) for at, (_, hits) in zip(first, held, strict=True) for f, (r, t, m) in ((np.full(len(h[0]), k), h) for k, h in enumerate(hits))), strict=True))
+            for x, questions in lists.items():
+                rows = whole.append_column("__at", pa.array(np.arange(whole.num_rows))).filter(pc.equal(whole.column(scope), pa.scalar(x, whole.schema.field(scope).type)))
+                rows = rows.take(pc.sort_indices(rows, [(k, "ascending") for k in keys]))
+                place = np.full(whole.num_rows, -1)
+                place[rows.column("__at").to_numpy()] = np.arange(rows.num_rows)
+                own = place[row] >= 0
+                vectors = None
+                if rest:
+                    at = np.flatnonzero(rows.column("vectored").fill_null(False).to_numpy())
+                    vectors = at, rows.column("vector").take(pa.array(at))
+                step = ALL_PAIRS[0] if most is None else max(1, questions.num_rows)
+                for lo in range(0, questions.num_rows if rows.num_rows else 0, step):
+                    yield from pair_scores(questions.slice(lo, step).combine_chunks(), rows.select(keys), (place[row[own]], field[own], tid[own], n[own]), vectors, scope, out, most).to_batches()
+
+        for batch in batches:
+            found = known.hits(batch.column("__t")), known.hits(batch.column("__s")), known.in_names(batch.column("__f").to_pylist())
+            held.append((batch.select([scope, *keys, *rest]), found))
+            size += batch.num_rows
+            if size >= SCANNED:
+                yield from scored()
+                held, size = [], 0
+        if size:
+            yield from scored()
+
+    return given.mapInArrow(run, out)
+
+
 #: Questions and chunks of a tile where all pairs come out, and where each question's best do.
 ALL_PAIRS, BEST_PAIRS = (256, 4096), (32768, 4096)
 
@@ -131,8 +299,11 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...
     to DIGITS digits) and its ``most`` best with heading hits by these and score, ties by the chunk's keys.
     With ``vectors`` (queryid, vector; some of the chunk keys, vector) also cosine, and all pairs of one scope that both have one.
 
-    Chunks are dealt to tiles, which meet tiles of questions in Arrow batches: a question's hits are summed there, so they are never rows."""
+    Keys name one chunk. Up to FEW_ASKED terms of questions go to where the chunks lie (``scan_scores``). Of more, hits of chunks are dealt to tiles,
+    which meet tiles of questions in Arrow batches: a question's hits are summed there, so they are never rows."""
     asked = asked_terms(questions, scope)
+    if asked.count() + (questions.count() if vectors is not None else 0) <= FEW_ASKED:
+        return few_scores(questions, asked, chunks, keys, scope, most, vectors)
     terms = checkpointed(asked.select(scope, "term").distinct().withColumn("tid", F.monotonically_increasing_id()))
     hits = term_hits_in(terms, chunks, keys, scope)
     weights = F.collect_list(F.struct("tid", F.char_length("said").cast("double").alias("size")))
@@ -156,6 +327,28 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...
     return tiles.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda left, right: tile_scores(left, right, list(keys), scope, out, most), out)
 
 
+def few_scores(questions: DataFrame, asked: DataFrame, chunks: DataFrame, keys: tuple[str, ...], scope: str, most: int | None, vectors: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """lexical_scores of questions that every task can hold."""
+    weights = F.collect_list(F.struct("term", F.char_length("said").cast("double").alias("size")))
+    said = asked.groupBy("queryid", scope).agg(weights.alias("terms"))
+    if vectors is not None:
+        scoped = questions.select("queryid", scope).join(said, ["queryid", scope], "left")
+        said = scoped.join(vectors[0].select("queryid", "vector", F.lit(True).alias("vectored")), "queryid", "left").filter("terms IS NOT NULL OR vectored")
+        by = [k for k in keys if k in vectors[1].columns]
+        chunks = chunks.join(vectors[1].select(*by, "vector", F.lit(True).alias("vectored")).dropDuplicates(by), by, "left")
+    out = T.StructType([said.schema["queryid"], said.schema[scope], *(chunks.schema[k] for k in keys)]).add("lexical", "double").add("headinghits", "integer")
+    if vectors is not None:
+        out = out.add("cosine", "double")
+    held = said.toArrow()
+    lists = held.column("terms").combine_chunks()
+    lists = pc.coalesce(lists, pa.array([[]], lists.type)[0]) if lists.null_count else lists
+    flat = lists.flatten()
+    words = flat.field("term").dictionary_encode()
+    numbered = pa.StructArray.from_arrays([words.indices.cast(pa.int64()), flat.field("size")], ["tid", "size"])
+    held = held.set_column(held.schema.get_field_index("terms"), "terms", pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), numbered))
+    return scan_scores(held, words.dictionary.to_pylist(), chunks, list(keys), scope, out, most)
+
+
 HEAD_SCORE, DIGITS = 15.0, 9
 #: The field of rows that bring a chunk's vector.
 VECTOR = 3
@@ -166,28 +359,38 @@ def tile_scores(left: pa.Table, right: pa.Table, keys: list[str], scope: str, sc
     if not left.num_rows or not right.num_rows:
         return to_arrow_schema(schema).empty_table()
     chunk = right.select(keys).to_pandas().groupby(keys, sort=True, dropna=False).ngroup().to_numpy()  # numbers in the order of keys
-    whole = right
-    size, example = int(chunk.max()) + 1, np.zeros(int(chunk.max()) + 1, dtype=np.int64)
+    example = np.zeros(int(chunk.max()) + 1, dtype=np.int64)
     example[chunk] = np.arange(len(chunk))
-    cosines = paired = None
-    field = right.column("field").to_numpy()
+    field, vectors = right.column("field").to_numpy(), None
+    named = right.select(keys).take(pa.array(example))
     if "vector" in left.column_names:
         at = np.flatnonzero(field == VECTOR)
+        vectors = chunk[at], right.column("vector").take(pa.array(at))
+        right, chunk, field = (x.filter(pa.array(field != VECTOR)) if isinstance(x, pa.Table) else x[field != VECTOR] for x in (right, chunk, field))
+    return pair_scores(left, named, (chunk, field, right.column("tid").to_numpy().astype(np.int64), right.column("n").to_numpy()), vectors, scope, schema, most)
+
+
+def pair_scores(left: pa.Table, named: pa.Table, hits: tuple[np.ndarray, ...], vectors: tuple[np.ndarray, pa.ChunkedArray] | None, scope: str, schema: T.StructType, most: int | None) -> pa.Table:
+    """Scores of questions (left) and chunks: ``named`` has the keys of these, in their order; ``hits`` the chunk (its place there), field, tid and n of each hit,
+    ``vectors`` the places of chunks that have one, and these."""
+    size = named.num_rows
+    chunk, field, tid, n = hits
+    cosines = paired = None
+    if vectors is not None:
+        at, others = vectors
         has = np.flatnonzero(left.column("vectored").fill_null(False).to_numpy())
         cosines, paired = np.zeros((left.num_rows, size)), np.zeros((left.num_rows, size), dtype=bool)
-        cosines[np.ix_(has, chunk[at])] = cosine_matrix(left.column("vector").take(pa.array(has)), right.column("vector").take(pa.array(at)))
-        paired[np.ix_(has, chunk[at])] = True
-        right, chunk, field = (x.filter(pa.array(field != VECTOR)) if isinstance(x, pa.Table) else x[field != VECTOR] for x in (right, chunk, field))
-    tids, term = np.unique(right.column("tid").to_numpy().astype(np.int64), return_inverse=True)
+        cosines[np.ix_(has, at)] = cosine_matrix(left.column("vector").take(pa.array(has)), others)
+        paired[np.ix_(has, at)] = True
+    tids, term = np.unique(tid, return_inverse=True)
     tids = tids if len(tids) else np.array([-1])
-    n = right.column("n").to_numpy()
     postings = []
     for f in (0, 1, 2):
         at = field == f
         pairs, inverse = np.unique(term[at].astype(np.int64) * size + chunk[at], return_inverse=True)
-        hits = np.bincount(inverse, weights=n[at], minlength=len(pairs))
+        total = np.bincount(inverse, weights=n[at], minlength=len(pairs))
         ends = np.searchsorted(pairs, np.arange(len(tids) + 1, dtype=np.int64) * size)
-        postings.append((ends, pairs % size, 1 + np.log(hits) if f == 0 else np.ones(len(pairs))))
+        postings.append((ends, pairs % size, 1 + np.log(total) if f == 0 else np.ones(len(pairs))))
 
     lists = left.column("terms").combine_chunks()
     if lists.null_count:
@@ -234,7 +437,7 @@ def tile_scores(left: pa.Table, right: pa.Table, keys: list[str], scope: str, sc
     q = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
     rows = np.concatenate([x[1] for x in found])
     columns = [left.column("queryid").combine_chunks().take(pa.array(q)), left.column(scope).combine_chunks().take(pa.array(q))]
-    columns += [whole.column(k).combine_chunks().take(pa.array(example[rows])) for k in keys]
+    columns += [named.column(k).combine_chunks().take(pa.array(rows)) for k in named.column_names]
     columns += [pa.array(np.concatenate([x[2] for x in found])), pa.array(np.concatenate([x[3] for x in found]).astype(np.int32))]
     if cosines is not None:
         columns.append(pa.array(cosines[q, rows], mask=~paired[q, rows]))
@@ -264,8 +467,8 @@ def vectors_by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, n
 
 
 def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
-    """Add file name and content to few rows."""
-    return rows.join(chunks.select(*keys, "filename", "content"), list(keys))
+    """Add file name and content to few rows, which are kept: chunks aren't shuffled for them."""
+    return few(checkpointed(rows)).join(chunks.select(*keys, "filename", "content"), list(keys))
 
 
 def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:

@@ -84,3 +84,43 @@ def test_all_cosines(spark, monkeypatch):
     assert got == {(0, 0): 1.0, (0, 2): 0.6, (0, 4): 0.0, (0, 6): 0.0, (1, 1): 1.0, (1, 3): 0.0, (1, 5): 1.0, (1, 7): -1.0}
     text = R.semantic_scores(e, e, "scope")._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in text
+
+
+ODD = [
+    "Mitosis—mitosis cell: cells' anímitosis", "follow up, FOLLOW–UP follow_up/up-to-date a-b A - B", "ñandú NÃNDÚ ǅet straße 中文 ²x x²", "", None, "a\x00b cell\x07cells​cell",
+    "[Section: Cells; a-b follow-up]\nthe cell", "mitosismitosis mitosis" * 40, "x-y x‑y z", "İstanbul istanbul ΣΑΣ σας", "cat cats concatenate 123 1234 12345 9123456",
+]
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_few_questions_go_to_the_chunks(spark, monkeypatch, most):
+    """Scores of odd texts where the chunks lie are those of tiles of hits, at any number of chunks at once; nothing is shuffled."""
+    make = spark.createDataFrame
+    c = make([(i % 2, i, j, name, t) for i in range(6) for j, (name, t) in enumerate(zip(["Cells.txt", "f", None, "ñandú-a-b", "", "CAT"] * 2, ODD, strict=False))], "courseid long, doc_id long, chunkindex long, filename string, content string")
+    q = make([(i, i % 3, t) for i, t in enumerate([t for t in ODD if t] * 2 + ["a-b", "x - y", "cat", "... !"])], "queryid long, courseid long, query string")
+    rows = lambda: sorted((r["queryid"], r["doc_id"], r["chunkindex"], round(r["lexical"], 9), r["headinghits"]) for r in R.lexical_scores(q, c, most=most).collect())
+    monkeypatch.setattr(R, "FEW_ASKED", 0)
+    tiles = R.top_scores(q, c, 2) if most else None
+    want = rows()
+    monkeypatch.setattr(R, "FEW_ASKED", 20_000)
+    plan = R.lexical_scores(q, c, most=most)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and want
+    for at_once in (1, 20, 16_384):
+        monkeypatch.setattr(R, "SCANNED", at_once)
+        monkeypatch.setattr(R.KnownWords, "MOST", 3 * at_once)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(10_000, 5 * at_once)))
+        try:
+            if most is None:
+                assert rows() == want
+            else:
+                best = lambda df: sorted(map(str, R.select_top_k(df, 2).collect()))
+                assert best(R.top_scores(q, c, 2)) == best(tiles)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("few_terms", [20_000, 0])
+def test_many_questions_meet_in_tiles(spark, monkeypatch, case, few_terms):
+    monkeypatch.setattr(R, "FEW_ASKED", 0)
+    test_lexical_tiles(spark, monkeypatch, case, few_terms, (2, 7))
+    test_vectors_in_tiles(spark, monkeypatch)
