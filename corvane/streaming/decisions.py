@@ -1,16 +1,18 @@
 """Decisions on a stream with keyed state: rate limits, site limits and the life of tickets.
 
 State is kept by ``transformWithState`` in RocksDB. Limits decide in the order of arrival, within a micro-batch by time; of each key they keep the
-counters of its latest windows, and with ``forget`` all of them expire some time after their last use (such a stream always has a next
-batch, so it suits a query that goes on, not a run of what is there). Tickets wait for the watermark, so what comes out doesn't depend on the order of arrival."""
+counters of its latest windows in one value, read and written once for a micro-batch's rows of a key, and with ``forget`` all of them expire some time after their last use (such a stream always has a next
+batch, so it suits a query that goes on, not a run of what is there). Of a window no more rows are
+held than may still be accepted; the others are decided as they come. Tickets wait for the watermark, so what comes out doesn't depend on the order of arrival."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from heapq import heappush, heappushpop
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -24,46 +26,66 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def in_order(batches: Iterable[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(by, kind="stable")
-
-
 class Counters:
-    """Counters of a map state by window, read once and written once for a micro-batch's rows of a key. Of a key the latest ``KEPT`` windows are kept."""
+    """Counters by window, of which the latest ``KEPT`` are kept."""
 
     KEPT = 3
 
-    def __init__(self, state):
-        self.state, self.held = state, {}
+    def __init__(self, windows: list[int], counts: list[int]):
+        self.held, self.last = dict(zip(windows, counts, strict=True)), None
 
     def __getitem__(self, window: int) -> int:
-        if window not in self.held:
-            self.held[window] = self.state.getValue((window,))[0] if self.state.containsKey((window,)) else 0
-        return self.held[window]
+        self.last = window if self.last is None else max(self.last, window)
+        return self.held.get(window, 0)
 
     def add(self, window: int) -> None:
         self.held[window] = self[window] + 1
 
-    def save(self) -> None:
-        for window, n in self.held.items():
-            if n:
-                self.state.updateValue((window,), (n,))
-        if self.held:
-            for (window,) in list(self.state.keys()):
-                if window <= max(self.held) - self.KEPT:
-                    self.state.removeKey((window,))
+    def kept(self) -> tuple[list[int], list[int]]:
+        held = {w: n for w, n in self.held.items() if self.last is None or w > self.last - self.KEPT}
+        return list(held), list(held.values())
+
+
+def counters(handle, forget: dt.timedelta | None):
+    """Two Counters in one value."""
+    return handle.getValueState("counters", "a array<long>, na array<int>, b array<long>, nb array<int>", int(forget.total_seconds() * 1000) if forget else None)
 
 
-def counters(handle, name: str, forget: dt.timedelta | None):
-    return handle.getMapState(name, "window long", "n int", int(forget.total_seconds() * 1000) if forget else None)
+def held_in(state) -> list[Counters]:
+    a, na, b, nb = state.get() or ([], [], [], [])
+    return [Counters(a, na), Counters(b, nb)]
 
 
 def mode(forget: dt.timedelta | None) -> str:
     return "ProcessingTime" if forget else "None"
 
 
-def window_of(times: pd.Series, minutes: int) -> list[int]:
-    return (times.astype("datetime64[us]").astype("int64") // (minutes * 60_000_000)).tolist()
+def micros(ts: str):
+    """A time's microseconds, and those of its clock in the session's time zone, which windows go by."""
+    return F.unix_micros(ts).alias("at"), F.unix_micros(F.from_utc_timestamp(ts, F.current_timezone())).alias("clock")
+
+
+def window_of(clock: int | None, minutes: int) -> int:
+    return (-(1 << 63) if clock is None else clock) // (minutes * 60_000_000)
+
+
+class Earliest:
+    """The earliest rows of a window, at most ``most``: by time, then id, nulls last."""
+
+    def __init__(self, most: int):
+        self.most, self.heap, self.n = most, [], 0
+
+    def push(self, at: int | None, key: int | None, row: Row) -> Row | None:
+        """Take a row; returns one that is not among the earliest."""
+        self.n += 1
+        order = tuple(-x for y in (at, key) for x in (y is None, y or 0))
+        if len(self.heap) < self.most:
+            return heappush(self.heap, (order, -self.n, row))
+        return heappushpop(self.heap, (order, -self.n, row))[2] if self.most > 0 else row
+
+    def rows(self) -> list[tuple]:
+        """(order, row), the earliest first."""
+        return [(tuple(-x for x in (*order, n)), row) for order, n, row in sorted(self.heap, reverse=True)]
 
 
 class UserLimit(StatefulProcessor):
@@ -73,19 +95,35 @@ class UserLimit(StatefulProcessor):
         self.limits, self.forget = ((1, per_minute), (24 * 60, per_day)), forget
 
     def init(self, handle) -> None:
-        self.states = [counters(handle, name, self.forget) for name in ("minutes", "days")]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = in_order(rows, ["timecreated", "messageid"])
-        counts, denied = [Counters(s) for s in self.states], []
-        for windows in zip(*(window_of(found["timecreated"], size) for size, _ in self.limits), strict=True):
-            denied.append(any(limit and c[w] >= limit for c, w, (_, limit) in zip(counts, windows, self.limits, strict=True)))
-            if not denied[-1]:
+        self.state = counters(handle, self.forget)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        out = lambda row, denied: Row(messageid=row.messageid, userid=key[0], at=row.at, denied=denied)
+        counts = held_in(self.state)
+        # what a window accepts are its first rows, so none behind them is held; the first limit that is set is enough for that
+        size, limit, count = next(((s, n, c) for (s, n), c in zip(self.limits, counts, strict=True) if n), (0, 0, None))
+        first: dict[int, Earliest] = {}
+        for row in rows:
+            if not limit:
+                for (span, _), c in zip(self.limits, counts, strict=True):
+                    c.add(window_of(row.clock, span))
+                yield out(row, False)
+                continue
+            window = window_of(row.clock, size)
+            if window not in first:
+                first[window] = Earliest(limit - count[window])
+            if (late := first[window].push(row.at, row.messageid, row)) is not None:
+                for (span, _), c in zip(self.limits, counts, strict=True):
+                    c[window_of(late.clock, span)]
+                yield out(late, True)
+        for _, row in sorted((x for e in first.values() for x in e.rows()), key=lambda x: x[0]):
+            windows = [window_of(row.clock, span) for span, _ in self.limits]
+            denied = any(n and c[w] >= n for c, w, (_, n) in zip(counts, windows, self.limits, strict=True))
+            if not denied:
                 for c, w in zip(counts, windows, strict=True):
                     c.add(w)
-        for c in counts:
-            c.save()
-        yield pd.DataFrame({"messageid": found["messageid"], "userid": key[0], "timecreated": found["timecreated"], "denied": denied})
+            yield out(row, denied)
+        self.state.update((*counts[0].kept(), *counts[1].kept()))
 
     def close(self) -> None:
         pass
@@ -94,11 +132,13 @@ class UserLimit(StatefulProcessor):
 def decide_limits(events: DataFrame, per_minute: int, per_day: int, forget: dt.timedelta | None = None) -> DataFrame:
     """messageid, userid, timecreated, denied for a stream of messages (messageid, userid, timecreated)."""
     with_state_store(events.sparkSession)
-    keyed = events.select("messageid", "userid", "timecreated").groupBy("userid")
-    return keyed.transformWithStateInPandas(UserLimit(per_minute, per_day, forget), "messageid long, userid long, timecreated timestamp, denied boolean", "Append", mode(forget))
+    keyed = events.select("messageid", "userid", *micros("timecreated")).groupBy("userid")
+    out = keyed.transformWithState(UserLimit(per_minute, per_day, forget), "messageid long, userid long, at long, denied boolean", "Append", mode(forget))
+    return out.select("messageid", "userid", F.timestamp_micros("at").alias("timecreated"), "denied")
 
 
-VISIT = "visitid long, address string, timecreated timestamp, open boolean, notice boolean"
+VISIT = "visitid long, address string, at long, clock long, open boolean, notice boolean"
+FIELDS = ["visitid", "address", "at", "clock", "open", "notice"]
 
 
 class FirstOf(StatefulProcessor):
@@ -109,21 +149,33 @@ class FirstOf(StatefulProcessor):
         self.minutes, self.most, self.forget, self.notice, self.only = minutes, most, forget, notice, only
 
     def init(self, handle) -> None:
-        self.state = counters(handle, "windows", self.forget)
-        self.marked = counters(handle, "marked", self.forget)
+        self.state = counters(handle, self.forget)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = in_order(rows, ["timecreated", "visitid"])[["visitid", "address", "timecreated", "open", "notice"]]
-        if self.most and (self.only is None or str(key[-1]) == self.only):
-            counts, marks, stay, note = Counters(self.state), Counters(self.marked), [], []
-            for window, still in zip(window_of(found["timecreated"], self.minutes), found["open"], strict=True):
-                stay.append(bool(still and counts[window] < self.most))
-                note.append(bool(self.notice and still and not stay[-1] and not marks[window]))
-                (counts.add(window) if stay[-1] else marks.add(window) if note[-1] else None)
-            counts.save()
-            marks.save()
-            found = found.assign(open=stay, notice=note)
-        yield found
+        if not self.most or (self.only is not None and str(key[-1]) != self.only):
+            yield from (x[FIELDS] for x in rows)
+            return
+        counts, marks = held_in(self.state)
+        room: dict[int, int] = {}
+        held = None
+        for found in rows:
+            found = found[FIELDS].assign(notice=False)
+            yield found[~found["open"]]
+            some = found[found["open"]]
+            some = some.assign(window=some["clock"].fillna(-(1 << 63)).astype("int64") // (self.minutes * 60_000_000))
+            held = (some if held is None else pd.concat([held, some])).sort_values(["at", "visitid"], kind="stable")
+            for w in set(some["window"].unique().tolist()) - room.keys():
+                room[w] = max(0, self.most - counts[w]) + (self.notice and not marks[w])
+            early = held.groupby("window").cumcount() < held["window"].map(room)
+            yield held.loc[~early, FIELDS].assign(open=False)
+            held = held[early]
+        if held is not None and len(held):
+            stays = []
+            for w in held["window"].tolist():
+                stays.append(counts[w] < self.most)
+                (counts if stays[-1] else marks).add(w)
+            yield held[FIELDS].assign(open=stays, notice=[not x for x in stays])
+        self.state.update((*counts.kept(), *marks.kept()))
 
     def close(self) -> None:
         pass
@@ -141,19 +193,19 @@ def decide_visits(visits: DataFrame, minutes: int, per_address: int, per_day: in
     if minutes <= 0 or 24 * 60 % minutes:
         raise ValueError("minutes must divide a day")
     with_state_store(visits.sparkSession)
-    rows = visits.select("visitid", F.col("address").cast("string").alias("address"), "timecreated", F.lit(True).alias("open"), F.lit(False).alias("notice"))
+    rows = visits.select("visitid", F.col("address").cast("string").alias("address"), *micros("timecreated"), F.lit(True).alias("open"), F.lit(False).alias("notice"))
     shard = F.pmod(F.xxhash64("address"), F.lit(shards)).cast("string")
-    day = F.date_format("timecreated", "yyyy-MM-dd")
+    day = F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd")
     step = lambda df, of, *keys: df.groupBy(*keys).transformWithStateInPandas(of, VISIT, "Append", mode(forget))
     passed = step(rows, FirstOf(minutes, per_address, forget), "address")
     some = step(passed.withColumns({"day": day, "shard": shard}), FirstOf(24 * 60, per_day + 1 if per_day else 0, forget), "day", "shard")
     at = F.when(F.col("open"), SITE).otherwise(shard)
     out = step(some.withColumns({"day": day, "part": at}), FirstOf(24 * 60, per_day, forget, notice=True, only=SITE), "day", "part")
-    return out.select("visitid", "address", "timecreated", (~F.col("open")).alias("denied"), "notice")
+    return out.select("visitid", "address", F.timestamp_micros("at").alias("timecreated"), (~F.col("open")).alias("denied"), "notice")
 
 
 LIFE = "ticketid long, status string, attempts int, at timestamp"
-ACTION = "action string, at long, seq long"
+TICKET = "status string, attempts int, born long, actions array<string>, times array<long>, seqs array<long>"
 
 
 class Ticket:
@@ -187,42 +239,39 @@ class Ticket:
 
 
 class Lifecycle(StatefulProcessor):
-    """Keeps a ticket's actions until the watermark has passed them, then follows them in order; a timer ends drafts."""
+    """Keeps a ticket's actions until the watermark has passed them, then follows them in order; a timer ends drafts. All of a ticket is one value."""
 
     def __init__(self, life_us: int):
         self.life = life_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "status string, attempts int, born long")
-        self.waiting = handle.getListState("waiting", ACTION)
+        self.now = handle.getValueState("now", TICKET)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows))
-        times = found["at"].astype("datetime64[us]").astype("int64").tolist()
-        self.waiting.appendList(list(zip(found["action"].tolist(), times, found["seq"].tolist(), strict=True)))
-        self.handle.registerTimer(min(times) // 1000)
-        yield pd.DataFrame()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        *ticket, actions, times, seqs = self.now.get() or ("", 0, 0, [], [], [])
+        found = [(x.action, x.us, x.seq) for x in rows]
+        self.now.update((*ticket, *([*had, *new] for had, new in zip((actions, times, seqs), zip(*found, strict=True), strict=True))))
+        self.handle.registerTimer(min(us for _, us, _ in found) // 1000)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        ticket = Ticket(*(self.now.get() if self.now.exists() else ("", 0, 0)), self.life)
-        waiting = sorted(((at, seq, action) for action, at, seq in self.waiting.get()))
+        status, attempts, born, actions, times, seqs = self.now.get() or ("", 0, 0, [], [], [])
+        ticket = Ticket(status, attempts, born, self.life)
+        waiting = sorted(zip(times, seqs, actions, strict=True))
         due = [x for x in waiting if x[0] // 1000 <= now]
         for at, _, action in due:
             ticket.act(action, at)
         ticket.until(now * 1000)
         rest = waiting[len(due) :]
         if rest:
-            self.waiting.put([(action, at, seq) for at, seq, action in rest])
             self.handle.registerTimer(rest[0][0] // 1000)
-        else:
-            self.waiting.clear()
-        self.now.update((ticket.status, ticket.attempts, ticket.born))
+        if due or ticket.out:
+            self.now.update((ticket.status, ticket.attempts, ticket.born, [x for *_, x in rest], [at for at, *_ in rest], [seq for _, seq, _ in rest]))
         if ticket.status == "draft":
             self.handle.registerTimer((ticket.born + self.life) // 1000 + 1)
-        if ticket.out:
-            yield pd.DataFrame({"ticketid": key[0], "status": [s for s, _, _ in ticket.out], "attempts": [n for _, n, _ in ticket.out], "at": pd.to_datetime([at for *_, at in ticket.out], unit="us")})
+        return (Row(ticketid=key[0], status=s, attempts=n, us=at) for s, n, at in ticket.out)
 
     def close(self) -> None:
         pass
@@ -233,8 +282,9 @@ def ticket_lifecycle(actions: DataFrame, life: str = "1 day", late: str = "1 hou
     cancelled or expire after ``life``; deliveries fail at the third bounce. Actions up to ``late`` out of order are followed in order."""
     with_state_store(actions.sparkSession)
     span = int(pd.Timedelta(life).total_seconds() * 1_000_000)
-    keyed = actions.withWatermark("at", late).groupBy("ticketid")
-    return keyed.transformWithStateInPandas(Lifecycle(span), LIFE, "Append", "EventTime")
+    keyed = actions.withWatermark("at", late).select("ticketid", "action", "at", "seq", F.unix_micros("at").alias("us")).groupBy("ticketid")
+    out = keyed.transformWithState(Lifecycle(span), "ticketid long, status string, attempts int, us long", "Append", "EventTime")
+    return out.select("ticketid", "status", "attempts", F.timestamp_micros("us").alias("at"))
 
 
 def replay_lifecycle(actions: DataFrame, until: str, life: str = "1 day") -> DataFrame:

@@ -83,3 +83,59 @@ def test_replay_is_the_automaton(spark):
     schema = "ticketid long, action string, at timestamp, seq long"
     got = [tuple(r) for r in D.replay_lifecycle(spark.createDataFrame(acts, schema), str(at(3 * 86_400))).collect()]
     assert sorted(got) == sorted(want)
+
+
+class Held:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    getValueState = lambda self, *_: self
+
+
+@pytest.mark.parametrize("limits", [(2, 9), (0, 9)])
+def test_messages_beyond_a_limit_are_not_held(limits):
+    """A key's rows are decided as they come but for what may still be accepted, and its state is read once and written once."""
+    state, of, taken = Held(), D.UserLimit(*limits, None), 0
+    of.init(state)
+
+    def rows():
+        nonlocal taken
+        for taken in range(1, 5001):
+            yield D.Row(messageid=taken, at=5000 - taken, clock=5000 - taken)
+
+    out = of.handleInputRows((7,), rows(), None)
+    first = next(out)
+    assert taken <= 10 and first.denied
+    rest = [first, *out]
+    assert len(rest) == 5000 and sorted(r.at for r in rest if not r.denied) == list(range(limits[0] or limits[1]))
+    assert state.calls == ["get", "update"]
+
+
+def test_visits_beyond_a_limit_are_not_held():
+    state, of, taken = Held(), D.FirstOf(10, 3, None, notice=True), 0
+    of.init(state)
+
+    def frames():
+        nonlocal taken
+        for taken in range(1, 51):
+            at = [5000 - (taken - 1) * 100 - i for i in range(100)]
+            yield D.pd.DataFrame({"visitid": at, "address": "a", "at": at, "clock": at, "open": [x % 10 != 0 for x in at], "notice": False})
+
+    sizes, found = [], []
+    for frame in of.handleInputRows(("a",), frames(), None):
+        found.append(frame)
+        sizes.append(taken * 100 - sum(map(len, found)))
+    whole = D.pd.concat(found)
+    assert len(whole) == 5000 and max(sizes) <= 104
+    assert sorted(whole[whole["open"]]["at"]) == [1, 2, 3] and whole[whole["notice"]]["at"].tolist() == [4]
+    assert state.calls == ["get", "update"]
