@@ -75,10 +75,12 @@ class ChunkStore:
 
     def apply(self, files: DataFrame, chunker: Chunker, version: int, whole: bool = False) -> None:
         """Bring the index up to date with changed files, or with the ``whole`` listing. ``chunker``: files to their (courseid, contenthash,
-        chunkindex, content). Vectors of chunks that stay are kept, also where metadata change."""
+        chunkindex, content); where it leaves the other columns, chunks aren't joined with them. Vectors of chunks that stay are kept, also where metadata change."""
         todo = checkpointed(self.changes(files, version, whole).filter("action <> 'keep'"))
         cut = todo.filter("action IN ('add', 'rebuild')")
-        fresh = chunker(cut.select(*KEY, "text")).join(cut.select(*KEY, *META), KEY)
+        fresh = chunker(cut.select(*KEY, *META, "text"))
+        if not set(META) <= set(fresh.columns):
+            fresh = fresh.join(cut.select(*KEY, *META), KEY)
         none = {"embedding": "array<double>", "embeddingmodel": "string", "sweep": "long"}
         fresh = fresh.withColumn("version", F.lit(version).cast("long")).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
 
@@ -107,7 +109,9 @@ class ChunkStore:
         new = vectors.filter(taken).select(*KEY, "chunkindex", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("new"))
 
         def change(old: DataFrame) -> DataFrame:
-            rows = old.join(new, [*KEY, "chunkindex"], "left")
+            # chunks of other courses meet no vector: their content isn't shuffled for one
+            of = F.coalesce(taken, F.lit(False))
+            rows = old.filter(of).join(new, [*KEY, "chunkindex"], "left").unionByName(old.filter(~of), allowMissingColumns=True)
             use = F.col("new").isNotNull() & (F.col("embedding").isNull() | ~F.col("embeddingmodel").eqNullSafe(F.lit(model)))
             given = {"embedding": F.col("new"), "embeddingmodel": F.lit(model), "sweep": F.lit(run).cast("long")}
             return rows.withColumns({c: F.when(use, v).otherwise(F.col(c)) for c, v in given.items()}).select(*old.columns)

@@ -85,3 +85,18 @@ def test_urls_anywhere(spark):
     want = {(s, u): s is not None and u.lower().startswith(("http://", "https://")) and any(x == s and u.lower() in (t or "").lower() for x, t in texts) for s, u in urls}
     assert got == want and set(got.values()) == {True, False}
     assert C.contained_urls(df.filter("false").drop("contained"), spark.createDataFrame(texts, "courseid long, content string"), "courseid").count() == 0
+
+
+def test_a_sweep_joins_only_its_courses(spark, tmp_path, monkeypatch):
+    """What is rewritten of other courses, and chunks of new files, are not joined; a chunker that drops columns does as well."""
+    slim = lambda x: chunker(x).select("courseid", "contenthash", "chunkindex", "content")
+    rows = [(c, f"h{c}", f"n{c}", c % 2 == 0) for c in range(6)]
+    stores = [ChunkStore.create(spark, str(tmp_path / str(i)), 1) for i in range(2)]
+    for store, how in zip(stores, (chunker, slim), strict=True):
+        store.apply(files(spark, rows), how, 1)
+    assert content(stores[0]) == content(stores[1]) != set()
+    seen = []
+    monkeypatch.setattr(ChunkStore, "_write", lambda self, touched, whole, f=ChunkStore._write: (seen.append(whole), f(self, touched, whole)))
+    stores[0].sweep(stores[0].read().select("courseid", "contenthash", "chunkindex", F.array(F.lit(1.0)).alias("vector")), "m", 1, most=2)
+    assert "Union" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["courseid"]: r["sweep"] for r in stores[0].read().collect()} == {c: 1 if c < 2 else None for c in range(6)}
