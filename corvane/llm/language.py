@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import checkpointed
+from corvane.session import text_batches
 
 MARK = "▁"
 #: Letters of a word whose probabilities can't underflow; those of longer ones are kept with exponents.
@@ -184,6 +185,7 @@ def crc_remainder(id_col: str, parts: int = 5) -> Column:
 
 def learn(docs: DataFrame, model: str, trained: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_per_lang: int = 4000) -> dict[str, np.ndarray]:
     """Piece counts of each language. The result has one number for each language and vocabulary piece at most."""
+    text_batches(docs.sparkSession)
     labelled = docs.filter(trained & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     order = [F.xxhash64("id"), F.col("id")]
     salted = labelled.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a language may have most of the rows
@@ -237,6 +239,7 @@ def probabilities(counts: dict[str, np.ndarray], start: np.ndarray, smoothing: f
 
 def predict(docs: DataFrame, model: str, langs: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """id, the extra columns, lang_pred, score (posterior), n_words. One narrow pass over whole texts, no shuffle."""
+    text_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in extra)]).add("lang_pred", "string").add("score", "double").add("n_words", "long")
 
     def run(batches):

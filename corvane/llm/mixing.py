@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import checkpointed
+from corvane.session import text_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 10_000
@@ -219,6 +220,7 @@ class Mix:
     def drawn_texts(self) -> DataFrame:
         """The input's columns once for each document and pass that took something of it; the text is cut to what was
         taken. Neighbouring parts keep what stands between their words, others are joined by a newline."""
+        text_batches(self.docs.sparkSession)
         part = F.struct("from_word", "to_word")
         got = self.slots().hint("merge").join(self.segments().hint("merge"), ["src", "block"]).groupBy("src", "start", "pass").agg(F.array_sort(F.collect_list(part)).alias("parts"))
         texts = self.docs.withColumn("__hash", F.xxhash64(self.text_col)).withColumn("__copy", F.lit(0))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import checkpointed
+from corvane.session import text_batches
 
 SHINGLE, NUM, DEN = 5, 75, 100
 SMALL, HOT = 64, 8
@@ -162,6 +163,7 @@ def keys_of(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
 
 def profile(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to keep, n_shingles, cls (null without shingles), bits."""
+    text_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(docs.schema[c] for c in keep)])
     schema = schema.add("n_shingles", "long").add("cls", "binary").add("bits", "binary")
     others = [0, *range(2, 2 + len(keep))]

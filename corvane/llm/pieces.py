@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corvane.session import text_batches
+
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NO_PAIR = np.int64(1) << 60
-#: Distinct words kept between batches by one worker; longer words than _KEEP_CHARS are never kept.
-_KEEP_WORDS, _KEEP_CHARS = 150_000, 40
+#: Distinct words kept between batches by one task; longer words than _KEEP_CHARS are never kept.
+_KEEP_WORDS, _KEEP_CHARS = 50_000, 40
 
 
 #: Characters of a word that rounds merge at most.
@@ -278,6 +280,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     ``texts=False`` leaves out the two long columns. One narrow pass, no shuffle."""
     import hashlib
 
+    text_batches(docs.sparkSession)
     fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if texts:
         fields += [T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
@@ -297,5 +300,6 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 if texts:
                     cols += [pa.array([x[0] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+        c.known.clear()  # the worker goes on to other tasks
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))

@@ -109,3 +109,44 @@ def test_query(name, spark, con, sf_dir):
 def test_shards_equal_sql(spark, con, sf_dir):
     df = sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 30_000)
     assert difference(df, con, shards_sql(30_000)) is None
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    from corvane import session
+    from corvane.llm import language, mixing, ngram_join, pieces
+
+    model = tokenizer("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, f"w{i} ab " * 600, "en", "s", 0) for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def largest(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    steps = [lambda: pieces.encode(docs, model), lambda: language.predict(docs, model, [], None), lambda: ngram_join.profile(docs, "doc_id", "text"), lambda: mixing.Mix(docs).drawn_texts()]
+    for step in steps:
+        spark.conf.unset(session.BATCH_BYTES)
+        step()
+        sizes = [r["n"] for r in docs.mapInArrow(largest, "n long").collect()]
+        assert len(sizes) > 3 and max(sizes) < 2 * int(session.TEXT_BATCH)
+    spark.conf.set(session.BATCH_BYTES, "1m")
+    pieces.encode(docs, model)
+    assert spark.conf.get(session.BATCH_BYTES) == "1m"
+    spark.conf.unset(session.BATCH_BYTES)
+
+
+def test_a_worker_keeps_no_words_of_past_tasks(spark):
+    from corvane.llm import pieces
+
+    model = tokenizer("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, f"word{i} some more") for i in range(400)], "doc_id long, text string").coalesce(1)
+    assert pieces.encode(docs, model).filter("n_tokens > 0").count() == 400
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(pieces.codec(model).known)])], ["n"])
+
+    assert max(r["n"] for r in docs.mapInArrow(held, "n long").collect()) == 0
