@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 from base64 import b64encode
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}|[A-Za-z0-9+/_-]{16,})={0,2}"
+# Nearly all words are shorter than 12 characters: they fail at the first look ahead, and nothing is tried again.
+CANDIDATE = r"(?<![\w+/-])(?=[\w+/-]{12})(?:(?=[A-Za-z+/_-]{0,200}+[0-9])[\w+/-]++|[\w+/-]{16,}+)={0,2}"
 # Words that tell a secret, and words that tell something else, before a candidate.
 TELLING = r"(?i)(secret|passw|passwd|token|api.?key|access.?key|credential|bearer|private|auth)"
 OTHER = r"(?i)(commit|sha|digest|checksum|uuid|order|phone|card|iban|isbn|version|hash|serial)"
@@ -37,6 +40,8 @@ ASSIGNED = r"(?i)(secret|passw(or)?d|token|key|credential|auth)[a-z_]*[\"']?\s*[
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{20,})"
 # Where a candidate may follow an assignment or be in a public format: no document that the weak rule finds a secret in lacks it.
 MAYBE = "(" + ASSIGNED[:-1] + r"\s{0,2}[A-Za-z0-9+/_-]{12})|(?-i:" + FORMATS[1:] + ")"
+# Every match of MAYBE holds one of these words in lower case, or one of these beginnings: looking for them takes less than the pattern.
+MAYBE_WORDS, MAYBE_STARTS = ("secret", "passw", "token", "key", "credential", "auth"), ("AKIA", *(f"gh{x}_" for x in "pousr"), "sk-", "xox", "AIza", "eyJ")
 # Frequent letter pairs of European languages.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un ge sc ue qu el la os ad au".split()
 # Common words of names, paths and prose.
@@ -112,7 +117,8 @@ def _weak(c: Column, before: Column) -> Column:
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add __gaps (the texts between) and __found (the candidates with features and weak label)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("__gaps", F.split(text, CANDIDATE, -1)).withColumn("__c", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    df = docs.withColumn("__c", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    df = df.withColumn("__gaps", F.when(F.size("__c") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))  # few texts have candidates
 
     def one(c: Column, i: Column) -> Column:
         return F.struct(c.alias("c"), F.right(F.get("__gaps", i), F.lit(32)).alias("before"), F.left(F.get("__gaps", i + 1), F.lit(8)).alias("after"))
@@ -128,14 +134,22 @@ def examples(spark: SparkSession) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(rows).alias("x")).select("x.*")
 
 
+def maybe(text: Column) -> Column:
+    """Whether MAYBE is found in a text."""
+    low = F.lower(text)
+    held = reduce(or_, [*(F.contains(low, F.lit(x)) for x in MAYBE_WORDS), *(F.contains(text, F.lit(x)) for x in MAYBE_STARTS)])
+    return held & F.regexp_like(text, F.lit(MAYBE))
+
+
 def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 20_000) -> DataFrame:
     """Features and label of the candidates where the weak rule knows, of at most ``train_docs`` documents and of as many of those
     that ``MAYBE`` finds among all, and of the fixed examples."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     first = lambda df: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    ids = first(rows).unionByName(first(rows.filter(F.regexp_like("text", F.lit(MAYBE))))).distinct()
+    ids = first(rows).unionByName(first(rows.filter(maybe(F.col("text"))))).distinct()
     some = rows.join(F.broadcast(ids), "id", "left_semi")  # 2 * train_docs ids at most
-    found = with_candidates(some).select(F.explode("__found").alias("f")).filter("f.weak IS NOT NULL").select("f.*", F.col("f.weak").alias("label"))
+    # outer: of a plain explode Spark infers a filter on the candidates, which it moves below the join, so that they are made for the whole table
+    found = with_candidates(some).select(F.explode_outer("__found").alias("f")).filter("f.weak IS NOT NULL").select("f.*", F.col("f.weak").alias("label"))
     given = with_candidates(examples(docs.sparkSession)).select("label", F.explode("__found").alias("f")).select("f.*", "label")
     return found.select(*FEATURES, "label").unionByName(given.select(*FEATURES, "label"))
 
