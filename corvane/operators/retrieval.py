@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -476,8 +477,9 @@ def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFr
     matrix products in Arrow batches; every pair is a row."""
     q = queries.select(scope, F.col("vec_id").alias("queryid"), F.col("embedding").alias("vector"))
     queries, corpus = (df.toDF(*df.columns) for df in (q, corpus.select(scope, "vec_id", F.col("embedding").alias("vector"))))  # may be of one table
-    q = tiled(queries, scope, "queryid", TILE_QUERIES, corpus, TILE_ROWS, ("qt", "ct"))
-    c = tiled(corpus, scope, "vec_id", TILE_ROWS, queries, TILE_QUERIES, ("ct", "qt"))
+    side = 2 * math.isqrt(TILE_QUERIES * TILE_ROWS)  # of all tiles with as many pairs, square ones repeat the fewest rows
+    q = tiled(queries, scope, "queryid", side, corpus, side, ("qt", "ct"))
+    c = tiled(corpus, scope, "vec_id", side, queries, side, ("ct", "qt"))
     schema = T.StructType([T.StructField("queryid", queries.schema["queryid"].dataType), T.StructField("vec_id", corpus.schema["vec_id"].dataType)]).add("cosine", "double")
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
