@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.functions.text import ACCENTED, PLAIN, breadcrumb, focus_query, fold_accents, normalize_separators, strip_breadcrumb, tokenize
-from corvane.session import checkpointed, ship_code
+from corvane.session import checkpointed, counted_batches, ship_code
 
 WEIGHT = 0.25
 
@@ -290,8 +290,8 @@ def scan_scores(said: pa.Table, terms: list[str], chunks: DataFrame, keys: list[
     return given.mapInArrow(run, out)
 
 
-#: Questions and chunks of a tile where all pairs come out, and where each question's best do.
-ALL_PAIRS, BEST_PAIRS = (256, 4096), (32768, 4096)
+#: Questions and chunks of a tile where all pairs come out, and where each question's best do; tiles of a group of many questions' hits.
+ALL_PAIRS, BEST_PAIRS, GROUP = (256, 4096), (32768, 8192), 8
 
 
 def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), scope: str = "courseid", most: int | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -301,7 +301,8 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...
     With ``vectors`` (queryid, vector; some of the chunk keys, vector) also cosine, and all pairs of one scope that both have one.
 
     Keys name one chunk. Up to FEW_ASKED terms of questions go to where the chunks lie (``scan_scores``). Of more, hits of chunks are dealt to tiles,
-    which meet tiles of questions in Arrow batches: a question's hits are summed there, so they are never rows."""
+    which meet tiles of questions in Arrow batches: a question's hits are summed there, so they are never rows. Where only the best count, tiles form groups
+    (``group_tops``), so that hits are shuffled once, and questions and their best once for a group of GROUP tiles."""
     asked = asked_terms(questions, scope)
     if asked.count() + (questions.count() if vectors is not None else 0) <= FEW_ASKED:
         return few_scores(questions, asked, chunks, keys, scope, most, vectors)
@@ -314,6 +315,8 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...
         said = checkpointed(scoped.filter("terms IS NOT NULL OR vectored"))
         held = chunks.select(scope, *keys).join(vectors[1].withColumn("field", F.lit(VECTOR)), [k for k in keys if k in vectors[1].columns])
         hits = hits.unionByName(held.select(scope, *keys, "field", "vector"), allowMissingColumns=True)
+    if most is not None and vectors is None:
+        return group_tops(said, hits, chunks, keys, scope, most)
     queries, rows = ALL_PAIRS if most is None else BEST_PAIRS
     # a chunk's rows go to one tile
     sizes = checkpointed(chunks.groupBy(scope).agg(F.ceil(F.count("*") / rows).cast("int").alias("__own")).join(said.groupBy(scope).agg(F.ceil(F.count("*") / queries).cast("int").alias("__others")), scope))
@@ -328,6 +331,31 @@ def lexical_scores(questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...
     return tiles.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda left, right: tile_scores(left, right, list(keys), scope, out, most), out)
 
 
+def group_tops(said: DataFrame, hits: DataFrame, chunks: DataFrame, keys: tuple[str, ...], scope: str, most: int) -> DataFrame:
+    """The best pairs of many questions, kept as a table. A chunk's hits go to one group, once; the questions of its scope meet each group."""
+    rows, spark = BEST_PAIRS[1], chunks.sparkSession
+    counts = checkpointed(chunks.groupBy(scope).agg(F.count("*").alias("n")).join(said.select(scope).distinct(), scope))
+    scopes, cores = counts.count(), spark.sparkContext.defaultParallelism
+    busy = F.least(F.ceil(F.col("n") / rows), F.lit(math.ceil(4 * cores / max(1, scopes))))
+    own = F.greatest(F.ceil(F.col("n") / (rows * GROUP)), busy)
+    # scopes, a row each, are numbered in one task
+    sizes = checkpointed(counts.coalesce(1).select(scope, F.monotonically_increasing_id().alias("__s"), own.alias("__own")))
+    total, widest = sizes.agg(F.sum("__own"), F.max("__own")).first()
+    group = lambda of: F.col("__s") * F.lit(widest or 1) + of
+    dealt = hits.join(F.broadcast(sizes), scope).select(*keys, "field", "tid", "n", group(F.pmod(F.xxhash64(*keys), F.col("__own"))).alias("__group"))
+    asking = said.join(F.broadcast(sizes), scope).select(*said.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__own") - 1)).alias("__of"), "__s")
+    asking = asking.withColumn("__group", group(F.col("__of"))).drop("__of", "__s")
+    out = T.StructType([said.schema["queryid"], said.schema[scope], *(hits.schema[k] for k in keys)]).add("lexical", "double").add("headinghits", "integer")
+    both = dealt.unionByName(asking, allowMissingColumns=True).repartition(min(4 * (total or 1), 32 * cores), "__group")
+    ship_code(spark)
+    # one number to sort by: the group, hits before questions, a chunk's hits side by side
+    both = both.withColumn("__asks", F.col("terms").isNotNull().cast("long"))
+    order = F.shiftleft("__group", 33) + F.shiftleft("__asks", 32) + F.xxhash64(*keys).bitwiseAND(F.lit(0xFFFFFFFF))
+    both = both.withColumn("__low", order).sortWithinPartitions("__low")
+    with counted_batches(spark):
+        return checkpointed(both.drop("__low").mapInArrow(lambda batches: group_scores(batches, list(keys), scope, out, most), out))
+
+
 def few_scores(questions: DataFrame, asked: DataFrame, chunks: DataFrame, keys: tuple[str, ...], scope: str, most: int | None, vectors: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     """lexical_scores of questions that every task can hold."""
     weights = F.collect_list(F.struct("term", F.char_length("said").cast("double").alias("size")))
@@ -371,11 +399,100 @@ def tile_scores(left: pa.Table, right: pa.Table, keys: list[str], scope: str, sc
     return pair_scores(left, named, (chunk, field, right.column("tid").to_numpy().astype(np.int64), right.column("n").to_numpy()), vectors, scope, schema, most)
 
 
+def group_scores(batches, keys: list[str], scope: str, schema: T.StructType, most: int):
+    """The best pairs of groups (__group) of hits, which come first, and questions (__asks is 1), which are never all held: a group's hits make tiles,
+    which its questions meet some at a time. A question's rows of all tiles of the group are cut to its best."""
+    size = BEST_PAIRS[1]
+    group = tiles = None
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        marks = np.stack([batch.column(x).to_numpy() for x in ("__group", "__asks")])
+        ends = [0, *(np.flatnonzero((np.diff(marks) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            if lo == hi:
+                continue
+            if marks[0, lo] != group:
+                group, tiles, held = marks[0, lo], None, []
+            part = batch.slice(lo, hi - lo)
+            if marks[1, lo] == 0:
+                held.append(part.select([*keys, "field", "tid", "n"]))
+                continue
+            if tiles is None:
+                tiles, held = hit_tiles(held, keys, size), []
+            left, best = pa.Table.from_batches([part]), {}
+            if len(tiles) == 1:
+                yield from pair_table(left, [tiles[0][0]], found_pairs(left, tiles[0][0].num_rows, tiles[0][1], None, most), scope, schema).to_batches()
+                continue
+            for t, (named, postings) in enumerate(tiles):
+                for q, rows, *values in found_pairs(left, named.num_rows, postings, None, most):
+                    best.setdefault(q, []).append((rows + t * size, *values))
+            merged = []
+            for q, parts in sorted(best.items()):
+                rows, lexical, heads = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at = best_of(rows, lexical, heads, most)
+                merged.append((q, rows[at], lexical[at], heads[at]))
+            yield from pair_table(left, [named for named, _ in tiles], merged, scope, schema).to_batches()
+
+
+def hit_tiles(held: list[pa.RecordBatch], keys: list[str], size: int) -> list[tuple]:
+    """Tiles of ``size`` chunks, in the order of keys, of hits where those of a chunk mostly come side by side: the chunks' keys and postings."""
+    if not held:
+        return []
+    hits = pa.Table.from_batches(held)
+    new = np.zeros(hits.num_rows, dtype=bool)
+    new[0] = True
+    for k in keys:
+        places = hits.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        new[1:] |= np.diff(places) != 0
+    runs = np.flatnonzero(new)
+    heads = hits.select(keys).take(pa.array(runs))
+    number = heads.to_pandas().groupby(keys, sort=True, dropna=False).ngroup().to_numpy()  # in the order of keys
+    example = np.zeros(int(number.max()) + 1, dtype=np.int64)
+    example[number] = np.arange(len(number))
+    named = heads.take(pa.array(example)).combine_chunks()
+    chunk = np.repeat(number, np.diff([*runs.tolist(), hits.num_rows]))
+    tile, (field, tid, n) = chunk // size, (hits.column(c).to_numpy() for c in ("field", "tid", "n"))
+    tiles = []
+    for t in range(int(tile.max()) + 1):
+        own, some = tile == t, named.slice(t * size, size)
+        tiles.append((some, postings_of(chunk[own] - t * size, field[own], tid[own], n[own], some.num_rows)))
+    return tiles
+
+
+def postings_of(chunk: np.ndarray, field: np.ndarray, tid: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple]]:
+    """The distinct tids, and by field where each one's postings end, their chunks and their values."""
+    tids, term = np.unique(tid, return_inverse=True)
+    tids = tids if len(tids) else np.array([-1])
+    postings = []
+    for f in (0, 1, 2):
+        at = field == f
+        pairs, inverse = np.unique(term[at].astype(np.int64) * size + chunk[at], return_inverse=True)
+        total = np.bincount(inverse, weights=n[at], minlength=len(pairs))
+        ends = np.searchsorted(pairs, np.arange(len(tids) + 1, dtype=np.int64) * size)
+        postings.append((ends, (pairs % size).astype(np.int32), 1 + np.log(total) if f == 0 else np.ones(len(pairs))))
+    return tids, postings
+
+
 def pair_scores(left: pa.Table, named: pa.Table, hits: tuple[np.ndarray, ...], vectors: tuple[np.ndarray, pa.ChunkedArray] | None, scope: str, schema: T.StructType, most: int | None) -> pa.Table:
     """Scores of questions (left) and chunks: ``named`` has the keys of these, in their order; ``hits`` the chunk (its place there), field, tid and n of each hit,
     ``vectors`` the places of chunks that have one, and these."""
-    size = named.num_rows
-    chunk, field, tid, n = hits
+    return pair_table(left, [named], found_pairs(left, named.num_rows, postings_of(*hits, named.num_rows), vectors, most), scope, schema)
+
+
+def best_of(rows: np.ndarray, lexical: np.ndarray, heads: np.ndarray, most: int) -> np.ndarray:
+    """Places, in order, of the ``most`` best rows by score and the ``most`` best with heading hits, of rows in the order of their keys."""
+    if len(rows) <= most:
+        return np.arange(len(rows))
+    score = np.round(lexical + HEAD_SCORE * heads if heads.any() else lexical, DIGITS)
+    best, headed = np.sort(_first(score, rows, most)), np.flatnonzero(heads > 0)
+    if not len(headed):
+        return best
+    return np.union1d(best, headed[np.lexsort((headed, -score[headed], -heads[headed]))[:most]])
+
+
+def found_pairs(left: pa.Table, size: int, prepared: tuple, vectors: tuple[np.ndarray, pa.ChunkedArray] | None, most: int | None) -> list[tuple]:
+    """For each question (its place) that has any: its chunks, lexical, heading hits and, with vectors, cosines and whether there is one."""
+    tids, postings = prepared
     cosines = paired = None
     if vectors is not None:
         at, others = vectors
@@ -383,16 +500,6 @@ def pair_scores(left: pa.Table, named: pa.Table, hits: tuple[np.ndarray, ...], v
         cosines, paired = np.zeros((left.num_rows, size)), np.zeros((left.num_rows, size), dtype=bool)
         cosines[np.ix_(has, at)] = cosine_matrix(left.column("vector").take(pa.array(has)), others)
         paired[np.ix_(has, at)] = True
-    tids, term = np.unique(tid, return_inverse=True)
-    tids = tids if len(tids) else np.array([-1])
-    postings = []
-    for f in (0, 1, 2):
-        at = field == f
-        pairs, inverse = np.unique(term[at].astype(np.int64) * size + chunk[at], return_inverse=True)
-        total = np.bincount(inverse, weights=n[at], minlength=len(pairs))
-        ends = np.searchsorted(pairs, np.arange(len(tids) + 1, dtype=np.int64) * size)
-        postings.append((ends, pairs % size, 1 + np.log(total) if f == 0 else np.ones(len(pairs))))
-
     lists = left.column("terms").combine_chunks()
     if lists.null_count:
         lists = pc.coalesce(lists, pa.array([[]], lists.type)[0])
@@ -424,24 +531,26 @@ def pair_scores(left: pa.Table, named: pa.Table, hits: tuple[np.ndarray, ...], v
         if names is not None:
             lexical = lexical + 2.0 * names
         hit = lexical > 0 if heads is None else (lexical > 0) | (heads > 0)
-        score = np.round(lexical if heads is None else lexical + HEAD_SCORE * heads, DIGITS)
         rows = np.flatnonzero(hit if paired is None else hit | paired[q])
-        if most is not None and len(rows) > most:
-            best = rows[_first(score[rows], rows, most)]
-            if heads is not None and heads.any():
-                headed = np.flatnonzero(heads > 0)
-                best = np.union1d(best, headed[np.lexsort((headed, -score[headed], -heads[headed]))[:most]])
-            rows = best
-        found.append((q, rows, lexical[rows], none[rows] if heads is None else heads[rows]))
+        if most is not None:
+            rows = rows[best_of(rows, lexical[rows], none[rows] if heads is None else heads[rows], most)]
+        pairs = () if paired is None else (cosines[q, rows], paired[q, rows])
+        found.append((q, rows, lexical[rows], none[rows] if heads is None else heads[rows], *pairs))
+    return found
+
+
+def pair_table(left: pa.Table, named: list[pa.Table], found: list[tuple], scope: str, schema: T.StructType) -> pa.Table:
+    """Found pairs as rows; their chunks are places in the tables of ``named`` one behind another."""
     if not found:
         return to_arrow_schema(schema).empty_table()
     q = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
-    rows = np.concatenate([x[1] for x in found])
+    rows, lexical, heads, *pairs = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
     columns = [left.column("queryid").combine_chunks().take(pa.array(q)), left.column(scope).combine_chunks().take(pa.array(q))]
-    columns += [named.column(k).combine_chunks().take(pa.array(rows)) for k in named.column_names]
-    columns += [pa.array(np.concatenate([x[2] for x in found])), pa.array(np.concatenate([x[3] for x in found]).astype(np.int32))]
-    if cosines is not None:
-        columns.append(pa.array(cosines[q, rows], mask=~paired[q, rows]))
+    whole = pa.concat_tables(named) if len(named) > 1 else named[0]
+    columns += [whole.column(k).combine_chunks().take(pa.array(rows)) for k in whole.column_names]
+    columns += [pa.array(lexical), pa.array(heads.astype(np.int32))]
+    if pairs:
+        columns.append(pa.array(pairs[0], mask=~pairs[1]))
     return pa.table(columns, schema.names)
 
 
@@ -467,9 +576,10 @@ def vectors_by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, n
     return {n: (np.array(at), np.array([held[i] for i in at], dtype=np.float64)) for n, at in found.items()}
 
 
-def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex")) -> DataFrame:
-    """Add file name and content to few rows, which are kept: chunks aren't shuffled for them."""
-    return few(checkpointed(rows)).join(chunks.select(*keys, "filename", "content"), list(keys))
+def with_content(rows: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunkindex"), most: int | None = None) -> DataFrame:
+    """Add file name and content, or its first ``most`` characters, to few rows, which are kept: chunks aren't shuffled for them."""
+    content = F.col("content") if most is None else F.left("content", F.lit(most)).alias("content")
+    return few(checkpointed(rows)).join(chunks.select(*keys, "filename", content), list(keys))
 
 
 def semantic_scores(queries: DataFrame, corpus: DataFrame, scope: str) -> DataFrame:
@@ -603,10 +713,14 @@ def weak_retrieval(questions: DataFrame, selected: DataFrame, least_semantic: fl
     return df.select("queryid", (F.col("top").isNull() | low | (main & (F.col("coverage") <= 0))).alias("weak"))
 
 
+#: Characters by which contents are taken for the same.
+SAME_START = 200
+
+
 def merge_ranked(lists: DataFrame, k: int, key: str = "queryid") -> DataFrame:
     """Round-robin of ranked lists (columns pass, rank from 1, filename, content): by depth, then pass; of equal
     (filename, first 200 characters) the first; k in all."""
-    same = F.concat_ws("|", "filename", F.left("content", F.lit(200)))
+    same = F.concat_ws("|", "filename", F.left("content", F.lit(SAME_START)))
     first = lists.withColumn("__same", same).withColumn("__d", F.row_number().over(W.partitionBy(key, "__same").orderBy("rank", "pass"))).filter("__d = 1")
     return first.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("rank", "pass"))).filter(F.col("place") <= k).drop("__same", "__d")
 
@@ -625,12 +739,13 @@ def top_scores(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 
 def multi_pass(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The question itself and its focus query, each ranked, merged round-robin. Both passes are scored together."""
+    """The question itself and its focus query, each ranked, merged round-robin. Both passes are scored together. Rows name chunks and have no content."""
     focus = questions.withColumn("query", focus_query("query")).filter("query <> ''")
     asked = questions.withColumn("pass", F.lit(0)).unionByName(focus.withColumn("pass", F.lit(1)))
     once = asked.withColumn("queryid", F.struct("queryid", "pass"))
-    top = lexical_top(once, chunks, k).select(F.col("queryid.queryid").alias("queryid"), F.col("queryid.pass").alias("pass"), *[c for c in ("doc_id", "chunkindex", "filename", "content", "score")], F.col("place").alias("rank"))
-    return merge_ranked(top, k)
+    best = with_content(select_top_k(top_scores(once, chunks, k), k), chunks, most=SAME_START)
+    top = best.select(F.col("queryid.queryid").alias("queryid"), F.col("queryid.pass").alias("pass"), *[c for c in ("doc_id", "chunkindex", "filename", "content", "score")], F.col("place").alias("rank"))
+    return merge_ranked(top, k).drop("content")
 
 
 def retrieval_report(scored: DataFrame, chunks: DataFrame, k: int, n: int) -> DataFrame:
