@@ -12,6 +12,8 @@ from corvane.session import checkpointed
 DONE = (1, 2)  # complete, complete with a pass
 #: Rows up to which a side is broadcast.
 FEW = 500_000
+#: Users of a course whose pairs with its methods lie together.
+BLOCK = 256
 
 
 def learner_progress(states: DataFrame, host: DataFrame | None = None) -> DataFrame:
@@ -108,10 +110,16 @@ def enrolment_availability(methods: DataFrame, users: DataFrame, enrolled: DataF
     # what a user is in is one row beside the user, so that the pairs of users and methods are never shuffled
     held = lambda df, c, name: df.filter(F.col(c).isNotNull()).groupBy("userid").agg(F.collect_set(c).alias(name))
     people = users.select("userid", "courseid").join(held(enrolled, "methodid", "__in"), "userid", "left").join(held(members, "cohortid", "__of"), "userid", "left")
-    # user rows are few bytes, but each becomes many: dealt to all cores, which adaptive execution would not do
-    people = people.repartition(4 * people.sparkSession.sparkContext.defaultParallelism, "userid")
+    # The pairs come out method by method for some BLOCK users of a course at a time: so runs of equal values and the same few users again and again are what
+    # a columnar file gets, and it takes a fraction of a byte for a pair. Blocks are few bytes, but each becomes many rows: dealt to all cores, which adaptive
+    # execution would not do.
+    sizes = checkpointed(users.groupBy("courseid").agg(F.ceil(F.count("*") / BLOCK).alias("__blocks")))
+    people = people.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "courseid").withColumn("__block", F.pmod(F.xxhash64("userid"), F.col("__blocks")))
+    people = people.repartition(4 * people.sparkSession.sparkContext.defaultParallelism, "courseid", "__block")
+    blocks = people.groupBy("courseid", "__block").agg(F.collect_list(F.struct("userid", "__in", "__of")).alias("__users")).drop("__block")
     offers = checkpointed(enrolment_restriction(methods).join(seats, "methodid", "left"))
-    df = people.join(F.broadcast(offers) if offers.count() <= FEW else offers, "courseid")
+    df = blocks.join(F.broadcast(offers) if offers.count() <= FEW else offers, "courseid")
+    df = df.select(*offers.columns, F.explode("__users").alias("__u")).select(*offers.columns, "__u.*")
     df = df.withColumn("__in", F.coalesce(F.array_contains("__in", F.col("methodid")), F.lit(False))).withColumn("__member", F.array_contains("__of", F.col("cohortid")))
     own = F.col("method") == "self"
     reason = (
